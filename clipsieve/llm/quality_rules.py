@@ -132,13 +132,13 @@ def references(measured: DataFrame) -> DataFrame:
     """Per language the median share of each bin, over all documents that pass the base rules and are long enough.
 
     Medians, so that junk of another kind doesn't move a reference. One map-side aggregate of fixed width;
-    as many rows as languages.
+    a row for each of the languages of COMMON_WORDS at most.
     """
     good = measured.where(~F.col("base_failed") & (F.col("n_chars") >= MIN_CHARS) & (F.col("n_words") >= MIN_COMMON_WORDS))
     bins = len(CLASSES), max(map(len, COMMON_WORDS.values())) + 1
     middle = [_shares(F.array(*(F.percentile_approx(F.col(c)[i], 0.5, 1000) for i in range(n)))) for c, n in zip(("class_shares", "word_shares"), bins, strict=True)]
     cols = [middle[0].alias("class_ref"), middle[1].alias("word_ref"), F.count("*").alias("ref_docs")]
-    return good.groupBy("lang").agg(*cols).where((F.col("ref_docs") >= MIN_REFERENCE_DOCS) & F.col("lang").isNotNull())
+    return good.where(F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(*cols).where(F.col("ref_docs") >= MIN_REFERENCE_DOCS)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -154,7 +154,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         "*", failed.alias("base_failed"), reduce(lambda a, b: a + b, (F.col("classes")[i] for i in range(len(CLASSES)))).alias("n_chars"),
         _shares(F.col("classes")).alias("class_shares"), _shares(F.col("common"), F.col("n_words")).alias("word_shares"),
     )
-    m = m.join(references(m), "lang", "left")
+    m = m.join(F.broadcast(references(m)), "lang", "left")  # four rows at most
     class_distance = F.when(F.col("n_chars") >= MIN_CHARS, jensen_shannon(F.col("class_shares"), F.col("class_ref")))
     word_distance = F.when(F.col("n_words") >= MIN_COMMON_WORDS, jensen_shannon(F.col("word_shares"), F.col("word_ref")))
     m = m.withColumns({"class_distance": class_distance, "word_distance": word_distance})
