@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipsieve.llm import classifier, mixing, quality_rules, toxicity, url_filter, warc
+from clipsieve.llm import classifier, lm, mixing, quality_rules, toxicity, url_filter, warc
 from clipsieve.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.held_out_score(table(spark, sf_dir, "documents"), mod=10, held=0)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), mod=4, held=2, threshold=0.7)
 
@@ -41,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc": op2_warc,
         "op6_quality_rules": op6_quality_rules,
         "op7_url_filters": op7_url_filters,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
     }
