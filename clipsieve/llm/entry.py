@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipsieve.llm import classifier, lm, mixing, quality_rules, substring, toxicity, url_filter, warc
+from clipsieve.llm import classifier, lm, mixing, ngram_join, quality_rules, substring, toxicity, url_filter, warc
 from clipsieve.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_warc": op2_warc,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_url_filters": op7_url_filters,
