@@ -12,6 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The white space that separates words; the same class as bytes.split() uses.
 SPACE = " \t\n\x0b\x0c\r"
@@ -85,7 +86,7 @@ def bytes_column(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary").alias(name)
 
 
-def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function of one batch; small batches are set for the plan."""
     small_batches(df.sparkSession)
 

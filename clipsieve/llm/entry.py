@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clipsieve.llm import classifier, lm, mixing, ngram_join, quality_rules, substring, toxicity, url_filter, warc
+from clipsieve.llm import classifier, decontam, lm, mixing, ngram_join, quality_rules, substring, toxicity, url_filter, warc
 from clipsieve.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_warc": op2_warc,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_decontamination": op4_decontamination,
         "op5_substring_dedup": op5_substring_dedup,
         "op6_quality_rules": op6_quality_rules,
         "op7_url_filters": op7_url_filters,

@@ -178,37 +178,72 @@ def spans(docs: DataFrame) -> DataFrame:
     return whole.unionByName(small).unionByName(_spread_windows(packed.where(F.col("n") > BUCKET_ROWS)))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Per document: id, n_words, n_removed, kept_sha256, and with_text the text without the removed words.
+def _kept(text: bytes, own: list[int] | None) -> tuple[list[bytes], list[int] | None]:
+    """A text's words, and which of them stay outside the spans (None: all)."""
+    words = text.split()
+    if not own:
+        return words, None
+    keep = np.ones(len(words), bool)
+    for s in own:
+        keep[s // _SHIFT : s % _SHIFT] = False
+    return words, np.flatnonzero(keep).tolist()
+
+
+def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with the columns _th and _spans."""
+    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
+    d = keyed.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col("_th").alias("th"))
+    covered = spans(d).groupBy(F.col("id").alias("_id"), F.col("th").alias("_th2")).agg(F.collect_set("span").alias("_spans"))
+    return keyed.join(covered, (F.col(id_col) == F.col("_id")) & (F.col("_th") == F.col("_th2")), "left").drop("_id", "_th2")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_words, n_removed, kept_sha256 (of the kept words, joined by a space).
 
     Removed is each word in a window that also starts in a document with a smaller id, judged on the input. Null
     and empty texts have no words; texts under WINDOW words lose none. Rows with the same id don't count as
     others: equal ones fare alike, different ones are judged apart. A row with null id loses nothing and takes
-    nothing. An empty table gives no rows. A kept text is the text itself if it lost nothing; else what stays
-    keeps the white space before it.
+    nothing. An empty table gives no rows.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    covered = spans(d).groupBy("id", "th").agg(F.collect_set("span").alias("spans"))
-    joined = d.join(covered, ["id", "th"], "left").select("id", F.col("text").cast("binary").alias("text"), "spans")
+    joined = _with_spans(docs.select(id_col, text_col), id_col, text_col)
+    rows = joined.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"), "_spans")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text, own in zip(batch[1].to_pylist(), batch[2].to_pylist(), strict=True):
-            words, kept = text.split(), None
-            if own:
-                keep = np.ones(len(words), bool)
-                for s in own:
-                    keep[s // _SHIFT : s % _SHIFT] = False
-                at = np.flatnonzero(keep).tolist()
-                if with_text:
-                    pieces = _WORD.findall(text)
-                    kept = b"".join([pieces[i] for i in at]).strip()
-                n, words = len(words), [words[i] for i in at]
-            else:
-                n, kept = len(words), text
-            out.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), kept.decode() if with_text else None))
+            words, at = _kept(text, own)
+            left = words if at is None else [words[i] for i in at]
+            out.append((len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
         cols = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([batch[0], *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        return pa.RecordBatch.from_arrays([batch[0], *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], ["id", "n_words", "n_removed", "kept_sha256"])
+
+    return map_arrow(rows, each, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
-    out = map_arrow(joined, each, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
-    return out if with_text else out.drop("kept_text")
+
+def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with their columns, texts without the removed words (see dedup), and length_col, if there, of these.
+
+    What stays keeps the white space before it; a text that loses nothing stays as it is, null and empty ones too.
+    A document that loses all its words goes.
+    """
+    names = docs.columns
+    joined = _with_spans(docs, id_col, text_col).select(*names, "_spans")
+    at = names.index(text_col)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, spans_, keep = batch[at].to_pylist(), batch[len(names)].to_pylist(), []
+        for k, own in enumerate(spans_):
+            keep.append(True)
+            if own:
+                raw = texts[k].encode()
+                _, left = _kept(raw, own)
+                pieces = _WORD.findall(raw)
+                texts[k] = b"".join([pieces[i] for i in left]).strip().decode()
+                keep[-1] = bool(left)
+        columns = [pa.array(texts, batch[at].type) if i == at else c for i, c in enumerate(batch.columns[:-1])]
+        return pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+    out = map_arrow(joined, each, docs.schema)
+    if length_col in names and length_col != text_col:
+        out = out.withColumn(length_col, F.coalesce(F.length(text_col).cast(docs.schema[length_col].dataType), F.col(length_col)))
+    return out.select(names)
