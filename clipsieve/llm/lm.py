@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import small_batches, stored
+from clipsieve.llm.common import release, small_batches, stored
 from clipsieve.llm.toxicity import remainder
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text of one block, and of the text whose words one bucket gets.
-BLOCK_BYTES = 4_000_000
-BUCKET_BYTES = 8_000_000
+BLOCK_BYTES = 1_500_000
+BUCKET_BYTES = 4_000_000
 #: Stands for the end of a text; no word holds a line break.
 END = b"\n"
 WORD_PRIOR = 0.1
@@ -157,6 +157,7 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY, id_col:
     blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
     d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long")))
     packed = stored(d.select("block", "text", "train").repartition(min(blocks, 4096), "block").mapInArrow(lambda b: count_blocks(b, buckets), PACKED), "lm-counts")
+    release(spark)
     counts, n, v = piece_counts(packed, model)
     log_p = piece_log_probabilities(counts, model)
     shared = spark.sparkContext.broadcast((model, log_p))  # bounded by the vocabulary file
