@@ -236,6 +236,29 @@ def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     return found.unionByName(_search(rows, percent))
 
 
+def _signed(d: DataFrame, smallest: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, signatures) of each distinct set in which something may differ, from documents (id, text)."""
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [signatures(shingles(t, n), percent) for t in batch[1].to_pylist()]
+        return pa.RecordBatch.from_arrays([batch[0], list_column(long_array(np.concatenate(found)), [len(f) for f in found], pa.int64())], ["node", "signatures"])
+
+    asked = smallest.where(F.expr(f"({100 - percent} * size) div {percent} > 0")).select(F.col("node").alias("id")).distinct()
+    texts = d.join(asked, "id", "left_semi").select("id", F.col("text").cast("binary").alias("text"))
+    return stored(map_arrow(texts, sign, "node long, signatures array<long>"), "ngram-signatures")
+
+
+def _routes(signed: DataFrame) -> DataFrame:
+    """(node, hub, weight): each set and the smallest one with a signature in common, with the number of these.
+
+    A signature that many share makes a row per set, never pairs; counting them begins before the shuffle.
+    """
+    release(signed.sparkSession)
+    each = signed.select("node", F.explode("signatures").alias("signature"))
+    shared = each.groupBy("signature").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("signature", "hub")
+    return stored(each.join(shared, "signature").where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("weight")), "ngram-edges")
+
+
 def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_shingles, component_id (the smallest id reachable by links, its own included).
 
@@ -257,16 +280,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     equal = ["size", "first", "second"]
     smallest = stored(measured.where("size > 0 AND id IS NOT NULL").groupBy(*equal).agg(F.min("id").alias("node")), "ngram-nodes")
 
-    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [signatures(shingles(t, n), percent) for t in batch[1].to_pylist()]
-        return pa.RecordBatch.from_arrays([batch[0], list_column(long_array(np.concatenate(found)), [len(f) for f in found], pa.int64())], ["node", "signatures"])
-
-    # Sets in which nothing may differ are settled already.
-    asked = smallest.where(F.expr(f"({100 - percent} * size) div {percent} > 0")).select(F.col("node").alias("id")).distinct()
-    signed = map_arrow(d.join(asked, "id", "left_semi").select("id", binary), sign, "node long, signatures array<long>")
-    signed = signed.select("node", F.explode("signatures").alias("signature"))
-    shared = signed.groupBy("signature").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("signature", "hub")
-    edges = stored(signed.join(shared, "signature").where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("weight")), "ngram-edges")
+    edges = _routes(_signed(d, smallest, n, percent))
     release(docs.sparkSession)
     member = components(edges, "node", "hub").withColumnRenamed("component", "family")
     weight = edges.select("node", "weight").unionByName(edges.select(F.col("hub").alias("node"), "weight")).groupBy("node").agg(F.sum("weight").alias("weight"))
