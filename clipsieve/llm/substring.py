@@ -23,7 +23,7 @@ from clipsieve.llm.common import MULTIPLIER, SECOND_MULTIPLIER, WordHasher, gram
 WINDOW = 50
 MINIMISER = 10
 #: Super-k-mers of one minimiser that a bucket takes; above, its windows are spread by their own hash.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 20_000
 #: Windows that a bucket task sorts at a time, whole minimisers each.
 SORT_WINDOWS = 1_000_000
 _SHIFT = 1 << 31
