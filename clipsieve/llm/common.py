@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -60,6 +61,7 @@ def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # Spark's cleaner runs beside
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -153,15 +153,15 @@ class Index:
         return np.array(found, np.int64), np.array(counts, np.int64)
 
 
-def _search_block(rows: list[tuple[int, int, bool, bool, bytes]], percent: int) -> list[tuple[int, int]]:
-    """Links of one block's rows (node, class, asks, answers, set); sets of one class, given or found, aren't compared."""
+def _search_block(rows: list[tuple[int, int, bool, bool, bytes]], n: int, percent: int) -> list[tuple[int, int]]:
+    """Links of one block's rows (node, class, asks, answers, text); sets of one class, given or found, aren't compared."""
     rows = sorted({(r[0], r[1], r[4]): r for r in rows}.values(), key=lambda r: (r[0], r[4]))
     classes: dict[int, int] = {}
     label = np.array([classes.setdefault(r[1], len(classes)) for r in rows])
     answering = np.array([r[3] for r in rows])
     if len(classes) < 2:
         return []
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    sets = [shingles(r[4], n) for r in rows]
     index, links = Index(sets), []
     for i, row in enumerate(rows):
         if not row[2]:
@@ -175,8 +175,11 @@ def _search_block(rows: list[tuple[int, int, bool, bool, bytes]], percent: int)
     return links
 
 
-def _search(blocks: DataFrame, percent: int) -> DataFrame:
-    """Rows (family, block, node, class, asks, answers, set) to links (a, b), a block at a time as they stream in."""
+def _search(blocks: DataFrame, n: int, percent: int) -> DataFrame:
+    """Rows (family, block, node, class, asks, answers, text) to links (a, b), a block at a time as they stream in.
+
+    Texts travel, not their sets: they compress, hashes don't.
+    """
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, found = None, [], []
@@ -190,32 +193,32 @@ def _search(blocks: DataFrame, percent: int) -> DataFrame:
             for family, block, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != (family, block):
                     if len(rows) > 1:
-                        found += _search_block(rows, percent)
+                        found += _search_block(rows, n, percent)
                     key, rows = (family, block), []
                     if len(found) > 10_000:
                         yield batch()
                 rows.append(tuple(row))
         if len(rows) > 1:
-            found += _search_block(rows, percent)
+            found += _search_block(rows, n, percent)
         yield batch()
 
     small_batches(blocks.sparkSession, 100)
-    dealt = spread(blocks.select("family", "block", "node", "class", "asks", "answers", "set"), "family", "block").sortWithinPartitions("family", "block")
+    dealt = spread(blocks.select("family", "block", "node", "class", "asks", "answers", "text"), "family", "block").sortWithinPartitions("family", "block")
     return stored(dealt.mapInArrow(each, "a long, b long"), "ngram-links")
 
 
-def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
-    """All links between classes found so far, from sets (family, n, node, set) of families."""
+def _links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
+    """All links between classes found so far, from texts (family, n, node, text) of families."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK_SETS)).cast("long")
-    s = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    own = s.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "set")
+    s = texts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    own = s.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "text")
     large = s.where("blocks > 1")
     if large.isEmpty():
-        return _search(own, percent)
+        return _search(own, n, percent)
     leading = families.where(F.col("n") > BLOCK_SETS).withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("weight"), "node"))).where(F.col("rank") <= LEADERS)
     everywhere = large.join(leading.select("node"), "node", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    everywhere = everywhere.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "set")
-    found = _search(own.unionByName(everywhere), percent)
+    everywhere = everywhere.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "text")
+    found = _search(own.unionByName(everywhere), n, percent)
     # Sets outside a large family's largest class ask all its blocks; so every pair of classes has met.
     so_far = components(found)
     part = large.join(so_far, "node", "left").withColumn("class", F.coalesce("component", "node"))
@@ -231,29 +234,16 @@ def _links(sets: DataFrame, families: DataFrame, percent: int) -> DataFrame:
     span = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     asking = open_.where(outside).withColumn("asker", F.pmod(F.xxhash64("node", F.lit(1)), F.col("askers"))).withColumn("answerer", F.explode(span("blocks")))
     answering = open_.withColumn("answerer", F.col("block")).withColumn("asker", F.explode(span("askers")))
-    both = [d.select("family", pair.alias("block"), "node", "class", F.lit(asks).alias("asks"), F.lit(not asks).alias("answers"), "set") for d, asks in ((asking, True), (answering, False))]
-    rows = both[0].unionByName(both[1]).groupBy("family", "block", "node", "class", "set").agg(F.max("asks").alias("asks"), F.max("answers").alias("answers"))
-    return found.unionByName(_search(rows, percent))
-
-
-def _signed(d: DataFrame, smallest: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, signatures) of each distinct set in which something may differ, from documents (id, text)."""
-
-    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [signatures(shingles(t, n), percent) for t in batch[1].to_pylist()]
-        return pa.RecordBatch.from_arrays([batch[0], list_column(long_array(np.concatenate(found)), [len(f) for f in found], pa.int64())], ["node", "signatures"])
-
-    asked = smallest.where(F.expr(f"({100 - percent} * size) div {percent} > 0")).select(F.col("node").alias("id")).distinct()
-    texts = d.join(asked, "id", "left_semi").select("id", F.col("text").cast("binary").alias("text"))
-    return stored(map_arrow(texts, sign, "node long, signatures array<long>"), "ngram-signatures")
+    both = [d.select("family", pair.alias("block"), "node", "class", F.lit(asks).alias("asks"), F.lit(not asks).alias("answers"), "text") for d, asks in ((asking, True), (answering, False))]
+    rows = both[0].unionByName(both[1]).groupBy("family", "block", "node", "class", "text").agg(F.max("asks").alias("asks"), F.max("answers").alias("answers"))
+    return found.unionByName(_search(rows, n, percent))
 
 
 def _routes(signed: DataFrame) -> DataFrame:
-    """(node, hub, weight): each set and the smallest one with a signature in common, with the number of these.
+    """(node, signatures) to (node, hub, weight): each set and the smallest one with a signature in common, with the number of these.
 
     A signature that many share makes a row per set, never pairs; counting them begins before the shuffle.
     """
-    release(signed.sparkSession)
     each = signed.select("node", F.explode("signatures").alias("signature"))
     shared = each.groupBy("signature").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("signature", "hub")
     return stored(each.join(shared, "signature").where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("weight")), "ngram-edges")
@@ -273,28 +263,26 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         sets = [shingles(t, n) for t in batch[1].to_pylist()]
         first = [int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets]
         second = [int(np.add.reduce(mix(s * np.uint64(3) + np.uint64(1)))) if len(s) else 0 for s in sets]
+        signed = [signatures(s, percent) for s in sets]
         both = (pa.array(long_array(np.array(x, np.uint64))) for x in (first, second))
-        return pa.RecordBatch.from_arrays([batch[0], pa.array([len(s) for s in sets], pa.int64()), *both], ["id", "size", "first", "second"])
+        lists = list_column(long_array(np.concatenate(signed)), [len(f) for f in signed], pa.int64())
+        return pa.RecordBatch.from_arrays([batch[0], pa.array([len(s) for s in sets], pa.int64()), *both, lists], ["id", "size", "first", "second", "signatures"])
 
-    measured = stored(map_arrow(d.select("id", binary), measure, "id long, size long, first long, second long"), "ngram-sizes")
+    measured = stored(map_arrow(d.select("id", binary), measure, "id long, size long, first long, second long, signatures array<long>"), "ngram-sizes")
     equal = ["size", "first", "second"]
     smallest = stored(measured.where("size > 0 AND id IS NOT NULL").groupBy(*equal).agg(F.min("id").alias("node")), "ngram-nodes")
-
-    edges = _routes(_signed(d, smallest, n, percent))
+    # Sets in which nothing may differ are settled already. Of rows of one id each set counts.
+    asked = smallest.where(F.expr(f"({100 - percent} * size) div {percent} > 0")).select(F.col("node").alias("id"), *equal)
+    edges = _routes(measured.join(asked, ["id", *equal], "left_semi").select(F.col("id").alias("node"), "signatures"))
     release(docs.sparkSession)
     member = components(edges, "node", "hub").withColumnRenamed("component", "family")
     weight = edges.select("node", "weight").unionByName(edges.select(F.col("hub").alias("node"), "weight")).groupBy("node").agg(F.sum("weight").alias("weight"))
     size = member.groupBy("family").agg(F.count("*").alias("n"))
     families = stored(member.join(size, "family").join(weight, "node"), "ngram-families")
 
-    def collect(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, n).tobytes() for t in batch[3].to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["family", "n", "node", "set"])
-
-    texts = d.withColumnRenamed("id", "node").join(families.select("node", "family", "n"), "node").select("family", "n", "node", binary)
-    sets = stored(map_arrow(texts, collect, "family long, n long, node long, set binary"), "ngram-sets")
+    texts = stored(d.withColumnRenamed("id", "node").join(families.select("node", "family", "n"), "node").select("family", "n", "node", binary), "ngram-texts")
     release(docs.sparkSession)
-    found = components(_links(sets, families, percent))
-    out = measured.join(smallest, equal, "left").join(found, "node", "left")
+    found = components(_links(texts, families, n, percent))
+    out = measured.drop("signatures").join(smallest, equal, "left").join(found, "node", "left")
     component = F.when(F.col("size") == 0, F.col("id")).otherwise(F.coalesce("component", "node"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
