@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import stored
+from clipsieve.llm.common import discard, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,8 +22,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         heard = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
         new = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         new = stored(new, "components-heard")
+        discard(labels)
         to = new.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(new.join(to, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "components-labels")
-        if new.where("old != label").isEmpty():
-            return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+        labels = stored(new.join(to, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "components-labels")
+        discard(new)
+        if labels.where("old != label").isEmpty():
+            discard(e)
+            return _result(labels)
+
+
+def _result(labels: DataFrame) -> DataFrame:
+    out = labels.select("node", F.col("label").alias("component"))
+    out._stored_at = labels._stored_at
+    return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import WordHasher, grams, list_column, long_array, map_arrow, mix, release, scale_of, small_batches, spread, stored
+from clipsieve.llm.common import WordHasher, discard, grams, list_column, long_array, map_arrow, mix, release, scale_of, small_batches, spread, stored
 from clipsieve.llm.components import components
 
 #: Sets of one block of a family.
@@ -268,21 +268,26 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
         lists = list_column(long_array(np.concatenate(signed)), [len(f) for f in signed], pa.int64())
         return pa.RecordBatch.from_arrays([batch[0], pa.array([len(s) for s in sets], pa.int64()), *both, lists], ["id", "size", "first", "second", "signatures"])
 
-    measured = stored(map_arrow(d.select("id", binary), measure, "id long, size long, first long, second long, signatures array<long>"), "ngram-sizes")
     equal = ["size", "first", "second"]
+    signed = stored(map_arrow(d.select("id", binary), measure, "id long, size long, first long, second long, signatures array<long>"), "ngram-signatures")
+    measured = stored(signed.drop("signatures"), "ngram-sizes")
     smallest = stored(measured.where("size > 0 AND id IS NOT NULL").groupBy(*equal).agg(F.min("id").alias("node")), "ngram-nodes")
     # Sets in which nothing may differ are settled already. Of rows of one id each set counts.
     asked = smallest.where(F.expr(f"({100 - percent} * size) div {percent} > 0")).select(F.col("node").alias("id"), *equal)
-    edges = _routes(measured.join(asked, ["id", *equal], "left_semi").select(F.col("id").alias("node"), "signatures"))
+    edges = _routes(signed.join(asked, ["id", *equal], "left_semi").select(F.col("id").alias("node"), "signatures"))
+    discard(signed)
     release(docs.sparkSession)
-    member = components(edges, "node", "hub").withColumnRenamed("component", "family")
+    member = components(edges, "node", "hub")
+    family = member.withColumnRenamed("component", "family")
     weight = edges.select("node", "weight").unionByName(edges.select(F.col("hub").alias("node"), "weight")).groupBy("node").agg(F.sum("weight").alias("weight"))
-    size = member.groupBy("family").agg(F.count("*").alias("n"))
-    families = stored(member.join(size, "family").join(weight, "node"), "ngram-families")
-
+    size = family.groupBy("family").agg(F.count("*").alias("n"))
+    families = stored(family.join(size, "family").join(weight, "node"), "ngram-families")
+    discard(member, edges)
     texts = stored(d.withColumnRenamed("id", "node").join(families.select("node", "family", "n"), "node").select("family", "n", "node", binary), "ngram-texts")
     release(docs.sparkSession)
-    found = components(_links(texts, families, n, percent))
-    out = measured.drop("signatures").join(smallest, equal, "left").join(found, "node", "left")
+    links = stored(_links(texts, families, n, percent), "ngram-all-links")
+    found = components(links)
+    discard(texts, families, links)
+    out = measured.join(smallest, equal, "left").join(found, "node", "left")
     component = F.when(F.col("size") == 0, F.col("id")).otherwise(F.coalesce("component", "node"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import MULTIPLIER, SECOND_MULTIPLIER, WordHasher, grams, long_array, map_arrow, scale_of, small_batches, stored
+from clipsieve.llm.common import MULTIPLIER, SECOND_MULTIPLIER, WordHasher, discard, grams, long_array, map_arrow, release, small_batches, stored
 
 WINDOW = 50
 MINIMISER = 10
@@ -162,7 +162,7 @@ def _spread_windows(big: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(id, th, span) with the covered words [span div 2**31, span mod 2**31) of documents (id, th, text)."""
+    """(id, th, spans) with the covered words [span div 2**31, span mod 2**31) of documents (id, th, text)."""
     small_batches(docs.sparkSession)
     parts = stored(_parts(docs), "substring-parts")
     owners = parts.groupBy("mk", "body").agg(F.min("id").alias("owner"), F.max("id").alias("most"))
@@ -175,7 +175,11 @@ def spans(docs: DataFrame) -> DataFrame:
     small = packed.where(F.col("n") <= BUCKET_ROWS).select("id", "th", "mk", "start", "packed")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = small.repartition(n, "mk").sortWithinPartitions("mk").mapInArrow(_sorted_buckets, "id long, th long, span long")
-    return whole.unionByName(small).unionByName(_spread_windows(packed.where(F.col("n") > BUCKET_ROWS)))
+    every = whole.unionByName(small).unionByName(_spread_windows(packed.where(F.col("n") > BUCKET_ROWS)))
+    out = stored(every.groupBy("id", "th").agg(F.collect_set("span").alias("spans")), "substring-spans")
+    discard(parts, packed)
+    release(docs.sparkSession)
+    return out
 
 
 def _kept(text: bytes, own: list[int] | None) -> tuple[list[bytes], list[int] | None]:
@@ -193,7 +197,7 @@ def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with the columns _th and _spans."""
     keyed = docs.withColumn("_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
     d = keyed.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col("_th").alias("th"))
-    covered = spans(d).groupBy(F.col("id").alias("_id"), F.col("th").alias("_th2")).agg(F.collect_set("span").alias("_spans"))
+    covered = spans(d).select(F.col("id").alias("_id"), F.col("th").alias("_th2"), F.col("spans").alias("_spans"))
     return keyed.join(covered, (F.col(id_col) == F.col("_id")) & (F.col("_th") == F.col("_th2")), "left").drop("_id", "_th2")
 
 

@@ -153,7 +153,9 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, with_payload: bool = False)
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/clipsieve/warc-{uuid.uuid4().hex}"
     write(pages, path, min_bytes)
-    got = captures(stored(read(spark, path, with_payload), "warc-records"))
+    records = stored(read(spark, path, with_payload), "warc-records")
+    small_batches(spark)
+    got = captures(records)
     got = got.withColumn("page_id", F.element_at(F.map_from_entries("metadata.fields"), "pageId"))
     got = got.withColumn("page_id", F.when(F.col("page_id") != "", F.col("page_id").cast("long")))
     got = got.withColumn("main", F.coalesce("response", "revisit"))
