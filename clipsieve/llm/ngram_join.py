@@ -15,14 +15,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsieve.llm.common import WordHasher, discard, grams, list_column, long_array, map_arrow, mix, release, scale_of, small_batches, spread, stored
 from clipsieve.llm.components import components
 
-#: Sets of one block of a family.
-BLOCK_SETS = 256
+#: Sets of one block of a family, and their elements; more of either make more blocks.
+BLOCK_SETS = 1_024
+BLOCK_ELEMENTS = 1_000_000
 #: Sets that every block of a large family gets besides its own, so that blocks meet early.
 LEADERS = 4
 #: Size classes grow by this factor.
@@ -155,7 +156,11 @@ class Index:
 
 def _search_block(rows: list[tuple[int, int, bool, bool, bytes]], n: int, percent: int) -> list[tuple[int, int]]:
     """Links of one block's rows (node, class, asks, answers, text); sets of one class, given or found, aren't compared."""
-    rows = sorted({(r[0], r[1], r[4]): r for r in rows}.values(), key=lambda r: (r[0], r[4]))
+    merged: dict[tuple, tuple[bool, bool]] = {}
+    for node, own, asks, answers, text in rows:
+        before = merged.get((node, text, own), (False, False))
+        merged[node, text, own] = (asks or before[0], answers or before[1])
+    rows = [(node, own, *flags, text) for (node, text, own), flags in sorted(merged.items())]
     classes: dict[int, int] = {}
     label = np.array([classes.setdefault(r[1], len(classes)) for r in rows])
     answering = np.array([r[3] for r in rows])
@@ -207,15 +212,18 @@ def _search(blocks: DataFrame, n: int, percent: int) -> DataFrame:
     return stored(dealt.mapInArrow(each, "a long, b long"), "ngram-links")
 
 
+def _blocks(sets: Column, elements: Column) -> Column:
+    return F.greatest(F.ceil(sets / F.lit(BLOCK_SETS)), F.ceil(elements / F.lit(BLOCK_ELEMENTS))).cast("long")
+
+
 def _links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
-    """All links between classes found so far, from texts (family, n, node, text) of families."""
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK_SETS)).cast("long")
-    s = texts.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    """All links between classes found so far, from texts (family, blocks, node, size, text) of families."""
+    s = texts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     own = s.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "text")
     large = s.where("blocks > 1")
     if large.isEmpty():
         return _search(own, n, percent)
-    leading = families.where(F.col("n") > BLOCK_SETS).withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("weight"), "node"))).where(F.col("rank") <= LEADERS)
+    leading = families.where("blocks > 1").withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.desc("weight"), "node"))).where(F.col("rank") <= LEADERS)
     everywhere = large.join(leading.select("node"), "node", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     everywhere = everywhere.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "text")
     found = _search(own.unionByName(everywhere), n, percent)
@@ -228,15 +236,14 @@ def _links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataF
     outside = F.col("class") != F.col("top")
     if open_.where(outside).isEmpty():
         return found
-    n_out = open_.where(outside).groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK_SETS)).cast("long").alias("askers"))
+    n_out = open_.where(outside).groupBy("family").agg(_blocks(F.count("*"), F.sum("size")).alias("askers"))
     open_ = open_.join(n_out, "family")
     pair = F.col("asker") * F.col("blocks") + F.col("answerer")
     span = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     asking = open_.where(outside).withColumn("asker", F.pmod(F.xxhash64("node", F.lit(1)), F.col("askers"))).withColumn("answerer", F.explode(span("blocks")))
     answering = open_.withColumn("answerer", F.col("block")).withColumn("asker", F.explode(span("askers")))
     both = [d.select("family", pair.alias("block"), "node", "class", F.lit(asks).alias("asks"), F.lit(not asks).alias("answers"), "text") for d, asks in ((asking, True), (answering, False))]
-    rows = both[0].unionByName(both[1]).groupBy("family", "block", "node", "class", "text").agg(F.max("asks").alias("asks"), F.max("answers").alias("answers"))
-    return found.unionByName(_search(rows, n, percent))
+    return found.unionByName(_search(both[0].unionByName(both[1]), n, percent))
 
 
 def _routes(signed: DataFrame) -> DataFrame:
@@ -280,10 +287,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     member = components(edges, "node", "hub")
     family = member.withColumnRenamed("component", "family")
     weight = edges.select("node", "weight").unionByName(edges.select(F.col("hub").alias("node"), "weight")).groupBy("node").agg(F.sum("weight").alias("weight"))
-    size = family.groupBy("family").agg(F.count("*").alias("n"))
-    families = stored(family.join(size, "family").join(weight, "node"), "ngram-families")
+    family = family.join(smallest.groupBy("node").agg(F.sum("size").alias("size")), "node")
+    total = family.groupBy("family").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"))
+    families = stored(family.join(total, "family").join(weight, "node"), "ngram-families")
     discard(member, edges)
-    texts = stored(d.withColumnRenamed("id", "node").join(families.select("node", "family", "n"), "node").select("family", "n", "node", binary), "ngram-texts")
+    texts = stored(d.withColumnRenamed("id", "node").join(families.select("node", "family", "blocks", "size"), "node").select("family", "blocks", "node", "size", binary), "ngram-texts")
     release(docs.sparkSession)
     links = stored(_links(texts, families, n, percent), "ngram-all-links")
     found = components(links)
