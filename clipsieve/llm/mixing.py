@@ -9,7 +9,6 @@ quota takes the whole row as often as it fits and then its first blocks.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import WordHasher, discard, grams, list_column, long_array, map_arrow, mix, release, scale_of, small_batches, spread, stored
+from clipsieve.llm.common import WordHasher, discard, grams, list_column, long_array, map_arrow, mix, release, small_batches, spread, stored
 from clipsieve.llm.components import components
 
 #: Sets of one block of a family, and their elements; more of either make more blocks.
