@@ -68,10 +68,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)  # Spark's cleaner runs beside
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more.
+
+    References go step by step: from Python, then in the JVM, then Spark's cleaner, which runs beside.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.6)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -159,6 +159,7 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY, id_col:
     packed = stored(d.select("block", "text", "train").repartition(min(blocks, 4096), "block").mapInArrow(lambda b: count_blocks(b, buckets), PACKED), "lm-counts")
     release(spark)
     counts, n, v = piece_counts(packed, model)
+    release(spark)
     log_p = piece_log_probabilities(counts, model)
     shared = spark.sparkContext.broadcast((model, log_p))  # bounded by the vocabulary file
 
