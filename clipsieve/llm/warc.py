@@ -7,6 +7,7 @@ the metadata name the response in WARC-Concurrent-To; assembly brings the three
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -55,12 +56,15 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_i
     has no WARC-Target-URI. Rows with the same id are captures of their own.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
-    base = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("n"), F.col(url_col).alias("u"), payload.alias("payload"))
-    base = base.withColumns({"digest": base32_sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload").cast("long")})
-    base = base.withColumn("copy", F.row_number().over(Window.partitionBy("n").orderBy("u", "digest")))
-    key = lambda n, copy: F.concat_ws("|", F.coalesce(n.cast("string"), F.lit("null")), copy.cast("string"))
-    first = base.groupBy("digest").agg(F.min(F.struct(F.col("n").isNull().alias("no"), "n", "copy")).alias("first"))
-    d = base.join(first, "digest").withColumn("key", key(F.col("n"), F.col("copy"))).withColumn("first_key", key(F.col("first.n"), F.col("first.copy")))
+    base = pages.select(F.col(id_col).alias("n"), F.col(url_col).alias("u"), payload.alias("payload"))
+    base = base.withColumns({"id": F.col("n").cast("string"), "digest": base32_sha1(F.col("payload").cast("binary")), "bytes": F.octet_length("payload").cast("long")})
+    base = base.withColumn("k", F.coalesce("id", F.lit("null")))
+    # Which row comes first is settled on narrow rows; payloads are shuffled once, by id and digest, so evenly.
+    narrow = base.select("n", "k", "digest").distinct()
+    first = narrow.groupBy("digest").agg(F.min("n").cast("string").alias("first"))
+    low = narrow.join(first, "digest").select("k", "digest", F.coalesce("first", F.lit("null")).alias("first"))
+    d = base.join(low, ["k", "digest"]).withColumn("copy", F.row_number().over(Window.partitionBy("k", "digest").orderBy("u")))
+    d = d.withColumns({"key": F.concat_ws("|", "k", "digest", F.col("copy").cast("string")), "first_key": F.concat_ws("|", "first", "digest", F.lit("1"))})
     revisit = (F.col("bytes") >= min_bytes) & (F.col("key") != F.col("first_key"))
     main = _record_id("response", F.col("key"))
     url = F.replace(F.replace(F.col("u"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
@@ -79,11 +83,13 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_i
     metadata = _record("metadata", _record_id("metadata", F.col("key")), [*common, ("Content-Type", F.lit("application/warc-fields")), ("WARC-Concurrent-To", main)], about)
     rows = d.select(F.explode(F.array(request, response, metadata)).alias("value"))
     # A record ends in two line breaks: as the separator of a text file they make it an archive byte for byte.
-    rows.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    rows.write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> list[dict]:
-    """The records of an archive file, in order. A broken record ends the reading with an error."""
+    """The records of an archive file, compressed or not, in order. A broken record ends the reading with an error."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     out, at = [], 0
     while at < len(data):
         if data[at : at + 2] == b"\r\n":
