@@ -216,7 +216,7 @@ def _blocks(sets: Column, elements: Column) -> Column:
     return F.greatest(F.ceil(sets / F.lit(BLOCK_SETS)), F.ceil(elements / F.lit(BLOCK_ELEMENTS))).cast("long")
 
 
-def _links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
+def _links(texts: DataFrame, families: DataFrame, edges: DataFrame, n: int, percent: int) -> DataFrame:
     """All links between classes found so far, from texts (family, blocks, node, size, text) of families."""
     s = texts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     own = s.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "text")
@@ -227,23 +227,26 @@ def _links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataF
     everywhere = large.join(leading.select("node"), "node", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     everywhere = everywhere.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "text")
     found = _search(own.unionByName(everywhere), n, percent)
-    # Sets outside a large family's largest class ask all its blocks; so every pair of classes has met.
+    # Blocks of a large family have not all met. Sets that share a signature share its hub: in each hub's group the
+    # sets outside its largest class ask all of the group, so every pair of classes that could link has met.
     so_far = components(found)
-    part = large.join(so_far, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    sizes = stored(part.groupBy("family", "class").agg(F.count("*").alias("size")), "ngram-classes")
-    largest = sizes.groupBy("family").agg(F.max(F.struct("size", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    open_ = part.join(largest.select("family", F.col("top.class").alias("top")), "family")
-    outside = F.col("class") != F.col("top")
-    if open_.where(outside).isEmpty():
-        return found
-    n_out = open_.where(outside).groupBy("family").agg(_blocks(F.count("*"), F.sum("size")).alias("askers"))
-    open_ = open_.join(n_out, "family")
+    wide = families.where("blocks > 1").select("node", "size")
+    group = edges.select("hub", "node").unionByName(edges.select("hub", F.col("hub").alias("node")).distinct()).join(wide, "node")
+    group = stored(group.join(so_far, "node", "left").select("hub", "node", "size", F.coalesce("component", "node").alias("class")), "ngram-groups")
+    sizes = group.groupBy("hub", "class").agg(F.count("*").alias("sets"))
+    largest = sizes.groupBy("hub").agg(F.max(F.struct("sets", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    outside = F.col("class") != F.col("top.class")
+    open_ = group.join(largest.select("hub", "top"), "hub").withColumn("outside", outside)
+    asked = F.col("outside")
+    counts = open_.groupBy("hub").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"), _blocks(F.count_if(asked), F.sum(F.when(asked, F.col("size")))).alias("askers"))
+    open_ = stored(open_.join(counts, "hub"), "ngram-open")
     pair = F.col("asker") * F.col("blocks") + F.col("answerer")
-    span = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    asking = open_.where(outside).withColumn("asker", F.pmod(F.xxhash64("node", F.lit(1)), F.col("askers"))).withColumn("answerer", F.explode(span("blocks")))
-    answering = open_.withColumn("answerer", F.col("block")).withColumn("asker", F.explode(span("askers")))
-    both = [d.select("family", pair.alias("block"), "node", "class", F.lit(asks).alias("asks"), F.lit(not asks).alias("answers"), "text") for d, asks in ((asking, True), (answering, False))]
-    return found.unionByName(_search(both[0].unionByName(both[1]), n, percent))
+    span = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    asking = open_.where("outside").withColumn("asker", F.pmod(F.xxhash64("node", F.lit(1)), F.col("askers"))).withColumn("answerer", F.explode(span("blocks")))
+    answering = open_.withColumn("answerer", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("asker", F.explode(span("askers")))
+    both = [d.select(F.col("hub").alias("family"), pair.alias("block"), "node", "class", F.lit(asks).alias("asks"), F.lit(not asks).alias("answers")) for d, asks in ((asking, True), (answering, False))]
+    rows = both[0].unionByName(both[1]).groupBy("family", "block", "node", "class").agg(F.max("asks").alias("asks"), F.max("answers").alias("answers"))
+    return found.unionByName(_search(rows.join(texts.select("node", "text"), "node"), n, percent))
 
 
 def _routes(signed: DataFrame) -> DataFrame:
@@ -290,12 +293,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
     family = family.join(smallest.groupBy("node").agg(F.sum("size").alias("size")), "node")
     total = family.groupBy("family").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"))
     families = stored(family.join(total, "family").join(weight, "node"), "ngram-families")
-    discard(member, edges)
+    discard(member)
     texts = stored(d.withColumnRenamed("id", "node").join(families.select("node", "family", "blocks", "size"), "node").select("family", "blocks", "node", "size", binary), "ngram-texts")
     release(docs.sparkSession)
-    links = stored(_links(texts, families, n, percent), "ngram-all-links")
+    links = stored(_links(texts, families, edges, n, percent), "ngram-all-links")
     found = components(links)
-    discard(texts, families, links)
+    discard(texts, families, edges, links)
     out = measured.join(smallest, equal, "left").join(found, "node", "left")
     component = F.when(F.col("size") == 0, F.col("id")).otherwise(F.coalesce("component", "node"))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
