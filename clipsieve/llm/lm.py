@@ -37,8 +37,11 @@ PIECE_PRIOR = 0.5
 PACKED = "block long, bucket long, words binary, counts binary"
 
 
-def count_blocks(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Rows (block, text, train) to rows (block, bucket, words, training counts of these)."""
+def count_blocks(batches: Iterable[pa.RecordBatch], buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, text, train) to rows (block, bucket, words, training counts of these).
+
+    After more than most bytes of text all open blocks are sent: a block may come in several parts.
+    """
     held: dict[int, Counter] = {}
     size = 0
 
@@ -65,7 +68,7 @@ def count_blocks(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa
                 for w in words:
                     counter[w] += 0
             size += len(text)
-        if size > 4 * BLOCK_BYTES:
+        if size > most:
             yield from flush()
             size = 0
     yield from flush()
@@ -156,7 +159,8 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY, id_col:
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
     d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long")))
-    packed = stored(d.select("block", "text", "train").repartition(min(blocks, 4096), "block").mapInArrow(lambda b: count_blocks(b, buckets), PACKED), "lm-counts")
+    most = 4 * BLOCK_BYTES
+    packed = stored(d.select("block", "text", "train").repartition(min(blocks, 4096), "block").mapInArrow(lambda b: count_blocks(b, buckets, most), PACKED), "lm-counts")
     release(spark)
     counts, n, v = piece_counts(packed, model)
     release(spark)
@@ -174,10 +178,11 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY, id_col:
         return pa.table({"block": group["block"], "words": group["words"], "sums": pa.array(sums, pa.binary()), "logs": pa.array(logs, pa.binary())})
 
     def read(key: tuple, own: pa.Table, known: pa.Table) -> pa.Table:
-        at, sums, logs = {}, [], []
+        # A block counted in parts has several rows per bucket, and a word that lies in more than one has equal values there.
+        at, sums, logs, n_read = {}, [], [], 0
         for ws, cs, ps in zip(*(known[c].to_pylist() for c in ("words", "sums", "logs")), strict=True):
-            for w in ws.split(b" "):
-                at[w] = len(at)
+            for n_read, w in enumerate(ws.split(b" "), n_read + 1):
+                at[w] = n_read - 1
             sums.append(np.frombuffer(cs, np.int64))
             logs.append(np.frombuffer(ps, np.float32))
         c = np.concatenate(sums) if sums else np.zeros(0, np.int64)

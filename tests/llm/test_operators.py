@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipsieve.llm import classifier, decontam, lm, mixing, ngram_join, quality_rules, substring, toxicity, url_filter, warc
+from clipsieve.llm.common import small_batches
 from clipsieve.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, th string, size int, node string"
@@ -282,6 +283,23 @@ def test_base_score(docs, rows, none, monkeypatch):
     assert lm.held_out_score(none).isEmpty()
 
 
+def test_block_counted_in_parts(spark, monkeypatch):
+    # Rows of one id lie in one block, which is sent in parts.
+    rows = [(1, f"common text {'zyxwvut'[k % 7]}{k} again {'qrs'[k % 3]}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    whole = lm.score(docs, F.lit(True)).collect()
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 100)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 300)
+    monkeypatch.setattr(lm, "small_batches", lambda s: small_batches(s, 5))
+    got = lm.score(docs, F.lit(True)).collect()
+    assert len(got) == 40 and all(r["n_known"] == r["n_tokens"] == 6 for r in got)
+    counts = Counter(w for _, t in rows for w in [*t.split(), "\n"])
+    total, kinds = sum(counts.values()), len(counts)
+    base = sorted(sum(math.log10((counts[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in [*t.split(), "\n"]) for _, t in rows)
+    assert sorted(r["base_score"] for r in got) == pytest.approx(base)
+    assert sorted(r["score"] for r in got) == pytest.approx(sorted(r["score"] for r in whole))
+
+
 def test_lattice_sums_all_segmentations():
     with open(lm.VOCABULARY, "rb") as f:
         model = f.read()
