@@ -3,13 +3,14 @@
 Numbers, names and units of a text become typed placeholders. Windows of the resulting template are hash-joined
 with the benchmark's, so a question with other numbers or names still meets its original. A run of matching
 windows counts if its slots are consistent: equal values of the item stand for equal values of the document.
+Copies in other case meet in a caseless template, where names stay plain words.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterable
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,21 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours hour min
 
 PLAIN, NUMBER, UNIT, CAPITAL, NOTHING = range(5)
 NAME = CAPITAL
+#: Forms of a template: names by their capitals; no names, case ignored.
+CASED, CASELESS = range(2)
+FORMS = (CASED, CASELESS)
 _EDGE = b"\"'`.,;:?!()[]{}<>#*$%&|-_/\\=+~^"
 _DIGIT = re.compile(rb"[0-9]")
 _units = frozenset(u.encode() for u in UNITS)
+_SALT = np.array([0, 0x8EBC6AF09C88C6E3], np.uint64)
 _KEYS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0], np.uint64)
 
 
+def folded(word: bytes) -> bytes:
+    """Without marks at its edges, in Unicode's case folding."""
+    return word.strip(_EDGE).decode("utf-8", "replace").casefold().encode()
+
+
 class Words(dict):
     """Each word's row in arrays: hash of its plain form, its kind, and whether a sentence ends with it."""
 
@@ -48,7 +58,7 @@ class Words(dict):
         if i >= len(self.hash):
             self.hash, self.kind, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.kind, self.ends))
         plain = word.strip(_EDGE)
-        low = plain.lower()
+        low, text = folded(word), plain.decode("utf-8", "replace")
         self.ends[i] = word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":")
         if not plain:
             self.kind[i] = NOTHING
@@ -56,7 +66,7 @@ class Words(dict):
             self.kind[i] = NUMBER
         elif low in _units:
             self.kind[i] = UNIT
-        elif plain[:1].isupper() and not plain.isupper():
+        elif text[:1].isupper() and not text.isupper():
             self.kind[i] = CAPITAL
         self.hash[i] = xxhash.xxh3_64_intdigest(low)
         return i
@@ -71,38 +81,49 @@ _words = Words()
 
 
 class Template:
-    """A text's template: tokens (hashes), their kinds, and the first and last word of each."""
+    """A text's template in a form: tokens (hashes), their kinds, and the first and last word of each."""
 
     def __init__(self, text: bytes) -> None:
         _words.bound()
-        self.words, starts = [], []
+        self.form, self.words, starts = CASED, [], []
         for line in text.split(b"\n"):
             starts.append(len(self.words))
             self.words += line.split()
         n = len(self.words)
         at = np.fromiter(map(_words.__getitem__, self.words), np.int64, n)
-        kind, first = _words.kind[at], np.zeros(n + 1, bool)
+        self.word_kind, self.word_hash, first = _words.kind[at], _words.hash[at], np.zeros(n + 1, bool)
         first[1:] = np.append(_words.ends[at], False)[:n] if n else []
         first[np.array(starts)] = True
+        self.first = first[:n]
+        self._fill()
+
+    def to(self, form: int) -> Template:
+        """The same text in another form."""
+        out = copy(self)
+        out.form = form
+        out._fill()
+        return out
+
+    def _fill(self) -> None:
+        kind, n = self.word_kind, len(self.words)
         # A capital at the start of a sentence is no name.
-        kind = np.where((kind == CAPITAL) & first[:n], PLAIN, kind)
-        token = np.where(kind == PLAIN, _words.hash[at], _KEYS[kind])
+        kind = np.where((kind == CAPITAL) & (self.first if self.form == CASED else True), PLAIN, kind)
+        token = np.where(kind == PLAIN, self.word_hash, _KEYS[kind])
         keep = kind != NOTHING
         name = (kind == NAME) & keep
         # Names side by side are one.
         keep[1:] &= ~(name[1:] & name[:-1])
         place = np.flatnonzero(keep)
         self.tokens, self.kinds, self.place = mix(token[place]), kind[place], place
-        end = np.append(place[1:], n)
-        self.end = end
+        self.end = np.append(place[1:], n)
 
     def slot(self, i: int) -> bytes:
         """The value in a placeholder, compared without case or marks at its edges."""
-        return b" ".join(w.strip(_EDGE).lower() for w in self.words[self.place[i] : self.end[i] if self.kinds[i] == NAME else self.place[i] + 1])
+        return b" ".join(folded(w) for w in self.words[self.place[i] : self.end[i] if self.kinds[i] == NAME else self.place[i] + 1])
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and places of the windows that have enough plain words."""
-        h = grams(self.tokens, size)
+        h = grams(self.tokens, size) ^ _SALT[self.form]
         if not len(h):
             return h, np.empty(0, np.int64)
         plain = np.concatenate([[0], np.cumsum(self.kinds == PLAIN)])
@@ -110,40 +131,62 @@ class Template:
         return h[ok], ok
 
 
+def item_windows(text: bytes) -> list[tuple[Template, int, np.ndarray, np.ndarray]]:
+    """(template, window size, hashes, places) for each form in which an item is looked for."""
+    cased, out = Template(text), []
+    for form in FORMS:
+        t = cased if form == CASED else cased.to(form)
+        size = min(WINDOW, len(t.tokens))
+        if size >= MIN_ITEM_TOKENS:
+            out.append((t, size, *t.windows(size)))
+    return out
+
+
 class Benchmark:
-    """Templates of the items and the places of their windows, by window size."""
+    """Templates of the items and the places of their windows, by form and window size."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.items = [(i, Template((t or "").encode())) for i, t in items]
-        at: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        self.total = [0] * len(self.items)
-        for k, (_, t) in enumerate(self.items):
-            size = min(WINDOW, len(t.tokens))
-            if size < MIN_ITEM_TOKENS:
-                continue
-            for h, p in zip(*(x.tolist() for x in t.windows(size)), strict=True):
-                at[size][h].append((k, p))
-                self.total[k] += 1
-        self.at = {s: dict(d) for s, d in at.items()}
+        self.ids = [i for i, _ in items]
+        at: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.items: dict[tuple[int, int], Template] = {}
+        self.total: dict[tuple[int, int], int] = {}
+        for k, (_, text) in enumerate(items):
+            for t, size, hashes, places in item_windows((text or "").encode()):
+                self.items[t.form, k], self.total[t.form, k] = t, len(hashes)
+                for h, p in zip(hashes.tolist(), places.tolist(), strict=True):
+                    at[t.form, size][h].append((k, p))
+        self.at = {s: dict(at[s]) for s in sorted(at)}
         self.known = {s: np.sort(np.fromiter(d, np.uint64, len(d))) for s, d in self.at.items()}
 
     def matches(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item id, windows that match, windows of the item, changed slots) of each item found in a text."""
-        doc, runs = Template(text), defaultdict(list)
-        for size, known in self.known.items():
-            h, places = doc.windows(size)
-            near = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            for j in np.flatnonzero(known[near] == h).tolist():
-                for k, p in self.at[size][int(h[j])]:
-                    q = int(places[j])
-                    if np.array_equal(doc.tokens[q : q + size], self.items[k][1].tokens[p : p + size]):
-                        runs[k, q - p].append((q, p, size))
+        cased = doc = Template(text)
         best: dict[int, tuple[int, int, int, int]] = {}
-        for (k, _), run in runs.items():
-            changed = self._changed(doc, self.items[k][1], run)
-            if changed is not None:
-                hit = (self.items[k][0], len({p for _, p, _ in run}), self.total[k], changed)
-                best[k] = max(best.get(k, hit), hit, key=lambda x: (x[1], -x[3]))
+        refused: dict[int, list[tuple[int, int]]] = defaultdict(list)  # words of inconsistent runs count in no other form
+        for form in FORMS:
+            runs: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+            for size in [s for f, s in self.known if f == form]:
+                known = self.known[form, size]
+                doc = doc if doc.form == form else cased.to(form)
+                h, places = doc.windows(size)
+                near = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                for j in np.flatnonzero(known[near] == h).tolist():
+                    for k, p in self.at[form, size][int(h[j])]:
+                        q = int(places[j])
+                        if np.array_equal(doc.tokens[q : q + size], self.items[form, k].tokens[p : p + size]):
+                            begin, end = int(doc.place[q]), int(doc.end[q + size - 1])
+                            if not any(a < end and begin < b for a, b in refused.get(k, ())):
+                                runs[k, q - p].append((q, p, size))
+            late = []
+            for (k, _), run in runs.items():
+                changed = self._changed(doc, self.items[form, k], run)
+                if changed is None:
+                    late.append((k, (int(doc.place[run[0][0]]), int(doc.end[run[-1][0] + run[-1][2] - 1]))))
+                else:
+                    hit = (self.ids[k], len({p for _, p, _ in run}), self.total[form, k], changed)
+                    best[k] = max(best.get(k, hit), hit, key=lambda x: (x[1], -x[3]))
+            for k, span in late:
+                refused[k].append(span)
         return [best[k] for k in sorted(best)]
 
     @staticmethod
@@ -195,27 +238,33 @@ def _shuffled(d: DataFrame, items: DataFrame) -> DataFrame:
     """The same for a benchmark of any size: windows of both sides meet in a shuffled hash join, then each candidate
     pair is judged with both texts at hand."""
 
-    def windows(sizes: Iterable[int] | None):
+    def windows(wanted: list[tuple[int, int]] | None):
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, hashes = [], []
+            ids, hashes, kinds = [], [], []
             for i, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                t = Template(t)
-                for size in sizes or [min(WINDOW, len(t.tokens))]:
-                    if size >= MIN_ITEM_TOKENS:
-                        h = np.unique(t.windows(size)[0])
-                        hashes.append(h)
-                        ids.append(np.array([i] * len(h), np.int64))
+                if wanted is None:
+                    found = [(w[2], w[0].form * 16 + w[1]) for w in item_windows(t)]
+                else:
+                    cased = Template(t)
+                    of = {f: cased if f == CASED else cased.to(f) for f, _ in wanted}
+                    found = [(of[f].windows(size)[0], f * 16 + size) for f, size in wanted]
+                for h, kind in found:
+                    h = np.unique(h)
+                    hashes.append(h)
+                    ids.append(np.array([i] * len(h), np.int64))
+                    kinds.append(np.array([kind] * len(h), np.int64))
             e = [np.empty(0, np.int64)]
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids or e)), pa.array(long_array(np.concatenate(hashes or [np.empty(0, np.uint64)])))], ["id", "window"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids or e)), pa.array(long_array(np.concatenate(hashes or [np.empty(0, np.uint64)]))), pa.array(np.concatenate(kinds or e))], ["id", "window", "kind"])
 
         return each
 
     keyed = d.withColumn("key", F.xxhash64("id", "text"))
     numbered = stored(items.withColumn("key", F.xxhash64("item_id", "text")), "decontam-items")
-    schema = "id long, window long"
-    ours = map_arrow(numbered.select("key", F.col("text").cast("binary")), windows(None), schema).distinct().withColumnRenamed("id", "item_key")
-    theirs = map_arrow(keyed.select("key", "text"), windows(range(MIN_ITEM_TOKENS, WINDOW + 1)), schema)
-    pairs = theirs.join(ours, "window").select("id", "item_key").distinct()
+    schema = "id long, window long, kind long"
+    ours = stored(map_arrow(numbered.select("key", F.col("text").cast("binary")), windows(None), schema).distinct().withColumnRenamed("id", "item_key"), "decontam-windows")
+    wanted = sorted(divmod(r[0], 16) for r in ours.select("kind").distinct().collect())  # at most a row per form and size
+    theirs = map_arrow(keyed.select("key", "text"), windows(wanted), schema)
+    pairs = theirs.join(ours, ["kind", "window"]).select("id", "item_key").distinct()
     texts = pairs.join(keyed.withColumnRenamed("id", "doc").withColumnRenamed("text", "doc_text"), F.col("id") == F.col("key")).select("doc", "doc_text", "item_key")
     texts = texts.join(numbered, F.col("item_key") == F.col("key")).select("doc", "doc_text", "item_id", F.col("text").alias("item_text"))
 

@@ -223,6 +223,20 @@ def test_templates(spark):
         decontam.BROADCAST_WINDOWS = decontam_limit
 
 
+def found_in(item, *texts):
+    b = decontam.Benchmark([(1, item)])
+    return [bool(b.matches(t.encode())) for t in texts]
+
+
+def test_case_of_copies():
+    item = "Le marché où Élodie achète 5 pommes et où Tom vend 3 poires à côté du château est fermé"
+    renamed = item.replace("Élodie", "Ángela").replace("Tom", "Bob").replace("5", "8")
+    assert found_in(item, item.upper(), item.lower(), item.title(), renamed) == [True] * 4
+    # Inconsistent names are no match in any form.
+    item = "when Tom has five red apples and green pears then Tom sells all the sweet fruit to people who like apples"
+    assert found_in(item, item.replace("Tom", "Ann"), item.replace("Tom", "Ann", 1).replace("Tom", "Bob")) == [True, False]
+
+
 # mixing
 
 
