@@ -3,7 +3,8 @@
 Numbers, names and units of a text become typed placeholders. Windows of the resulting template are hash-joined
 with the benchmark's, so a question with other numbers or names still meets its original. A run of matching
 windows counts if its slots are consistent: equal values of the item stand for equal values of the document.
-Copies in other case meet in a caseless template, where names stay plain words.
+Copies in other case meet in a caseless template, where names stay plain words. What templates leave out for want of
+plain words is looked for word by word, and items of one window also with first words taken for names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from clipsieve.llm.common import grams, long_array, map_arrow, mix, stored
 
 WINDOW = 10
-#: Items of fewer template tokens match nothing; those of fewer than WINDOW match as a whole.
+#: Items of fewer template tokens are looked for word by word; those of fewer than WINDOW match as a whole.
 MIN_ITEM_TOKENS = 6
+#: Items of fewer words match nothing.
+MIN_ITEM_WORDS = 4
 #: Share of a window's tokens, in percent, that must be plain words: placeholders alone say nothing.
 MIN_PLAIN = 60
 #: Benchmark windows that are sent to every task; with more, documents' windows are joined by a shuffle.
@@ -32,13 +35,14 @@ UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours hour min
 
 PLAIN, NUMBER, UNIT, CAPITAL, NOTHING = range(5)
 NAME = CAPITAL
-#: Forms of a template: names by their capitals; no names, case ignored.
-CASED, CASELESS = range(2)
-FORMS = (CASED, CASELESS)
+#: Forms of a template: names by their capitals; no names, case ignored; capitals at the start of a sentence are names
+#: too; nothing is replaced.
+CASED, CASELESS, CAPITALS, EXACT = range(4)
+FORMS = (CASED, CASELESS, CAPITALS, EXACT)
 _EDGE = b"\"'`.,;:?!()[]{}<>#*$%&|-_/\\=+~^"
 _DIGIT = re.compile(rb"[0-9]")
 _units = frozenset(u.encode() for u in UNITS)
-_SALT = np.array([0, 0x8EBC6AF09C88C6E3], np.uint64)
+_SALT = np.array([0, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 _KEYS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0], np.uint64)
 
 
@@ -107,7 +111,10 @@ class Template:
     def _fill(self) -> None:
         kind, n = self.word_kind, len(self.words)
         # A capital at the start of a sentence is no name.
-        kind = np.where((kind == CAPITAL) & (self.first if self.form == CASED else True), PLAIN, kind)
+        if self.form == EXACT:
+            kind = np.where(kind == NOTHING, NOTHING, PLAIN)
+        elif self.form != CAPITALS:
+            kind = np.where((kind == CAPITAL) & (self.first if self.form == CASED else True), PLAIN, kind)
         token = np.where(kind == PLAIN, self.word_hash, _KEYS[kind])
         keep = kind != NOTHING
         name = (kind == NAME) & keep
@@ -133,12 +140,20 @@ class Template:
 
 def item_windows(text: bytes) -> list[tuple[Template, int, np.ndarray, np.ndarray]]:
     """(template, window size, hashes, places) for each form in which an item is looked for."""
-    cased, out = Template(text), []
+    cased, out, lost = Template(text), [], False
     for form in FORMS:
         t = cased if form == CASED else cased.to(form)
-        size = min(WINDOW, len(t.tokens))
-        if size >= MIN_ITEM_TOKENS:
-            out.append((t, size, *t.windows(size)))
+        n = len(t.tokens)
+        size = min(WINDOW, n)
+        if form == CAPITALS and len(cased.tokens) > WINDOW or form == EXACT and not lost:
+            continue
+        if size < (MIN_ITEM_WORDS if form == EXACT else MIN_ITEM_TOKENS):
+            lost = True
+            continue
+        hashes, places = t.windows(size)
+        lost |= len(hashes) < n - size + 1
+        if len(hashes):
+            out.append((t, size, hashes, places))
     return out
 
 

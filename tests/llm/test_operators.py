@@ -237,6 +237,29 @@ def test_case_of_copies():
     assert found_in(item, item.replace("Tom", "Ann"), item.replace("Tom", "Ann", 1).replace("Tom", "Bob")) == [True, False]
 
 
+def test_items_without_plain_windows(spark):
+    items = [
+        "3 + 4 = 7 , 8 + 9 = 17 , 20 + 30 = 50 , 41 + 52 = 93",  # numbers
+        "attended by Anna Schmidt, Bob Miller, Carla Gomez, Dan Brown, Eve Stone, Finn Wolf",  # names
+        "Who wrote this book?",  # four words
+        "Which river flows through seven old towns?",  # one window
+    ]
+    for item in items:
+        assert found_in(item, f"we ask again {item} and so on", item, "we ask for other things and so on") == [True, True, False]
+    # With another name, and the first word within a sentence.
+    assert found_in("Where does Tom keep green apples and pears?", "we ask Where does Ann keep green apples and pears?") == [True]
+    docs = spark.createDataFrame([(i, f"we ask again {t} and so on") for i, t in enumerate(items)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {(i, i) for i in range(len(items))}
+    limit = decontam.BROADCAST_WINDOWS
+    try:
+        for decontam.BROADCAST_WINDOWS in (limit, 0):
+            assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench).collect()} == want
+            assert decontam.clean(docs, bench).isEmpty()
+    finally:
+        decontam.BROADCAST_WINDOWS = limit
+
+
 # mixing
 
 
