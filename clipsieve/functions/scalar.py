@@ -34,6 +34,14 @@ def frame_name(prefix: str, idx: Column, fmt: str = "png") -> Column:
     return F.format_string(f"{prefix}_%06d.{fmt}", idx)
 
 
+def mask_name(frame: Column, obj: Column) -> Column:
+    return F.format_string("mask_f%06d_o%d.png", frame, obj)
+
+
+def edited_name(idx: Column) -> Column:
+    return F.format_string("%06d.png", idx)
+
+
 def working_size(width: Column, height: Column, most: int = 512) -> Column:
     """Width and height scaled so that neither exceeds most, truncated, then cut to multiples of 8."""
     ratio = F.greatest(width, height) / F.lit(most)
@@ -50,6 +58,63 @@ def cover_crop(width: Column, height: Column, to_width: int, to_height: int) ->
     return F.struct(w.alias("w"), h.alias("h"), half(w, to_width).alias("x"), half(h, to_height).alias("y"))
 
 
+def resolution(width: Column, height: Column) -> Column:
+    return F.concat(width.cast("string"), F.lit("x"), height.cast("string"))
+
+
+def area_percent(area: Column, pixels: int) -> Column:
+    """An area in percent of an image."""
+    return area / F.lit(pixels) * 100
+
+
+def to_mask_bit(value: Column, most: Column) -> Column:
+    """A mask value as a truth value: on a scale to 255 if the mask's largest value is above 1, else on one to 1."""
+    return F.when(most > 1, value / 255.0).otherwise(value.cast("double")) > 0.5
+
+
+def to_mask_byte(bit: Column) -> Column:
+    return F.when(bit, F.lit(255)).otherwise(F.lit(0))
+
+
+def grey_to_rgb(value: Column) -> Column:
+    return F.struct(*(value.alias(c) for c in "rgb"))
+
+
+def swap_red_blue(colour: Column) -> Column:
+    """A colour's struct with r and b exchanged; applied twice it is the same again."""
+    return F.struct(colour["b"].alias("r"), colour["g"].alias("g"), colour["r"].alias("b"))
+
+
+def backward_index(anchor: Column, reverse: Column) -> Column:
+    """Place in a video of a frame of the reversed pass that starts at the anchor."""
+    return anchor - reverse
+
+
+def workers(wanted: Column, jobs: Column) -> Column:
+    """Workers to start: as many as wanted, one at least, no more than jobs."""
+    return F.least(F.greatest(wanted, F.lit(1)), jobs)
+
+
+def threads_per_worker(cpus: Column, n_workers: Column) -> Column:
+    """An even share of the processors, two at least."""
+    return F.greatest(F.lit(2).cast("long"), F.floor(cpus / n_workers))
+
+
+def now_iso() -> Column:
+    """The time now as ISO text to the microsecond; another one in each query."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def fill_template(template: Column, name: str, value: Column) -> Column:
+    """A text with {name} replaced."""
+    return F.replace(template, F.lit("{" + name + "}"), value)
+
+
+def probed(count: Column) -> Column:
+    """A frame count that could not be read is 0."""
+    return F.coalesce(count, F.lit(0).cast("long"))
+
+
 def effective_dilation(px: Column, least: int = 4) -> Column:
     return F.greatest(px, F.lit(least))
 

@@ -7,11 +7,30 @@ from pyspark.sql import functions as F
 
 from clipsieve.functions.vocab import AUXILIARIES, PREPOSITIONS, QUANTITIES, Vocabulary
 
+# The patterns of the packed text.
 #: An item is "[type] question -> answer": Unicode classes, and . stops at \n only; the first arrow ends the question.
 ITEM = r"(?Ud)^\[(\w+)\]\s*(.+?)\s*->\s*(.+)"
 SEPARATOR = r" \|\|\| "
 
 
+#: Fixed value: the white space that is cut from both ends of a prompt.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(text: Column) -> Column:
+    """A text without white space at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def is_blank(text: Column) -> Column:
+    return stripped(text) == ""
+
+
+def prompt_list(text: Column) -> Column:
+    """The prompts of a comma-separated list; empty ones stay."""
+    return F.transform(F.split(text, ","), stripped)
+
+
 def items(packed: Column) -> Column:
     """The items of a packed string; empty ones stay."""
     return F.split(packed, SEPARATOR)

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from clipsieve.operators.masks import dilate, overlap_pairs
 
 
-def proximity_groups(masks: DataFrame, width: int, height: int, proximity: int) -> DataFrame:
-    """(frame, obj, group): objects whose masks, both grown by proximity, touch directly or through others.
+def proximity_pairs(masks: DataFrame, width: int, height: int, proximity: int) -> DataFrame:
+    """(frame, a, b) of objects a < b whose masks, both grown by proximity, touch: an equi-join on pixels."""
+    grown = dilate(masks, width, height, proximity, shape="ellipse") if proximity else masks
+    return overlap_pairs(grown).select("frame", "a", "b")
+
+
+def components_per_frame(objects: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(frame, obj, group): objects (frame, obj) that pairs (frame, a, b) join, directly or through others.
 
-    Groups are numbered from 1 by their smallest object. Pairs meet by an equi-join on pixels; the union-find runs per
-    frame over its few objects.
+    Groups are numbered from 1 by their smallest object. The union-find runs per frame over its few objects.
     """
-    grown = dilate(masks, width, height, proximity, shape="ellipse") if proximity else masks
-    pairs = overlap_pairs(grown).select("frame", "a", "b")
-    own = masks.select("frame", F.col("obj").alias("a")).distinct().withColumn("b", F.col("a"))
+    own = objects.select("frame", F.col("obj").alias("a")).distinct().withColumn("b", F.col("a"))
 
     def group(frame: pd.DataFrame) -> pd.DataFrame:
         parent = {o: o for o in frame["a"]}
@@ -35,10 +38,15 @@ def proximity_groups(masks: DataFrame, width: int, height: int, proximity: int)
         number = {r: i + 1 for i, r in enumerate(sorted(set(roots.values())))}
         return pd.DataFrame({"frame": frame["frame"].iloc[0], "obj": list(roots), "group": [number[r] for r in roots.values()]})
 
-    kind = dict(masks.dtypes)
+    kind = dict(objects.dtypes)
     return own.unionByName(pairs).groupBy("frame").applyInPandas(group, f"frame {kind['frame']}, obj {kind['obj']}, group int")
 
 
+def proximity_groups(masks: DataFrame, width: int, height: int, proximity: int) -> DataFrame:
+    """(frame, obj, group): objects whose masks, both grown by proximity, touch directly or through others."""
+    return components_per_frame(masks.select("frame", "obj"), proximity_pairs(masks, width, height, proximity))
+
+
 def group_union(masks: DataFrame, groups: DataFrame) -> DataFrame:
     """(frame, group, area): pixels in any member of a group."""
     return masks.join(groups, ["frame", "obj"]).select("frame", "group", "px").distinct().groupBy("frame", "group").agg(F.count("*").alias("area"))
@@ -76,4 +84,6 @@ def assign_groups(detections: DataFrame, start: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["video", "frame", "det", "group"])
 
     kind = dict(detections.dtypes)["video"]
+    # New names: both sides may come from one table, whose columns cogroup could not tell apart.
+    start = start.select("video", "group", "px").toDF("video", "group", "px")
     return detections.groupBy("video").cogroup(start.groupBy("video")).applyInPandas(fold, f"video {kind}, frame long, det long, group int")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,19 +29,34 @@ def uniform_subsample(videos: DataFrame, m: int) -> DataFrame:
 
 def fps_resample(videos: DataFrame, source: float, target: float) -> DataFrame:
     """(video, n) to the kept (video, frame_idx): a frame is kept when it reaches the next due time, which moves by
-    source / target. The additions are done one after the other, as doubles, so that rounding is the same."""
+    source / target. The additions are done one after the other, as doubles, so that rounding is the same; the due
+    times are the same for all videos, so each batch adds them up once, for its longest video."""
     if target <= 0:
         raise ValueError("target must be positive")
-    state = "struct<due:double,kept:array<bigint>>"
-    start = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<bigint>").alias("kept")).cast(state)
     interval = source / target
 
-    def step(s: Column, f: Column) -> Column:
-        hit = f >= s["due"]
-        return F.struct(F.when(hit, s["due"] + interval).otherwise(s["due"]).alias("due"), F.when(hit, F.array_append(s["kept"], f)).otherwise(s["kept"]).alias("kept")).cast(state)
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            longest = int(rows["n"].max())
+            if interval <= 1.0:
+                kept = np.arange(longest)  # at most one frame becomes due per frame, and each frame is due
+            else:
+                due = np.add.accumulate(np.concatenate([[0.0], np.full(int(longest / interval) + 2, interval)]))
+                kept = np.ceil(due).astype(np.int64)
+            yield rows[["video"]].assign(frames=[kept[: np.searchsorted(kept, n)] for n in rows["n"]])
+
+    kind = dict(videos.dtypes)["video"]
+    return videos.select("video", "n").mapInPandas(each, f"video {kind}, frames array<long>").select("video", F.explode("frames").alias("frame_idx"))
+
+
+def first_frames(frames: DataFrame, n: int | None) -> DataFrame:
+    """Frames before the n-th; all without n."""
+    return frames if n is None else frames.where(F.col("frame_idx") < n)
+
 
-    all_frames = F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))
-    return videos.select("video", F.explode(F.aggregate(all_frames, start, step)["kept"]).alias("frame_idx"))
+def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both sides' rows of the same (video, frame_idx); what only one side has goes."""
+    return left.join(right, ["video", "frame_idx"])
 
 
 def tracker_subsample(videos: DataFrame, cap: int) -> DataFrame:
@@ -46,10 +65,11 @@ def tracker_subsample(videos: DataFrame, cap: int) -> DataFrame:
     return videos.select("video", F.posexplode(at).alias("pos", "frame_idx"))
 
 
-def anchor_frame(detections: DataFrame, stride: int = 5, sure: float = 0.9, least: float = 0.3) -> DataFrame:
+def anchor_frame(detections: DataFrame, stride: int = 5, sure: float = 0.9, least: float = 0.3, last: str | None = None) -> DataFrame:
     """(video, frame_idx, score) to (video, anchor_idx, anchor_score, found): of every stride-th frame and the last the
-    first with a sure score, else the best; found is false below least."""
-    last = F.max("frame_idx").over(Window.partitionBy("video"))
+    first with a sure score, else the best; found is false below least. last names a column with the number of frames;
+    without it the last frame with a score is taken for the last."""
+    last = F.max("frame_idx").over(Window.partitionBy("video")) if last is None else F.col(last) - 1
     c = detections.withColumn("last", last).where((F.col("frame_idx") % stride == 0) | (F.col("frame_idx") == F.col("last")))
     is_sure = F.col("score") >= sure
     w = Window.partitionBy("video").orderBy(F.desc(is_sure), F.when(is_sure, F.col("frame_idx")), F.desc("score"), "frame_idx")

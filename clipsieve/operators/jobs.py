@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clipsieve.functions.scalar import stem
+from clipsieve.functions.text import is_blank
+
 STATUS = "video_id string, prompt_word string, input_video_path string, output_video_path string, duration_seconds double, frame_reduction_applied boolean, status string, error_message string"
 
 
 def index_last_wins(paths: DataFrame, suffix: str = ".mp4") -> DataFrame:
     """(path) to (video_id, path): stems of files with the suffix; of equal stems the greatest path wins."""
-    stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), "\\.[^.]*$", "")
-    return paths.where(F.col("path").endswith(suffix)).select(stem.alias("video_id"), "path").groupBy("video_id").agg(F.max("path").alias("path"))
+    return paths.where(F.col("path").endswith(suffix)).select(stem(F.col("path")).alias("video_id"), "path").groupBy("video_id").agg(F.max("path").alias("path"))
 
 
 def classify(data: DataFrame, index: DataFrame, done: DataFrame) -> DataFrame:
     """Each (id, prompt_word) with status and error_message; status null marks a job to run. The order of tests is part of the result."""
     d = data.withColumn("video_id", F.col("id").cast("string"))
     joined = d.join(index, "video_id", "left").join(done.select("video_id", F.lit(True).alias("is_done")).distinct(), "video_id", "left")
-    empty = F.col("prompt_word").isNull() | (F.trim("prompt_word") == "")
+    empty = F.col("prompt_word").isNull() | is_blank(F.col("prompt_word"))
     as_state = lambda status, message: F.struct(F.lit(status).alias("status"), F.lit(message).alias("error_message"))
     state = F.when(empty, as_state("skipped", "null or empty prompt"))
     state = state.when(F.col("path").isNull(), as_state("failed", "video file not found"))
@@ -27,9 +29,40 @@ def classify(data: DataFrame, index: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def longest_first(jobs: DataFrame) -> DataFrame:
-    """Jobs (video_id, frame_count, input_pos) with their place in the queue. One order of all jobs: for a table of jobs, not of frames."""
-    w = Window.orderBy(F.desc("frame_count"), "input_pos")
-    return jobs.withColumn("queue_pos", F.row_number().over(w) - 1)
+    """Jobs (video_id, frame_count, input_pos) with their place in the queue."""
+    return ordinal(jobs, "queue_pos", "frame_count", "input_pos", descending=True)
+
+
+def ordinal(df: DataFrame, name: str, lead: str, *rest: str, descending: bool = False, ranges: int = 256) -> DataFrame:
+    """df with each row's place from 0 in an order by a numeric column and then others, which no single task sees.
+
+    Percentiles of the first column, numbers of which the driver gets as many as there are ranges, cut it into ranges.
+    A range's rows are numbered by themselves; the ranges before add their sizes, a row each. Null comes last.
+    """
+    bounds = df.agg(F.percentile_approx(lead, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
+    key = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col(lead))) if bounds else F.lit(0)
+    key = F.when(F.col(lead).isNull(), F.lit(ranges)).otherwise(F.lit(-1) * key if descending else key)
+    dealt = df.withColumn("_range", key)
+    before = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = before.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
+    own = Window.partitionBy("_range").orderBy(F.desc_nulls_last(lead) if descending else F.asc_nulls_last(lead), *rest)
+    placed = dealt.withColumn("_own", F.row_number().over(own)).join(F.broadcast(before), "_range")
+    return placed.select(*df.columns, (F.col("_own") - 1 + F.col("_before")).cast("long").alias(name))
+
+
+def first_rows(df: DataFrame, n: int, position: str = "input_pos") -> DataFrame:
+    """The first n rows by a column that counts them from 0; all for n <= 0."""
+    return df.where(F.col(position) < n) if n > 0 else df
+
+
+def examples(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order: a report, for which Spark keeps n rows per task."""
+    return df.orderBy(*order).limit(n)
+
+
+def per_worker(jobs: DataFrame, worker: str = "worker", position: str = "queue_pos") -> DataFrame:
+    """Jobs with their ordinal from 1 at their worker."""
+    return jobs.withColumn("ordinal", F.row_number().over(Window.partitionBy(worker).orderBy(position)))
 
 
 def frame_reduction(videos: DataFrame, max_duration: float = 60.0) -> DataFrame:
@@ -61,3 +94,21 @@ def unprocessed(jobs: DataFrame, results: DataFrame) -> DataFrame:
 def required_missing(required: DataFrame, present: DataFrame) -> DataFrame:
     """Names (name) that are required but not present."""
     return required.join(present, "name", "left_anti")
+
+
+def availability(required: DataFrame, present: DataFrame) -> DataFrame:
+    """(available, message): whether all required names are present, and which are not, in order of their names."""
+    missing = required_missing(required, present).agg(F.sort_array(F.collect_list("name")).alias("missing"))
+    message = F.when(F.size("missing") == 0, "available").otherwise(F.concat(F.lit("missing: "), F.array_join("missing", ", ")))
+    return missing.select((F.size("missing") == 0).alias("available"), message.alias("message"))
+
+
+def passed(results: DataFrame) -> DataFrame:
+    """(total, passed) of rows with an error column, null for those that went well."""
+    return results.agg(F.count("*").alias("total"), F.count_if(F.col("error").isNull()).alias("passed"))
+
+
+def preferred_file(files: DataFrame, keys: tuple[str, ...], name: str = "edited.mp4") -> DataFrame:
+    """(keys, path): of a key's files (path, modificationTime) that of the name, else the latest, the greatest of equal ones."""
+    own = F.col("path").endswith(f"/{name}")
+    return files.groupBy(*keys).agg(F.max_by("path", F.struct(own, "modificationTime", "path")).alias("path"))

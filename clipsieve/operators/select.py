@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsieve.functions import text
+from clipsieve.functions.scalar import python_round2
 from clipsieve.functions.vocab import Vocabulary
 
 CLUSTER = ["video", "singular", "desc_key"]
@@ -90,9 +91,18 @@ def prompt_select(grouped: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame
     return out.select("video", "prompt_word", "subject_question_count", "total_questions", "score")
 
 
-def noun_distribution(selected: DataFrame, v: Vocabulary = Vocabulary(), n: int = 15) -> DataFrame:
-    """(noun, n): the commonest first vocabulary word of the prompts, in singular; ties by name."""
+def coverage(selected: DataFrame) -> DataFrame:
+    """(video, subject_question_count, total_questions, coverage, coverage_2): the share of items that ask for the target,
+    and the same to two places as Python rounds."""
+    share = F.col("subject_question_count") / F.col("total_questions")
+    return selected.where("prompt_word IS NOT NULL").select("video", "subject_question_count", "total_questions", share.alias("coverage"), python_round2(share).alias("coverage_2"))
+
+
+def noun_distribution(selected: DataFrame, v: Vocabulary = Vocabulary(), n: int = 15, position: str = "video") -> DataFrame:
+    """(noun, n): the commonest first vocabulary word of the prompts, in singular; of equal ones that of the first row
+    by position comes first."""
     word = F.get(F.filter(F.split("prompt_word", " "), lambda w: w.isin(*v.entities)), F.lit(0))
     plural = F.create_map(*[F.lit(x) for pair in v.plurals.items() for x in pair])
     noun = F.coalesce(F.try_element_at(plural, word), word)
-    return selected.where("prompt_word IS NOT NULL").select(noun.alias("noun")).where("noun IS NOT NULL").groupBy("noun").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "noun").limit(n)
+    nouns = selected.where("prompt_word IS NOT NULL").select(noun.alias("noun"), F.col(position).alias("at")).where("noun IS NOT NULL")
+    return nouns.groupBy("noun").agg(F.count("*").alias("n"), F.min("at").alias("at")).orderBy(F.desc("n"), "at").limit(n).select("noun", "n")

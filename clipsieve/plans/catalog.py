@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsieve.functions import scalar, text
-from clipsieve.operators import cluster, frames, jobs, masks, render, select
+from clipsieve.operators import batch, cluster, frames, inpaint, jobs, masks, render, segment, select
 from clipsieve.plans import fixtures as fx
 from clipsieve.sources import writers
 
@@ -70,8 +70,7 @@ def noun_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    p = prompt_select(spark, d).where("prompt_word IS NOT NULL")
-    return p.select("video", "subject_question_count", "total_questions", (F.col("subject_question_count") / F.col("total_questions")).alias("coverage"))
+    return select.coverage(prompt_select(spark, d)).drop("coverage_2")
 
 
 def prompt_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -155,9 +154,15 @@ def fwd_bwd_merge(spark: SparkSession, d: str) -> DataFrame:
     return frames.merge_directions(side(1), side(3))
 
 
+def _hours(spark: SparkSession, d: str) -> DataFrame:
+    """(frame) of all hours up to the last with a mask."""
+    last = fx.masks(spark, d, "hour").agg(F.max("frame").alias("last"))
+    return last.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("frame"))
+
+
 def spine_fill(spark: SparkSession, d: str) -> DataFrame:
     a = _areas(spark, d, "hour").where("obj = 5").select(F.col("frame").alias("frame_idx"), "area")
-    return frames.spine_fill(spark.range(720).select(F.col("id").alias("frame_idx")), a)
+    return frames.spine_fill(_hours(spark, d).withColumnRenamed("frame", "frame_idx"), a)
 
 
 def track_counters(spark: SparkSession, d: str) -> DataFrame:
@@ -185,28 +190,35 @@ def mask_union_bitmap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mean_mask_area(spark: SparkSession, d: str) -> DataFrame:
-    return masks.mean_area(fx.masks(spark, d), fx.WIDTH * fx.HEIGHT, 30)
+    m = fx.masks(spark, d)
+    n = m.agg((F.max("frame") + 1).alias("n"))
+    total = masks.areas(m).agg(F.sum("area").alias("total_area")).join(F.broadcast(n))  # a row each
+    return total.select("total_area", (F.col("total_area") / (F.lit(fx.WIDTH * fx.HEIGHT) * F.col("n"))).alias("mean_area_frac"))
 
 
 def mask_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(masks.overlap_pairs(fx.masks(spark, d)), "a", "b")
 
 
-def _one(spark: SparkSession, d: str) -> DataFrame:
-    return fx.masks(spark, d, "hour").where("obj = 1").drop("obj")
+def mask_dilate(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(masks.dilate(fx.masks(spark, d, "hour"), fx.WIDTH, fx.HEIGHT, 1), "obj")
+
 
+def mask_dilate_ellipse(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(masks.dilate(fx.masks(spark, d, "hour"), fx.WIDTH, fx.HEIGHT, 3, shape="ellipse"), "obj")
 
-def mask_dilate(spark: SparkSession, d: str) -> DataFrame:
-    return masks.dilate(_one(spark, d), fx.WIDTH, fx.HEIGHT, 1, ("frame",))
+
+def _five_days(spark: SparkSession, d: str) -> DataFrame:
+    """(frame, obj, px) with the masks of five days in one, so that there is something left to erode."""
+    return fx.masks(spark, d).select(F.floor(F.col("frame") / 5).cast("long").alias("frame"), F.lit(1).alias("obj"), "px").distinct()
 
 
 def mask_erode(spark: SparkSession, d: str) -> DataFrame:
-    whole = fx.masks(spark, d).drop("obj").distinct()
-    return masks.erode(whole, fx.WIDTH, fx.HEIGHT, 1, ("frame",))
+    return masks.erode(_five_days(spark, d), fx.WIDTH, fx.HEIGHT, 1, ("frame",))
 
 
 def mask_preprocess(spark: SparkSession, d: str) -> DataFrame:
-    m = masks.preprocess(fx.masks(spark, d).drop("obj").withColumn("obj", F.lit(1)).distinct(), fx.WIDTH, fx.HEIGHT, 1, 2)
+    m = masks.preprocess(_five_days(spark, d), fx.WIDTH, fx.HEIGHT, 1, 2)
     return m.groupBy("frame").agg(F.count("*").alias("area"), F.sum("px").alias("px_sum"))
 
 
@@ -259,17 +271,18 @@ def object_color(spark: SparkSession, d: str) -> DataFrame:
     return c.select("object_id", *(F.col(f"c.{k}").cast("long").alias(k) for k in "rgb"))
 
 
-def _pixels(spark: SparkSession) -> DataFrame:
-    p = spark.range(30 * fx.WIDTH * fx.HEIGHT).select((F.col("id") / 150).cast("long").alias("frame"), (F.col("id") % 150).alias("px"))
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    days = fx.masks(spark, d).agg(F.max("frame").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("frame"))
+    p = days.withColumn("px", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fx.WIDTH * fx.HEIGHT - 1).cast("long"))))
     return p.select("frame", "px", *(((F.col("px") * k + F.col("frame")) % 256).cast("int").alias(c) for k, c in ((7, "r"), (11, "g"), (13, "b"))))
 
 
 def overlay_blend(spark: SparkSession, d: str) -> DataFrame:
-    return _as_long(render.overlay(_pixels(spark), fx.masks(spark, d)), "r", "g", "b")
+    return _as_long(render.overlay(_pixels(spark, d), fx.masks(spark, d)), "r", "g", "b")
 
 
 def frames_with_masks(spark: SparkSession, d: str) -> DataFrame:
-    return render.with_masks(spark.range(720).select(F.col("id").alias("frame")), fx.masks(spark, d, "hour"))
+    return render.with_masks(_hours(spark, d), fx.masks(spark, d, "hour"))
 
 
 def video_id(spark: SparkSession, d: str) -> DataFrame:
@@ -303,20 +316,152 @@ def required_missing(spark: SparkSession, d: str) -> DataFrame:
 
 def prompt_list(spark: SparkSession, d: str) -> DataFrame:
     s = F.concat_ws(" , ", "p_name", F.when(F.col("p_size") % 2 == 0, F.col("p_brand")), F.when(F.col("p_size") % 5 == 0, F.lit("")))
-    p = fx.table(spark, d, "part").select("p_partkey", F.posexplode(F.transform(F.split(s, ","), lambda x: F.trim(x))).alias("pos", "prompt"))
+    p = fx.table(spark, d, "part").select("p_partkey", F.posexplode(text.prompt_list(s)).alias("pos", "prompt"))
     return p.withColumn("pos", F.col("pos").cast("long"))
 
 
 def saved_subset(spark: SparkSession, d: str) -> DataFrame:
-    m = fx.masks(spark, d)
-    return m.where("frame < 12").groupBy("obj").agg(F.count("*").alias("pixels"), F.count_distinct("frame").alias("frames")).withColumn("obj", F.col("obj").cast("long"))
+    saved = fx.masks(spark, d).withColumn("video", F.lit(0))
+    header = saved.groupBy("video").agg((F.max("frame") + 1).alias("n_frames"))
+    m, _ = segment.reuse_masks(saved, header, header.select("video", F.least(F.col("n_frames"), F.lit(12)).alias("n")))
+    return m.groupBy("obj").agg(F.count("*").alias("pixels"), F.count_distinct("frame").alias("frames")).withColumn("obj", F.col("obj").cast("long"))
 
 
 def latest_file(spark: SparkSession, d: str) -> DataFrame:
     e = fx.table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    r = e.select("user_id", "event_id", F.row_number().over(w).alias("r"))
-    return r.where("r = 1").select("user_id", "event_id")
+    name = F.when(F.col("event_id") % 50 == 0, F.lit("edited.mp4")).otherwise(F.concat(F.col("event_id").cast("string"), F.lit(".mp4")))
+    path = F.concat(F.lit("/v/"), F.col("event_type"), F.lit("/"), name)
+    return jobs.preferred_file(e.select("user_id", path.alias("path"), F.col("ts").alias("modificationTime")), ("user_id",))
+
+
+def _mask_sums(m: DataFrame) -> DataFrame:
+    return _as_long(m.groupBy("video", "frame", "obj").agg(F.count("*").alias("area"), F.sum("px").alias("px_sum")), "obj")
+
+
+def _segmented(spark: SparkSession, d: str, **how) -> tuple[DataFrame, DataFrame]:
+    return segment.segment_video(fx.detections(spark, d), fx.detected_videos(spark, d), fx.WIDTH, fx.HEIGHT, proximity=1, **how)
+
+
+def segment_one(spark: SparkSession, d: str) -> DataFrame:
+    return _mask_sums(_segmented(spark, d)[0])
+
+
+def segment_one_header(spark: SparkSession, d: str) -> DataFrame:
+    h = _segmented(spark, d)[1]
+    return _as_long(h.select("video", "selected", "n_frames", "total_area", "mean_area_frac", "error"), "selected")
+
+
+def segment_many(spark: SparkSession, d: str) -> DataFrame:
+    return _mask_sums(_segmented(spark, d, multi_object=True)[0])
+
+
+def segment_many_header(spark: SparkSession, d: str) -> DataFrame:
+    return _segmented(spark, d, multi_object=True)[1].select("video", "total_area", "merge_info", "error")
+
+
+PROMPTS = ["cup", "dog", "hat", "kite", "rope"]
+
+
+def _prompted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    det = fx.detections(spark, d).select("video", F.col("det").alias("prompt"), "frame", (F.col("px") % 2).alias("det"), "score", "px")
+    return segment.segment_prompts(det, fx.detected_videos(spark, d), PROMPTS, fx.WIDTH, fx.HEIGHT, threshold=0.2, proximity=1)
+
+
+def segment_prompts(spark: SparkSession, d: str) -> DataFrame:
+    return _mask_sums(_prompted(spark, d)[0])
+
+
+def segment_prompts_header(spark: SparkSession, d: str) -> DataFrame:
+    return _prompted(spark, d)[1].select("video", "n_frames", "total_area", "mean_area_frac", "merge_info")
+
+
+def _tracked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-ins for the models: the mask moves with the frame and loses pixels, each seventh frame is not tracked."""
+
+    def track(rows: DataFrame) -> DataFrame:
+        kept = F.filter("anchor", lambda p: (p + F.col("frame")) % 3 != 0)
+        return rows.where("pos % 7 <> 6").select("video", "direction", "pos", F.transform(kept, lambda p: (p + F.col("frame")) % 150).alias("px"))
+
+    def verify(rows: DataFrame) -> DataFrame:
+        return rows.select("video", "frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))).alias("px"))
+
+    return segment.segment_tracked(fx.detections(spark, d), fx.detected_videos(spark, d), track, fx.WIDTH, fx.HEIGHT, verify, cap=10)
+
+
+def segment_tracked(spark: SparkSession, d: str) -> DataFrame:
+    return _mask_sums(_tracked(spark, d)[0])
+
+
+def segment_tracked_header(spark: SparkSession, d: str) -> DataFrame:
+    info = F.from_json("merge_info", "anchor_frame long, anchor_score double, anchor_area_percent double, propagated long, verified long, flagged long")
+    return _tracked(spark, d)[1].select("video", "n_frames", "total_area", "error", info.alias("i")).select("video", "n_frames", "total_area", "error", "i.*")
+
+
+def inpaint_groups(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in for the model adds 50 to each masked value; groups build on one another."""
+    m = fx.masks(spark, d).withColumn("video", F.lit(0).cast("long"))
+    out = inpaint.inpaint_groups(fx.pictures(spark, d), m, lambda images, mask: images + 50 * mask[..., None].astype(images.dtype))
+    return out.select("frame_idx", F.md5(F.lower(F.hex("rgb"))).alias("digest"), "method")
+
+
+def _batch(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("video_id").cast("long")
+    j = _classified(spark, d).where("status IS NULL").select("video_id", "prompt_word", "path")
+    known = fx.data(spark, d).select(F.col("id").cast("string").alias("video_id"), "frame_count").join(j.select("video_id", "path"), "video_id")
+    probe = known.where(key % 17 != 0).select("path", "frame_count", F.lit(29.97).alias("fps"))
+
+    def process(job: dict) -> str:
+        if int(job["video_id"]) % 11 == 0:
+            raise ValueError("a job that fails")
+        return "" if int(job["video_id"]) % 13 == 0 else job["output_video_path"]
+
+    return batch.run_batch(j, j.where(key % 19 == 0).select("video_id"), probe, process, "/out")
+
+
+def run_batch(spark: SparkSession, d: str) -> DataFrame:
+    return _batch(spark, d)
+
+
+def batch_passed(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.passed(_batch(spark, d).select(F.col("error_message").alias("error")))
+
+
+def worker_ordinals(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.per_worker(job_lpt_order(spark, d).withColumn("worker", F.col("queue_pos") % 3)).select("video_id", "worker", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+def first_jobs(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.first_rows(jobs.ordinal(fx.data(spark, d).select("id", "prompt_word"), "at", "id"), 1000, "at")
+
+
+def prompt_examples(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.examples(prompt_select(spark, d).where("prompt_word IS NOT NULL").select("video", "prompt_word"), 20, "video")
+
+
+def zipped_frames(spark: SparkSession, d: str) -> DataFrame:
+    f = fx.frames(spark, d)
+    a, b = frames.first_frames(f, 40), f.where("frame_idx % 3 <> 1")
+    return frames.zipped(a.select("video", "frame_idx", "event_type"), b.select("video", "frame_idx", "score"))
+
+
+def best_detection(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(segment.best_by_score(segment.confident(fx.detections(spark, d))), "det")
+
+
+def mask_scales(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.table(spark, d, "part").withColumn("most", F.when(F.col("p_partkey") % 2 == 0, 255).otherwise(1))
+    value, key = F.when(F.col("most") == 255, F.col("p_size") * 5).otherwise(F.col("p_size") % 2), F.col("p_partkey")
+    bit = scalar.to_mask_bit(value, F.col("most"))
+    return p.select(
+        "p_partkey", bit.alias("bit"), scalar.to_mask_byte(bit).cast("long").alias("byte"), scalar.area_percent(F.col("p_size"), 150).alias("percent"), scalar.resolution(F.col("p_size"), key).alias("resolution"),
+        scalar.threads_per_worker(key % 64, scalar.workers(key % 9, F.lit(4))).alias("threads"), scalar.backward_index(key, F.col("p_size")).alias("back"), scalar.swap_red_blue(scalar.grey_to_rgb(key))["r"].alias("grey"),
+        scalar.edited_name(key).alias("edited"), scalar.mask_name(key, F.col("p_size")).alias("mask"), scalar.fill_template(F.lit("remove the {object} here"), "object", F.col("p_name")).alias("request"),
+    )
+
+
+def resources(spark: SparkSession, d: str) -> DataFrame:
+    c = fx.table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return jobs.availability(c, fx.table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("name")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -328,6 +473,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         spine_fill, track_counters, mask_area, mask_area_bitmap, mask_union, mask_union_bitmap, mean_mask_area, mask_overlap_pairs, mask_dilate,
         mask_erode, mask_preprocess, proximity_groups, group_union, assign_groups, area_gate, overlap_gate, cosine_gate, object_color,
         overlay_blend, frames_with_masks, video_id, cover_crop, working_size, status_json, frame_names, required_missing, prompt_list,
-        saved_subset, latest_file,
+        saved_subset, latest_file, segment_one, segment_one_header, segment_many, segment_many_header, segment_prompts, segment_prompts_header,
+        segment_tracked, segment_tracked_header, inpaint_groups, run_batch, batch_passed, worker_ordinals, first_jobs, prompt_examples,
+        zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources,
     )
 }

@@ -74,3 +74,25 @@ def video_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def done(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("video_id"))
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video, frame, det, score, px): a day is a video, its hours are frames, event types detections with made-up scores."""
+    m = masks(spark, sf_dir, "hour")
+    video, frame, det = F.floor(F.col("frame") / 24).cast("long"), F.col("frame") % 24, F.col("obj") - 1
+    return m.select(video.alias("video"), frame.alias("frame"), det.alias("det"), (((frame * 7 + det * 13 + video) % 20) / 20.0).alias("score"), "px")
+
+
+def detected_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video, n): as many frames as the last detection needs."""
+    return detections(spark, sf_dir).groupBy("video").agg((F.max("frame") + 1).alias("n"))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video, frame_idx, h, w, rgb): a picture of made-up colours for each day with masks, all days one video."""
+    days = masks(spark, sf_dir).select("frame").distinct().withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))))
+    value = lambda k: (F.col("px") * k + F.col("frame")) % 256
+    sign = F.format_string("%02x%02x%02x", value(7), value(11), value(13))
+    rgb = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("px", sign.alias("s")))), lambda x: x["s"]), ""))
+    rows = days.groupBy("frame").agg(rgb.alias("rgb"))
+    return rows.select(F.lit(0).cast("long").alias("video"), F.col("frame").alias("frame_idx"), F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"), "rgb")

@@ -83,8 +83,8 @@ sel AS (SELECT i.video, prompt_word, cnt AS subject_question_count, total_questi
 DATA = """
 data AS (SELECT CAST(o_orderkey AS VARCHAR) AS video_id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS prompt_word, CAST(floor(o_totalprice / 100) AS BIGINT) AS frame_count, o_orderkey AS input_pos, o_orderstatus FROM orders),
 idx AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS video_id, '/videos/' || CAST(l_orderkey AS VARCHAR) || '.mp4' AS path FROM lineitem),
-cls AS (SELECT video_id, prompt_word, path, CASE WHEN prompt_word IS NULL OR trim(prompt_word) = '' THEN 'skipped' WHEN path IS NULL THEN 'failed' WHEN o_orderstatus = 'F' THEN 'skipped' END AS status,
-  CASE WHEN prompt_word IS NULL OR trim(prompt_word) = '' THEN 'null or empty prompt' WHEN path IS NULL THEN 'video file not found' WHEN o_orderstatus = 'F' THEN 'output already exists' END AS error_message
+cls AS (SELECT video_id, prompt_word, path, CASE WHEN prompt_word IS NULL OR regexp_full_match(prompt_word, '\\s*') THEN 'skipped' WHEN path IS NULL THEN 'failed' WHEN o_orderstatus = 'F' THEN 'skipped' END AS status,
+  CASE WHEN prompt_word IS NULL OR regexp_full_match(prompt_word, '\\s*') THEN 'null or empty prompt' WHEN path IS NULL THEN 'video file not found' WHEN o_orderstatus = 'F' THEN 'output already exists' END AS error_message
   FROM data LEFT JOIN idx USING (video_id))"""
 RUN = DATA + ", run AS (SELECT video_id, CASE CAST(video_id AS BIGINT) % 7 WHEN 0 THEN 'failed' WHEN 1 THEN 'dry_run' WHEN 2 THEN 'skipped' ELSE 'success' END AS status FROM cls WHERE status IS NULL AND CAST(video_id AS BIGINT) % 7 <> 6)"
 FRAMES = "fr AS (SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx, event_type, least(value / 200.0, 1.0) AS score FROM events)"
@@ -100,8 +100,8 @@ def _square(source: str, r: int, keys: str = "frame") -> str:
 
 
 def _eroded(source: str, r: int) -> str:
-    grid = f"SELECT frame, px, (px // 15 + dy) * 15 + px % 15 + dx AS q FROM {source}, range(-{r}, {r + 1}) a(dx), range(-{r}, {r + 1}) b(dy) WHERE px % 15 + dx BETWEEN 0 AND 14 AND px // 15 + dy BETWEEN 0 AND 9"
-    return f"SELECT frame, px FROM ({grid}) g LEFT JOIN {source} s ON s.frame = g.frame AND s.px = g.q GROUP BY g.frame, g.px HAVING count(*) = count(s.px)".replace("SELECT frame, px FROM", "SELECT g.frame, g.px FROM", 1)
+    grid = f"SELECT frame, px, CASE WHEN px % 15 + dx BETWEEN 0 AND 14 AND px // 15 + dy BETWEEN 0 AND 9 THEN (px // 15 + dy) * 15 + px % 15 + dx ELSE -1 END AS q FROM {source}, range(-{r}, {r + 1}) a(dx), range(-{r}, {r + 1}) b(dy)"
+    return f"SELECT g.frame, g.px FROM ({grid}) g LEFT JOIN {source} s ON s.frame = g.frame AND s.px = g.q GROUP BY g.frame, g.px HAVING count(*) = count(s.px)"
 
 
 GROUPS = (
@@ -121,10 +121,84 @@ def _overlay() -> str:
     for o in range(1, 6):
         cols = ", ".join(f"CASE WHEN o{o} THEN {_BLEND.format(v=ch, c=PALETTE[o - 1][k])} ELSE {ch} END AS {ch}" for k, ch in enumerate("rgb"))
         steps.append(f"s{o} AS (SELECT * EXCLUDE (r, g, b), {cols} FROM s{o - 1})")
-    pix = "pix AS (SELECT i // 150 AS frame, i % 150 AS px, (i % 150 * 7 + i // 150) % 256 AS r, (i % 150 * 11 + i // 150) % 256 AS g, (i % 150 * 13 + i // 150) % 256 AS b FROM range(0, 4500) t(i))"
+    pix = "pix AS (SELECT frame, px, (px * 7 + frame) % 256 AS r, (px * 11 + frame) % 256 AS g, (px * 13 + frame) % 256 AS b FROM (SELECT unnest(range(0, max(frame) + 1)) AS frame FROM mask) f, range(0, 150) t(px))"
     return f"WITH {DAY}, {pix}, {', '.join(steps)} SELECT frame, px, r, g, b FROM s5"
 
 
+#: A step of the ordered fold: st has each video's groups (lists of pixels) after frame number t, dets the detections of
+#: frame number t, in order, as structs det and px. A detection joins the first group with the greatest overlap.
+_STEP = """
+st(video, t, groups) AS (SELECT video, CAST(0 AS BIGINT), groups FROM start UNION ALL
+  SELECT video, t + 1, list_transform(range(1, len(groups) + 1), lambda k: list_distinct(flatten(list_transform(list_filter(pick, lambda p: p.g = k), lambda p: p.px)))) FROM (
+    SELECT s.video, s.t, s.groups, list_transform(d.dets, lambda x: {'px': x.px, 'g': list_position(list_transform(s.groups, lambda y: len(list_intersect(y, x.px))), list_max(list_transform(s.groups, lambda y: len(list_intersect(y, x.px)))))}) AS pick
+    FROM st s JOIN dets d ON d.video = s.video AND d.t = s.t + 1) z),
+joined AS (SELECT video, frame, x.det AS det, CAST(list_position(list_transform(groups, lambda y: len(list_intersect(y, x.px))), list_max(list_transform(groups, lambda y: len(list_intersect(y, x.px))))) AS BIGINT) AS g, x.px AS px
+  FROM (SELECT d.video, d.frame, s.groups, unnest(d.dets) AS x FROM dets d JOIN st s ON s.video = d.video AND s.t = d.t - 1) z)"""
+FOLD = (
+    HOUR
+    + """,
+rows AS (SELECT frame // 24 AS video, frame, obj, px, min(frame) OVER (PARTITION BY frame // 24) AS first FROM mask),
+start AS (SELECT video, list_transform(range(1, max(obj) + 1), lambda k: list_transform(list_filter(list({'o': obj, 'p': px}), lambda x: x.o = k), lambda x: x.p)) AS groups FROM rows WHERE frame = first GROUP BY video),
+each AS (SELECT video, frame, obj AS det, list(px) AS px FROM rows WHERE frame > first GROUP BY ALL),
+dets AS (SELECT video, frame, list({'det': det, 'px': px} ORDER BY det) AS dets, row_number() OVER (PARTITION BY video ORDER BY frame) AS t FROM each GROUP BY video, frame),"""
+    + _STEP
+)
+DETECTED = HOUR + ", det AS (SELECT frame // 24 AS video, frame % 24 AS frame, obj - 1 AS det, px, (frame % 24 * 7 + (obj - 1) * 13 + frame // 24) % 20 / 20.0::DOUBLE AS score FROM mask), vids AS (SELECT video, max(frame) + 1 AS n FROM det GROUP BY video)"
+SEGMENT_ONE = (
+    DETECTED
+    + """,
+big AS (SELECT video, frame, det FROM det WHERE score >= 0.5 GROUP BY video, frame, det QUALIFY row_number() OVER (PARTITION BY video, frame ORDER BY count(*) DESC, det) = 1),
+sel AS (SELECT video, det + 1 AS selected FROM big WHERE frame = 0),
+seg AS (SELECT d.video, d.frame, selected AS obj, px FROM det d JOIN big b ON b.video = d.video AND b.frame = d.frame AND b.det = d.det JOIN sel ON sel.video = d.video)"""
+)
+_NEAR = """
+grown AS (SELECT DISTINCT video, {o}, (px // 15 + dy) * 15 + px % 15 + dx AS px FROM {source}, (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy) WHERE px % 15 + dx BETWEEN 0 AND 14 AND px // 15 + dy BETWEEN 0 AND 9),
+edge AS (SELECT DISTINCT a.video, a.{o} AS a, b.{o} AS b FROM grown a JOIN grown b ON a.video = b.video AND a.px = b.px {more}),
+reach(video, a, b) AS (SELECT video, a, b FROM edge UNION SELECT r.video, r.a, e.b FROM reach r JOIN edge e ON r.video = e.video AND r.b = e.a),
+grp AS (SELECT video, {o}, dense_rank() OVER (PARTITION BY video ORDER BY root) AS grp FROM (SELECT video, a AS {o}, min(b) AS root FROM reach GROUP BY ALL) z)"""
+SEGMENT_MANY = (
+    DETECTED
+    + ", sure AS (SELECT * FROM det WHERE score >= 0.5), first AS (SELECT video, det, px FROM sure WHERE frame = 0),"
+    + _NEAR.format(o="det", source="first", more="")
+    + """,
+start AS (SELECT video, list_transform(range(1, max(grp) + 1), lambda k: list_distinct(list_transform(list_filter(list({'o': grp, 'p': px}), lambda x: x.o = k), lambda x: x.p))) AS groups FROM first JOIN grp USING (video, det) GROUP BY video),
+spine AS (SELECT video, unnest(range(1, n)) AS t FROM vids),
+each AS (SELECT video, frame AS t, det, list(px) AS px FROM sure GROUP BY ALL),
+dets AS (SELECT s.video, s.t, s.t AS frame, coalesce(list({'det': det, 'px': px} ORDER BY det) FILTER (det IS NOT NULL), []) AS dets FROM spine s LEFT JOIN each e ON e.video = s.video AND e.t = s.t GROUP BY ALL),"""
+    + _STEP
+    + """,
+seg AS (SELECT DISTINCT video, CAST(0 AS BIGINT) AS frame, grp AS obj, px FROM first JOIN grp USING (video, det) UNION SELECT DISTINCT video, frame, g AS obj, unnest(px) AS px FROM joined)"""
+)
+PROMPTED = (
+    DETECTED
+    + """, two AS (SELECT video, frame, det AS prompt, px % 2 AS side, px FROM det WHERE score >= 0.2),
+big AS (SELECT video, frame, prompt, side FROM two GROUP BY video, frame, prompt, side QUALIFY row_number() OVER (PARTITION BY video, frame, prompt ORDER BY count(*) DESC, side) = 1),
+own AS (SELECT two.* FROM two JOIN big USING (video, frame, prompt, side)), first AS (SELECT * FROM own WHERE frame = 0),"""
+    + _NEAR.format(o="prompt", source="first", more="UNION SELECT video, p, p FROM vids, range(0, 5) t(p)")
+    + ", seg AS (SELECT DISTINCT video, frame, grp AS obj, px FROM own JOIN grp USING (video, prompt))"
+)
+_SOME = "list_transform(range(0, 10), lambda i: CASE WHEN i = 9 THEN m - 1 ELSE CAST(trunc(i * ((m - 1) / 9.0::DOUBLE)) AS BIGINT) END)"
+TRACKED = (
+    DETECTED
+    + f""",
+sure AS (SELECT * FROM det WHERE score >= 0.5),
+top AS (SELECT video, frame, arg_min(det, (-score, det)) AS det, max(score) AS sc FROM sure GROUP BY ALL),
+cand AS (SELECT top.*, n FROM top JOIN vids USING (video) WHERE frame % 5 = 0 OR frame = n - 1),
+anchor AS (SELECT video, frame AS a, det, sc, n FROM cand QUALIFY row_number() OVER (PARTITION BY video ORDER BY sc >= 0.9 DESC, CASE WHEN sc >= 0.9 THEN frame END, sc DESC, frame) = 1),
+shape AS (SELECT a.video, a, sc, n, list(DISTINCT px) AS anchor FROM anchor a JOIN sure s ON s.video = a.video AND s.frame = a.a AND s.det = a.det WHERE sc >= 0.3 GROUP BY ALL),
+way AS (SELECT video, 'f' AS dir, 1 AS step, n - a AS m, a, anchor FROM shape UNION ALL SELECT video, 'b', -1, a + 1, a, anchor FROM shape WHERE a > 0),
+pas AS (SELECT video, dir, m, a, anchor, pos, a + step * pos AS frame, m <= 10 OR list_contains({_SOME}, pos) AS kept FROM (SELECT *, unnest(range(0, m)) AS pos FROM way) z),
+trk AS (SELECT video, dir, pos, list_transform(list_filter(anchor, lambda p: (p + frame) % 3 <> 0), lambda p: (p + frame) % 150) AS px FROM pas WHERE kept AND pos % 7 <> 6),
+fil AS (SELECT p.video, p.dir, p.frame, t.px FROM pas p JOIN trk t ON t.video = p.video AND t.dir = p.dir AND (p.m > 10 OR t.pos = p.pos) QUALIFY row_number() OVER (PARTITION BY p.video, p.dir, p.pos ORDER BY abs(t.pos - p.pos), t.pos) = 1),
+both_ways AS (SELECT coalesce(f.video, b.video) AS video, coalesce(f.frame, b.frame) AS frame, CASE WHEN len(f.px) > 0 OR b.px IS NULL THEN f.px ELSE b.px END AS px FROM (SELECT * FROM fil WHERE dir = 'f') f FULL JOIN (SELECT * FROM fil WHERE dir = 'b') b ON f.video = b.video AND f.frame = b.frame),
+spine AS (SELECT video, a, sc, len(anchor) AS area0, unnest(range(0, n)) AS frame FROM shape),
+got AS (SELECT s.*, list_distinct(coalesce(px, [])) AS px FROM spine s LEFT JOIN both_ways w ON w.video = s.video AND w.frame = s.frame),
+checked AS (SELECT *, len(px) AS area, len(px) > 0 AND (len(px) > 3.0 * area0 OR len(list_filter(px, lambda p: p < 60)) / greatest(len(px), 1) < 0.1) AS flagged FROM got)"""
+)
+BATCH = DATA + """, bat AS (SELECT video_id, prompt_word, path, frame_count / 29.97::DOUBLE AS dur, CASE WHEN id % 19 = 0 THEN 'done' WHEN id % 17 = 0 THEN 'unknown' WHEN id % 11 = 0 THEN 'raises' WHEN id % 13 = 0 THEN 'empty' ELSE 'good' END AS kind
+  FROM (SELECT cls.*, frame_count, input_pos AS id FROM cls JOIN data USING (video_id)) z WHERE status IS NULL)"""
+
+
 def _color(k: int) -> str:
     return f"[{', '.join(str(c[k]) for c in PALETTE)}][((c_custkey - 4) % 12 + 12) % 12 + 1]"
 
@@ -139,7 +213,7 @@ ORACLES: dict[str, str] = {
     "cluster_score": f"WITH {SCORED} SELECT video, singular, desc_key, cnt, first_pos, score FROM sco",
     "top5_candidates": f"WITH {SCORED}, ex AS (SELECT video, singular, desc_key, mention AS example FROM mrg QUALIFY row_number() OVER (PARTITION BY video, singular, desc_key ORDER BY was_bare, q_idx) = 1), r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score DESC, first_pos) AS rank FROM sco) SELECT video, rank, singular || '(' || CASE WHEN desc_key = '' THEN 'generic' ELSE desc_key END || ')' AS entity, score, cnt AS subject_count, example FROM r JOIN ex USING (video, singular, desc_key) WHERE rank <= 5",
     "prompt_pick": f"WITH {MERGED}{PICK} SELECT video, singular, desc_key, prompt_word FROM pick",
-    "noun_distribution": f"WITH {SELECTED}, w AS (SELECT list_filter(string_split(prompt_word, ' '), lambda x: list_contains({ENTITIES}, x))[1] AS w FROM sel WHERE prompt_word IS NOT NULL) SELECT {SINGULAR} AS noun, count(*) AS n FROM w WHERE w IS NOT NULL GROUP BY 1 ORDER BY n DESC, noun LIMIT 15",
+    "noun_distribution": f"WITH {SELECTED}, w AS (SELECT list_filter(string_split(prompt_word, ' '), lambda x: list_contains({ENTITIES}, x))[1] AS w, video FROM sel WHERE prompt_word IS NOT NULL) SELECT {SINGULAR} AS noun, count(*) AS n FROM w WHERE w IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(video) LIMIT 15",
     "coverage": f"WITH {SELECTED} SELECT video, subject_question_count, total_questions, subject_question_count / total_questions AS coverage FROM sel WHERE prompt_word IS NOT NULL",
     "prompt_counts": f"WITH {SELECTED} SELECT count(*) AS total, count(prompt_word) AS valid, count(*) - count(prompt_word) AS without FROM sel",
     "job_classify": f"WITH {DATA} SELECT * FROM cls",
@@ -155,17 +229,19 @@ ORACLES: dict[str, str] = {
     "largest_detection": f"WITH {HOUR}{AREA} SELECT frame AS frame_idx, obj AS det_idx, area FROM area QUALIFY row_number() OVER (PARTITION BY frame ORDER BY area DESC, obj) = 1",
     "nearest_fill": f"WITH {FRAMES}, t AS (SELECT video, frame_idx AS t FROM fr WHERE event_type = 'view'), n AS (SELECT fr.video, frame_idx, t, row_number() OVER (PARTITION BY fr.video, frame_idx ORDER BY abs(frame_idx - t), t) AS r FROM fr LEFT JOIN t USING (video)) SELECT video, frame_idx, t AS source_idx FROM n WHERE r = 1",
     "fwd_bwd_merge": f"WITH {HOUR}{AREA}, f AS (SELECT frame AS frame_idx, CASE WHEN frame % 4 = 0 THEN 0 ELSE area END AS fa FROM area WHERE obj = 1), b AS (SELECT frame AS frame_idx, CASE WHEN frame % 4 = 0 THEN 0 ELSE area END AS ba FROM area WHERE obj = 3) SELECT frame_idx, CASE WHEN fa > 0 THEN fa ELSE coalesce(ba, fa) END AS area, CASE WHEN fa > 0 OR ba IS NULL THEN 'forward' ELSE 'backward' END AS direction FROM f FULL JOIN b USING (frame_idx)",
-    "spine_fill": f"WITH {HOUR}{AREA} SELECT f AS frame_idx, coalesce(area, 0) AS area, area IS NOT NULL AS tracked FROM range(0, 720) s(f) LEFT JOIN (SELECT * FROM area WHERE obj = 5) a ON a.frame = f",
-    "track_counters": f"WITH {HOUR}{AREA} SELECT count(*) AS frames, count(area) AS tracked, count(*) - count(area) AS empty FROM range(0, 720) s(f) LEFT JOIN (SELECT * FROM area WHERE obj = 5) a ON a.frame = f",
+    "spine_fill": f"WITH {HOUR}{AREA} SELECT f AS frame_idx, coalesce(area, 0) AS area, area IS NOT NULL AS tracked FROM (SELECT unnest(range(0, max(frame) + 1)) AS f FROM mask) s LEFT JOIN (SELECT * FROM area WHERE obj = 5) a ON a.frame = f",
+    "track_counters": f"WITH {HOUR}{AREA} SELECT count(*) AS frames, count(area) AS tracked, count(*) - count(area) AS empty FROM (SELECT unnest(range(0, max(frame) + 1)) AS f FROM mask) s LEFT JOIN (SELECT * FROM area WHERE obj = 5) a ON a.frame = f",
     "mask_area": f"WITH {DAY}{AREA} SELECT * FROM area",
     "mask_area_bitmap": f"WITH {DAY}{AREA} SELECT * FROM area",
     "mask_union": f"WITH {DAY} SELECT frame, count(DISTINCT px) AS area FROM mask GROUP BY frame",
     "mask_union_bitmap": f"WITH {DAY} SELECT frame, count(DISTINCT px) AS area FROM mask GROUP BY frame",
-    "mean_mask_area": f"WITH {DAY} SELECT count(*) AS total_area, count(*) / 4500 AS mean_area_frac FROM mask",
+    "mean_mask_area": f"WITH {DAY} SELECT count(*) AS total_area, count(*) / (150 * (max(frame) + 1)) AS mean_area_frac FROM mask",
     "mask_overlap_pairs": f"WITH {DAY} SELECT a.frame, a.obj AS a, b.obj AS b, count(*) AS overlap FROM mask a JOIN mask b ON a.frame = b.frame AND a.px = b.px AND a.obj < b.obj GROUP BY ALL",
-    "mask_dilate": f"WITH {HOUR}, one AS (SELECT frame, px FROM mask WHERE obj = 1) {_square('one', 1)}",
-    "mask_erode": f"WITH {DAY}, one AS (SELECT DISTINCT frame, px FROM mask) {_eroded('one', 1)}",
-    "mask_preprocess": f"WITH {DAY}, one AS (SELECT DISTINCT frame, px FROM mask), er AS ({_eroded('one', 1)}), di AS ({_square('er', 2)}) SELECT frame, count(*) AS area, CAST(sum(px) AS BIGINT) AS px_sum FROM di GROUP BY frame",
+    "mask_dilate": f"WITH {HOUR} {_square('mask', 1, 'frame, obj')}",
+    # Rows of an ellipse of radius 3 reach 0, 2, 3, 3, 3, 2, 0 cells to both sides.
+    "mask_dilate_ellipse": f"WITH {HOUR} SELECT DISTINCT frame, obj, (px // 15 + dy) * 15 + px % 15 + dx AS px FROM mask, range(-3, 4) a(dx), range(-3, 4) b(dy) WHERE abs(dx) <= [3, 3, 2, 0][abs(dy) + 1] AND px % 15 + dx BETWEEN 0 AND 14 AND px // 15 + dy BETWEEN 0 AND 9",
+    "mask_erode": f"WITH {DAY}, one AS (SELECT DISTINCT frame // 5 AS frame, px FROM mask) {_eroded('one', 1)}",
+    "mask_preprocess": f"WITH {DAY}, one AS (SELECT DISTINCT frame // 5 AS frame, px FROM mask), er AS ({_eroded('one', 1)}), di AS ({_square('er', 2)}) SELECT frame, count(*) AS area, CAST(sum(px) AS BIGINT) AS px_sum FROM di GROUP BY frame",
     "proximity_groups": f"WITH RECURSIVE {GROUPS} SELECT frame, obj, grp FROM grp",
     "group_union": f"WITH RECURSIVE {GROUPS} SELECT frame, grp, count(DISTINCT px) AS area FROM mask JOIN grp USING (frame, obj) GROUP BY ALL",
     "area_gate": f"WITH {HOUR}{AREA}, an AS (SELECT obj, min(area) AS a FROM area WHERE frame < 24 GROUP BY obj) SELECT frame, obj, CASE WHEN area > 3.0 * a THEN 0 ELSE area END AS area, area > 3.0 * a AS flagged FROM area JOIN an USING (obj)",
@@ -173,7 +249,7 @@ ORACLES: dict[str, str] = {
     "cosine_gate": "WITH a AS (SELECT label, arg_min(embedding, vec_id) AS an FROM embeddings GROUP BY label) SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings JOIN a USING (label) WHERE list_cosine_similarity(embedding::DOUBLE[], an::DOUBLE[]) >= 0.35",
     "object_color": f"SELECT c_custkey - 3 AS object_id, CAST({_color(0)} AS BIGINT) AS r, CAST({_color(1)} AS BIGINT) AS g, CAST({_color(2)} AS BIGINT) AS b FROM customer",
     "overlay_blend": _overlay(),
-    "frames_with_masks": f"WITH {HOUR} SELECT f AS frame, count(DISTINCT obj) AS n_masks FROM range(0, 720) s(f) LEFT JOIN mask ON frame = f GROUP BY f",
+    "frames_with_masks": f"WITH {HOUR} SELECT f AS frame, count(DISTINCT obj) AS n_masks FROM (SELECT unnest(range(0, max(frame) + 1)) AS f FROM mask) s LEFT JOIN mask ON frame = f GROUP BY f",
     "video_id": r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') || '_' || substr(md5(url), 1, 8) AS video_id FROM pages",
     "cover_crop": "WITH p AS (SELECT p_partkey, p_size * 16 AS w0, (p_partkey % 40 + 1) * 16 AS h0 FROM part), s AS (SELECT *, greatest(512::DOUBLE / w0, 256::DOUBLE / h0) AS k FROM p), c AS (SELECT p_partkey, CAST(ceil(w0 * k) AS BIGINT) AS w, CAST(ceil(h0 * k) AS BIGINT) AS h FROM s) SELECT p_partkey, w, h, CAST(floor((w - 512) / 2) AS BIGINT) AS x, CAST(floor((h - 256) / 2) AS BIGINT) AS y FROM c",
     "working_size": "WITH p AS (SELECT p_partkey, p_size * 40 AS w0, (p_partkey % 60 + 1) * 20 AS h0 FROM part), s AS (SELECT *, greatest(w0, h0) / 512::DOUBLE AS k FROM p), c AS (SELECT p_partkey, CAST(CASE WHEN k > 1 THEN trunc(w0 / k) ELSE w0 END AS BIGINT) AS w, CAST(CASE WHEN k > 1 THEN trunc(h0 / k) ELSE h0 END AS BIGINT) AS h FROM s) SELECT p_partkey, w - w % 8 AS w, h - h % 8 AS h FROM c",
@@ -182,5 +258,30 @@ ORACLES: dict[str, str] = {
     "required_missing": "SELECT n_name AS name FROM nation WHERE n_regionkey >= 3",
     "prompt_list": "WITH s AS (SELECT p_partkey, string_split(array_to_string(list_filter([p_name, CASE WHEN p_size % 2 = 0 THEN p_brand END, CASE WHEN p_size % 5 = 0 THEN '' END], lambda x: x IS NOT NULL), ' , '), ',') AS x FROM part) SELECT p_partkey, CAST(unnest(range(0, len(x))) AS BIGINT) AS pos, trim(unnest(x)) AS prompt FROM s",
     "saved_subset": f"WITH {DAY} SELECT obj, count(*) AS pixels, count(DISTINCT frame) AS frames FROM mask WHERE frame < 12 GROUP BY obj",
-    "latest_file": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "latest_file": "WITH f AS (SELECT user_id, ts, '/v/' || event_type || '/' || CASE WHEN event_id % 50 = 0 THEN 'edited.mp4' ELSE CAST(event_id AS VARCHAR) || '.mp4' END AS path FROM events) SELECT user_id, path FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ends_with(path, '/edited.mp4') DESC, ts DESC, path DESC) = 1",
+    "assign_groups": f"WITH RECURSIVE {FOLD} SELECT video, frame, det, g AS \"group\" FROM joined",
+    "segment_one": f"WITH {SEGMENT_ONE} SELECT video, frame, obj, count(*) AS area, CAST(sum(px) AS BIGINT) AS px_sum FROM seg GROUP BY ALL",
+    "segment_one_header": f"WITH {SEGMENT_ONE} SELECT v.video, any_value(selected) AS selected, any_value(n) AS n_frames, count(px) AS total_area, count(px) / (150 * any_value(n)) AS mean_area_frac, CASE WHEN any_value(selected) IS NULL THEN 'no objects found' END AS error FROM vids v LEFT JOIN sel ON sel.video = v.video LEFT JOIN seg ON seg.video = v.video GROUP BY v.video",
+    "segment_many": f"WITH RECURSIVE {SEGMENT_MANY} SELECT video, frame, obj, count(*) AS area, CAST(sum(px) AS BIGINT) AS px_sum FROM seg GROUP BY ALL",
+    "segment_many_header": f"""WITH RECURSIVE {SEGMENT_MANY}, mem AS (SELECT video, grp, '"' || grp || '":[' || string_agg(CAST(det AS VARCHAR), ',' ORDER BY det) || ']' AS m, count(*) AS c FROM grp GROUP BY video, grp),
+info AS (SELECT video, '{{"multi_object":true,"num_raw_detections":' || CAST(sum(c) AS BIGINT) || ',"num_groups":' || count(*) || ',"merge_proximity_px":1,"groups":{{' || string_agg(m, ',' ORDER BY grp) || '}}}}' AS merge_info FROM mem GROUP BY video),
+area AS (SELECT video, count(*) AS total_area FROM seg GROUP BY video)
+SELECT v.video, coalesce(total_area, 0) AS total_area, merge_info, CASE WHEN merge_info IS NULL THEN 'no objects found' END AS error FROM vids v LEFT JOIN info USING (video) LEFT JOIN area USING (video)""",
+    "segment_prompts": f"WITH RECURSIVE {PROMPTED} SELECT video, frame, obj, count(*) AS area, CAST(sum(px) AS BIGINT) AS px_sum FROM seg GROUP BY ALL",
+    "segment_prompts_header": f"""WITH RECURSIVE {PROMPTED}, mem AS (SELECT video, grp, '"' || grp || '":[' || string_agg('"' || ['cup', 'dog', 'hat', 'kite', 'rope'][prompt + 1] || '"', ',' ORDER BY prompt) || ']' AS m FROM grp GROUP BY video, grp),
+info AS (SELECT video, '{{"multi_prompt":true,"prompts":["cup","dog","hat","kite","rope"],"num_groups":' || count(*) || ',"merge_proximity_px":1,"groups":{{' || string_agg(m, ',' ORDER BY grp) || '}}}}' AS merge_info FROM mem GROUP BY video),
+area AS (SELECT video, count(*) AS total_area FROM seg GROUP BY video)
+SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, coalesce(total_area, 0) / (150 * n) AS mean_area_frac, merge_info FROM vids JOIN info USING (video) LEFT JOIN area USING (video)""",
+    "segment_tracked": f"WITH {TRACKED} SELECT video, frame, 1 AS obj, count(*) AS area, CAST(sum(p) AS BIGINT) AS px_sum FROM (SELECT video, frame, unnest(px) AS p FROM checked WHERE NOT flagged) z GROUP BY ALL",
+    "segment_tracked_header": f"WITH {TRACKED}, i AS (SELECT video, any_value(a) AS anchor_frame, any_value(sc) AS anchor_score, any_value(area0) / 150 * 100 AS anchor_area_percent, count(*) FILTER (area > 0) AS propagated, count(*) FILTER (area > 0 AND NOT flagged) AS verified, count(*) FILTER (flagged) AS flagged, CAST(sum(CASE WHEN flagged THEN 0 ELSE area END) AS BIGINT) AS total_area FROM checked GROUP BY video) SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, CASE WHEN anchor_frame IS NULL THEN 'no anchor found' END AS error, anchor_frame, anchor_score, anchor_area_percent, propagated, verified, flagged FROM vids LEFT JOIN i USING (video)",
+    "inpaint_groups": f"WITH {DAY}, days AS (SELECT DISTINCT frame FROM mask), c AS (SELECT frame, px, count(*) AS k FROM mask GROUP BY ALL), p AS (SELECT d.frame, t.px, 50 * coalesce(k, 0) AS add FROM days d, range(0, 150) t(px) LEFT JOIN c ON c.frame = d.frame AND c.px = t.px) SELECT frame AS frame_idx, md5(string_agg(printf('%02x%02x%02x', ((px * 7 + frame) % 256 + add) % 256, ((px * 11 + frame) % 256 + add) % 256, ((px * 13 + frame) % 256 + add) % 256), '' ORDER BY px)) AS digest, 'model' AS method FROM p GROUP BY frame",
+    "run_batch": f"WITH {BATCH} SELECT video_id, prompt_word, path AS input_video_path, CASE WHEN kind <> 'unknown' THEN '/out/' || video_id || '.mp4' END AS output_video_path, CASE WHEN kind NOT IN ('done', 'unknown') THEN round(dur, 2) END AS duration_seconds, CASE WHEN kind NOT IN ('done', 'unknown') THEN dur > 60 END AS frame_reduction_applied, CASE kind WHEN 'done' THEN 'skipped' WHEN 'good' THEN 'success' ELSE 'failed' END AS status, CASE kind WHEN 'done' THEN 'output already exists' WHEN 'unknown' THEN 'no information on the video file' WHEN 'raises' THEN 'a job that fails' WHEN 'empty' THEN 'no edited video came out' END AS error_message FROM bat",
+    "batch_passed": f"WITH {BATCH} SELECT count(*) AS total, count(*) FILTER (kind = 'good') AS passed FROM bat",
+    "worker_ordinals": f"WITH {DATA}, q AS (SELECT video_id, row_number() OVER (ORDER BY frame_count DESC, input_pos) - 1 AS p FROM data) SELECT video_id, p % 3 AS worker, p // 3 + 1 AS ordinal FROM q",
+    "first_jobs": "SELECT o_orderkey AS id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS prompt_word, row_number() OVER (ORDER BY o_orderkey) - 1 AS at FROM orders ORDER BY o_orderkey LIMIT 1000",
+    "prompt_examples": f"WITH {SELECTED} SELECT video, prompt_word FROM sel WHERE prompt_word IS NOT NULL ORDER BY video LIMIT 20",
+    "zipped_frames": f"WITH {FRAMES} SELECT video, frame_idx, event_type, score FROM fr WHERE frame_idx < 40 AND frame_idx % 3 <> 1",
+    "best_detection": f"WITH {DETECTED} SELECT video, frame, arg_min(det, (-score, det)) AS det, max(score) AS score FROM (SELECT DISTINCT video, frame, det, score FROM det WHERE score >= 0.5) z GROUP BY ALL",
+    "mask_scales": "WITH p AS (SELECT *, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size * 5 > 127.5 ELSE p_size % 2 = 1 END AS bit FROM part) SELECT p_partkey, bit, CASE WHEN bit THEN 255 ELSE 0 END AS byte, p_size / 150 * 100 AS percent, CAST(p_size AS VARCHAR) || 'x' || CAST(k AS VARCHAR) AS resolution, greatest(2, (k % 64) // least(greatest(k % 9, 1), 4)) AS threads, k - p_size AS back, k AS grey, lpad(CAST(k AS VARCHAR), 6, '0') || '.png' AS edited, 'mask_f' || lpad(CAST(k AS VARCHAR), 6, '0') || '_o' || CAST(p_size AS VARCHAR) || '.png' AS mask, 'remove the ' || p_name || ' here' AS request FROM p",
+    "resources": "SELECT count(*) = 0 AS available, CASE WHEN count(*) = 0 THEN 'available' ELSE 'missing: ' || string_agg(n_name, ', ' ORDER BY n_name) END AS message FROM nation WHERE n_regionkey >= 3",
 }

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clipsieve.functions.scalar import probed
 from clipsieve.operators.jobs import STATUS
 
 
@@ -26,12 +27,17 @@ def video_paths(spark: SparkSession, root: str, suffix: str = ".mp4") -> DataFra
 
 
 def image_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """(frame_idx, path, content) of the png, jpg and jpeg files of a folder in order of their names."""
-    from pyspark.sql import Window
+    """(folder, frame_idx, path, content) of the png, jpg and jpeg files under a folder, each folder's in order of their names."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg}").load(folder)
+    own = F.regexp_replace("path", "/[^/]*$", "")
+    index = files.select("path", own.alias("folder"))  # contents are not read for the order
+    index = index.withColumn("frame_idx", F.row_number().over(Window.partitionBy("folder").orderBy("path")) - 1)
+    return files.join(index, "path").select("folder", "frame_idx", "path", "content")
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg}").load(folder)
-    index = files.select("path").withColumn("frame_idx", F.row_number().over(Window.orderBy("path")) - 1)
-    return files.join(index, "path").select("frame_idx", "path", "content")
+
+def probed_counts(paths: DataFrame, counts: DataFrame) -> DataFrame:
+    """(path, frame_count): what the probe found for each path, 0 for a file that it could not read."""
+    return paths.select("path").join(counts.select("path", F.col("frame_count").cast("long").alias("frame_count")), "path", "left").select("path", probed(F.col("frame_count")).alias("frame_count"))
 
 
 def status_records(spark: SparkSession, path: str) -> DataFrame:
@@ -43,3 +49,18 @@ def masks(spark: SparkSession, path: str, video: str | None = None) -> DataFrame
     """A saved mask table (see sources.writers.save_masks); a video prunes its partition."""
     df = spark.read.parquet(f"{path}/masks")
     return df if video is None else df.where(F.col("video") == video)
+
+
+def header(spark: SparkSession, path: str) -> DataFrame:
+    """The header row of each saved video."""
+    return spark.read.parquet(f"{path}/header")
+
+
+def load_masks(spark: SparkSession, path: str, video: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Saved masks and their headers. Of a video whose header does not say multi_object only the selected object is loaded."""
+    h = header(spark, path)
+    if video is not None:
+        h = h.where(F.col("video") == video)
+    m = masks(spark, path, video)
+    kept = m.join(h.select("video", "selected", "multi_object"), "video").where(F.coalesce("multi_object", F.lit(False)) | (F.col("obj") == F.col("selected")))
+    return kept.select(m.columns), h

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipsieve.functions.scalar import mask_name, now_iso
+
 
 def status_json(records: DataFrame) -> DataFrame:
     """(json): a line per record without the keys that are null."""
@@ -33,7 +35,18 @@ def merge_status(parts: list[DataFrame], path: str) -> None:
     out.write.mode("overwrite").option("ignoreNullFields", True).json(path)
 
 
+def write_info(info: DataFrame, path: str) -> None:
+    """Information on each video's edit, a JSON record with the time of writing."""
+    info.withColumn("timestamp", now_iso()).write.mode("overwrite").option("ignoreNullFields", True).json(path)
+
+
+def mask_files(mask_table: DataFrame) -> DataFrame:
+    """(video, frame, obj, name): the picture file that each mask would have."""
+    return mask_table.select("video", "frame", "obj").distinct().withColumn("name", mask_name(F.col("frame"), F.col("obj")))
+
+
 def save_masks(mask_table: DataFrame, header: DataFrame, path: str) -> None:
-    """Masks (video, frame, obj, px) in a folder per video, and a header row per video."""
+    """Masks (video, frame, obj, px) in a folder per video, and a header row per video, marked if it has several objects."""
+    header = header.withColumn("multi_object", F.size("object_ids") > 1) if "object_ids" in header.columns else header
     mask_table.write.mode("overwrite").partitionBy("video").parquet(f"{path}/masks")
     header.write.mode("overwrite").parquet(f"{path}/header")
