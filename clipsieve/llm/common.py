@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -20,6 +21,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 #: Rows of one Arrow batch handed to Python. Texts reach 100 KB and more, so batches stay small.
 BATCH_ROWS = 500
+#: Bytes of a table that may be sent to every executor.
+BROADCAST_BYTES = 32_000_000
 #: Distinct words that a worker remembers the hash of before it starts again.
 HASH_CACHE = 400_000
 
@@ -37,22 +40,28 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. One is made up only if none is set."""
+    """The folder that the driver and all executors share. One is made up only on a single machine and if none is set."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='clipsieve-')}"
         sc.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/clipsieve/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: the lineage is cut, executors may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/clipsieve/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -67,6 +76,13 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def broadcast_if_small(table: DataFrame, row_bytes: int, of: Column | None = None) -> DataFrame:
+    """A stored table marked for broadcast if its rows (or the sum of a column, such as the sizes of arrays) times
+    row_bytes stay within BROADCAST_BYTES; else as it is, and Spark joins it by a shuffle."""
+    n = table.select(F.count("*") if of is None else F.sum(of)).first()[0] or 0
+    return F.broadcast(table) if n * row_bytes <= BROADCAST_BYTES else table
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more.
 
@@ -166,3 +182,17 @@ def list_column(flat: np.ndarray, lengths: Sequence[int], kind: pa.DataType) ->
     offsets = np.zeros(len(lengths) + 1, np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
+
+
+def remainder(id_col: str, mod: int) -> Column:
+    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(mod))
+
+
+def fit_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int, id_col: str = "doc_id") -> DataFrame:
+    """About bound labelled training rows (text, label), the same on each run: those with the smallest id hashes."""
+    known = labels.select(id_col, F.col(label).alias("label")).where(F.col(label).isin(0, 1) & train).groupBy(id_col).agg(F.max("label").alias("label"))
+    n = known.count()
+    if n > bound:
+        limit = int(bound / n * (1 << 31))
+        known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 31)) < limit)
+    return docs.select(id_col, "text").join(known, id_col).select("text", "label")

@@ -1,37 +1,75 @@
-"""Connected components of an undirected graph by least labels with pointer jumping."""
+"""Connected components of an undirected graph by stars: every node tells its neighbours the least one it knows."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipsieve.llm.common import discard, stored
 
+#: Edges that a task joins up at a time.
+CHUNK = 500_000
+
+
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) to edges (node, least node) of the components that a task's edges make, CHUNK by CHUNK."""
+    parent: dict[int, int] = {}
+    n = 0
+
+    def root(x: int) -> int:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    for b in batches:
+        for x, y in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
+            low, high = sorted((root(x), root(y)))
+            parent[high] = low
+        n += b.num_rows
+        if n > CHUNK:
+            yield stars()
+            n = 0
+    yield stars()
+
+
+def _joined_up(edges: DataFrame) -> DataFrame:
+    return edges.select("u", "v").mapInArrow(_forest, "u long, v long")
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an edge; component is the smallest node reachable.
 
-    Each round takes the least label of all neighbours and then of the label itself, so that labels travel
-    twice as far from round to round. Nothing is collected; each round is written to the shared folder. Loops
-    and repeated edges do no harm; null ends are left out. No edges: no rows.
+    In a round each node that has a smaller neighbour joins itself and all its other neighbours to the smallest one, so
+    that distances about halve, and each task joins up the edges that it holds, until every node has one edge, to its
+    component's smallest. A node that is smaller than all its neighbours does nothing, so a star's centre is no hot key.
+    Nothing is collected; each round is written to the shared folder. Loops and repeated edges do no harm; null ends are
+    left out. No edges: no rows.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    e = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "components-edges")
-    labels = stored(e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "components-labels")
-    while True:
-        heard = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("heard"))
-        new = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        new = stored(new, "components-heard")
-        discard(labels)
-        to = new.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = stored(new.join(to, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "components-labels")
-        discard(new)
-        if labels.where("old != label").isEmpty():
-            discard(e)
-            return _result(labels)
-
-
-def _result(labels: DataFrame) -> DataFrame:
-    out = labels.select("node", F.col("label").alias("component"))
-    out._stored_at = labels._stored_at
+    every = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    loops = every.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
+    e = stored(_joined_up(every.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct().withColumn("moved", F.lit(True)), "components-edges")
+    while not e.where("moved").isEmpty():
+        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+        told = both.join(least, "u").select("u", "v", "m")
+        rows = _joined_up(told.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))).distinct()
+        # Nothing has moved if each edge is as it was.
+        old = e.select("u", "v", F.lit(True).alias("old"))
+        new = stored(rows.join(old, ["u", "v"], "left").select("u", "v", F.col("old").isNull().alias("moved")), "components-edges")
+        discard(e)
+        e = new
+    # A root stands for itself; a node with a loop alone is its own component.
+    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    out = stored(nodes.unionByName(loops).groupBy("node").agg(F.min("component").alias("component")), "components")
+    discard(e)
     return out

@@ -1,24 +1,31 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip).
 
-1. Documents become sets of hashed word n-grams; equal sets collapse to their smallest id.
+1. Documents become sets of hashed word n-grams; equal sets collapse to their smallest id. A set too many of whose
+   n-grams occur in no other set can't link with any and is settled: hashes of all n-grams meet in buckets for that.
 2. Routing without losing a link: a set is cut by hash range into more parts than two linked sets can differ in
    elements, so two linked sets share a part that is equal and not empty. Documents that share a part's hash, directly
    or through others, are a family; a common line or passage makes no family, as parts mix the whole set.
-3. In a family, inverted lists answer each set's query: short lists are merged, and what occurs often enough there
-   is looked up in the long lists by binary search. Large families are searched block by block.
+   Hashes of n-grams and of parts travel packed, five bytes each: a block of documents settles equal ones of its own
+   first and sends each remaining hash once, to the bucket where equal ones of all blocks meet.
+3. In a family, inverted lists answer each set's query: short lists are merged by a heap, and what occurs often
+   enough there is looked up in the long lists by binary search. Large families are searched block by block.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import WordHasher, discard, grams, list_column, long_array, map_arrow, mix, release, small_batches, spread, stored
+from clipsieve.llm.common import WordHasher, broadcast_if_small, discard, grams, long_array, mix, small_batches, spread, stored
 from clipsieve.llm.components import components
 
 #: Sets of one block of a family, and their elements; more of either make more blocks.
@@ -27,7 +34,15 @@ BLOCK_ELEMENTS = 1_000_000
 #: Sets that every block of a large family gets besides its own, so that blocks meet early.
 LEADERS = 4
 #: Size classes grow by this factor.
-CLASS_GROWTH = 1.5
+CLASS_GROWTH = 1.25
+#: Hashes that a task packs at a time, and bytes of text whose hashes one bucket gets, at least and at most:
+#: with more than MANY_BUCKETS buckets these grow first, so that what a block sends to a bucket stays packed.
+PACK_SIGNATURES = 1_000_000
+LEAST_BUCKET, MOST_BUCKET, MANY_BUCKETS = 16_000_000, 160_000_000, 4_096
+#: Bytes of a signature in its bucket; two that are equal by chance only cost a comparison.
+SIGNATURE_BYTES = 5
+#: Fixed value: weight of a probe into a long list against an entry of a merged one, in DivideSkip's rule.
+PROBE_COST = 0.0085
 _hasher = WordHasher()
 
 
@@ -56,6 +71,18 @@ def _classes(limit: int) -> list[int]:
 _LOWS = np.array(_classes(1 << 40))
 
 
+@lru_cache(maxsize=4096)
+def _cut(c: int, percent: int) -> tuple[int, int]:
+    """Of a size class: the most elements in which the smaller of a linked pair in it may differ from the other, and
+    the number of parts. These are one more than the former and as many as may be expected to be empty."""
+    apart = most_apart(int(_LOWS[c + 1]) - 1, percent)
+    parts = apart + 1
+    for _ in range(3):
+        empty = parts * math.exp(-int(_LOWS[c]) / parts)
+        parts = apart + 1 + math.ceil(empty + 3 * math.sqrt(empty))
+    return apart, parts
+
+
 def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of parts; two linked, different sets have one in common at least.
 
@@ -73,10 +100,9 @@ def signatures(tokens: np.ndarray, percent: int) -> np.ndarray:
     for c in (k, k - 1):
         if c < 0 or c < k and percent * n > 100 * (int(_LOWS[k]) - 1):
             continue
-        apart = most_apart(int(_LOWS[c + 1]) - 1, percent)
+        apart, parts = _cut(c, percent)
         if apart == 0:
             continue
-        parts = apart + 3 + apart // 10
         part = ((tokens >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
         start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         end = np.append(start[1:], n)
@@ -101,8 +127,8 @@ class Index:
     def search(self, query: np.ndarray, percent: int, skip: np.ndarray) -> np.ndarray:
         """The sets that link with the query: percent of the union at least in common. skip masks sets not asked for.
 
-        DivideSkip: a linked set needs percent of the query's size in common. The longest lists, as many as leave
-        that need positive, are not merged; a set must then occur in the short lists the remaining times.
+        DivideSkip: a linked set needs percent of the query's size in common, T. The L = T / (cost * log2(longest) + 1)
+        longest lists are not merged; a set must then occur in the short lists T - L times.
         """
         need = max(1, -(-percent * len(query) // 100))
         at = np.searchsorted(self.tokens, query)
@@ -111,10 +137,10 @@ class Index:
             return np.empty(0, np.int64)
         length = self.start[at + 1] - self.start[at]
         by_length = at[np.argsort(length, kind="stable")]
-        n_long = min(need - 1, len(by_length) - 1)
+        n_long = min(need - 1, len(by_length) - 1, int(need / (PROBE_COST * math.log2(max(2, int(length.max()))) + 1)))
         short, long = by_length[: len(by_length) - n_long], by_length[len(by_length) - n_long :]
-        sets, counts = self._merge(short)
-        ok = (counts >= need - n_long) & ~skip[sets]
+        sets, counts = self._merge(short, skip)
+        ok = counts >= need - n_long
         ok &= (self.sizes[sets] * 100 >= percent * len(query)) & (percent * self.sizes[sets] <= 100 * len(query))
         sets, counts = sets[ok], counts[ok].copy()
         # What two sets must share: percent * union <= 100 * common, with union = sizes - common.
@@ -130,27 +156,17 @@ class Index:
                 sets, counts, wanted = sets[hope], counts[hope], wanted[hope]
         return sets[counts >= wanted]
 
-    def _merge(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sets in the given lists with the number of lists that hold each, in order."""
-        runs = [self.of[self.start[t] : self.start[t + 1]] for t in lists]
-        if sum(map(len, runs)) > 512:  # for many entries counting by array beats the heap
-            counts = np.bincount(np.concatenate(runs), minlength=len(self.sizes))
-            found = np.flatnonzero(counts)
-            return found, counts[found]
-        heap = [(int(r[0]), k, 0) for k, r in enumerate(runs)]
-        heapq.heapify(heap)
-        found, counts = [], []
-        while heap:
-            value, k, i = heap[0]
-            if found and found[-1] == value:
+    def _merge(self, lists: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sets in the given lists that skip leaves, with the number of lists that hold each, in order: a heap merge."""
+        runs = (self.of[self.start[t] : self.start[t + 1]] for t in lists)
+        found, counts, last = [], [], -1
+        for i in heapq.merge(*(r[~skip[r]].tolist() for r in runs)):
+            if i == last:
                 counts[-1] += 1
             else:
-                found.append(value)
+                found.append(i)
                 counts.append(1)
-            if i + 1 < len(runs[k]):
-                heapq.heapreplace(heap, (int(runs[k][i + 1]), k, i + 1))
-            else:
-                heapq.heappop(heap)
+                last = i
         return np.array(found, np.int64), np.array(counts, np.int64)
 
 
@@ -216,7 +232,20 @@ def _blocks(sets: Column, elements: Column) -> Column:
     return F.greatest(F.ceil(sets / F.lit(BLOCK_SETS)), F.ceil(elements / F.lit(BLOCK_ELEMENTS))).cast("long")
 
 
-def _links(texts: DataFrame, families: DataFrame, edges: DataFrame, n: int, percent: int) -> DataFrame:
+def _open_groups(large: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """(hub, node, size, class) of the sets of large families that share a signature with a set of another class.
+
+    Sets that share a signature share its hub, the smallest of them. Families of one class are left out first.
+    """
+    known = stored(large.select("family", "node", "size").distinct().join(classes, "node", "left").select("family", "node", "size", F.coalesce("component", "node").alias("class")), "ngram-classes")
+    mixed = known.groupBy("family").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("family")
+    texts = large.select("node", "text").join(known.join(mixed, "family", "left_semi").select("node", "class"), "node").select("node", "text", "class")
+    bytes_ = large.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = _route(texts, n, percent, _buckets(bytes_), labelled=True).groupBy("bucket").applyInArrow(_meet_labelled, "hub long, node long, label long")
+    return rows.distinct().join(known.select("node", "size"), "node").select("hub", "node", "size", F.col("label").alias("class"))
+
+
+def _links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataFrame:
     """All links between classes found so far, from texts (family, blocks, node, size, text) of families."""
     s = texts.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     own = s.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "text")
@@ -227,12 +256,9 @@ def _links(texts: DataFrame, families: DataFrame, edges: DataFrame, n: int, perc
     everywhere = large.join(leading.select("node"), "node", "left_semi").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     everywhere = everywhere.select("family", "block", "node", F.col("node").alias("class"), F.lit(True).alias("asks"), F.lit(True).alias("answers"), "text")
     found = _search(own.unionByName(everywhere), n, percent)
-    # Blocks of a large family have not all met. Sets that share a signature share its hub: in each hub's group the
-    # sets outside its largest class ask all of the group, so every pair of classes that could link has met.
-    so_far = components(found)
-    wide = families.where("blocks > 1").select("node", "size")
-    group = edges.select("hub", "node").unionByName(edges.select("hub", F.col("hub").alias("node")).distinct()).join(wide, "node")
-    group = stored(group.join(so_far, "node", "left").select("hub", "node", "size", F.coalesce("component", "node").alias("class")), "ngram-groups")
+    # Blocks of a large family have not all met. In each hub's group the sets outside its largest class ask all of the
+    # group, so every pair of classes that could link has met.
+    group = stored(_open_groups(large, components(found), n, percent), "ngram-groups")
     sizes = group.groupBy("hub", "class").agg(F.count("*").alias("sets"))
     largest = sizes.groupBy("hub").agg(F.max(F.struct("sets", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
     outside = F.col("class") != F.col("top.class")
@@ -249,56 +275,321 @@ def _links(texts: DataFrame, families: DataFrame, edges: DataFrame, n: int, perc
     return found.unionByName(_search(rows.join(texts.select("node", "text"), "node"), n, percent))
 
 
-def _routes(signed: DataFrame) -> DataFrame:
-    """(node, signatures) to (node, hub, weight): each set and the smallest one with a signature in common, with the number of these.
+def _packed(flat: np.ndarray) -> np.ndarray:
+    """The low bytes of 64-bit values, a row of SIGNATURE_BYTES each."""
+    return np.ascontiguousarray(flat).view(np.uint8).reshape(-1, 8)[:, :SIGNATURE_BYTES]
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    wide = np.zeros((len(packed) // SIGNATURE_BYTES, 8), np.uint8)
+    wide[:, :SIGNATURE_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, SIGNATURE_BYTES)
+    return wide.view(np.uint64)[:, 0]
+
+
+def _bucket(flat: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash, by its high bits; in the order of the hashes."""
+    return (((flat >> np.uint64(40)) * np.uint64(buckets)) >> np.uint64(24)).astype(np.int64)
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where one of the keys differs from the one before."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
 
-    A signature that many share makes a row per set, never pairs; counting them begins before the shuffle.
+
+def _rows_by_bucket(flat: np.ndarray, of: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, bytes, bytes]]:
+    """Hashes, in order, and the place of the set of each, to (bucket, places, how many of each, packed hashes)."""
+    bucket = _bucket(flat, buckets)
+    order = np.argsort(bucket * (int(of.max(initial=0)) + 1) + of, kind="stable")
+    flat, of, bucket = flat[order], of[order], bucket[order]
+    head = _starts(bucket, of)
+    within, place = bucket[head], of[head]
+    counts, packed = np.diff(np.append(head, len(flat))).astype(np.uint32), _packed(flat)
+    begin = _starts(within)
+    at = np.append(head, len(flat))
+    for i, j in zip(begin, np.append(begin[1:], len(within))[: len(begin)], strict=True):
+        yield int(within[i]), place[i:j], counts[i:j].tobytes(), packed[at[i] : at[j]].tobytes()
+
+
+COUNTED = "bucket long, block long, places binary, counts binary, singles binary, several binary, own binary"
+
+
+def _own(block: list[tuple[int | None, tuple[int, int, int], bool, int]], several: np.ndarray) -> bytes:
+    """What a block keeps of its rows until the counts come back: id (and whether it is null), key, how many hashes
+    several sets of the block have, whether the row stands for its equal ones here, and the hash of its text."""
+    table = np.zeros((len(block), 8), np.int64)
+    for k, (i, key, leads, th) in enumerate(block):
+        table[k] = (i or 0, i is None, *key, several[k], leads, th)
+    return table.tobytes()
+
+
+def _count(docs: DataFrame, n: int, buckets: int) -> DataFrame:
+    """Rows (id, th, text) to packed rows of n-gram hashes by block of documents and bucket of hashes.
+
+    Of equal sets of a block the first stands for all. A hash that several sets of the block have goes once.
     """
-    each = signed.select("node", F.explode("signatures").alias("signature"))
-    shared = each.groupBy("signature").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("signature", "hub")
-    return stored(each.join(shared, "signature").where("node != hub").groupBy("node", "hub").agg(F.count("*").alias("weight")), "ngram-edges")
 
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        rows: list[tuple] = []
+        sets: list[np.ndarray] = []
+        leads: dict[tuple[int, int, int], int] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal number, held
+            block = (part << 24) + number
+            places = np.array([k for k, r in enumerate(rows) if r[2]], np.int64)
+            flat, of = np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(places, [len(x) for x in sets])
+            order = np.argsort(flat, kind="stable")
+            flat, of = flat[order], of[order]
+            head = _starts(flat)
+            run = np.diff(np.append(head, len(flat)))
+            several = np.bincount(of[np.repeat(run > 1, run)], minlength=len(rows))
+            shared, alone = flat[head[run > 1]], head[run == 1]
+            common = {b: x for b, _, _, x in _rows_by_bucket(shared, np.zeros(len(shared), np.int64), buckets)}
+            out = [(b, block, p.astype(np.uint32).tobytes(), c, x, common.pop(b, b""), None) for b, p, c, x in _rows_by_bucket(flat[alone], of[alone], buckets)]
+            out += [(b, block, b"", b"", b"", x, None) for b, x in common.items()]
+            out.append((block % buckets, block, None, None, None, None, _own(rows, several)))
+            for k in range(0, len(out), 256):
+                kinds = [pa.int64()] * 2 + [pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 256], strict=True), kinds, strict=True)], ["bucket", "block", "places", "counts", "singles", "several", "own"])
+            rows.clear()
+            sets.clear()
+            leads.clear()
+            number, held = number + 1, 0
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_shingles, component_id (the smallest id reachable by links, its own included).
+        for b in batches:
+            for i, th, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = shingles(t, n)
+                key = (0, 0, 0)
+                if len(x):
+                    key = (len(x), *long_array(np.array([np.bitwise_xor.reduce(mix(x)), np.add.reduce(mix(x * np.uint64(3) + np.uint64(1)))], np.uint64)).tolist())
+                first = i is not None and len(x) > 0 and key not in leads
+                if first:
+                    leads[key] = len(rows)
+                    sets.append(x)
+                    held += len(x)
+                rows.append((i, key, first, th))
+            if held > PACK_SIGNATURES:
+                yield from flush()
+        if rows:
+            yield from flush()
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(each, COUNTED)
+
+
+def _found(group: pa.Table) -> pa.Table:
+    """One bucket's rows to how many of each set's hashes other blocks have too; a block's own rows pass through."""
+    rows, flat, of = [], [], []
+    for block, places, counts, singles, several, own in zip(*(group[c].to_pylist() for c in ("block", "places", "counts", "singles", "several", "own")), strict=True):
+        if own is not None:
+            rows.append((block, None, None, own))
+            continue
+        alone = _unpacked(singles)
+        flat += [alone, _unpacked(several)]
+        of.append((len(rows), len(alone), len(flat[-1]), np.frombuffer(counts, np.uint32)))
+        rows.append((block, places, None, None))
+    if flat:
+        flat = np.concatenate(flat)
+        order = np.argsort(flat)
+        twin = flat[order][1:] == flat[order][:-1]
+        hit = np.zeros(len(flat), np.int64)
+        hit[order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])]] = 1
+        at = 0
+        for k, alone, several, counts in of:
+            total = np.concatenate([[0], np.cumsum(hit[at : at + alone])])
+            ends = np.cumsum(counts.astype(np.int64))
+            rows[k] = (rows[k][0], rows[k][1], (total[ends] - total[ends - counts]).astype(np.uint32).tobytes(), None)
+            at += alone + several
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table({c: pa.array(x, t) for c, x, t in zip(("block", "places", "found", "own"), zip(*rows, strict=True), kinds, strict=True)})
+
+
+def _opened(percent: int):
+    """Of one block: (id, th, size, first, second, open); open are the sets of which enough hashes occur elsewhere to link."""
+
+    def each(group: pa.Table) -> pa.Table:
+        own = np.frombuffer(next(x for x in group["own"].to_pylist() if x is not None), np.int64).reshape(-1, 8)
+        seen = own[:, 5].copy()
+        for places, found in zip(group["places"].to_pylist(), group["found"].to_pylist(), strict=True):
+            if places:
+                np.add.at(seen, np.frombuffer(places, np.uint32), np.frombuffer(found, np.uint32).astype(np.int64))
+        size = own[:, 2]
+        open_ = (own[:, 6] == 1) & (seen * 100 >= percent * size)
+        return pa.table({"id": pa.array(own[:, 0], mask=own[:, 1] == 1), "th": pa.array(own[:, 7]), "size": pa.array(size), "first": pa.array(own[:, 3]), "second": pa.array(own[:, 4]), "open": pa.array(open_)})
+
+    return each
+
+
+def _measure(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """(id, th, size, first, second, open) of each row (id, th, text): the set's size and two hashes of it, and whether it could link.
+
+    A set links with another only if percent of its n-grams, at least, occur in other sets: most documents' don't, and
+    these are settled here. Hashes of all n-grams meet in buckets, five bytes each, once per block of documents; two that
+    are equal by chance only leave a set open.
+    """
+    found = _count(docs, n, buckets).groupBy("bucket").applyInArrow(_found, "block long, places binary, found binary, own binary")
+    return found.groupBy("block").applyInArrow(_opened(percent), "id long, th long, size long, first long, second long, open boolean")
 
-    Two documents link when 100 * common >= percent * union of their sets of word n-grams. Null, empty and blank
-    texts have no shingles and link with nothing. A row with null id has no component. Rows of one id count as
-    one document in links. An empty table gives no rows.
+
+ROUTED = "bucket long, nodes binary, labels binary, counts binary, packed binary, node long, hub long"
+
+
+def _route(docs: DataFrame, n: int, percent: int, buckets: int, labelled: bool = False) -> DataFrame:
+    """Rows (node, text), or (node, text, label), to packed rows of signatures by block of documents and bucket.
+
+    Without labels only the smallest node of a signature in the block sends it, and the others are paired with it here
+    (rows with node and hub, which pass through the buckets); with labels all nodes do.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    binary = F.col("text").cast("binary").alias("text")
 
-    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, n) for t in batch[1].to_pylist()]
-        first = [int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0 for s in sets]
-        second = [int(np.add.reduce(mix(s * np.uint64(3) + np.uint64(1)))) if len(s) else 0 for s in sets]
-        signed = [signatures(s, percent) for s in sets]
-        both = (pa.array(long_array(np.array(x, np.uint64))) for x in (first, second))
-        lists = list_column(long_array(np.concatenate(signed)), [len(f) for f in signed], pa.int64())
-        return pa.RecordBatch.from_arrays([batch[0], pa.array([len(s) for s in sets], pa.int64()), *both, lists], ["id", "size", "first", "second", "signatures"])
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys = sorted(rows)
+            ids, labels = (np.array([k[c] for k in keys], np.int64) for c in (0, 1))
+            flat, of = np.concatenate([rows[k] for k in keys]), np.repeat(np.arange(len(keys)), [len(rows[k]) for k in keys])
+            order = np.argsort(flat, kind="stable")
+            flat, of = flat[order], of[order]
+            out = []
+            if not labelled:
+                head = _starts(flat)
+                lead = np.repeat(of[head], np.diff(np.append(head, len(flat))))
+                pairs = np.unique(of[lead != of] * len(keys) + lead[lead != of])
+                out = [(int(i) % buckets, None, None, None, None, int(ids[i]), int(ids[j])) for i, j in zip(*divmod(pairs, len(keys)), strict=True)]
+                flat, of = flat[head], of[head]
+            out += [(b, ids[p].tobytes(), labels[p].tobytes(), c, x, None, None) for b, p, c, x in _rows_by_bucket(flat, of, buckets)]
+            for k in range(0, len(out), 256):
+                kinds = [pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 256], strict=True), kinds, strict=True)], ["bucket", "nodes", "labels", "counts", "packed", "node", "hub"])
+            rows.clear()
 
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for k, (i, t) in enumerate(zip(*columns[:2], strict=True)):
+                signed = signatures(shingles(t, n), percent)
+                key = (i, columns[2][k] if labelled else 0)
+                # Rows of one id with different texts are one node.
+                rows[key] = np.union1d(rows[key], signed) if key in rows else signed
+                held += len(signed)
+            if held > PACK_SIGNATURES:
+                yield from flush()
+                held = 0
+        if rows:
+            yield from flush()
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(each, ROUTED)
+
+
+def _groups_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one bucket's signatures that several nodes have: node and label of each occurrence, and the first occurrence
+    of the same signature, which is that of its smallest node."""
+    node, label, flat = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for ids, labels, counts, packed in zip(*(group[c].to_pylist() for c in ("nodes", "labels", "counts", "packed")), strict=True):
+        if ids is not None:
+            times = np.frombuffer(counts, np.uint32)
+            node.append(np.repeat(np.frombuffer(ids, np.int64), times))
+            label.append(np.repeat(np.frombuffer(labels, np.int64), times))
+            flat.append(_unpacked(packed))
+    node, label, flat = map(np.concatenate, (node, label, flat))
+    order = np.argsort(flat)
+    twin = flat[order][1:] == flat[order][:-1]
+    order = order[np.concatenate([[False], twin]) | np.concatenate([twin, [False]])] if len(order) else order
+    order = order[np.lexsort((node[order], flat[order]))]
+    head = _starts(flat[order])
+    return node[order], label[order], np.repeat(head, np.diff(np.append(head, len(order))))
+
+
+def _meet(group: pa.Table) -> pa.Table:
+    """One bucket to (node, hub, weight): each node and the smallest one it shares a signature with, and how many."""
+    node, _, head = _groups_of(group)
+    hub = node[head]
+    pairs, weight = np.unique(np.stack([node[node != hub], hub[node != hub]], axis=1), axis=0, return_counts=True)
+    known = group.filter(pc.is_valid(group["hub"]))
+    columns = (np.concatenate([pairs[:, k], known[c].to_numpy()]) for k, c in enumerate(("node", "hub")))
+    return pa.table({**{c: pa.array(x, pa.int64()) for c, x in zip(("node", "hub"), columns, strict=True)}, "weight": pa.array(np.concatenate([weight, np.ones(len(known), np.int64)]), pa.int64())})
+
+
+def _meet_labelled(group: pa.Table) -> pa.Table:
+    """One bucket to (hub, node, label): the nodes of signatures that nodes of different labels share, and the smallest."""
+    node, label, head = _groups_of(group)
+    mixed = np.zeros(len(node), bool)
+    mixed[head[label != label[head]]] = True
+    keep = mixed[head]
+    rows = np.unique(np.stack([node[head][keep], node[keep], label[keep]], axis=1), axis=0)
+    return pa.table({c: pa.array(rows[:, k], pa.int64()) for k, c in enumerate(("hub", "node", "label"))})
+
+
+def _buckets(size: int) -> int:
+    return max(1, -(-size // min(MOST_BUCKET, max(LEAST_BUCKET, size // MANY_BUCKETS))))
+
+
+def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, th, size, component) of each row (id, text); th, a hash of the text, tells rows of one id apart."""
+    d = docs.withColumn("th", F.xxhash64("text"))
+    binary = F.col("text").cast("binary").alias("text")
+    bytes_ = d.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    measured = stored(_measure(d.select("id", "th", binary), n, percent, _buckets(bytes_)), "ngram-sizes")
     equal = ["size", "first", "second"]
-    signed = stored(map_arrow(d.select("id", binary), measure, "id long, size long, first long, second long, signatures array<long>"), "ngram-signatures")
-    measured = stored(signed.drop("signatures"), "ngram-sizes")
-    smallest = stored(measured.where("size > 0 AND id IS NOT NULL").groupBy(*equal).agg(F.min("id").alias("node")), "ngram-nodes")
-    # Sets in which nothing may differ are settled already. Of rows of one id each set counts.
-    asked = smallest.where(F.expr(f"({100 - percent} * size) div {percent} > 0")).select(F.col("node").alias("id"), *equal)
-    edges = _routes(signed.join(asked, ["id", *equal], "left_semi").select(F.col("id").alias("node"), "signatures"))
-    discard(signed)
-    release(docs.sparkSession)
+    # Sets in which nothing may differ are settled by equality. Of rows of one id each set counts.
+    smallest = stored(measured.where("size > 0 AND id IS NOT NULL").groupBy(*equal).agg(F.min("id").alias("node"), F.bool_or("open").alias("open")), "ngram-nodes")
+    asked = smallest.where(F.col("open") & F.expr(f"({100 - percent} * size) div {percent} > 0"))
+    nodes = stored(asked.groupBy("node").agg(F.sum("size").alias("size")), "ngram-open")
+    routed = _route(d.withColumnRenamed("id", "node").join(broadcast_if_small(nodes, 16), "node").select("node", binary), n, percent, _buckets(bytes_))
+    edges = routed.groupBy("bucket").applyInArrow(_meet, "node long, hub long, weight long")
+    edges = stored(edges.groupBy("node", "hub").agg(F.sum("weight").alias("weight")), "ngram-edges")
     member = components(edges, "node", "hub")
     family = member.withColumnRenamed("component", "family")
     weight = edges.select("node", "weight").unionByName(edges.select(F.col("hub").alias("node"), "weight")).groupBy("node").agg(F.sum("weight").alias("weight"))
-    family = family.join(smallest.groupBy("node").agg(F.sum("size").alias("size")), "node")
+    family = family.join(nodes, "node")
     total = family.groupBy("family").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"))
     families = stored(family.join(total, "family").join(weight, "node"), "ngram-families")
-    discard(member)
-    texts = stored(d.withColumnRenamed("id", "node").join(families.select("node", "family", "blocks", "size"), "node").select("family", "blocks", "node", "size", binary), "ngram-texts")
-    release(docs.sparkSession)
-    links = stored(_links(texts, families, edges, n, percent), "ngram-all-links")
+    discard(member, edges, nodes)
+    routes = broadcast_if_small(families, 40).select("node", "family", "blocks", "size")
+    texts = stored(d.withColumnRenamed("id", "node").join(routes, "node").select("family", "blocks", "node", "size", binary), "ngram-texts")
+    links = stored(_links(texts, families, n, percent), "ngram-all-links")
     found = components(links)
-    discard(texts, families, edges, links)
+    discard(texts, families, links)
     out = measured.join(smallest, equal, "left").join(found, "node", "left")
     component = F.when(F.col("size") == 0, F.col("id")).otherwise(F.coalesce("component", "node"))
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
+    return out.select("id", "th", "size", F.when(F.col("id").isNotNull(), component).alias("component"))
+
+
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: id, n_shingles, component_id (the smallest id reachable by links, its own included).
+
+    Two documents link when 100 * common >= percent * union of their sets of word n-grams. Null, empty and blank
+    texts have no shingles and link with nothing; texts of any length are read whole. A row with null id has no
+    component. Repeated rows count as one document; rows of one id with different texts link as that document, each
+    with its own n_shingles. Ties (equal sets) fall to the smallest id. Other columns are ignored. An empty table
+    gives no rows.
+    """
+    return classes(_plain(docs, id_col, text_col), n, percent).select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with their columns, of each class of linked documents only those of the smallest id.
+
+    A row without id or shingles stays. Of repeated rows (equal in all columns) one stays; rows of one id with different
+    texts each stay or go by their own set. An empty table gives no rows.
+    """
+    found = stored(classes(_plain(docs, id_col, text_col), n, percent), "ngram-classes")
+    clash = f"_{max(docs.columns, key=len)}"  # names that docs doesn't have
+    later = broadcast_if_small(stored(found.where("component <> id").select(F.col("id").alias(f"{clash}_id"), F.col("th").alias(f"{clash}_th")).distinct(), "ngram-later"), 16)
+    own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.join(later, (F.col(id_col).cast("long") == F.col(f"{clash}_id")) & (own == F.col(f"{clash}_th")), "left_anti")
+    again = stored(found.where("id IS NOT NULL").groupBy("id", "th").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias(f"{clash}_id")).distinct(), "ngram-again")
+    if again.isEmpty():
+        return kept
+    repeated = broadcast_if_small(again, 8)
+    same = F.col(id_col).cast("long") == F.col(f"{clash}_id")
+    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates(docs.columns))
