@@ -21,8 +21,8 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 #: Rows of one Arrow batch handed to Python. Texts reach 100 KB and more, so batches stay small.
 BATCH_ROWS = 500
-#: Bytes of a table that may be sent to every executor.
-BROADCAST_BYTES = 32_000_000
+#: Bytes of rows, by their widths, of a table that may be sent to every executor; in memory they take a few times that.
+BROADCAST_BYTES = 16_000_000
 #: Distinct words that a worker remembers the hash of before it starts again.
 HASH_CACHE = 400_000
 
@@ -94,6 +94,11 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.6)
 
 
+def free_name(df: DataFrame) -> str:
+    """The beginning of names that no column of df has."""
+    return f"_{max(df.columns, key=len)}"
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df dealt by keys into as many partitions as shuffles have in this session."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

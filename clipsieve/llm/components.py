@@ -15,9 +15,10 @@ CHUNK = 500_000
 
 
 def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges (u, v) to edges (node, least node) of the components that a task's edges make, CHUNK by CHUNK."""
+    """Edges (u, v, moved) to edges (node, least node, moved) of the components that a task's edges make, CHUNK by CHUNK;
+    moved if any edge of the chunk is."""
     parent: dict[int, int] = {}
-    n = 0
+    n, moved = 0, False
 
     def root(x: int) -> int:
         parent.setdefault(x, x)
@@ -29,43 +30,43 @@ def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def stars() -> pa.RecordBatch:
         pairs = [(x, r) for x in list(parent) if (r := root(x)) != x]
         parent.clear()
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["u", "v"])
+        return pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)), pa.array([moved] * len(pairs), pa.bool_())], ["u", "v", "moved"])
 
     for b in batches:
         for x, y in zip(b[0].to_pylist(), b[1].to_pylist(), strict=True):
             low, high = sorted((root(x), root(y)))
             parent[high] = low
+        moved |= any(b[2].to_pylist())
         n += b.num_rows
         if n > CHUNK:
             yield stars()
-            n = 0
+            n, moved = 0, False
     yield stars()
 
 
 def _joined_up(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").mapInArrow(_forest, "u long, v long")
+    return edges.select("u", "v", "moved").mapInArrow(_forest, "u long, v long, moved boolean")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an edge; component is the smallest node reachable.
 
     In a round each node that has a smaller neighbour joins itself and all its other neighbours to the smallest one, so
-    that distances about halve, and each task joins up the edges that it holds, until every node has one edge, to its
-    component's smallest. A node that is smaller than all its neighbours does nothing, so a star's centre is no hot key.
-    Nothing is collected; each round is written to the shared folder. Loops and repeated edges do no harm; null ends are
-    left out. No edges: no rows.
+    that distances about halve, and each task joins up the edges that it holds. It ends when every node has one edge, to
+    its component's smallest: then no node with a smaller neighbour has another one. A node that is smaller than all its
+    neighbours does nothing, so a star's centre is no hot key. Nothing is collected; each round is written to the shared
+    folder. Loops and repeated edges do no harm; null ends are left out. No edges: no rows.
     """
-    every = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    loops = every.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
-    e = stored(_joined_up(every.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"))).distinct().withColumn("moved", F.lit(True)), "components-edges")
+    every = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"), F.lit(True).alias("moved")).where("u IS NOT NULL AND v IS NOT NULL")
+    loops = every.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
+    e = stored(_joined_up(every.where("u <> v")), "components-edges")
     while not e.where("moved").isEmpty():
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
-        told = both.join(least, "u").select("u", "v", "m")
-        rows = _joined_up(told.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))).distinct()
-        # Nothing has moved if each edge is as it was.
-        old = e.select("u", "v", F.lit(True).alias("old"))
-        new = stored(rows.join(old, ["u", "v"], "left").select("u", "v", F.col("old").isNull().alias("moved")), "components-edges")
+        told = both.join(least, "u")
+        own = F.col("v") == F.col("m")
+        rows = told.select(F.when(own, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (~own).alias("moved"))
+        new = stored(_joined_up(rows), "components-edges")
         discard(e)
         e = new
     # A root stands for itself; a node with a loop alone is its own component.

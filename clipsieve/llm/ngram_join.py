@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import WordHasher, broadcast_if_small, discard, grams, long_array, mix, small_batches, spread, stored
+from clipsieve.llm.common import WordHasher, broadcast_if_small, discard, free_name, grams, long_array, mix, small_batches, spread, stored
 from clipsieve.llm.components import components
 
 #: Sets of one block of a family, and their elements; more of either make more blocks.
@@ -583,7 +583,7 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     texts each stay or go by their own set. An empty table gives no rows.
     """
     found = stored(classes(_plain(docs, id_col, text_col), n, percent), "ngram-classes")
-    clash = f"_{max(docs.columns, key=len)}"  # names that docs doesn't have
+    clash = free_name(docs)
     later = broadcast_if_small(stored(found.where("component <> id").select(F.col("id").alias(f"{clash}_id"), F.col("th").alias(f"{clash}_th")).distinct(), "ngram-later"), 16)
     own = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     kept = docs.join(later, (F.col(id_col).cast("long") == F.col(f"{clash}_id")) & (own == F.col(f"{clash}_th")), "left_anti")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import SPACE_RE, stored, trimmed
+from clipsieve.llm.common import SPACE_RE, broadcast_if_small, free_name, stored, trimmed
 
 #: The commonest words of each language, and of none.
 COMMON_WORDS = {
@@ -163,3 +163,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance",
     )
+
+
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with their columns, without the rows that judge rejects; null ids and repeated rows are judged like others."""
+    clash = free_name(docs)
+    row = F.struct(F.col(id_col).alias("i"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(lang_col)).alias("h"))
+    bad = judge(docs.select(row.alias("row"), text_col, lang_col), "row", text_col, lang_col).where(~F.col("kept"))
+    bad = stored(bad.select(F.col("row.i").alias(f"{clash}_id"), F.col("row.h").alias(f"{clash}_h")).distinct(), "quality-rejected")
+    same = F.col(id_col).eqNullSafe(F.col(f"{clash}_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(lang_col)) == F.col(f"{clash}_h"))
+    return docs.join(broadcast_if_small(bad, 16), same, "left_anti")

@@ -15,10 +15,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import MULTIPLIER, SECOND_MULTIPLIER, WordHasher, discard, grams, long_array, map_arrow, release, small_batches, stored
+from clipsieve.llm.common import MULTIPLIER, SECOND_MULTIPLIER, WordHasher, broadcast_if_small, discard, free_name, grams, long_array, map_arrow, small_batches, stored
 
 WINDOW = 50
 MINIMISER = 10
@@ -68,36 +68,50 @@ def super_kmers(h: np.ndarray, window: int = WINDOW, minimiser: int = MINIMISER)
 
 
 def _parts(docs: DataFrame) -> DataFrame:
-    """(id, th, mk, body, start, windows) of every super-k-mer of every document; th tells texts of one id apart."""
+    """(id, th, mk, body, at) of every super-k-mer of every document; th tells texts of one id apart, at has the first
+    window and, in its low 31 bits, their number."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         ids, ths, cols = batch[0].to_numpy(zero_copy_only=False), batch[1].to_numpy(zero_copy_only=False), []
         for k, text in enumerate(batch[2].to_pylist()):
             mk, body, start, count = super_kmers(_hasher.array(text.split()))
             if len(mk):
-                cols.append((np.full(len(mk), ids[k]), np.full(len(mk), ths[k]), long_array(mk), long_array(body), start, count))
+                cols.append((np.full(len(mk), ids[k]), np.full(len(mk), ths[k]), long_array(mk), long_array(body), start * _SHIFT + count))
         if not cols:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], ["id", "th", "mk", "body", "start", "windows"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], ["id", "th", "mk", "body", "at"])
 
     rows = docs.where(F.col("id").isNotNull()).select("id", "th", F.col("text").cast("binary"))
-    return map_arrow(rows, each, "id long, th long, mk long, body long, start long, windows long")
+    return map_arrow(rows, each, "id long, th long, mk long, body long, at long")
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The packed strings of wanted super-k-mers (id, th, mk, start, windows, n), cut from their documents."""
-    each_doc = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("mk", "start", "windows", "n")).alias("parts"))
-    one = docs.dropDuplicates(["id", "th"]).join(each_doc, ["id", "th"]).select("id", "th", F.col("text").cast("binary").alias("text"), "parts")
+    """The packed strings of wanted super-k-mers (id, th, mk, at, n), cut from their documents.
 
-    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for i, th, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = text.split()
-            rows += [(i, th, p["mk"], p["n"], p["start"], b" ".join(words[p["start"] : p["start"] + p["windows"] + WINDOW - 1])) for p in parts]
+    A task cuts rows of one id and text once.
+    """
+    each_doc = stored(wanted.groupBy("id", "th").agg(F.collect_list(F.struct("mk", "at", "n")).alias("parts")), "substring-wanted")
+    each_doc = broadcast_if_small(each_doc, 40, F.size("parts"))
+    joined = docs.join(each_doc, ["id", "th"]).select("id", "th", F.col("text").cast("binary").alias("text"), "parts")
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         kinds = [pa.int64()] * 5 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "th", "mk", "n", "start", "packed"])
+        for b in batches:
+            rows = []
+            for i, th, text, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (i, th) in seen:
+                    continue
+                seen.add((i, th))
+                words = text.split()
+                for p in parts:
+                    start, windows = p["at"] // _SHIFT, p["at"] % _SHIFT
+                    rows.append((i, th, p["mk"], p["n"], start, b" ".join(words[start : start + windows + WINDOW - 1])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "th", "mk", "n", "start", "packed"])
 
-    return map_arrow(one, each, "id long, th long, mk long, n long, start long, packed binary")
+    small_batches(docs.sparkSession)
+    return joined.mapInArrow(each, "id long, th long, mk long, n long, start long, packed binary")
 
 
 def _windows(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,32 +172,37 @@ def _spread_windows(big: DataFrame) -> DataFrame:
 
     w = map_arrow(big.select("id", "th", "mk", "start", "packed"), each, "first long, second long, id long, th long, start long")
     owner = w.groupBy("first", "second").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("owner < most")
-    return w.join(owner, ["first", "second"]).where("id > owner").select("id", "th", (F.col("start") * _SHIFT + F.col("start") + WINDOW).alias("span"))
+    return w.join(owner, ["first", "second"]).where("id > owner").select("id", "th", _span(F.col("start"), F.col("start") + WINDOW))
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(id, th, spans) with the covered words [span div 2**31, span mod 2**31) of documents (id, th, text)."""
     small_batches(docs.sparkSession)
-    release(docs.sparkSession)
-    parts = stored(_parts(docs), "substring-parts")
+    all_parts = stored(_parts(docs), "substring-parts")
+    # Most minimisers are of one document alone: these go before anything else is looked at.
+    met = all_parts.groupBy("mk").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("mk")
+    parts = stored(all_parts.join(met, "mk", "left_semi"), "substring-shared")
+    discard(all_parts)
     owners = parts.groupBy("mk", "body").agg(F.min("id").alias("owner"), F.max("id").alias("most"))
     # Where one super-k-mer stands in several documents, all but the smallest lose it whole.
     copies = parts.join(owners.where("owner < most"), ["mk", "body"]).where("id > owner")
-    whole = copies.select("id", "th", (F.col("start") * _SHIFT + F.col("start") + F.col("windows") + (WINDOW - 1)).alias("span"))
+    whole = copies.select("id", "th", _span(F.shiftright("at", 31), F.shiftright("at", 31) + F.col("at") % _SHIFT + (WINDOW - 1)))
     shared = owners.groupBy("mk").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high")).where("n > 1 AND low < high")
-    wanted = parts.join(owners.join(shared.select("mk", "n"), "mk"), ["mk", "body"]).where("id = owner").select("id", "th", "mk", "start", "windows", "n")
+    wanted = parts.join(owners.join(shared.select("mk", "n"), "mk"), ["mk", "body"]).where("id = owner").select("id", "th", "mk", "at", "n").distinct()
     packed = stored(_bodies(docs, wanted), "substring-packed")
-    release(docs.sparkSession)
     small = packed.where(F.col("n") <= BUCKET_ROWS).select("id", "th", "mk", "start", "packed")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = small.repartition(n, "mk").sortWithinPartitions("mk").mapInArrow(_sorted_buckets, "id long, th long, span long")
     every = whole.unionByName(small).unionByName(_spread_windows(packed.where(F.col("n") > BUCKET_ROWS)))
     out = stored(every.groupBy("id", "th").agg(F.collect_set("span").alias("spans")), "substring-spans")
     discard(parts, packed)
-    release(docs.sparkSession)
     return out
 
 
+def _span(start: Column, end: Column) -> Column:
+    return (start * _SHIFT + end).cast("long").alias("span")
+
+
 def _kept(text: bytes, own: list[int] | None) -> tuple[list[bytes], list[int] | None]:
     """A text's words, and which of them stay outside the spans (None: all)."""
     words = text.split()
@@ -196,11 +215,13 @@ def _kept(text: bytes, own: list[int] | None) -> tuple[list[bytes], list[int] |
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with the columns _th and _spans."""
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    d = keyed.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col("_th").alias("th"))
-    covered = spans(d).select(F.col("id").alias("_id"), F.col("th").alias("_th2"), F.col("spans").alias("_spans"))
-    return keyed.join(covered, (F.col(id_col) == F.col("_id")) & (F.col("_th") == F.col("_th2")), "left").drop("_id", "_th2")
+    """The columns of docs and, as the last one, each row's spans."""
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    covered = broadcast_if_small(spans(d.withColumn("th", F.xxhash64("text"))), 24, F.size("spans") + 1)
+    name = free_name(docs)
+    covered = covered.select(F.col("id").alias(f"{name}_id"), F.col("th").alias(f"{name}_th"), F.col("spans").alias(f"{name}_spans"))
+    same = (F.col(id_col).cast("long") == F.col(f"{name}_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(f"{name}_th"))
+    return docs.join(covered, same, "left").drop(f"{name}_id", f"{name}_th")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,10 +230,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Removed is each word in a window that also starts in a document with a smaller id, judged on the input. Null
     and empty texts have no words; texts under WINDOW words lose none. Rows with the same id don't count as
     others: equal ones fare alike, different ones are judged apart. A row with null id loses nothing and takes
-    nothing. An empty table gives no rows.
+    nothing. Texts of any length are read whole; other columns are ignored. An empty table gives no rows.
     """
     joined = _with_spans(docs.select(id_col, text_col), id_col, text_col)
-    rows = joined.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"), "_spans")
+    rows = joined.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"), joined.columns[-1])
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
@@ -233,7 +254,7 @@ def strip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     A document that loses all its words goes.
     """
     names = docs.columns
-    joined = _with_spans(docs, id_col, text_col).select(*names, "_spans")
+    joined = _with_spans(docs, id_col, text_col)
     at = names.index(text_col)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
