@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from clipsieve.llm import decontam, mixing, ngram_join, quality_rules, substring
 from clipsieve.llm.common import stored, table
@@ -17,20 +16,12 @@ from clipsieve.llm.common import stored, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    kept = quality_rules.judge(keyed, "_key").where("kept").select("_key")
-    return keyed.join(kept, "_key", "left_semi").drop("_key")
+    return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that link by 0.8 of their five-word shingles, directly or through others, the smallest id.
-
-    A row without id stays, as it has no group; of repeated rows of one id one stays.
-    """
-    groups = ngram_join.join(docs, n=5, percent=80)
-    first = groups.where("component_id = doc_id").select("doc_id").distinct()
-    known = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    """Of documents that link by 0.8 of their five-word shingles, directly or through others, the smallest id."""
+    return ngram_join.keep_first(docs, n=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
