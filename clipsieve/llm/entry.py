@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clipsieve.llm import classifier, decontam, lm, mixing, ngram_join, quality_rules, substring, toxicity, url_filter, warc
 from clipsieve.llm.common import table
@@ -16,7 +17,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    kinds = [F.col(k).isNotNull().cast("int") for k in warc.KINDS]
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.col("request.target_uri").alias("request_uri"), sum(kinds[1:], kinds[0]).cast("long").alias("n_records"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +53,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+# The columns of op6, op7 and op10 that SQL can express, each from the same operator and parameters over whole tables.
+
+
+def op6_quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def op7_url_filters_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("given"))
+
+
+def op10_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target", (F.col("taken") <= 3 * F.col("size")).alias("within"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -63,6 +80,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
+        "op6_quality_rules_base": op6_quality_rules_base,
+        "op7_url_filters_rules": op7_url_filters_rules,
+        "op10_mixing_targets": op10_mixing_targets,
     }
 
 
@@ -73,7 +93,7 @@ OP2_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 part AS (SELECT page_id, h, k, CAST('0x' || substr(sha1(h), 5 * k + 1, 5) AS BIGINT) AS n FROM p, range(0, 8) t(k)),
 d AS (SELECT page_id, CAST(octet_length(encode(any_value(h))) AS BIGINT) AS payload_bytes, string_agg({" || ".join(_SIGN.format(shift=s) for s in (15, 10, 5, 0))}, '' ORDER BY k) AS payload_digest FROM part GROUP BY page_id),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to, replace(replace(url, chr(13), '%0D'), chr(10), '%0A') AS request_uri, 3 AS n_records FROM f JOIN pages USING (page_id)"""
 
 #: Counts the common shingles of all pairs that have one: for small tables only, as those of the correctness check.
 OP3_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
@@ -94,6 +114,34 @@ kept AS (SELECT pos.doc_id, string_agg(word, ' ' ORDER BY pos.i) AS t, count(*)
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id"""
 
 
+OP6_SQL = f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 7], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8) z),
+hit AS (SELECT DISTINCT doc_id, i + j AS at FROM (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1) z, range(0, 8) r(j)),
+rep AS (SELECT doc_id, count(*) AS n FROM hit GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls, coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m"""
+
+OP7_SQL = """WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, '.' || host AS h FROM u)
+SELECT page_id, host, path,
+  CASE WHEN ends_with(h, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN ends_with(h, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ends_with(h, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN ends_with(h, '.com') AND starts_with(path, '/de/') THEN 'com/de/' WHEN ends_with(h, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+  CASE rule WHEN 'org/' THEN 'allow' WHEN 'com/fr/' THEN 'allow' WHEN 'example.org/es/' THEN 'block' WHEN 'example.org/en/1' THEN 'block' WHEN 'com/de/' THEN 'block' END AS given FROM r"""
+
+#: Sources in the order in which they reach three times their size; the first that doesn't, and all after it, share the rest.
+OP10_SQL = f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+o AS (SELECT *, 3.0::DOUBLE * source_size AS most, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source IS NULL, encode(source)) AS r FROM s),
+p AS (SELECT *, sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS share FROM o),
+k AS (SELECT r AS k, rest, share FROM p WHERE most >= rest * weight / share ORDER BY r LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN r >= (SELECT k FROM k) THEN (SELECT rest FROM k) * weight / (SELECT share FROM k) ELSE most END AS target FROM p)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, true AS within FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries whose every column SQL can express; the others are tested against brute force in tests/llm."""
-    return {"op2_warc": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_substring_dedup": OP5_SQL}
+    return {
+        "op2_warc": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_substring_dedup": OP5_SQL,
+        "op6_quality_rules_base": OP6_SQL, "op7_url_filters_rules": OP7_SQL, "op10_mixing_targets": OP10_SQL,
+    }
