@@ -15,7 +15,7 @@ CLUSTER = ["video", "singular", "desc_key"]
 def parse(grouped: DataFrame) -> DataFrame:
     """(video, questions_and_answers) to (video, q_idx, item, qtype, question, answer); null parts where an item doesn't parse."""
     rows = grouped.select("video", F.posexplode(text.items(F.col("questions_and_answers"))).alias("q_idx", "item"))
-    part = lambda k: F.when(F.col("item").rlike(text.ITEM), F.regexp_extract("item", text.ITEM, k))
+    part = lambda k: F.nullif(F.regexp_extract("item", text.ITEM, k), F.lit(""))  # noqa: E731  # no part of an item that parses is empty
     return rows.select("*", part(1).alias("qtype"), part(2).alias("question"), part(3).alias("answer"))
 
 
@@ -36,7 +36,7 @@ def merged(subs: DataFrame) -> DataFrame:
     key = F.when(F.col("desc_key") != "", F.col("desc_key"))
     m = subs.withColumns({"_low": F.min(key).over(noun), "_high": F.max(key).over(noun)})
     moves = (F.col("desc_key") == "") & F.coalesce(F.col("_low") == F.col("_high"), F.lit(False))
-    m = m.withColumn("was_bare", moves).withColumn("desc_key", F.when(moves, F.col("_low")).otherwise(F.col("desc_key")))
+    m = m.withColumn("was_bare", F.coalesce(moves, F.lit(False))).withColumn("desc_key", F.when(moves, F.col("_low")).otherwise(F.col("desc_key")))
     return m.drop("_low", "_high")
 
 
@@ -84,11 +84,22 @@ def prompts(merged_subs: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
 
 
 def prompt_select(grouped: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
-    """(video, prompt_word, subject_question_count, total_questions, score); videos without a subject have a null prompt."""
-    top = best(scored(merged(subjects(parse(grouped), v)), v))
-    total = grouped.select("video", F.size(text.items(F.col("questions_and_answers"))).cast("long").alias("total_questions"))
-    out = total.join(top.select("video", "prompt_word", F.col("cnt").alias("subject_question_count"), "score"), "video", "left")
-    return out.select("video", "prompt_word", "subject_question_count", "total_questions", "score")
+    """(video, prompt_word, subject_question_count, total_questions, score); videos without a subject have a null prompt.
+
+    One pass: behind a video's items stands a null item, whose place is their number. It has no subject and makes a
+    cluster without noun, which comes last.
+    """
+    items = text.items(F.col("questions_and_answers"))
+    rows = grouped.select("video", F.posexplode(F.concat(items, F.array(F.lit(None).cast("string")))).alias("q_idx", "item"))
+    question = F.nullif(F.regexp_extract("item", text.ITEM, 2), F.lit(""))
+    rest = rows.select("video", "q_idx", "item", text.tokens(question).alias("t")).select("video", "q_idx", "item", text.after_auxiliary(F.col("t")).alias("t"))
+    found = text.first_mention(rest, "t", v).where("s IS NOT NULL OR item IS NULL").select("video", "q_idx", "s.*")
+    w = Window.partitionBy("video")
+    order = (F.col("singular").isNull(), F.desc("score"), F.desc(F.col("desc_key") != ""), F.desc("cnt"), F.col("first_pos"))
+    total = F.max(F.when(F.col("singular").isNull(), F.col("first_pos"))).over(w)
+    top = scored(merged(found), v).withColumns({"total_questions": total.cast("long"), "rank": F.row_number().over(w.orderBy(*order))}).where("rank = 1")
+    own = F.col("singular").isNotNull()
+    return top.select("video", "prompt_word", F.when(own, F.col("cnt")).alias("subject_question_count"), "total_questions", F.when(own, F.col("score")).alias("score"))
 
 
 def coverage(selected: DataFrame) -> DataFrame:
