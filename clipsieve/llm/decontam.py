@@ -2,7 +2,7 @@
 
 Numbers, names and units of a text become typed placeholders. Windows of the resulting template are hash-joined
 with the benchmark's, so a question with other numbers or names still meets its original. A run of matching
-windows counts if its slots are consistent: equal values of the item stand for equal values of the document.
+windows counts if its slots are consistent: equal values of the item that are changed are all changed to the same.
 Copies in other case meet in a caseless template, where names stay plain words. What templates leave out for want of
 plain words is looked for word by word, and items of one window also with first words taken for names.
 """
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import grams, long_array, map_arrow, mix, stored
+from clipsieve.llm.common import free_name, grams, long_array, map_arrow, mix, stored
 
 WINDOW = 10
 #: Items of fewer template tokens are looked for word by word; those of fewer than WINDOW match as a whole.
@@ -42,13 +42,15 @@ FORMS = (CASED, CASELESS, CAPITALS, EXACT)
 _EDGE = b"\"'`.,;:?!()[]{}<>#*$%&|-_/\\=+~^"
 _DIGIT = re.compile(rb"[0-9]")
 _units = frozenset(u.encode() for u in UNITS)
+_HIGH = np.uint64(44)
 _SALT = np.array([0, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
 _KEYS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0], np.uint64)
 
 
 def folded(word: bytes) -> bytes:
     """Without marks at its edges, in Unicode's case folding."""
-    return word.strip(_EDGE).decode("utf-8", "replace").casefold().encode()
+    plain = word.strip(_EDGE)
+    return plain.lower() if plain.isascii() else plain.decode("utf-8", "replace").casefold().encode()
 
 
 class Words(dict):
@@ -62,7 +64,7 @@ class Words(dict):
         if i >= len(self.hash):
             self.hash, self.kind, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.kind, self.ends))
         plain = word.strip(_EDGE)
-        low, text = folded(word), plain.decode("utf-8", "replace")
+        low, text = folded(word), plain if plain.isascii() else plain.decode("utf-8", "replace")
         self.ends[i] = word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":")
         if not plain:
             self.kind[i] = NOTHING
@@ -172,6 +174,8 @@ class Benchmark:
                     at[t.form, size][h].append((k, p))
         self.at = {s: dict(at[s]) for s in sorted(at)}
         self.known = {s: np.sort(np.fromiter(d, np.uint64, len(d))) for s, d in self.at.items()}
+        # Which high bits any known window has: most windows of a document are told apart by these alone.
+        self.high = {s: np.bincount((k >> _HIGH).astype(np.int64), minlength=1 << (64 - int(_HIGH))) > 0 for s, k in self.known.items()}
 
     def matches(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(item id, windows that match, windows of the item, changed slots) of each item found in a text."""
@@ -184,8 +188,9 @@ class Benchmark:
                 known = self.known[form, size]
                 doc = doc if doc.form == form else cased.to(form)
                 h, places = doc.windows(size)
-                near = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                for j in np.flatnonzero(known[near] == h).tolist():
+                maybe = np.flatnonzero(self.high[form, size][h >> _HIGH])
+                near = np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)
+                for j in maybe[known[near] == h[maybe]].tolist():
                     for k, p in self.at[form, size][int(h[j])]:
                         q = int(places[j])
                         if np.array_equal(doc.tokens[q : q + size], self.items[form, k].tokens[p : p + size]):
@@ -206,15 +211,19 @@ class Benchmark:
 
     @staticmethod
     def _changed(doc: Template, item: Template, run: list[tuple[int, int, int]]) -> int | None:
-        """Slots with another value than the item's; None if equal values of the item differ in the document."""
+        """Slots with another value than the item's; None if equal values of the item are changed to different ones.
+
+        A value left as it is contradicts nothing: a copy may have one of its numbers edited.
+        """
         pairs = {(p + o, q + o) for q, p, size in run for o in range(size) if item.kinds[p + o] != PLAIN}
         value: dict[tuple[int, bytes], bytes] = {}
         changed = 0
         for i, j in sorted(pairs):
             a, b = item.slot(i), doc.slot(j)
-            if value.setdefault((int(item.kinds[i]), a), b) != b:
-                return None
-            changed += a != b
+            if a != b:
+                if value.setdefault((int(item.kinds[i]), a), b) != b:
+                    return None
+                changed += 1
         return changed
 
 
@@ -232,7 +241,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     """(id, item_id, n_windows, item_windows, changed_slots): a row for each item found in a document.
 
     Clean documents have no row. Null or empty texts and items match nothing; equal items all match. Repeated rows
-    of a document give repeated rows; either table empty gives none.
+    of a document, null ids too, give repeated rows. Texts of any length are read whole; other columns are ignored.
+    Either table empty gives none.
     """
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
     if not _fits(benchmark):
@@ -292,10 +302,14 @@ def _shuffled(d: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows in which an item is found; all columns stay, and rows with null or empty text too."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text_col)))
     if not _fits(benchmark):
-        found = matches(keyed, benchmark, "_key", text_col).select("_key").distinct()
-        return keyed.join(found, "_key", "left_anti").drop("_key")
+        # A row is found by its text: by two hashes of it, of 128 bits together.
+        name, text = free_name(docs), F.coalesce(F.col(text_col), F.lit(""))
+        hashes = [F.xxhash64(text), F.xxhash64(text, F.lit("second"))]
+        each = docs.select(text.alias("text")).distinct().withColumn("key", F.xxhash64("text"))
+        found = matches(each, benchmark, "key", "text").select("key").distinct()
+        bad = each.join(found, "key", "left_semi").select(F.col("key").alias(f"{name}_a"), F.xxhash64("text", F.lit("second")).alias(f"{name}_b"))
+        return docs.join(bad, (hashes[0] == F.col(f"{name}_a")) & (hashes[1] == F.col(f"{name}_b")), "left_anti")
     rows = [(r[0], r[1]) for r in _items(benchmark).orderBy("item_id", "text").collect()]
     shared, state = docs.sparkSession.sparkContext.broadcast(rows), {}
     at = docs.columns.index(text_col)
