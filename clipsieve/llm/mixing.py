@@ -15,13 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import stored, word_count
+from clipsieve.llm.common import broadcast_if_small, stored, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_TIMES = 3
 BLOCK_TOKENS = 64
-#: Tokens of one shard of all sources together; bounds what a task orders, whatever a source's share.
-SHARD_TOKENS = 4_000_000
+#: Tokens and documents of one shard of a source, on average: they bound what a task orders.
+SHARD_TOKENS = 2_000_000
+SHARD_ROWS = 5_000
 SEED = 20
 
 
@@ -87,11 +88,23 @@ def source_quotas(sources: DataFrame) -> DataFrame:
 
 
 def shard_quotas(shards: DataFrame) -> DataFrame:
-    """(skey, shard, shard_size, blocks of the source) to (skey, shard, shard_size, quota in tokens)."""
+    """(skey, shard, shard_size, blocks of the source) to (skey, shard, shard_size, quota in tokens).
+
+    No shard gets more than MAX_TIMES its size: what its blocks would exceed that by goes to the source's other shards
+    by the same rule, as far as they have room.
+    """
 
     def each(frame: pd.DataFrame) -> pd.DataFrame:
         f = frame.sort_values("shard", ignore_index=True)
-        f["quota"] = sainte_lague(f["shard_size"].to_numpy(), int(f["blocks"].iloc[0])) * BLOCK_TOKENS
+        size = f["shard_size"].to_numpy()
+        most = MAX_TIMES * size
+        quota, blocks = np.zeros(len(f), np.int64), int(f["blocks"].iloc[0])
+        while blocks and (open_ := quota < most).any():
+            quota += sainte_lague(np.where(open_, size, 0), blocks) * BLOCK_TOKENS
+            over = np.maximum(quota - most, 0)
+            quota -= over
+            blocks = int(over.sum()) // BLOCK_TOKENS
+        f["quota"] = quota
         return f[["skey", "shard", "shard_size", "quota"]]
 
     return shards.groupBy("skey").applyInPandas(each, "skey string, shard long, shard_size long, quota long")
@@ -104,22 +117,24 @@ def source_key(source: str = "source") -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Per document: its size, its source's size and target, and how many of its words the mix takes.
 
-    Null or empty text has size 0 and takes 0. A null source is a source of its own, after all others.
-    Repeated rows lie side by side and are taken one by one. An empty table gives no rows.
+    Null or empty text has size 0 and takes 0; texts of any length are counted whole. A null source is a source of its
+    own, after all others; a null id is an id. Repeated rows lie side by side and are taken one by one. Ties in the
+    seeded order go by id, size and text. Other columns are ignored. An empty table gives no rows.
     """
-    sized = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")), "mix-sizes")
-    sized = sized.withColumn("skey", source_key())
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_tokens))
-    sized = sized.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "id"), F.lit(shards).cast("long")))
-    per_shard = stored(sized.groupBy("skey", "source", "shard").agg(F.sum("size").alias("shard_size")), "mix-shards")
-    sources = stored(source_quotas(per_shard.groupBy("skey", "source").agg(F.sum("shard_size").alias("source_size"))), "mix-sources")
-    quotas = shard_quotas(per_shard.drop("source").join(sources.select("skey", "blocks"), "skey"))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(id_col, text_col).alias("row"))
+    sized = stored(sized.withColumn("skey", source_key()), "mix-sizes")
+    # A source has as many shards as its own size asks for, so small sources aren't spread thin.
+    per_source = stored(sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), "mix-totals")
+    shards = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("source_size") / shard_tokens), F.ceil(F.col("rows") / SHARD_ROWS))
+    sources = stored(source_quotas(per_source.select("skey", "source", "source_size")), "mix-sources")
+    number = broadcast_if_small(stored(per_source.select("skey", shards.alias("shards")), "mix-shards"), 100)
+    dealt = sized.join(number, "skey").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "row"), F.col("shards"))).drop("shards")
+    per_shard = dealt.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"))
+    quotas = shard_quotas(per_shard.join(sources.select("skey", "blocks"), "skey"))
     quotas = quotas.join(sources.select("skey", "source_size", "target"), "skey")
-    w = Window.partitionBy("skey", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "id"), "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("end", F.sum("size").over(w)).join(quotas, ["skey", "shard"])
+    w = Window.partitionBy("skey", "shard").orderBy(F.xxhash64(F.lit(seed), F.lit("order"), "id"), "id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("end", F.sum("size").over(w)).join(quotas, ["skey", "shard"])
     whole = F.when(F.col("shard_size") > 0, F.floor(F.col("quota") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("quota") - whole * F.col("shard_size")
     part = F.greatest(F.least(F.col("size"), rest - (F.col("end") - F.col("size"))), F.lit(0).cast("long"))
-    taken = F.least(whole * F.col("size") + part, MAX_TIMES * F.col("size"))
-    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), F.col("source").alias(source_col))
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (whole * F.col("size") + part).alias("taken"), F.col("source").alias(source_col))
