@@ -237,6 +237,11 @@ def test_case_of_copies():
     assert found_in(item, item.replace("Tom", "Ann"), item.replace("Tom", "Ann", 1).replace("Tom", "Bob")) == [True, False]
 
 
+def test_one_edited_number():
+    item = "a train with 12 wagons leaves the old station by the river and after it has lost 12 wagons it stops there"
+    assert found_in(item, f"so {item}", item.replace("12", "13"), item.replace("12", "13", 1), item.replace("12", "13", 1).replace("12", "14")) == [True, True, True, False]
+
+
 def test_items_without_plain_windows(spark):
     items = [
         "3 + 4 = 7 , 8 + 9 = 17 , 20 + 30 = 50 , 41 + 52 = 93",  # numbers
@@ -436,14 +441,16 @@ def test_url_rules(spark):
         "http://A.Example.ORG/en/1x?q", "https://example.org/es/1", "http://x.com/fr/a#b", "http://com/de/", "http://notexample.net", None, "no scheme", "http://org/?x", "http://org", "http://badorg/", "http://a.example.org/es",
     ]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages, labels).collect()}
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge(pages).collect()}
     assert got[0] == ("a.example.org", "/en/1x", "example.org/en/1", "block")
     assert got[1] == ("example.org", "/es/1", "example.org/es/", "block")
     assert got[2] == ("x.com", "/fr/a", "com/fr/", "allow") and got[3] == ("com", "/de/", "com/de/", "block")
     assert got[4][:3] == ("notexample.net", "", None) and got[5][:3] == ("", "", None) == got[6][:3]
     assert got[7] == ("org", "/", "org/", "allow") and got[8][:3] == ("org", "", None) and got[9][2] is None and got[10][2] == "org/"
-    assert url_filter.judge(pages.limit(0), labels).isEmpty()
+    assert url_filter.judge(pages.limit(0)).isEmpty()
+    # Repeated rows, a null id and a very long URL are rows like others.
+    odd = spark.createDataFrame([(1, "http://a.org/x"), (1, "http://a.org/x"), (None, "http://a.com/de/1"), (2, "http://a.net/" + "x/" * 50_000)], "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("tokens", F.lit(1))
+    assert sorted(r["verdict"] for r in url_filter.judge(odd).collect()) == ["allow", "allow", "allow", "block"]
 
 
 def test_mined_rules(spark):
@@ -454,6 +461,30 @@ def test_mined_rules(spark):
     assert {r["page_id"]: r["mined"] for r in url_filter.verdicts(pages, rules).collect()} == {1: "block", 2: "allow"}
 
 
+def brute_mined(have, rules, default="allow"):
+    fits = [r for r in rules if set(r.tokens) <= set(have)]
+    return max(fits, key=lambda r: (r.confidence, r.support, r.tokens)).verdict if fits else default
+
+
+def test_mined_verdicts_of_urls(spark):
+    """Pages under /de/ of com are blocked by rule; so pages under /de/ of other hosts come to be blocked, too."""
+    rng = random.Random(5)
+    urls = [f"http://h{rng.randint(0, 9)}.{tld}/{lang}/{k}" for k, (tld, lang) in enumerate((t, x) for t in ("com", "net", "info") for x in ("de", "fr") for _ in range(40))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = {r["page_id"]: r for r in url_filter.judge(pages).collect()}
+    p = url_filter.parsed(pages)
+    rules = url_filter.mine(url_filter._labelled(p, None))
+    for r in p.collect():
+        want = r["given"] or brute_mined(r["tokens"], rules)
+        assert out[r["page_id"]]["verdict"] == want and (out[r["page_id"]]["mined_by"] is None or r["rule"] is None)
+    assert {out[k]["verdict"] for k, u in enumerate(urls) if "/de/" in u} == {"block"}
+    lift = url_filter.held_out_lift(pages).first()
+    assert lift["right"] == lift["pages"] > lift["constant"]
+    more = spark.createDataFrame([(k, "block") for k, u in enumerate(urls) if ".net/fr" in u], "page_id long, label string")
+    blocked = [r for r in url_filter.judge(pages, more).collect() if r["host"].endswith("net") and r["path"].startswith("/fr")]
+    assert {r["verdict"] for r in blocked} == {"block"}
+
+
 def test_pipeline(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
