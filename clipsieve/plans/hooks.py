@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 
 #: Hook names and the columns that a registered function must return.
 SCHEMAS = {
-    "segment": "video string, frame_idx long, det_idx int, score double, mask binary",
-    "segment_box": "video string, frame_idx long, det_idx int, score double, mask binary",
-    "track": "video string, frame_idx long, object_id int, mask binary",
-    "verify": "video string, frame_idx long, object_id int, spatial binary",
+    "segment": "video string, frame long, det int, score double, px long",
+    "segment_box": "video string, frame long, det int, score double, px long",
+    "track": "video string, direction string, pos long, px array<long>",
+    "verify": "video string, frame long, px long",
     "inpaint": "video string, frame_idx long, rgb binary, method string, fallback_reason string",
     "decode": "video string, frame_idx long, h int, w int, rgb binary",
     "encode": "video string, path string, n_frames long",
@@ -37,3 +37,8 @@ def call(name: str, rows: DataFrame, per_video: bool = False) -> DataFrame:
     if per_video:
         return rows.groupBy("video").applyInPandas(lambda f: pd.concat(list(function(iter([f])))), SCHEMAS[name])
     return rows.mapInPandas(function, SCHEMAS[name])
+
+
+def caller(name: str, per_video: bool = False) -> Callable[[DataFrame], DataFrame]:
+    """The hook as a function of a table, as operators.segment takes models."""
+    return lambda rows: call(name, rows, per_video)

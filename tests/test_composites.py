@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from clipsieve.config import InpaintSettings, check_request
 from clipsieve.operators import batch, frames, inpaint, jobs, masks, segment
+from clipsieve.plans import hooks
 from clipsieve.sources import readers, writers
 
 
@@ -67,6 +68,25 @@ def test_tracked(spark, detections, videos):
     assert (checked["verified"], checked["flagged"]) == (2, 2)
 
 
+def test_models_from_hooks(spark, detections, videos):
+    def segment_rows(batches):
+        for rows in batches:
+            yield rows.assign(det=0, score=0.95, px=rows["frame"] + 2)[["video", "frame", "det", "score", "px"]]
+
+    def track(batches):
+        for rows in batches:
+            yield rows.assign(px=rows["anchor"])[["video", "direction", "pos", "px"]]
+
+    hooks.register("segment", segment_rows)
+    hooks.register("track", track)
+    try:
+        found = hooks.caller("segment")(segment.spine(videos))
+        m, _ = segment.segment_tracked(found, videos, hooks.caller("track", per_video=True), 6, 4)
+        assert by_frame(m) == {("a", f, 1): {2} for f in range(4)} | {("b", f, 1): {2} for f in range(2)}
+    finally:
+        hooks._registered.clear()
+
+
 def test_prompts(spark, videos):
     rows = [("a", 0, 0, [0]), ("a", 1, 0, [1]), ("a", 2, 0, [23]), ("a", 2, 1, [0, 1]), ("b", 0, 0, [3])]
     d = spark.createDataFrame([(v, p, f, 0, 0.9, x) for v, p, f, px in rows for x in px], "video string, prompt int, frame long, det int, score double, px long")
