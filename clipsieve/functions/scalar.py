@@ -115,7 +115,11 @@ def probed(count: Column) -> Column:
     return F.coalesce(count, F.lit(0).cast("long"))
 
 
-def effective_dilation(px: Column, least: int = 4) -> Column:
+#: Pixels by which a mask grows at least, so that thin parts survive a model's own scaling.
+MIN_DILATION = 4
+
+
+def effective_dilation(px: Column, least: int = MIN_DILATION) -> Column:
     return F.greatest(px, F.lit(least))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipsieve.config import InpaintSettings
-from clipsieve.functions.scalar import effective_dilation
+from clipsieve.functions.scalar import MIN_DILATION
 from clipsieve.operators.masks import preprocess
 
 #: Gets frames (n, h, w, 3) and masks (n, h, w) and returns frames; may have another size.
@@ -108,7 +108,7 @@ def remove(frames: DataFrame, masks: DataFrame, width: int, height: int, model:
 
     Masks are eroded, grown by four pixels at least so that thin parts survive a model's own scaling, and blurred.
     """
-    grown = masks.sparkSession.range(1).select(effective_dilation(F.lit(settings.dilate_px))).first()[0]
+    grown = max(settings.dilate_px, MIN_DILATION)
     ready = preprocess(masks, width, height, settings.erode_px, grown, settings.feather_sigma, keys=("video", "frame", "obj"))
     out = inpaint_groups(frames, ready, model, fallback)
     info = out.groupBy("video").agg(

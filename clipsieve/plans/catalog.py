@@ -70,7 +70,7 @@ def noun_distribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    return select.coverage(prompt_select(spark, d)).drop("coverage_2")
+    return select.coverage(prompt_select(spark, d))
 
 
 def prompt_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -456,6 +456,7 @@ def mask_scales(spark: SparkSession, d: str) -> DataFrame:
         "p_partkey", bit.alias("bit"), scalar.to_mask_byte(bit).cast("long").alias("byte"), scalar.area_percent(F.col("p_size"), 150).alias("percent"), scalar.resolution(F.col("p_size"), key).alias("resolution"),
         scalar.threads_per_worker(key % 64, scalar.workers(key % 9, F.lit(4))).alias("threads"), scalar.backward_index(key, F.col("p_size")).alias("back"), scalar.swap_red_blue(scalar.grey_to_rgb(key))["r"].alias("grey"),
         scalar.edited_name(key).alias("edited"), scalar.mask_name(key, F.col("p_size")).alias("mask"), scalar.fill_template(F.lit("remove the {object} here"), "object", F.col("p_name")).alias("request"),
+        scalar.effective_dilation(F.col("p_size") % 8).cast("long").alias("grow"),
     )
 
 

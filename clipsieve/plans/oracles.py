@@ -214,7 +214,7 @@ ORACLES: dict[str, str] = {
     "top5_candidates": f"WITH {SCORED}, ex AS (SELECT video, singular, desc_key, mention AS example FROM mrg QUALIFY row_number() OVER (PARTITION BY video, singular, desc_key ORDER BY was_bare, q_idx) = 1), r AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score DESC, first_pos) AS rank FROM sco) SELECT video, rank, singular || '(' || CASE WHEN desc_key = '' THEN 'generic' ELSE desc_key END || ')' AS entity, score, cnt AS subject_count, example FROM r JOIN ex USING (video, singular, desc_key) WHERE rank <= 5",
     "prompt_pick": f"WITH {MERGED}{PICK} SELECT video, singular, desc_key, prompt_word FROM pick",
     "noun_distribution": f"WITH {SELECTED}, w AS (SELECT list_filter(string_split(prompt_word, ' '), lambda x: list_contains({ENTITIES}, x))[1] AS w, video FROM sel WHERE prompt_word IS NOT NULL) SELECT {SINGULAR} AS noun, count(*) AS n FROM w WHERE w IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(video) LIMIT 15",
-    "coverage": f"WITH {SELECTED} SELECT video, subject_question_count, total_questions, subject_question_count / total_questions AS coverage FROM sel WHERE prompt_word IS NOT NULL",
+    "coverage": f"WITH {SELECTED} SELECT video, subject_question_count, total_questions, subject_question_count / total_questions AS coverage, CASE WHEN 200 * subject_question_count % total_questions = 0 AND 200 * subject_question_count // total_questions % 2 = 1 THEN (200 * subject_question_count // total_questions + CASE 200 * subject_question_count // total_questions % 4 WHEN 1 THEN -1 ELSE 1 END) / 200 ELSE round(subject_question_count / total_questions, 2) END AS coverage_2 FROM sel WHERE prompt_word IS NOT NULL",
     "prompt_counts": f"WITH {SELECTED} SELECT count(*) AS total, count(prompt_word) AS valid, count(*) - count(prompt_word) AS without FROM sel",
     "job_classify": f"WITH {DATA} SELECT * FROM cls",
     "job_lpt_order": f"WITH {DATA} SELECT video_id, frame_count, row_number() OVER (ORDER BY frame_count DESC, input_pos) - 1 AS queue_pos FROM data",
@@ -282,6 +282,6 @@ SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, coalesce(tot
     "prompt_examples": f"WITH {SELECTED} SELECT video, prompt_word FROM sel WHERE prompt_word IS NOT NULL ORDER BY video LIMIT 20",
     "zipped_frames": f"WITH {FRAMES} SELECT video, frame_idx, event_type, score FROM fr WHERE frame_idx < 40 AND frame_idx % 3 <> 1",
     "best_detection": f"WITH {DETECTED} SELECT video, frame, arg_min(det, (-score, det)) AS det, max(score) AS score FROM (SELECT DISTINCT video, frame, det, score FROM det WHERE score >= 0.5) z GROUP BY ALL",
-    "mask_scales": "WITH p AS (SELECT *, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size * 5 > 127.5 ELSE p_size % 2 = 1 END AS bit FROM part) SELECT p_partkey, bit, CASE WHEN bit THEN 255 ELSE 0 END AS byte, p_size / 150 * 100 AS percent, CAST(p_size AS VARCHAR) || 'x' || CAST(k AS VARCHAR) AS resolution, greatest(2, (k % 64) // least(greatest(k % 9, 1), 4)) AS threads, k - p_size AS back, k AS grey, lpad(CAST(k AS VARCHAR), 6, '0') || '.png' AS edited, 'mask_f' || lpad(CAST(k AS VARCHAR), 6, '0') || '_o' || CAST(p_size AS VARCHAR) || '.png' AS mask, 'remove the ' || p_name || ' here' AS request FROM p",
+    "mask_scales": "WITH p AS (SELECT *, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size * 5 > 127.5 ELSE p_size % 2 = 1 END AS bit FROM part) SELECT p_partkey, bit, CASE WHEN bit THEN 255 ELSE 0 END AS byte, p_size / 150 * 100 AS percent, CAST(p_size AS VARCHAR) || 'x' || CAST(k AS VARCHAR) AS resolution, greatest(2, (k % 64) // least(greatest(k % 9, 1), 4)) AS threads, k - p_size AS back, k AS grey, lpad(CAST(k AS VARCHAR), 6, '0') || '.png' AS edited, 'mask_f' || lpad(CAST(k AS VARCHAR), 6, '0') || '_o' || CAST(p_size AS VARCHAR) || '.png' AS mask, 'remove the ' || p_name || ' here' AS request, greatest(p_size % 8, 4) AS grow FROM p",
     "resources": "SELECT count(*) = 0 AS available, CASE WHEN count(*) = 0 THEN 'available' ELSE 'missing: ' || string_agg(n_name, ', ' ORDER BY n_name) END AS message FROM nation WHERE n_regionkey >= 3",
 }
