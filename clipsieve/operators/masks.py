@@ -14,7 +14,8 @@ BITMAP_BITS = 32_768
 
 
 def areas(masks: DataFrame) -> DataFrame:
-    return masks.distinct().groupBy("frame", "obj").agg(F.count("*").alias("area"))
+    """(frame, obj, area): repeated pixels count once. A row per object and 32,768 pixels crosses the shuffle, not one per pixel."""
+    return bitmap_areas(to_bitmaps(masks))
 
 
 def to_bitmaps(masks: DataFrame) -> DataFrame:
@@ -110,17 +111,18 @@ def preprocess(masks: DataFrame, width: int, height: int, erode_px: int = 0, dil
     return blur_threshold(m, width, height, sigma, keys) if sigma > 0 else m
 
 
-def overlap_pairs(masks: DataFrame) -> DataFrame:
-    """(frame, a, b, overlap) of objects a < b with common pixels.
+def _common(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, overlap) of pairs of bitmaps (keys, bucket, bits_a, bits_b): bits that both have."""
+    each = pairs.select(*keys, "bucket", F.explode(F.array("bits_a", "bits_b")).alias("bits"))
+    both = each.groupBy(*keys, "bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
+    return both.groupBy(*keys).agg(F.sum(F.bitmap_count("bits")).alias("overlap"))
 
-    Bitmaps of a frame's bucket meet by an equi-join, a row per object and 32,768 pixels instead of one per pixel.
-    """
+
+def overlap_pairs(masks: DataFrame) -> DataFrame:
+    """(frame, a, b, overlap) of objects a < b with common pixels: bitmaps of a frame's bucket meet by an equi-join."""
     m = to_bitmaps(masks)
     a, b = (m.select("frame", "bucket", F.col("obj").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    pairs = a.join(b, ["frame", "bucket"]).where("a < b")
-    both = F.array("bits_a", "bits_b")
-    common = pairs.select("frame", "a", "b", "bucket", F.explode(both).alias("bits")).groupBy("frame", "a", "b", "bucket").agg(F.bitmap_and_agg("bits").alias("bits"))
-    return common.groupBy("frame", "a", "b").agg(F.sum(F.bitmap_count("bits")).alias("overlap")).where("overlap > 0")
+    return _common(a.join(b, ["frame", "bucket"]).where("a < b"), "frame", "a", "b").where("overlap > 0")
 
 
 def area_gate(masks: DataFrame, anchors: DataFrame, ratio: float = 3.0) -> DataFrame:
@@ -132,8 +134,9 @@ def area_gate(masks: DataFrame, anchors: DataFrame, ratio: float = 3.0) -> DataF
 
 def overlap_gate(masks: DataFrame, spatial: DataFrame, least: float = 0.10) -> DataFrame:
     """(frame, obj) areas, 0 where too little of the mask lies in spatial (frame, px)."""
-    m = masks.distinct()
-    inside = m.join(spatial.select("frame", "px").distinct().withColumn("hit", F.lit(1)), ["frame", "px"], "left")
-    g = inside.groupBy("frame", "obj").agg(F.count("*").alias("area"), F.count("hit").alias("overlap"))
+    m = to_bitmaps(masks)
+    there = to_bitmaps(spatial.select("frame", F.lit(0).alias("obj"), "px")).select("frame", "bucket", F.col("bits").alias("bits_b"))
+    inside = _common(m.withColumnRenamed("bits", "bits_a").join(there, ["frame", "bucket"]), "frame", "obj")
+    g = bitmap_areas(m).join(inside, ["frame", "obj"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0).cast("long")))
     low = F.col("overlap") / F.greatest(F.col("area").cast("double"), F.lit(1.0)) < least
     return g.select("frame", "obj", F.when(low, F.lit(0).cast("long")).otherwise(F.col("area")).alias("area"), "overlap", low.alias("flagged"))
