@@ -86,17 +86,18 @@ def _parts(docs: DataFrame) -> DataFrame:
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The packed strings of wanted super-k-mers (id, th, mk, at, n), cut from their documents.
-
-    A task cuts rows of one id and text once.
+    """(id, th, mk, wide, start, packed): the packed strings of wanted super-k-mers (id, th, mk, at, wide), cut from
+    their documents. A task cuts rows of one id and text once.
     """
-    each_doc = stored(wanted.groupBy("id", "th").agg(F.collect_list(F.struct("mk", "at", "n")).alias("parts")), "substring-wanted")
-    each_doc = broadcast_if_small(each_doc, 40, F.size("parts"))
+    # One number less per super-k-mer: that of a wide one is negative.
+    at = F.when(F.col("wide"), -F.col("at")).otherwise(F.col("at"))
+    each_doc = stored(wanted.groupBy("id", "th").agg(F.collect_list(F.struct("mk", at.alias("at"))).alias("parts")), "substring-wanted")
+    each_doc = broadcast_if_small(each_doc, 16, F.size("parts") + 3)
     joined = docs.join(each_doc, ["id", "th"]).select("id", "th", F.col("text").cast("binary").alias("text"), "parts")
 
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        kinds = [pa.int64()] * 5 + [pa.binary()]
+        kinds = [pa.int64()] * 3 + [pa.bool_(), pa.int64(), pa.binary()]
         for b in batches:
             rows = []
             for i, th, text, parts in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -105,13 +106,13 @@ def _bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 seen.add((i, th))
                 words = text.split()
                 for p in parts:
-                    start, windows = p["at"] // _SHIFT, p["at"] % _SHIFT
-                    rows.append((i, th, p["mk"], p["n"], start, b" ".join(words[start : start + windows + WINDOW - 1])))
+                    start, windows = divmod(abs(p["at"]), _SHIFT)
+                    rows.append((i, th, p["mk"], p["at"] < 0, start, b" ".join(words[start : start + windows + WINDOW - 1])))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "th", "mk", "n", "start", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["id", "th", "mk", "wide", "start", "packed"])
 
     small_batches(docs.sparkSession)
-    return joined.mapInArrow(each, "id long, th long, mk long, n long, start long, packed binary")
+    return joined.mapInArrow(each, "id long, th long, mk long, wide boolean, start long, packed binary")
 
 
 def _windows(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -188,17 +189,34 @@ def spans(docs: DataFrame) -> DataFrame:
     copies = parts.join(owners.where("owner < most"), ["mk", "body"]).where("id > owner")
     whole = copies.select("id", "th", _span(F.shiftright("at", 31), F.shiftright("at", 31) + F.col("at") % _SHIFT + (WINDOW - 1)))
     shared = owners.groupBy("mk").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high")).where("n > 1 AND low < high")
-    wanted = parts.join(owners.join(shared.select("mk", "n"), "mk"), ["mk", "body"]).where("id = owner").select("id", "th", "mk", "at", "n").distinct()
+    # Stored, so that what follows is dealt by minimiser and body: a common minimiser has many bodies.
+    chosen = stored(owners.join(shared.select("mk", "n"), "mk"), "substring-chosen")
+    wanted = parts.join(chosen, ["mk", "body"]).where("id = owner").select("id", "th", "mk", "at", (F.col("n") > BUCKET_ROWS).alias("wide")).distinct()
     packed = stored(_bodies(docs, wanted), "substring-packed")
-    small = packed.where(F.col("n") <= BUCKET_ROWS).select("id", "th", "mk", "start", "packed")
+    small = packed.where(~F.col("wide")).select("id", "th", "mk", "start", "packed")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = small.repartition(n, "mk").sortWithinPartitions("mk").mapInArrow(_sorted_buckets, "id long, th long, span long")
-    every = whole.unionByName(small).unionByName(_spread_windows(packed.where(F.col("n") > BUCKET_ROWS)))
-    out = stored(every.groupBy("id", "th").agg(F.collect_set("span").alias("spans")), "substring-spans")
-    discard(parts, packed)
+    every = whole.unionByName(small).unionByName(_spread_windows(packed.where("wide")))
+    out = stored(_merged(every.groupBy("id", "th").agg(F.collect_set("span").alias("spans"))), "substring-spans")
+    discard(parts, chosen, packed)
     return out
 
 
+def _merged(covered: DataFrame) -> DataFrame:
+    """(id, th, spans) with spans that overlap or touch made one."""
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for own in batch[2].to_pylist():
+            x = np.sort(np.array(own, np.int64))
+            start, end = x >> 31, np.maximum.accumulate(x & (_SHIFT - 1))
+            head = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]]))
+            out.append((start[head] * _SHIFT + end[np.append(head[1:], len(x)) - 1]).tolist())
+        return pa.RecordBatch.from_arrays([batch[0], batch[1], pa.array(out, pa.list_(pa.int64()))], ["id", "th", "spans"])
+
+    return map_arrow(covered, each, "id long, th long, spans array<long>")
+
+
 def _span(start: Column, end: Column) -> Column:
     return (start * _SHIFT + end).cast("long").alias("span")
 
@@ -217,7 +235,7 @@ def _kept(text: bytes, own: list[int] | None) -> tuple[list[bytes], list[int] |
 def _with_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of docs and, as the last one, each row's spans."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    covered = broadcast_if_small(spans(d.withColumn("th", F.xxhash64("text"))), 24, F.size("spans") + 1)
+    covered = broadcast_if_small(spans(d.withColumn("th", F.xxhash64("text"))), 8, F.size("spans") + 5)
     name = free_name(docs)
     covered = covered.select(F.col("id").alias(f"{name}_id"), F.col("th").alias(f"{name}_th"), F.col("spans").alias(f"{name}_spans"))
     same = (F.col(id_col).cast("long") == F.col(f"{name}_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col(f"{name}_th"))
