@@ -261,11 +261,12 @@ def _links(texts: DataFrame, families: DataFrame, n: int, percent: int) -> DataF
     group = stored(_open_groups(large, components(found), n, percent), "ngram-groups")
     sizes = group.groupBy("hub", "class").agg(F.count("*").alias("sets"))
     largest = sizes.groupBy("hub").agg(F.max(F.struct("sets", "class")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    outside = F.col("class") != F.col("top.class")
-    open_ = group.join(largest.select("hub", "top"), "hub").withColumn("outside", outside)
+    # A hub with many sets is no hot key: what is joined to its rows is a row per hub, and counts begin in the tasks.
+    largest = broadcast_if_small(stored(largest.select("hub", F.col("top.class").alias("top")), "ngram-largest"), 32)
+    open_ = group.join(largest, "hub").withColumn("outside", F.col("class") != F.col("top"))
     asked = F.col("outside")
     counts = open_.groupBy("hub").agg(_blocks(F.count("*"), F.sum("size")).alias("blocks"), _blocks(F.count_if(asked), F.sum(F.when(asked, F.col("size")))).alias("askers"))
-    open_ = stored(open_.join(counts, "hub"), "ngram-open")
+    open_ = stored(open_.join(broadcast_if_small(stored(counts, "ngram-counts"), 32), "hub"), "ngram-open")
     pair = F.col("asker") * F.col("blocks") + F.col("answerer")
     span = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     asking = open_.where("outside").withColumn("asker", F.pmod(F.xxhash64("node", F.lit(1)), F.col("askers"))).withColumn("answerer", F.explode(span("blocks")))
@@ -577,7 +578,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id",
 
 
 def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with their columns, of each class of linked documents only those of the smallest id.
+    """docs with their columns; of each class of linked documents only those of the smallest id.
 
     A row without id or shingles stays. Of repeated rows (equal in all columns) one stays; rows of one id with different
     texts each stay or go by their own set. An empty table gives no rows.
