@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import WordHasher, list_column, map_arrow, mix
-from clipsieve.llm.toxicity import fit_rows, remainder
+from clipsieve.llm.common import WordHasher, fit_rows, list_column, map_arrow, mix, remainder
 
 BITS = 18
 EPOCHS = 4
@@ -130,7 +129,10 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, threshold: float = 0.7) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted. Labels of held-out rows are never read.
 
-    Null or empty texts get a score like any other. Repeated rows are scored one by one; an empty table gives none.
+    Null or empty texts get a score like any other. A null id is not held out, has no label and is scored. Repeated rows
+    are scored one by one, texts of any length whole; other columns are ignored. Of several labels of an id the largest
+    counts; rows that are equal as vectors are learned from in any order. An empty table gives no rows; without labels
+    of both kinds all scores are 0.5.
     """
     weights, bias = fit(fit_rows(docs, labels, "quality", remainder("doc_id", mod) != held, FIT_ROWS))
     held_out = F.coalesce(remainder("doc_id", mod) == held, F.lit(False))

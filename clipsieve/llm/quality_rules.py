@@ -31,6 +31,8 @@ WINDOW = 8
 #: A comparison of character classes needs so many characters, one of common words so many words.
 MIN_CHARS = 100
 MIN_COMMON_WORDS = 60
+# Set by the labelled rows of the tables of scale 0.1: of 3,302 good ones that pass the base rules 99% are within 0.14 by
+# classes, and the farthest is at 0.29 by words; of 291 bad ones that only the classes tell, 95% are beyond 0.21.
 MAX_CLASS_DISTANCE = 0.19
 MAX_WORD_DISTANCE = 0.42
 #: A reference needs so many documents.
@@ -141,20 +143,31 @@ def references(measured: DataFrame) -> DataFrame:
     return good.where(F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(*cols).where(F.col("ref_docs") >= MIN_REFERENCE_DOCS)
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Measures, distances and verdict of every document.
-
-    Null, empty and short texts fail the base rules. A language with too few good documents, an unknown
-    one or a null one has no reference: distances are null and the base rules alone decide. An empty
-    table gives no rows. Repeated rows are judged one by one. Other columns are ignored.
-    """
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The base measures of every document, stored, with base_failed and both histograms as shares."""
     narrow = stored(base_columns(docs, id_col, text_col, lang_col), "quality-base")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    m = narrow.select(
+    return narrow.select(
         "*", failed.alias("base_failed"), reduce(lambda a, b: a + b, (F.col("classes")[i] for i in range(len(CLASSES)))).alias("n_chars"),
         _shares(F.col("classes")).alias("class_shares"), _shares(F.col("common"), F.col("n_words")).alias("word_shares"),
     )
-    m = m.join(F.broadcast(references(m)), "lang", "left")  # four rows at most
+
+
+def fit_references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """References for judge, from documents that need not be those to be judged."""
+    return references(measured(docs, id_col, text_col, lang_col))
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reference: DataFrame | None = None) -> DataFrame:
+    """Measures, distances and verdict of every document.
+
+    Null, empty and short texts fail the base rules; texts of any length are read whole. A language with too few good
+    documents, an unknown one or a null one has no reference: distances are null and the base rules alone decide.
+    Null ids and repeated rows are judged one by one. Other columns are ignored. An empty table gives no rows. With a
+    reference (see fit_references) of an earlier run verdicts don't depend on the other rows of docs.
+    """
+    m = measured(docs, id_col, text_col, lang_col)
+    m = m.join(F.broadcast(references(m) if reference is None else reference), "lang", "left")  # four rows at most
     class_distance = F.when(F.col("n_chars") >= MIN_CHARS, jensen_shannon(F.col("class_shares"), F.col("class_ref")))
     word_distance = F.when(F.col("n_words") >= MIN_COMMON_WORDS, jensen_shannon(F.col("word_shares"), F.col("word_ref")))
     m = m.withColumns({"class_distance": class_distance, "word_distance": word_distance})

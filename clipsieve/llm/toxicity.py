@@ -10,24 +10,29 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import map_arrow, small_batches
+from clipsieve.llm.common import fit_rows, map_arrow, remainder, small_batches, stored
 
 #: The fit reads at most about so many labelled training rows, chosen by a hash of their id; scoring reads all.
 FIT_ROWS = 12_000
+#: Candidate terms, the best ones: a bound on the fitted model, not on what is scored.
 MAX_TERMS = 3_000
 #: Lengths of the word beginnings that may become terms.
 PREFIXES = range(3, 9)
 MIN_TERM_DOCS = 4
+#: Hits of one term beyond this number add nothing to a text's score: a term says what it says by then.
+MAX_HITS = 3
 #: A term's least log-odds, two standard errors below its estimate.
 MIN_LOG_ODDS = 1.0
 #: A phrase of a term and its neighbour is an exception from so many clean documents on, with no toxic one.
@@ -97,7 +102,10 @@ def hits(automaton: ahocorasick.Automaton, folded: str) -> list[tuple[str, int,
                 continue
             (found if kind == "term" else shields).append((name, start, end))
     if shields:
-        found = [h for h in found if not any(s <= h[1] and h[2] <= e for _, s, e in shields)]
+        # By start, how far any shield that begins there or before reaches.
+        shields.sort(key=lambda x: x[1])
+        starts, reach = [x[1] for x in shields], list(accumulate((x[2] for x in shields), max))
+        found = [h for h in found if not (k := bisect_right(starts, h[1])) or reach[k - 1] < h[2]]
     return found
 
 
@@ -184,7 +192,7 @@ def _weigh(rows: DataFrame, terms: list[str]) -> Lexicon:
         for h in r["hits"]:
             if h in position:
                 x[i, position[h]] += 1
-        x[i] = np.minimum(x[i], 3) / length_norm(r["words"])
+        x[i] = np.minimum(x[i], MAX_HITS) / length_norm(r["words"])
     # Newton steps of a ridge logistic regression; the last column is the bias.
     x = np.hstack([x, np.ones((len(got), 1))])
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.02)
@@ -220,7 +228,11 @@ def _cover(terms: list[str], rows: list[tuple[int, set[int]]]) -> list[str]:
 
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, n_hits) of every whole text; null and empty texts have no hits and so the lowest score."""
+    """(id, score, n_hits) of every whole text; null and empty texts have no hits and so the lowest score.
+
+    A null id is scored like others, texts of any length whole. The score is logistic in the terms' weights, each
+    counted MAX_HITS times at most, over the length norm.
+    """
     state: dict = {}
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -233,7 +245,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
             counts = Counter(t for t, _, _ in h)
             z = lexicon.bias
             if counts:
-                z += sum(lexicon.terms[t] * min(c, 3) for t, c in sorted(counts.items())) / length_norm(len(folded.split()))
+                z += sum(lexicon.terms[t] * min(c, MAX_HITS) for t, c in sorted(counts.items())) / length_norm(len(folded.split()))
             scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             found.append(len(h))
         return pa.RecordBatch.from_arrays([batch[0], pa.array(scores), pa.array(found, pa.int64())], ["id", "score", "n_hits"])
@@ -242,27 +254,16 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     return map_arrow(df, each, "id long, score double, n_hits long").withColumnRenamed("id", id_col)
 
 
-def remainder(id_col: str, mod: int) -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(mod))
-
-
-def fit_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int = FIT_ROWS, id_col: str = "doc_id") -> DataFrame:
-    """About bound labelled training rows (text, label), the same on each run: those with the smallest id hashes."""
-    known = labels.select(id_col, F.col(label).alias("label")).where(F.col(label).isin(0, 1) & train).groupBy(id_col).agg(F.max("label").alias("label"))
-    n = known.count()
-    if n > bound:
-        limit = int(bound / n * (1 << 31))
-        known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 31)) < limit)
-    return docs.select(id_col, "text").join(known, id_col).select("text", "label")
-
-
 def classify(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, threshold: float = 0.5) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, n_hits. Labels of held-out rows are never read.
 
-    Null or empty texts get the score of no hit. Repeated rows are scored one by one; an empty table gives none.
+    Null or empty texts get the score of no hit. A null id is not held out, has no label and is scored. Repeated rows
+    are scored one by one, texts of any length whole; other columns are ignored. Of several labels of an id the largest
+    counts. Candidate terms as good as others go by their letters. An empty table gives no rows; without labels of both
+    kinds all scores are the same.
     """
     train = remainder("doc_id", mod) != held
-    lexicon = fit(fit_rows(docs, labels, "toxic", train))
+    lexicon = fit(stored(fit_rows(docs, labels, "toxic", train, FIT_ROWS), "toxicity-rows"))  # read three times
     out = score(docs, lexicon)
     held_out = F.coalesce(remainder("doc_id", mod) == held, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")

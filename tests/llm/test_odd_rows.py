@@ -135,6 +135,9 @@ def test_verdict_of_quality_rules(spark):
         assert got[i]["kept"] == (base[i] and not far), i
         if lang == "en" and t and len(t) >= 100:
             assert abs(got[i]["class_distance"] - distance(h[0], middle[0])) < 1e-9
+    whole = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    part = quality_rules.judge(whole.where("doc_id >= 14"), reference=quality_rules.fit_references(whole))
+    assert {r["doc_id"]: r["kept"] for r in part.collect()} == {i: got[i]["kept"] for i in got if i >= 14}
     assert got[0]["kept"] and not got[20]["kept"] and not got[21]["kept"] and got[22]["kept"] and got[24]["kept"]
 
 
