@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsieve.functions import scalar, text
-from clipsieve.operators import batch, cluster, frames, inpaint, jobs, masks, render, segment, select
+from clipsieve.operators import batch, cluster, frames, inpaint, jobs, masks, render, segment, select, video
 from clipsieve.plans import fixtures as fx
 from clipsieve.sources import writers
 
@@ -444,6 +444,25 @@ def zipped_frames(spark: SparkSession, d: str) -> DataFrame:
     return frames.zipped(a.select("video", "frame_idx", "event_type"), b.select("video", "frame_idx", "score"))
 
 
+def _rated(spark: SparkSession, d: str) -> DataFrame:
+    return fx.videos(spark, d).withColumn("fps", F.when(F.col("video") % 2 == 0, 29.97).otherwise(10.0))
+
+
+def decode_resampled(spark: SparkSession, d: str) -> DataFrame:
+    return video.decode(fx.frames(spark, d).select("video", "frame_idx", "event_type"), _rated(spark, d), max_frames=25, target_fps=10.0)
+
+
+def decode_uniform(spark: SparkSession, d: str) -> DataFrame:
+    return video.decode(fx.frames(spark, d).select("video", "frame_idx", "event_type"), _rated(spark, d), max_frames=SAMPLE, target_fps=10.0, uniform=True)
+
+
+def clip_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Clips are packed, probed and unpacked again; each frame's picture must be the same."""
+    clips = video.encode_clips(fx.pictures(spark, d), 25.0)
+    back = video.decode_clips(clips).select("frame_idx", "h", "w", F.md5(F.lower(F.hex("rgb"))).alias("digest"), "video")
+    return _as_long(back.join(video.probe_clips(clips).select("video", "n", "duration_sec"), "video").drop("video"), "h", "w")
+
+
 def best_detection(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(segment.best_by_score(segment.confident(fx.detections(spark, d))), "det")
 
@@ -476,6 +495,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         overlay_blend, frames_with_masks, video_id, cover_crop, working_size, status_json, frame_names, required_missing, prompt_list,
         saved_subset, latest_file, segment_one, segment_one_header, segment_many, segment_many_header, segment_prompts, segment_prompts_header,
         segment_tracked, segment_tracked_header, inpaint_groups, run_batch, batch_passed, worker_ordinals, first_jobs, prompt_examples,
-        zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources,
+        zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources, decode_resampled, decode_uniform, clip_round_trip,
     )
 }

@@ -281,6 +281,9 @@ SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, coalesce(tot
     "first_jobs": "SELECT o_orderkey AS id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS prompt_word, row_number() OVER (ORDER BY o_orderkey) - 1 AS at FROM orders ORDER BY o_orderkey LIMIT 1000",
     "prompt_examples": f"WITH {SELECTED} SELECT video, prompt_word FROM sel WHERE prompt_word IS NOT NULL ORDER BY video LIMIT 20",
     "zipped_frames": f"WITH {FRAMES} SELECT video, frame_idx, event_type, score FROM fr WHERE frame_idx < 40 AND frame_idx % 3 <> 1",
+    "decode_resampled": f"WITH RECURSIVE {FRAMES}, {VIDEOS}, r AS (SELECT video, n, CASE WHEN video % 2 = 0 THEN 29.97::DOUBLE / 10.0::DOUBLE ELSE 1.0::DOUBLE END AS step FROM vid), walk(video, n, step, f, due, kept) AS (SELECT video, n, step, CAST(0 AS BIGINT), step, true FROM r UNION ALL SELECT video, n, step, f + 1, CASE WHEN f + 1 >= due THEN due + step ELSE due END, f + 1 >= due FROM walk WHERE f + 1 < n), k AS (SELECT video, f AS frame_idx, row_number() OVER (PARTITION BY video ORDER BY f) - 1 AS pos FROM walk WHERE kept) SELECT video, pos, frame_idx, 10.0::DOUBLE AS fps, event_type FROM k JOIN fr USING (video, frame_idx) WHERE pos < 25",
+    "decode_uniform": f"WITH {FRAMES}, {VIDEOS}, x AS (SELECT video, n, CASE WHEN n > 16 THEN {_INDICES.format(m=16)} WHEN video % 2 = 0 THEN list_filter(range(0, n), lambda f: list_contains([0, 3, 6, 9, 12, 15], f)) ELSE range(0, n) END AS x FROM vid), k AS (SELECT video, n, unnest(x) AS frame_idx, CAST(unnest(range(0, len(x))) AS BIGINT) AS pos FROM x) SELECT video, pos, frame_idx, CASE WHEN n > 16 AND video % 2 = 0 THEN 29.97::DOUBLE ELSE 10.0::DOUBLE END AS fps, event_type FROM k JOIN fr USING (video, frame_idx)",
+    "clip_round_trip": f"WITH {DAY}, days AS (SELECT DISTINCT frame FROM mask), p AS (SELECT frame, t.px FROM days, range(0, 150) t(px)), m AS (SELECT frame, md5(string_agg(printf('%02x%02x%02x', (px * 7 + frame) % 256, (px * 11 + frame) % 256, (px * 13 + frame) % 256), '' ORDER BY px)) AS digest FROM p GROUP BY frame) SELECT row_number() OVER (ORDER BY frame) - 1 AS frame_idx, 10 AS h, 15 AS w, digest, count(*) OVER () AS n, count(*) OVER () / 25.0::DOUBLE AS duration_sec FROM m",
     "best_detection": f"WITH {DETECTED} SELECT video, frame, arg_min(det, (-score, det)) AS det, max(score) AS score FROM (SELECT DISTINCT video, frame, det, score FROM det WHERE score >= 0.5) z GROUP BY ALL",
     "mask_scales": "WITH p AS (SELECT *, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size * 5 > 127.5 ELSE p_size % 2 = 1 END AS bit FROM part) SELECT p_partkey, bit, CASE WHEN bit THEN 255 ELSE 0 END AS byte, p_size / 150 * 100 AS percent, CAST(p_size AS VARCHAR) || 'x' || CAST(k AS VARCHAR) AS resolution, greatest(2, (k % 64) // least(greatest(k % 9, 1), 4)) AS threads, k - p_size AS back, k AS grey, lpad(CAST(k AS VARCHAR), 6, '0') || '.png' AS edited, 'mask_f' || lpad(CAST(k AS VARCHAR), 6, '0') || '_o' || CAST(p_size AS VARCHAR) || '.png' AS mask, 'remove the ' || p_name || ' here' AS request, greatest(p_size % 8, 4) AS grow FROM p",
     "resources": "SELECT count(*) = 0 AS available, CASE WHEN count(*) = 0 THEN 'available' ELSE 'missing: ' || string_agg(n_name, ', ' ORDER BY n_name) END AS message FROM nation WHERE n_regionkey >= 3",
