@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import release, small_batches, stored
-from clipsieve.llm.toxicity import remainder
+from clipsieve.llm.common import release, remainder, small_batches, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bytes of text of one block, and of the text whose words one bucket gets.
-BLOCK_BYTES = 1_500_000
-BUCKET_BYTES = 4_000_000
+#: Bytes of text of one block, and of the text whose words one bucket gets, at least and at most: with more than
+#: MANY_BUCKETS buckets these grow first, so that a block's words for a bucket stay many and packed.
+BLOCK_BYTES = 4_000_000
+BUCKET_BYTES, MOST_BUCKET, MANY_BUCKETS = 4_000_000, 64_000_000, 2_048
+#: Bytes of text of one counting task, where the session's number of shuffle partitions leaves more.
+TASK_BYTES = 128_000_000
 #: Stands for the end of a text; no word holds a line break.
 END = b"\n"
 WORD_PRIOR = 0.1
@@ -120,8 +122,12 @@ def piece_counts(packed: DataFrame, model: bytes) -> tuple[dict[int, int], int,
     One row per bucket and piece, added up in Spark: the driver gets a row per piece of the vocabulary.
     """
 
+    state: dict = {}  # of one task: the tokenizer serves all its buckets
+
     def each(group: pa.Table) -> pa.Table:
-        sp = sentencepiece.SentencePieceProcessor(model_proto=model)
+        if "sp" not in state:
+            state["sp"] = sentencepiece.SentencePieceProcessor(model_proto=model)
+        sp = state["sp"]
         total = unpack(group["words"].to_pylist(), group["counts"].to_pylist())
         known = [(w, c) for w, c in total.items() if c]
         counts = Counter({-2: len(known), -3: sum(c for _, c in known), -1: total[END]})
@@ -148,8 +154,9 @@ def piece_log_probabilities(counts: dict[int, int], model: bytes) -> dict[int, f
 def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, n_tokens, n_known, train_tokens, base_score, score.
 
-    train says which rows to learn from. Null texts are empty; an empty text is the end alone. Repeated rows are
-    counted and scored one by one. An empty table gives no rows; without training rows all counts are 0.
+    train says which rows to learn from. Null texts are empty; an empty text is the end alone. Repeated rows, null ids
+    too, are counted and scored one by one; texts of any length are read whole, and other columns are ignored. An empty
+    table gives no rows; without training rows all counts are 0.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -157,18 +164,23 @@ def score(docs: DataFrame, train: Column, vocabulary: str = VOCABULARY, id_col:
         model = f.read()
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // BUCKET_BYTES))
-    d = d.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks).cast("long")))
+    blocks, buckets = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // min(MOST_BUCKET, max(BUCKET_BYTES, size // MANY_BUCKETS))))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+    d = d.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks).cast("long")))
     most = 4 * BLOCK_BYTES
-    packed = stored(d.select("block", "text", "train").repartition(min(blocks, 4096), "block").mapInArrow(lambda b: count_blocks(b, buckets, most), PACKED), "lm-counts")
+    packed = stored(d.select("block", "text", "train").repartition(tasks, "block").mapInArrow(lambda b: count_blocks(b, buckets, most), PACKED), "lm-counts")
     release(spark)
     counts, n, v = piece_counts(packed, model)
     release(spark)
     log_p = piece_log_probabilities(counts, model)
     shared = spark.sparkContext.broadcast((model, log_p))  # bounded by the vocabulary file
 
+    state: dict = {}  # of one task: the lattice serves all its buckets
+
     def weigh(group: pa.Table) -> pa.Table:
-        lattice = Lattice(*shared.value)
+        if "lattice" not in state:
+            state["lattice"] = Lattice(*shared.value)
+        lattice = state["lattice"]
         words = group["words"].to_pylist()
         total = unpack(words, group["counts"].to_pylist())
         of = {w: lattice.word(w) for w in total}
