@@ -7,7 +7,7 @@ Frames are rows (video, frame_idx, h, w, rgb), rgb the bytes of h x w x 3 values
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipsieve.config import InpaintSettings
-from clipsieve.functions.scalar import MIN_DILATION
+from clipsieve.functions.scalar import MIN_DILATION, cover_crop
 from clipsieve.operators.masks import preprocess
 
 #: Gets frames (n, h, w, 3) and masks (n, h, w) and returns frames; may have another size.
@@ -65,6 +65,25 @@ def resize(image: np.ndarray, height: int, width: int, lobes: int = 4) -> np.nda
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+def match_resolution(frames: DataFrame, width: int, height: int) -> DataFrame:
+    """Frames scaled until they cover a size and cut to it around their centre; of that size already, they stay as they are."""
+    kind = dict(frames.dtypes)["video"]
+    place = cover_crop(F.col("w"), F.col("h"), width, height)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for h, w, rgb, to_h, to_w, y, x in zip(*(rows[c] for c in ("h", "w", "rgb", "to_h", "to_w", "to_y", "to_x")), strict=True):
+                image = np.frombuffer(rgb, np.uint8).reshape(h, w, 3)
+                if (h, w) != (height, width):
+                    image = resize(image, to_h, to_w)[y : y + height, x : x + width]
+                out.append(image.tobytes())
+            yield rows[["video", "frame_idx"]].assign(h=height, w=width, rgb=out)
+
+    rows = frames.select("video", "frame_idx", "h", "w", "rgb", place.alias("c")).select("video", "frame_idx", "h", "w", "rgb", *(F.col(f"c.{k}").alias(f"to_{k}") for k in "hwyx"))
+    return rows.mapInPandas(each, f"video {kind}, frame_idx long, h int, w int, rgb binary")
+
+
 def inpaint_groups(frames: DataFrame, masks: DataFrame, model: Inpaint | None, fallback: Inpaint = fill_inward) -> DataFrame:
     """(video, frame_idx, h, w, rgb, method, fallback_reason, resized_from): the output of a group is the input of the next.
 

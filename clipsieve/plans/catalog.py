@@ -281,6 +281,13 @@ def overlay_blend(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(render.overlay(_pixels(spark, d), fx.masks(spark, d)), "r", "g", "b")
 
 
+def overlay_clips(spark: SparkSession, d: str) -> DataFrame:
+    """Painted frames, out of the clips that they were packed into."""
+    m = fx.masks(spark, d).withColumn("video", F.lit(0).cast("long"))
+    back = video.decode_clips(render.overlay_clips(fx.pictures(spark, d), m, 25.0))
+    return back.select("frame_idx", F.md5(F.lower(F.hex("rgb"))).alias("digest"))
+
+
 def frames_with_masks(spark: SparkSession, d: str) -> DataFrame:
     return render.with_masks(_hours(spark, d), fx.masks(spark, d, "hour"))
 
@@ -495,6 +502,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         overlay_blend, frames_with_masks, video_id, cover_crop, working_size, status_json, frame_names, required_missing, prompt_list,
         saved_subset, latest_file, segment_one, segment_one_header, segment_many, segment_many_header, segment_prompts, segment_prompts_header,
         segment_tracked, segment_tracked_header, inpaint_groups, run_batch, batch_passed, worker_ordinals, first_jobs, prompt_examples,
-        zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources, decode_resampled, decode_uniform, clip_round_trip,
+        zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources, overlay_clips, decode_resampled, decode_uniform, clip_round_trip,
     )
 }

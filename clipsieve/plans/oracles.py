@@ -116,13 +116,13 @@ _INDICES = "CASE WHEN n > {m} THEN list_transform(range(0, {m}), lambda i: CASE
 _BLEND = "CAST(floor(0.5 * {v} + 0.5 * {c}) AS BIGINT)"
 
 
-def _overlay() -> str:
+def _overlay(last: str = "SELECT frame, px, r, g, b FROM s5") -> str:
     steps = [f"s0 AS (SELECT p.frame, p.px, r, g, b, {', '.join(f'coalesce(bool_or(obj = {o}), false) AS o{o}' for o in range(1, 6))} FROM pix p LEFT JOIN mask m ON m.frame = p.frame AND m.px = p.px GROUP BY p.frame, p.px, r, g, b)"]
     for o in range(1, 6):
         cols = ", ".join(f"CASE WHEN o{o} THEN {_BLEND.format(v=ch, c=PALETTE[o - 1][k])} ELSE {ch} END AS {ch}" for k, ch in enumerate("rgb"))
         steps.append(f"s{o} AS (SELECT * EXCLUDE (r, g, b), {cols} FROM s{o - 1})")
     pix = "pix AS (SELECT frame, px, (px * 7 + frame) % 256 AS r, (px * 11 + frame) % 256 AS g, (px * 13 + frame) % 256 AS b FROM (SELECT unnest(range(0, max(frame) + 1)) AS frame FROM mask) f, range(0, 150) t(px))"
-    return f"WITH {DAY}, {pix}, {', '.join(steps)} SELECT frame, px, r, g, b FROM s5"
+    return f"WITH {DAY}, {pix}, {', '.join(steps)} {last}"
 
 
 #: A step of the ordered fold: st has each video's groups (lists of pixels) after frame number t, dets the detections of
@@ -249,6 +249,7 @@ ORACLES: dict[str, str] = {
     "cosine_gate": "WITH a AS (SELECT label, arg_min(embedding, vec_id) AS an FROM embeddings GROUP BY label) SELECT vec_id, CAST(label AS BIGINT) AS label FROM embeddings JOIN a USING (label) WHERE list_cosine_similarity(embedding::DOUBLE[], an::DOUBLE[]) >= 0.35",
     "object_color": f"SELECT c_custkey - 3 AS object_id, CAST({_color(0)} AS BIGINT) AS r, CAST({_color(1)} AS BIGINT) AS g, CAST({_color(2)} AS BIGINT) AS b FROM customer",
     "overlay_blend": _overlay(),
+    "overlay_clips": _overlay("SELECT row_number() OVER (ORDER BY frame) - 1 AS frame_idx, md5(string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY px)) AS digest FROM s5 WHERE frame IN (SELECT frame FROM mask) GROUP BY frame"),
     "frames_with_masks": f"WITH {HOUR} SELECT f AS frame, count(DISTINCT obj) AS n_masks FROM (SELECT unnest(range(0, max(frame) + 1)) AS f FROM mask) s LEFT JOIN mask ON frame = f GROUP BY f",
     "video_id": r"SELECT page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') || '_' || substr(md5(url), 1, 8) AS video_id FROM pages",
     "cover_crop": "WITH p AS (SELECT p_partkey, p_size * 16 AS w0, (p_partkey % 40 + 1) * 16 AS h0 FROM part), s AS (SELECT *, greatest(512::DOUBLE / w0, 256::DOUBLE / h0) AS k FROM p), c AS (SELECT p_partkey, CAST(ceil(w0 * k) AS BIGINT) AS w, CAST(ceil(h0 * k) AS BIGINT) AS h FROM s) SELECT p_partkey, w, h, CAST(floor((w - 512) / 2) AS BIGINT) AS x, CAST(floor((h - 256) / 2) AS BIGINT) AS y FROM c",

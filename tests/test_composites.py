@@ -148,6 +148,18 @@ def test_resize_keeps_a_ramp():
     assert np.abs(inpaint.resize(inpaint.resize(ramp, 16, 48), 8, 24).astype(int) - ramp).max() <= 3
 
 
+def test_matching_a_resolution(spark):
+    same = inpaint.match_resolution(pictures(spark), 6, 4).first()
+    assert bytes(same["rgb"]) == bytes(pictures(spark).first()["rgb"])
+    r = inpaint.match_resolution(pictures(spark, 30), 9, 4).first()
+    assert (r["h"], r["w"]) == (4, 9) and set(r["rgb"]) == {30}
+    half = np.zeros((4, 8, 3), np.uint8)
+    half[:, 4:] = 200
+    wide = spark.createDataFrame([("a", 0, 4, 8, half.tobytes())], "video string, frame_idx long, h int, w int, rgb binary")
+    image = np.frombuffer(inpaint.match_resolution(wide, 4, 4).first()["rgb"], np.uint8).reshape(4, 4, 3)
+    assert np.array_equal(image, half[:, 2:6])
+
+
 def test_blur(spark):
     px = [y * 12 + x for y in range(3, 8) for x in range(2, 9)]
     m = spark.createDataFrame([(0, 1, p) for p in px], "frame long, obj int, px long")
