@@ -42,3 +42,22 @@ def call(name: str, rows: DataFrame, per_video: bool = False) -> DataFrame:
 def caller(name: str, per_video: bool = False) -> Callable[[DataFrame], DataFrame]:
     """The hook as a function of a table, as operators.segment takes models."""
     return lambda rows: call(name, rows, per_video)
+
+
+_loaded: dict[str, Callable] = {}
+
+
+class Warm:
+    """A model that each Python worker loads once, by its name, and keeps for all later tasks; release() lets it go."""
+
+    def __init__(self, name: str, load: Callable[[], Callable]) -> None:
+        self.name, self.load = name, load
+
+    def __call__(self, *args):
+        if self.name not in _loaded:
+            _loaded[self.name] = self.load()
+        return _loaded[self.name](*args)
+
+    def release(self) -> None:
+        """In the process that calls it."""
+        _loaded.pop(self.name, None)

@@ -142,6 +142,23 @@ def test_inpaint_groups_and_fallback(spark):
     assert inpaint.inpaint_groups(pictures(spark), m.limit(0), add).first()["method"] == "none"
 
 
+def test_warm_models_load_once(spark):
+    loads = []
+
+    def load():
+        loads.append(1)
+        return lambda images, mask: images + np.uint8(len(loads))
+
+    model = hooks.Warm("test", load)
+    image = np.zeros((1, 2, 2, 3), np.uint8)
+    assert [int(model(image, None).max()) for _ in range(3)] == [1, 1, 1]
+    model.release()
+    assert int(model(image, None).max()) == 2
+    m = spark.createDataFrame([("a", 0, 1, 0)], "video string, frame long, obj int, px long")
+    assert {r["method"] for r in inpaint.inpaint_groups(pictures(spark), m, hooks.Warm("other", lambda: lambda images, mask: images)).collect()} == {"model"}
+    model.release()
+
+
 def test_resize_keeps_a_ramp():
     ramp = np.repeat(np.arange(0, 240, 10, dtype=np.uint8)[None, :, None], 8, axis=0).repeat(3, axis=2)
     assert np.array_equal(inpaint.resize(ramp, 8, 24), ramp)
