@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import WordHasher, fit_rows, list_column, map_arrow, mix, remainder
+from clipsieve.llm.common import HASHER, fit_rows, list_column, map_arrow, mix, remainder
 
 BITS = 18
 EPOCHS = 4
 #: Rows of the sample that the fit reads at most; about 4 KB each as vectors.
 FIT_ROWS = 8_000
 TOKEN = re.compile(rb"[^\x00-\x20\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[\x21-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+")
-_hasher = WordHasher()
+_hasher = HASHER
 
 
 def vector(text: bytes) -> tuple[np.ndarray, np.ndarray]:

@@ -23,8 +23,8 @@ SPACE_RE = "[\\x20\\x09-\\x0D]+"
 BATCH_ROWS = 500
 #: Bytes of rows, by their widths, of a table that may be sent to every executor; in memory they take a few times that.
 BROADCAST_BYTES = 16_000_000
-#: Distinct words that a worker remembers the hash of before it starts again.
-HASH_CACHE = 400_000
+#: Distinct words that a worker remembers the hash of before it starts again; more are no faster, as most are rare.
+HASH_CACHE = 60_000
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SECOND_MULTIPLIER = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -148,6 +148,10 @@ class WordHasher(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One for all operators, as a worker serves one after the other.
+HASHER = WordHasher()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values one to one."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

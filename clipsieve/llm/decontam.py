@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import free_name, grams, long_array, map_arrow, mix, stored
+from clipsieve.llm.common import HASH_CACHE, free_name, grams, long_array, map_arrow, mix, stored
 
 WINDOW = 10
 #: Items of fewer template tokens are looked for word by word; those of fewer than WINDOW match as a whole.
@@ -78,7 +78,7 @@ class Words(dict):
         return i
 
     def bound(self) -> None:
-        if len(self) > 400_000:
+        if len(self) > HASH_CACHE:
             self.clear()
             self.__init__()
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import WordHasher, broadcast_if_small, discard, free_name, grams, long_array, mix, small_batches, spread, stored
+from clipsieve.llm.common import HASHER, broadcast_if_small, discard, free_name, grams, long_array, mix, small_batches, spread, stored
 from clipsieve.llm.components import components
 
 #: Sets of one block of a family, and their elements; more of either make more blocks.
@@ -43,7 +43,7 @@ LEAST_BUCKET, MOST_BUCKET, MANY_BUCKETS = 16_000_000, 160_000_000, 4_096
 SIGNATURE_BYTES = 5
 #: Fixed value: weight of a probe into a long list against an entry of a merged one, in DivideSkip's rule.
 PROBE_COST = 0.0085
-_hasher = WordHasher()
+_hasher = HASHER
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import MULTIPLIER, SECOND_MULTIPLIER, WordHasher, broadcast_if_small, discard, free_name, grams, long_array, map_arrow, small_batches, stored
+from clipsieve.llm.common import HASHER, MULTIPLIER, SECOND_MULTIPLIER, broadcast_if_small, discard, free_name, grams, long_array, map_arrow, small_batches, stored
 
 WINDOW = 50
 MINIMISER = 10
@@ -27,7 +27,7 @@ BUCKET_ROWS = 20_000
 #: Windows that a bucket task sorts at a time, whole minimisers each.
 SORT_WINDOWS = 1_000_000
 _SHIFT = 1 << 31
-_hasher = WordHasher()
+_hasher = HASHER
 _WORD = re.compile(rb"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+")
 
 
