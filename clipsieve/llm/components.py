@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import discard, stored
+from clipsieve.llm.common import broadcast_if_small, discard, stored
 
 #: Edges that a task joins up at a time.
 CHUNK = 500_000
@@ -62,12 +62,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = stored(_joined_up(every.where("u <> v")), "components-edges")
     while not e.where("moved").isEmpty():
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
-        told = both.join(least, "u")
+        # Stored, so that a node of many edges is split in the join, or not shuffled at all.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u"), "components-least")
+        told = both.join(broadcast_if_small(least, 16), "u")
         own = F.col("v") == F.col("m")
         rows = told.select(F.when(own, F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), (~own).alias("moved"))
         new = stored(_joined_up(rows), "components-edges")
-        discard(e)
+        discard(e, least)
         e = new
     # A root stands for itself; a node with a loop alone is its own component.
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")))
