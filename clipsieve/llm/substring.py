@@ -181,16 +181,17 @@ def spans(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     all_parts = stored(_parts(docs), "substring-parts")
     # Most minimisers are of one document alone: these go before anything else is looked at.
-    met = all_parts.groupBy("mk").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("mk")
-    parts = stored(all_parts.join(met, "mk", "left_semi"), "substring-shared")
-    discard(all_parts)
+    met = stored(all_parts.groupBy("mk").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("mk"), "substring-met")
+    parts = stored(all_parts.join(broadcast_if_small(met, 8), "mk", "left_semi"), "substring-shared")
+    discard(all_parts, met)
     owners = parts.groupBy("mk", "body").agg(F.min("id").alias("owner"), F.max("id").alias("most"))
     # Where one super-k-mer stands in several documents, all but the smallest lose it whole.
     copies = parts.join(owners.where("owner < most"), ["mk", "body"]).where("id > owner")
     whole = copies.select("id", "th", _span(F.shiftright("at", 31), F.shiftright("at", 31) + F.col("at") % _SHIFT + (WINDOW - 1)))
     shared = owners.groupBy("mk").agg(F.count("*").alias("n"), F.min("owner").alias("low"), F.max("owner").alias("high")).where("n > 1 AND low < high")
     # Stored, so that what follows is dealt by minimiser and body: a common minimiser has many bodies.
-    chosen = stored(owners.join(shared.select("mk", "n"), "mk"), "substring-chosen")
+    shared = stored(shared.select("mk", "n"), "substring-minimisers")
+    chosen = stored(owners.join(broadcast_if_small(shared, 16), "mk"), "substring-chosen")
     wanted = parts.join(chosen, ["mk", "body"]).where("id = owner").select("id", "th", "mk", "at", (F.col("n") > BUCKET_ROWS).alias("wide")).distinct()
     packed = stored(_bodies(docs, wanted), "substring-packed")
     small = packed.where(~F.col("wide")).select("id", "th", "mk", "start", "packed")
@@ -198,7 +199,7 @@ def spans(docs: DataFrame) -> DataFrame:
     small = small.repartition(n, "mk").sortWithinPartitions("mk").mapInArrow(_sorted_buckets, "id long, th long, span long")
     every = whole.unionByName(small).unionByName(_spread_windows(packed.where("wide")))
     out = stored(_merged(every.groupBy("id", "th").agg(F.collect_set("span").alias("spans"))), "substring-spans")
-    discard(parts, chosen, packed)
+    discard(parts, shared, chosen, packed)
     return out
 
 
