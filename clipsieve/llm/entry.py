@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipsieve.llm import classifier, decontam, lm, mixing, ngram_join, quality_rules, substring, toxicity, url_filter, warc
+from clipsieve.llm import classifier, decontam, lm, merkle, mixing, ngram_join, quality_rules, substring, toxicity, url_filter, warc
 from clipsieve.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), lambda doc_id: F.pmod(F.crc32(doc_id.cast("string")), F.lit(7)) == 0)
+
+
 # The columns of op6, op7 and op10 that SQL can express, each from the same operator and parameters over whole tables.
 
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "op6_quality_rules_base": op6_quality_rules_base,
         "op7_url_filters_rules": op7_url_filters_rules,
         "op10_mixing_targets": op10_mixing_targets,
@@ -139,9 +144,44 @@ t AS (SELECT source, source_size, CASE WHEN r >= (SELECT k FROM k) THEN (SELECT
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, true AS within FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source"""
 
 
+#: crc32 of a list b of bytes, bit by bit; DuckDB has none. Fixed value: the polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+
+
+def _bytes(blob: str) -> str:
+    """The bytes of a blob as a list, read from its hexadecimal digits."""
+    return f"list_transform(range(1, octet_length({blob}) + 1), lambda i: CAST('0x' || substr(hex({blob}), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))"
+
+
+def _field(c: str) -> str:
+    return f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c}), '-')"
+
+
+_LEAF = "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "{n}", "text"))) + ")"
+
+#: Trees level by level: g is a lang and, for the tree above, 'all'; each row of up is a node, its place and its level's size.
+OP13_SQL = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, lang, {_LEAF.format(n="n_chars")} AS leaf, {_LEAF.format(n="n_chars + CASE WHEN z.r % 7 = 0 THEN 1 ELSE 0 END")} AS seen,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT *, {_CRC} AS r FROM (SELECT *, {_bytes("encode(doc_id::VARCHAR)")} AS b FROM documents)) z),
+up AS (SELECT lang AS g, 0 AS level, i, n, leaf AS h FROM d
+  UNION ALL SELECT g, any_value(level) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM up WHERE n > 1 GROUP BY g, i // 2),
+s AS MATERIALIZED (SELECT g, h, row_number() OVER (ORDER BY g IS NOT NULL, encode(g)) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS level, i, n, h FROM s
+  UNION ALL SELECT any_value(level) + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY i // 2),
+nodes AS MATERIALIZED (SELECT false AS above, g, level, i, h FROM up UNION ALL SELECT true, NULL, level, i, h FROM top),
+walk AS (SELECT row_number() OVER (ORDER BY d.lang, d.i) AS k, false AS above, d.lang AS g, 0 AS level, d.i, d.n, s.i AS si, s.n AS sn, seen AS h, '' AS path FROM d JOIN s ON s.g IS NOT DISTINCT FROM d.lang
+  UNION ALL SELECT k, w.above OR w.n = 1, w.g, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.n = 1 THEN si ELSE w.i // 2 END, CASE WHEN w.n = 1 THEN sn ELSE (w.n + 1) // 2 END, si, sn,
+    CASE WHEN w.n = 1 THEN w.h WHEN w.i % 2 = 1 THEN sha256(x.h || w.h) ELSE sha256(w.h || coalesce(x.h, '')) END, CASE WHEN w.n = 1 THEN path ELSE path || coalesce(x.h, '') END
+    FROM walk w LEFT JOIN nodes x ON x.above = w.above AND (w.above OR x.g IS NOT DISTINCT FROM w.g) AND x.level = w.level AND x.i = xor(w.i, 1) AND w.n > 1 WHERE NOT (w.above AND w.n = 1)),
+e AS (SELECT g, k, h, path FROM walk WHERE above AND n = 1)
+SELECT d.doc_id, d.lang, d.leaf, s.h AS subroot, t.h AS root, sha256(e.path) AS proof_sha256, e.h AS folded_root, e.h = t.h AS verified
+FROM (SELECT *, row_number() OVER (ORDER BY lang, i) AS o FROM d) d JOIN s ON s.g IS NOT DISTINCT FROM d.lang JOIN (SELECT h FROM top WHERE n = 1) t ON true JOIN e ON e.k = d.o"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The queries whose every column SQL can express; the others are tested against brute force in tests/llm."""
     return {
         "op2_warc": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_substring_dedup": OP5_SQL,
         "op6_quality_rules_base": OP6_SQL, "op7_url_filters_rules": OP7_SQL, "op10_mixing_targets": OP10_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
