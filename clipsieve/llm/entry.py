@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clipsieve.llm import classifier, decontam, lm, merkle, mixing, ngram_join, quality_rules, substring, toxicity, url_filter, warc
+from clipsieve.llm import classifier, decontam, lm, media, merkle, mixing, ngram_join, quality_rules, ranked_search, substring, toxicity, url_filter, warc
 from clipsieve.llm.common import table
 
 
@@ -53,11 +53,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), lambda doc_id: F.pmod(F.crc32(doc_id.cast("string")), F.lit(7)) == 0)
 
 
-# The columns of op6, op7 and op10 that SQL can express, each from the same operator and parameters over whole tables.
+# The columns of op6, op7, op10 and op11 that SQL can express, each from the same operator and parameters over whole tables.
 
 
 def op6_quality_rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +80,10 @@ def op10_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target", (F.col("taken") <= 3 * F.col("size")).alias("within"))
 
 
+def op11_media_columns_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_media_columns(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -84,10 +96,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": op8_lm_scoring,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_mixing": op10_mixing,
+        "op11_media_columns": op11_media_columns,
+        "op12_ranked_search": op12_ranked_search,
         "op13_merkle_manifest": op13_merkle_manifest,
         "op6_quality_rules_base": op6_quality_rules_base,
         "op7_url_filters_rules": op7_url_filters_rules,
         "op10_mixing_targets": op10_mixing_targets,
+        "op11_media_columns_payload": op11_media_columns_payload,
     }
 
 
@@ -144,6 +159,18 @@ t AS (SELECT source, source_size, CASE WHEN r >= (SELECT k FROM k) THEN (SELECT
 SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, true AS within FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source"""
 
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SQL = f"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ws FROM documents),
+d AS MATERIALIZED (SELECT r, doc_id, CAST(len(ws) AS BIGINT) AS n FROM w WHERE len(ws) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+p AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM w) z WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+v AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM p, c GROUP BY term),
+s AS (SELECT item_id, r, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN v USING (term) JOIN d USING (r), c GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s JOIN d USING (r) WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 10"""
+
 #: crc32 of a list b of bytes, bit by bit; DuckDB has none. Fixed value: the polynomial.
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: list_reduce(list_prepend(xor(c, x), range(8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
 
@@ -157,6 +184,11 @@ def _field(c: str) -> str:
     return f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c}), '-')"
 
 
+OP11_SQL = f"""WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+p AS (SELECT doc_id, octet_length(t) AS n, t || repeat('\x00'::BLOB, CASE WHEN octet_length(t) = 0 THEN 64 ELSE (64 - octet_length(t) % 64) % 64 END) AS x FROM d),
+e AS (SELECT *, unhex(right(hex(x), 128)) AS y FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(octet_length(x) AS BIGINT) AS payload_bytes, sha256(x) AS payload_sha256, CAST({_CRC} AS BIGINT) AS tail_crc32 FROM (SELECT *, {_bytes("y")} AS b FROM e) z"""
+
 _LEAF = "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "{n}", "text"))) + ")"
 
 #: Trees level by level: g is a lang and, for the tree above, 'all'; each row of up is a node, its place and its level's size.
@@ -183,5 +215,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_warc": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_substring_dedup": OP5_SQL,
         "op6_quality_rules_base": OP6_SQL, "op7_url_filters_rules": OP7_SQL, "op10_mixing_targets": OP10_SQL,
-        "op13_merkle_manifest": OP13_SQL,
+        "op11_media_columns_payload": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL,
     }
