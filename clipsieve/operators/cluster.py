@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clipsieve.operators.masks import dilate, overlap_pairs
+from clipsieve.operators import runs
+
+#: Places in a line where masks come as numbered pixels and the width of the image doesn't matter.
+LINE = 4_096
+
+
+def proximity_links(masks: DataFrame, width: int, height: int, proximity: int) -> DataFrame:
+    """(frame, a, b) links between objects, from merged runs, so that all whose masks, grown by proximity, touch are joined."""
+    return runs.touching(runs.shifted(masks, width, height, proximity, shape="ellipse") if proximity else masks)
 
 
 def proximity_pairs(masks: DataFrame, width: int, height: int, proximity: int) -> DataFrame:
-    """(frame, a, b) of objects a < b whose masks, both grown by proximity, touch: an equi-join on pixels."""
-    grown = dilate(masks, width, height, proximity, shape="ellipse") if proximity else masks
-    return overlap_pairs(grown).select("frame", "a", "b")
+    """The same from pixels."""
+    return proximity_links(runs.from_pixels(masks, width), width, height, proximity)
 
 
 def components_per_frame(objects: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -44,7 +51,18 @@ def components_per_frame(objects: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def proximity_groups(masks: DataFrame, width: int, height: int, proximity: int) -> DataFrame:
     """(frame, obj, group): objects whose masks, both grown by proximity, touch directly or through others."""
-    return components_per_frame(masks.select("frame", "obj"), proximity_pairs(masks, width, height, proximity))
+    return proximity_run_groups(runs.from_pixels(masks, width), width, height, proximity)
+
+
+def proximity_run_groups(masks: DataFrame, width: int, height: int, proximity: int) -> DataFrame:
+    """The same from merged runs: what crosses a shuffle are runs and the lines that they reach, never pixels."""
+    return components_per_frame(masks.select("frame", "obj"), proximity_links(masks, width, height, proximity))
+
+
+def group_run_areas(masks: DataFrame, groups: DataFrame) -> DataFrame:
+    """(frame, group, area): pixels in any member of a group, from runs."""
+    keys = ("frame", "group")
+    return runs.areas(runs.merged(masks.join(groups, ["frame", "obj"]), keys), keys)
 
 
 def group_union(masks: DataFrame, groups: DataFrame) -> DataFrame:
@@ -71,19 +89,49 @@ def assign_groups(detections: DataFrame, start: DataFrame) -> DataFrame:
     """(video, frame, det, group) by an ordered fold per video; start (video, group, px) is the state before frame 1.
 
     detections: (video, frame, det, px), frames counted by every row of the video, a frame without detections as a row
-    with null det. A video's pixels are in one task; videos run side by side.
+    with null det. Pixels become runs of equal places in any line, as only what masks have in common counts.
     """
+    own = runs.from_pixels(detections.where("det IS NOT NULL AND px IS NOT NULL"), LINE, ("video", "frame", "det"))
+    return assign_run_groups(detections.select("video", "frame", "det"), own, runs.from_pixels(start, LINE, ("video", "group")))
+
 
-    def fold(rows: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
-        state = {int(g): set(p["px"]) for g, p in first.groupby("group")}
-        n, out = max(state, default=1), []
-        for frame, f in rows.sort_values(["frame", "det"]).groupby("frame"):
-            dets = [(d, set(p["px"])) for d, p in f.dropna(subset=["det"]).groupby("det")]
-            joined, state = fold_frame(state, [p for _, p in dets], n)
-            out += [(rows["video"].iloc[0], int(frame), int(d), g) for (d, _), g in zip(dets, joined, strict=True)]
+def assign_run_groups(present: DataFrame, detections: DataFrame, start: DataFrame) -> DataFrame:
+    """The same from merged runs: present (video, frame, det), detections (video, frame, det, y, x0, x1), start (video, group, y, x0, x1).
+
+    The frame before is cut into atoms, the pixels that the same detections (at first: groups) cover. How many pixels of a
+    detection lie in each atom is all that the fold needs to know: a group's overlap is the sum over atoms with a member
+    in it, whichever group the members will have joined, and exact where they overlap. The fold itself, in order of
+    frames, has these few counts of a video in one task.
+    """
+    kind = dict(present.dtypes)["video"]
+    seen = present.select("video", "frame", F.col("det").cast("long").alias("det")).distinct()
+    order = Window.partitionBy("video").orderBy("frame")
+    frames = seen.select("video", "frame").distinct().withColumns({"after": F.lead("frame").over(order), "place": F.row_number().over(order)})
+    # A member is twice a detection's number, or twice a group's plus one.
+    moved = detections.join(frames.where("after IS NOT NULL").select("video", "frame", "after"), ["video", "frame"])
+    before = moved.select("video", F.col("after").alias("frame"), "y", "x0", "x1", (F.col("det") * 2).cast("long").alias("member"))
+    given = start.join(frames.where("place = 1").select("video", "frame"), "video")
+    before = before.unionByName(given.select("video", "frame", "y", "x0", "x1", (F.col("group") * 2 + 1).cast("long").alias("member")))
+    atoms = runs.atoms(before, ("video", "frame"), "member").withColumnsRenamed({"x0": "a0", "x1": "a1"})
+    meet = detections.join(atoms, ["video", "frame", "y"]).where("a0 < x1 AND x0 < a1")
+    counts = meet.groupBy("video", "frame", F.col("det").cast("long").alias("det"), "members").agg(F.sum(F.least("x1", "a1") - F.greatest("x0", "a0")).alias("n"))
+    groups = start.groupBy("video").agg(F.max("group").cast("long").alias("groups"))
+    rows = seen.join(counts, ["video", "frame", "det"], "left").join(groups, "video", "left")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(rows["groups"].fillna(1).iloc[0])
+        joined: dict[int, int] = {2 * g + 1: g for g in range(1, n + 1)}
+        out = []
+        for frame, f in rows.dropna(subset=["det"]).sort_values(["frame", "det"]).groupby("frame"):
+            now = {}
+            for det, atoms in f.groupby("det"):
+                overlap = dict.fromkeys(range(1, n + 1), 0)
+                for members, pixels in zip(atoms["members"], atoms["n"], strict=True):
+                    for g in {joined[m] for m in members} if members is not None else ():
+                        overlap[g] += pixels
+                now[2 * int(det)] = 1 if n == 1 else max(overlap, key=lambda g: (overlap[g], -g))
+            out += [(rows["video"].iloc[0], int(frame), m // 2, g) for m, g in now.items()]
+            joined |= now
         return pd.DataFrame(out, columns=["video", "frame", "det", "group"])
 
-    kind = dict(detections.dtypes)["video"]
-    # New names: both sides may come from one table, whose columns cogroup could not tell apart.
-    start = start.select("video", "group", "px").toDF("video", "group", "px")
-    return detections.groupBy("video").cogroup(start.groupBy("video")).applyInPandas(fold, f"video {kind}, frame long, det long, group int")
+    return rows.groupBy("video").applyInPandas(fold, f"video {kind}, frame long, det long, group int")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clipsieve.operators import runs
+
 BITMAP_BITS = 32_768
 
 
@@ -44,33 +45,14 @@ def mean_area(masks: DataFrame, pixels: int, frames: int) -> DataFrame:
     return total.select("total_area", (F.col("total_area") / F.lit(pixels * frames)).alias("mean_area_frac"))
 
 
-def offsets(radius: int, shape: str = "square") -> list[tuple[int, int]]:
-    """Cells of a structuring element; a row of an ellipse reaches as far as the rounded half chord."""
-    r = range(-radius, radius + 1)
-    reach = {dy: radius if shape == "square" else round(math.sqrt(radius * radius - dy * dy)) for dy in r}
-    return [(dx, dy) for dy in r for dx in r if abs(dx) <= reach[dy]]
-
-
 def dilate(masks: DataFrame, width: int, height: int, radius: int, keys: tuple[str, ...] = ("frame", "obj"), shape: str = "square") -> DataFrame:
-    """Pixels within the structuring element of a mask's pixel, clipped to the image. Each pixel makes as many rows as
-    the element has cells, a constant."""
-    near = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets(radius, shape)))
-    x, y = F.col("px") % width, F.floor(F.col("px") / width)
-    m = masks.select(*keys, x.alias("x"), y.alias("y"), F.explode(near).alias("o")).select(*keys, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    m = m.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
-    return m.select(*keys, (F.col("y") * width + F.col("x")).cast("long").alias("px")).distinct()
+    """Pixels within the structuring element of a mask's pixel, clipped to the image; by runs."""
+    return runs.to_pixels(runs.dilate(runs.from_pixels(masks, width, keys), width, height, radius, keys, shape), width, keys)
 
 
 def erode(masks: DataFrame, width: int, height: int, radius: int, keys: tuple[str, ...] = ("frame", "obj")) -> DataFrame:
-    """Pixels whose whole square is in the mask; outside the image nothing is, so pixels near its border go."""
-    near = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets(radius)))
-    x, y = F.col("px") % width, F.floor(F.col("px") / width)
-    m = masks.select(*keys, "px").distinct().select(*keys, x.alias("x"), y.alias("y"), F.explode(near).alias("o"))
-    m = m.select(*keys, (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    inside = m.groupBy(*keys, "x", "y").agg(F.count("*").alias("n"))
-    # A pixel all of whose square is in the mask is in the mask itself.
-    whole = inside.where(F.col("n") == (2 * radius + 1) ** 2)
-    return whole.select(*keys, (F.col("y") * width + F.col("x")).cast("long").alias("px"))
+    """Pixels whose whole square is in the mask; outside the image nothing is, so pixels near its border go; by runs."""
+    return runs.to_pixels(runs.erode(runs.from_pixels(masks, width, keys), radius, keys), width, keys)
 
 
 def blur_threshold(masks: DataFrame, width: int, height: int, sigma: float, keys: tuple[str, ...] = ("frame", "obj")) -> DataFrame:
@@ -106,8 +88,9 @@ def blur_threshold(masks: DataFrame, width: int, height: int, sigma: float, keys
 
 def preprocess(masks: DataFrame, width: int, height: int, erode_px: int = 0, dilate_px: int = 4, sigma: float = 0.0, keys: tuple[str, ...] = ("frame", "obj")) -> DataFrame:
     """Erosion, then dilation, then a blur and a threshold; a radius or sigma of 0 leaves its step out."""
-    m = erode(masks, width, height, erode_px, keys) if erode_px else masks.select(*keys, "px").distinct()
-    m = dilate(m, width, height, dilate_px, keys) if dilate_px else m
+    m = runs.from_pixels(masks, width, keys)
+    m = runs.erode(m, erode_px, keys) if erode_px else m
+    m = runs.to_pixels(runs.dilate(m, width, height, dilate_px, keys) if dilate_px else m, width, keys)
     return blur_threshold(m, width, height, sigma, keys) if sigma > 0 else m
 
 

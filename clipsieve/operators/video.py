@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,12 @@ from pyspark.sql.types import BinaryType
 #: How a PNG file begins, and its greyscale and RGB colour types.
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
 GREY, RGB = 0, 2
-CLIP_MAGIC = b"CLIP1\n"
+CLIP_MAGIC = b"CLIP2\n"
+#: Frames, height, width, rate.
+CLIP_HEADER = struct.Struct("<IIId")
+CLIP_BYTES = len(CLIP_MAGIC) + CLIP_HEADER.size
+#: Frame numbers between two whole frames of a clip.
+KEY_EVERY = 24
 
 
 def kept_frames(n: int, fps: float, max_frames: int | None = None, target_fps: float | None = None, uniform: bool = False) -> np.ndarray:
@@ -60,54 +65,92 @@ def decode(frames: DataFrame, videos: DataFrame, max_frames: int | None = None,
     return sample(videos, max_frames, target_fps, uniform).join(frames, ["video", "frame_idx"])
 
 
-def encode_clips(frames: DataFrame, fps: float = 30.0) -> DataFrame:
-    """(video, n_frames, content): each video's frames, in order of frame_idx, in one lossless container.
+def encode_clips(frames: DataFrame, fps: float = 30.0, chunk: int = KEY_EVERY) -> DataFrame:
+    """(video, chunk, n_frames, content): each video's frames in lossless containers, one for every chunk frame numbers.
 
-    A frame is stored as its difference to the one before. All frames of a video have one size; a video is in one task.
-    A video without frames has no row.
+    A container begins with a whole frame; the others are stored as differences to the one before. Chunks are packed by
+    themselves, so that the frames of one video keep many tasks busy, and each can be read without the others. Frames of
+    a chunk have one size; frame numbers may have gaps. A video without frames has no row.
     """
     kind = dict(frames.dtypes)["video"]
 
     def each(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("frame_idx")
-        h, w = int(rows["h"].iloc[0]), int(rows["w"].iloc[0])
-        if (rows["h"] != h).any() or (rows["w"] != w).any():
+        content = pack_clip(rows["frame_idx"].tolist(), int(rows["h"].iloc[0]), int(rows["w"].iloc[0]), fps, rows["rgb"])
+        if (rows["h"] != rows["h"].iloc[0]).any() or (rows["w"] != rows["w"].iloc[0]).any():
             raise ValueError("the frames of a clip must have one size")
-        z, before, out = zlib.compressobj(6), np.zeros(h * w * 3, np.uint8), []
-        for rgb in rows["rgb"]:
-            now = np.frombuffer(rgb, np.uint8)
-            out.append(z.compress((now - before).tobytes()))
-            before = now
-        content = CLIP_MAGIC + struct.pack("<IIId", len(rows), h, w, fps) + b"".join(out) + z.flush()
-        return pd.DataFrame({"video": [rows["video"].iloc[0]], "n_frames": [len(rows)], "content": [content]})
+        return pd.DataFrame({"video": [rows["video"].iloc[0]], "chunk": [rows["chunk"].iloc[0]], "n_frames": [len(rows)], "content": [content]})
 
-    return frames.select("video", "frame_idx", "h", "w", "rgb").groupBy("video").applyInPandas(each, f"video {kind}, n_frames long, content binary")
+    rows = frames.select("video", F.floor(F.col("frame_idx") / chunk).alias("chunk"), "frame_idx", "h", "w", "rgb")
+    return rows.groupBy("video", "chunk").applyInPandas(each, f"video {kind}, chunk long, n_frames long, content binary")
+
+
+def pack_clip(numbers: list[int], h: int, w: int, fps: float, pictures: Iterable[bytes]) -> bytes:
+    """A container: header, frame numbers, where each frame's bytes end, and the frames, the first one whole."""
+    before, parts = None, []
+    for rgb in pictures:
+        now = np.frombuffer(rgb, np.uint8)
+        parts.append(zlib.compress((now if before is None or len(now) != len(before) else now - before).tobytes(), 6))
+        before = now
+    ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+    return CLIP_MAGIC + CLIP_HEADER.pack(len(parts), h, w, fps) + np.array(numbers, "<i8").tobytes() + ends.astype("<i8").tobytes() + b"".join(parts)
 
 
 def clip_info(content: bytes) -> tuple[int, int, int, float]:
     """Number of frames, height, width and rate of a clip, read without unpacking it."""
-    if content[:6] != CLIP_MAGIC:
+    if content[: len(CLIP_MAGIC)] != CLIP_MAGIC:
         raise ValueError("no clip")
-    return struct.unpack_from("<IIId", content, 6)
+    return CLIP_HEADER.unpack_from(content, len(CLIP_MAGIC))
+
+
+def unpack_clip(content: bytes, wanted: Iterable[int] | None = None) -> Iterator[tuple[int, bytes]]:
+    """(frame number, pixels) of a container's frames, or of the wanted ones; what comes after the last is not unpacked."""
+    n, *_ = clip_info(content)
+    at = CLIP_BYTES + 16 * n
+    numbers, ends = np.frombuffer(content, "<i8", 2 * n, CLIP_BYTES).reshape(2, n)
+    want = set(numbers.tolist() if wanted is None else wanted)
+    last = max((k for k, f in enumerate(numbers.tolist()) if f in want), default=-1)
+    image, begin = None, 0
+    for k in range(last + 1):
+        part = np.frombuffer(zlib.decompress(content[at + begin : at + int(ends[k])]), np.uint8)
+        image, begin = (part if image is None else image + part), int(ends[k])
+        if int(numbers[k]) in want:
+            yield int(numbers[k]), image.tobytes()
+
 
+def decode_clips(clips: DataFrame, wanted: DataFrame | None = None, chunk: int = KEY_EVERY) -> DataFrame:
+    """Containers (video, content) to frames (video, frame_idx, h, w, rgb).
 
-def decode_clips(clips: DataFrame) -> DataFrame:
-    """(video, content) to frames (video, frame_idx, h, w, rgb)."""
+    With wanted (video, frame_idx) only these frames: clips (video, chunk, content) are joined to the chunks that have
+    some, and of these none is unpacked beyond its last wanted frame.
+    """
     kind = dict(clips.dtypes)["video"]
+    if wanted is None:
+        rows = clips.select("video", "content", F.lit(None).cast("array<long>").alias("wanted"))
+    else:
+        place = wanted.select("video", F.floor(F.col("frame_idx") / chunk).alias("chunk"), F.col("frame_idx").cast("long").alias("frame_idx"))
+        rows = clips.select("video", "chunk", "content").join(place.groupBy("video", "chunk").agg(F.collect_set("frame_idx").alias("wanted")), ["video", "chunk"]).select("video", "content", "wanted")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            for video, content in zip(rows["video"], rows["content"], strict=True):
-                n, h, w, _ = clip_info(content)
-                parts = np.frombuffer(zlib.decompress(content[26:]), np.uint8).reshape(n, h * w * 3)
-                images = np.add.accumulate(parts, axis=0, dtype=np.uint8)
-                yield pd.DataFrame({"video": [video] * n, "frame_idx": range(n), "h": [h] * n, "w": [w] * n, "rgb": [i.tobytes() for i in images]})
+            for video, content, want in zip(rows["video"], rows["content"], rows["wanted"], strict=True):
+                _, h, w, _ = clip_info(content)
+                got = list(unpack_clip(content, want))
+                if not got:
+                    continue
+                yield pd.DataFrame({"video": [video] * len(got), "frame_idx": [f for f, _ in got], "h": h, "w": w, "rgb": [rgb for _, rgb in got]})
+
+    return rows.mapInPandas(each, f"video {kind}, frame_idx long, h int, w int, rgb binary")
+
 
-    return clips.select("video", "content").mapInPandas(each, f"video {kind}, frame_idx long, h int, w int, rgb binary")
+def decode_sampled(clips: DataFrame, videos: DataFrame, max_frames: int | None = None, target_fps: float | None = None, uniform: bool = False, chunk: int = KEY_EVERY) -> DataFrame:
+    """(video, pos, frame_idx, fps, h, w, rgb): the frames of clips that a decoder keeps, out of the chunks that hold them."""
+    kept = sample(videos, max_frames, target_fps, uniform)
+    return kept.join(decode_clips(clips, kept.select("video", "frame_idx"), chunk), ["video", "frame_idx"]).select("video", "pos", "frame_idx", "fps", "h", "w", "rgb")
 
 
 def probe_clips(clips: DataFrame) -> DataFrame:
-    """(video, n, h, w, fps, duration_sec) from the clips' headers; a broken clip has 0 frames."""
+    """(video, n, h, w, fps, duration_sec) from the headers of a video's containers; with a broken one it has 0 frames."""
     kind = dict(clips.dtypes)["video"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,14 +158,16 @@ def probe_clips(clips: DataFrame) -> DataFrame:
             out = []
             for video, content in zip(rows["video"], rows["content"], strict=True):
                 try:
-                    n, h, w, fps = clip_info(content)
+                    out.append((video, *clip_info(content), False))
                 except (ValueError, struct.error, TypeError):
-                    n, h, w, fps = 0, 0, 0, 0.0
-                out.append((video, n, h, w, fps, n / fps if fps > 0 else 0.0))
-            yield pd.DataFrame(out, columns=["video", "n", "h", "w", "fps", "duration_sec"])
+                    out.append((video, 0, 0, 0, 0.0, True))
+            yield pd.DataFrame(out, columns=["video", "n", "h", "w", "fps", "broken"])
 
     # The header is all that is sent to Python.
-    return clips.select("video", F.substring("content", 1, 26).alias("content")).mapInPandas(each, f"video {kind}, n long, h int, w int, fps double, duration_sec double")
+    heads = clips.select("video", F.substring("content", 1, CLIP_BYTES).alias("content")).mapInPandas(each, f"video {kind}, n long, h int, w int, fps double, broken boolean")
+    whole = heads.groupBy("video").agg(F.max("broken").alias("broken"), F.sum("n").alias("n"), F.max("h").alias("h"), F.max("w").alias("w"), F.max("fps").alias("fps"))
+    known = lambda c: F.when(F.col("broken"), F.lit(0)).otherwise(F.col(c)).cast(dict(whole.dtypes)[c]).alias(c)
+    return whole.select("video", *map(known, ("n", "h", "w", "fps"))).withColumn("duration_sec", F.when(F.col("fps") > 0, F.col("n") / F.col("fps")).otherwise(F.lit(0.0)))
 
 
 def png(pixels: bytes, height: int, width: int, colour: int = RGB) -> bytes:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clipsieve.functions import scalar, text
-from clipsieve.operators import batch, cluster, frames, inpaint, jobs, masks, render, segment, select, video
+from clipsieve.operators import batch, cluster, frames, inpaint, jobs, masks, render, runs, segment, select, video
 from clipsieve.plans import fixtures as fx
 from clipsieve.sources import writers
+from clipsieve.sources.shared import stored
 
 V = fx.PARTS
 SAMPLE = 16
@@ -235,6 +236,43 @@ def group_union(spark: SparkSession, d: str) -> DataFrame:
     return g.select("frame", F.col("group").cast("long").alias("grp"), "area")
 
 
+#: The radius that masks of real frames are grown by to tell which belong together.
+PROXIMITY = 50
+
+
+def _hd_groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    m = runs.merged(fx.hd_runs(spark, d))
+    return m, cluster.proximity_run_groups(m, fx.HD_WIDTH, fx.HD_HEIGHT, PROXIMITY)
+
+
+def proximity_groups_hd(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(_hd_groups(spark, d)[1], "obj", "group").withColumnRenamed("group", "grp")
+
+
+def group_union_hd(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(cluster.group_run_areas(*_hd_groups(spark, d)), "group").withColumnRenamed("group", "grp")
+
+
+def mask_dilate_hd(spark: SparkSession, d: str) -> DataFrame:
+    grown = runs.dilate(runs.merged(fx.hd_runs(spark, d)), fx.HD_WIDTH, fx.HD_HEIGHT, PROXIMITY, shape="ellipse")
+    return grown.groupBy("frame", "obj").agg(F.count("*").alias("runs"), F.sum(F.col("x1") - F.col("x0")).alias("area"))
+
+
+def mask_overlap_pairs_hd(spark: SparkSession, d: str) -> DataFrame:
+    return runs.overlaps(runs.merged(fx.hd_runs(spark, d)))
+
+
+def assign_groups_hd(spark: SparkSession, d: str) -> DataFrame:
+    """Days are videos of hourly frames; masks are grown, so that there is something in common with the hour before."""
+    grown = runs.dilate(runs.merged(fx.hd_runs(spark, d)), fx.HD_WIDTH, fx.HD_HEIGHT, 40)
+    m = stored(grown.select(F.floor(F.col("frame") / 24).cast("long").alias("video"), "frame", F.col("obj").alias("det"), "y", "x0", "x1"), "grown")  # read five times
+    first = m.groupBy("video").agg(F.min("frame").alias("first"))
+    rows = m.join(first, "video")
+    start = runs.merged(rows.where("frame = first").select("video", (F.col("det") % 4 + 1).alias("group"), "y", "x0", "x1"), ("video", "group"))
+    rest = rows.where("frame > first").drop("first")
+    return cluster.assign_run_groups(rest.select("video", "frame", "det"), rest, start).withColumnRenamed("group", "grp").withColumn("grp", F.col("grp").cast("long"))
+
+
 def assign_groups(spark: SparkSession, d: str) -> DataFrame:
     m = fx.masks(spark, d, "hour")
     day = F.floor(F.col("frame") / 24).cast("long")
@@ -283,8 +321,7 @@ def overlay_blend(spark: SparkSession, d: str) -> DataFrame:
 
 def overlay_clips(spark: SparkSession, d: str) -> DataFrame:
     """Painted frames, out of the clips that they were packed into."""
-    m = fx.masks(spark, d).withColumn("video", F.lit(0).cast("long"))
-    back = video.decode_clips(render.overlay_clips(fx.pictures(spark, d), m, 25.0))
+    back = video.decode_clips(render.overlay_clips(fx.pictures(spark, d), fx.picture_masks(spark, d), 25.0))
     return back.select("frame_idx", F.md5(F.lower(F.hex("rgb"))).alias("digest"))
 
 
@@ -405,12 +442,30 @@ def segment_tracked_header(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inpaint_groups(spark: SparkSession, d: str) -> DataFrame:
-    """A stand-in for the model adds 50 to each masked value; groups build on one another."""
-    m = fx.masks(spark, d).withColumn("video", F.lit(0).cast("long"))
-    out = inpaint.inpaint_groups(fx.pictures(spark, d), m, lambda images, mask: images + 50 * mask[..., None].astype(images.dtype))
+    """A stand-in for the model adds 50 to each masked value; groups build on one another, in chunks of frames with context."""
+    add = lambda images, mask: images + 50 * mask[..., None].astype(images.dtype)
+    out = inpaint.inpaint_groups(fx.pictures(spark, d), fx.picture_masks(spark, d), add, chunk=3, context=1)
     return out.select("frame_idx", F.md5(F.lower(F.hex("rgb"))).alias("digest"), "method")
 
 
+def inpaint_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """A model that fails for every second chunk of two days: there the filling stands in, with the reason, within the masks only."""
+
+    def model(images, mask):
+        first = int(images[0, 0, 0, 0])  # the frame's number, as colours are made
+        if first // 2 % 2:
+            raise RuntimeError("a chunk that fails")
+        return images
+
+    p = fx.pictures(spark, d)
+    m = fx.picture_masks(spark, d).where("px > 0")
+    out = inpaint.inpaint_groups(p, m, model, chunk=2)
+    covered = m.groupBy(F.col("frame").alias("frame_idx")).agg(F.collect_set("px").alias("px"))
+    changed = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(fx.WIDTH * fx.HEIGHT - 1).cast("long")), lambda k: F.substring("rgb", (3 * k + 1).cast("int"), F.lit(3)) != F.substring("old", (3 * k + 1).cast("int"), F.lit(3)))
+    both = out.join(p.select("frame_idx", F.col("rgb").alias("old")), "frame_idx").join(covered, "frame_idx", "left").withColumn("changed", changed)
+    return both.select("video", "frame_idx", "method", "fallback_reason", F.size(F.array_except("changed", F.coalesce("px", F.array().cast("array<long>")))).cast("long").alias("changed_outside"))
+
+
 def _batch(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("video_id").cast("long")
     j = _classified(spark, d).where("status IS NULL").select("video_id", "prompt_word", "path")
@@ -465,9 +520,16 @@ def decode_uniform(spark: SparkSession, d: str) -> DataFrame:
 
 def clip_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Clips are packed, probed and unpacked again; each frame's picture must be the same."""
-    clips = video.encode_clips(fx.pictures(spark, d), 25.0)
-    back = video.decode_clips(clips).select("frame_idx", "h", "w", F.md5(F.lower(F.hex("rgb"))).alias("digest"), "video")
-    return _as_long(back.join(video.probe_clips(clips).select("video", "n", "duration_sec"), "video").drop("video"), "h", "w")
+    clips = video.encode_clips(fx.pictures(spark, d), 25.0, chunk=3)
+    back = video.decode_clips(clips).select("video", "frame_idx", "h", "w", F.md5(F.lower(F.hex("rgb"))).alias("digest"))
+    return _as_long(back.join(video.probe_clips(clips).select("video", "n", "duration_sec"), "video"), "h", "w")
+
+
+def clip_seek(spark: SparkSession, d: str) -> DataFrame:
+    """Four frames of each hour-long clip, out of the chunks that hold them."""
+    e = fx.frames(spark, d).select("video", "frame_idx", F.lit(1).alias("h"), F.lit(2).alias("w"), F.unhex(F.format_string("%012x", F.col("video") * 1_000_003 + F.col("frame_idx"))).alias("rgb"))
+    got = video.decode_sampled(video.encode_clips(e, chunk=8), _rated(spark, d), max_frames=4, uniform=True, chunk=8)
+    return got.select("video", "pos", "frame_idx", F.lower(F.hex("rgb")).alias("rgb"))
 
 
 def best_detection(spark: SparkSession, d: str) -> DataFrame:
@@ -498,10 +560,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         noun_distribution, coverage, prompt_counts, job_classify, job_lpt_order, results_summary, unprocessed_jobs, index_last_wins,
         frame_reduction, uniform_subsample, fps_resample, tracker_subsample, anchor_frame, largest_detection, nearest_fill, fwd_bwd_merge,
         spine_fill, track_counters, mask_area, mask_area_bitmap, mask_union, mask_union_bitmap, mean_mask_area, mask_overlap_pairs, mask_dilate,
-        mask_erode, mask_preprocess, proximity_groups, group_union, assign_groups, area_gate, overlap_gate, cosine_gate, object_color,
+        mask_erode, mask_preprocess, proximity_groups, group_union, assign_groups, proximity_groups_hd, group_union_hd, mask_dilate_hd, mask_overlap_pairs_hd, assign_groups_hd, area_gate, overlap_gate, cosine_gate, object_color,
         overlay_blend, frames_with_masks, video_id, cover_crop, working_size, status_json, frame_names, required_missing, prompt_list,
         saved_subset, latest_file, segment_one, segment_one_header, segment_many, segment_many_header, segment_prompts, segment_prompts_header,
-        segment_tracked, segment_tracked_header, inpaint_groups, run_batch, batch_passed, worker_ordinals, first_jobs, prompt_examples,
-        zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources, overlay_clips, decode_resampled, decode_uniform, clip_round_trip,
+        segment_tracked, segment_tracked_header, inpaint_groups, inpaint_fallback, run_batch, batch_passed, worker_ordinals, first_jobs, prompt_examples,
+        zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources, overlay_clips, decode_resampled, decode_uniform, clip_round_trip, clip_seek,
     )
 }

@@ -11,6 +11,8 @@ NOUNS = ("gear", "gizmo", "plate", "rod", "ring", "bolt", "widget", "anvil")
 #: The vocabulary of part names; anvil plays the generic noun.
 PARTS = Vocabulary(nouns=NOUNS, plurals={f"{n}s": n for n in NOUNS}, generic=("anvil",))
 WIDTH, HEIGHT = 15, 10
+#: A frame of real size, for masks as runs.
+HD_WIDTH, HD_HEIGHT = 1920, 1080
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,10 +91,32 @@ def detected_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video, frame_idx, h, w, rgb): a picture of made-up colours for each day with masks, all days one video."""
+    """(video, frame_idx, h, w, rgb): a picture of made-up colours for each day with masks, a week one video."""
     days = masks(spark, sf_dir).select("frame").distinct().withColumn("px", F.explode(F.sequence(F.lit(0), F.lit(WIDTH * HEIGHT - 1))))
     value = lambda k: (F.col("px") * k + F.col("frame")) % 256
     sign = F.format_string("%02x%02x%02x", value(7), value(11), value(13))
     rgb = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("px", sign.alias("s")))), lambda x: x["s"]), ""))
     rows = days.groupBy("frame").agg(rgb.alias("rgb"))
-    return rows.select(F.lit(0).cast("long").alias("video"), F.col("frame").alias("frame_idx"), F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"), "rgb")
+    return rows.select(F.floor(F.col("frame") / 7).cast("long").alias("video"), F.col("frame").alias("frame_idx"), F.lit(HEIGHT).alias("h"), F.lit(WIDTH).alias("w"), "rgb")
+
+
+def picture_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video, frame, obj, px): the masks of the pictures."""
+    return masks(spark, sf_dir).withColumn("video", F.floor(F.col("frame") / 7).cast("long"))
+
+
+def hd_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame, obj, y, x0, x1): an hour is a frame of real size, four kinds of users and five types of events are objects.
+
+    Each event is a spot of 6 to 16 ragged lines, 20 to 60 pixels wide, at a place made up from its numbers. Not merged.
+    """
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    frame = F.timestamp_diff("HOUR", start, F.date_trunc("hour", "ts").cast("timestamp_ntz")).cast("long")
+    kinds = F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view")))
+    obj = F.array_position(kinds, F.col("event_type")).cast("long") + 5 * (F.col("user_id") % 4)
+    high, wide = 6 + F.col("user_id") % 11, 20 + F.col("event_id") % 41
+    left, top = (F.col("user_id") * 7919 + F.col("event_id") * 104_729) % (HD_WIDTH - 70), (F.col("user_id") * 6_007 + F.col("event_id") * 75_011) % (HD_HEIGHT - 20)
+    spots = e.select(frame.alias("frame"), obj.alias("obj"), left.alias("x"), top.alias("y"), wide.alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), high - 1)).alias("k"))
+    x0 = F.col("x") + F.col("k") * F.col("k") % 5
+    return spots.select("frame", "obj", (F.col("y") + F.col("k")).alias("y"), x0.alias("x0"), (x0 + F.col("w") - F.col("k") % 3).alias("x1"))

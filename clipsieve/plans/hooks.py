@@ -17,6 +17,7 @@ SCHEMAS = {
     "decode": "video string, frame_idx long, h int, w int, rgb binary",
     "encode": "video string, path string, n_frames long",
     "probe": "path string, fps double, width int, height int, frame_count int",
+    "decode_picture": "h int, w int, rgb binary",
 }
 _registered: dict[str, Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]] = {}
 
@@ -27,6 +28,10 @@ def register(name: str, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd
     _registered[name] = function
 
 
+def registered(name: str) -> Callable | None:
+    return _registered.get(name)
+
+
 def call(name: str, rows: DataFrame, per_video: bool = False) -> DataFrame:
     """Runs a registered function: over batches, so that a worker loads its model once, or over each video's rows."""
     if name not in SCHEMAS:

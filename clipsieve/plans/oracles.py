@@ -112,6 +112,31 @@ edge AS (SELECT DISTINCT a.frame, a.obj AS a, b.obj AS b FROM grown a JOIN grown
 reach(frame, a, b) AS (SELECT frame, a, b FROM edge UNION SELECT r.frame, r.a, e.b FROM reach r JOIN edge e ON r.frame = e.frame AND r.b = e.a),
 grp AS (SELECT frame, obj, dense_rank() OVER (PARTITION BY frame ORDER BY root) AS grp FROM (SELECT frame, a AS obj, min(b) AS root FROM reach GROUP BY ALL) z)"""
 )
+#: Spots on frames of real size, as fixtures.hd_runs makes them.
+HD = """spot AS (SELECT CAST(floor((epoch(date_trunc('hour', ts)) - epoch(TIMESTAMP '2024-01-01')) / 3600) AS BIGINT) AS frame,
+  CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS BIGINT) + 5 * (user_id % 4) AS obj,
+  (user_id * 7919 + event_id * 104729) % 1850 AS x, (user_id * 6007 + event_id * 75011) % 1060 AS top, 20 + event_id % 41 AS w, unnest(range(0, 6 + user_id % 11)) AS k FROM events),
+raw AS (SELECT frame, obj, top + k AS y, x + k * k % 5 AS x0, x + k * k % 5 + w - k % 3 AS x1 FROM spot)"""
+
+
+def _islands(source: str, lines: str, keys: str = "") -> str:
+    """Runs of a line that overlap or adjoin (for links: overlap) as one island each, told by its beginning."""
+    return f"""SELECT *, max(CASE WHEN fresh THEN x0 END) OVER (PARTITION BY {lines} ORDER BY x0 RANGE UNBOUNDED PRECEDING) AS island FROM (
+  SELECT *, coalesce(x0 {keys or '>'} max(x1) OVER (PARTITION BY {lines} ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM {source}) z"""
+
+
+def _runs(source: str, lines: str) -> str:
+    return f"SELECT {lines}, min(x0) AS x0, max(x1) AS x1 FROM ({_islands(source, lines)}) z GROUP BY {lines}, island"
+
+
+HD_RUNS = f"WITH RECURSIVE {HD}, run AS MATERIALIZED ({_runs('raw', 'frame, obj, y')})"
+#: Every run moved to each line of the ellipse, unlike the engine, which leaves out what neighbours cover.
+_HD_MOVED = "SELECT frame, obj, y + dy AS y, greatest(x0 - CAST(round(sqrt(2500 - dy * dy)) AS BIGINT), 0) AS x0, least(x1 + CAST(round(sqrt(2500 - dy * dy)) AS BIGINT), 1920) AS x1 FROM run, range(-50, 51) t(dy) WHERE y + dy BETWEEN 0 AND 1079"
+HD_GROUPS = f"""{HD_RUNS}, moved AS ({_HD_MOVED}),
+member AS MATERIALIZED (SELECT frame, obj, min(obj) OVER (PARTITION BY frame, y, island) AS low FROM ({_islands('moved', 'frame, y', '>=')}) z),
+link AS (SELECT DISTINCT frame, low AS a, obj AS b FROM member UNION SELECT DISTINCT frame, obj, low FROM member),
+near(frame, a, b) AS (SELECT frame, a, b FROM link UNION SELECT r.frame, r.a, e.b FROM near r JOIN link e ON r.frame = e.frame AND r.b = e.a),
+grp AS (SELECT frame, obj, dense_rank() OVER (PARTITION BY frame ORDER BY root) AS grp FROM (SELECT frame, a AS obj, min(b) AS root FROM near GROUP BY ALL) z)"""
 _INDICES = "CASE WHEN n > {m} THEN list_transform(range(0, {m}), lambda i: CASE WHEN i = {m} - 1 THEN n - 1 ELSE CAST(trunc(i * ((n - 1) / CAST({m} - 1 AS DOUBLE))) AS BIGINT) END) ELSE range(0, n) END"
 _BLEND = "CAST(floor(0.5 * {v} + 0.5 * {c}) AS BIGINT)"
 
@@ -143,6 +168,26 @@ each AS (SELECT video, frame, obj AS det, list(px) AS px FROM rows WHERE frame >
 dets AS (SELECT video, frame, list({'det': det, 'px': px} ORDER BY det) AS dets, row_number() OVER (PARTITION BY video ORDER BY frame) AS t FROM each GROUP BY video, frame),"""
     + _STEP
 )
+#: The fold on runs: mine has each detection's common pixels with a union of those of the frame before that have joined a group.
+HD_FOLD = f"""{HD_RUNS}, moved AS (SELECT frame, obj, y + dy AS y, greatest(x0 - 40, 0) AS x0, least(x1 + 40, 1920) AS x1 FROM run, range(-40, 41) t(dy) WHERE y + dy BETWEEN 0 AND 1079),
+grown AS MATERIALIZED ({_runs('moved', 'frame, obj, y')}),
+ord AS (SELECT frame, frame // 24 AS video, row_number() OVER (PARTITION BY frame // 24 ORDER BY frame) - 1 AS t FROM (SELECT DISTINCT frame FROM grown) z),
+det AS MATERIALIZED (SELECT video, t, obj AS det, y, x0, x1 FROM grown JOIN ord USING (frame)),
+raw0 AS (SELECT video, det % 4 + 1 AS grp, y, x0, x1 FROM det WHERE t = 0),
+start AS MATERIALIZED ({_runs('raw0', 'video, grp, y')}),
+groups AS (SELECT video, max(grp) AS n FROM start GROUP BY video),
+cut AS (SELECT video, t + 1 AS t, y, det AS m, x0, x1 FROM det WHERE t > 0 UNION ALL SELECT video, 1, y, -grp, x0, x1 FROM start),
+edges AS (SELECT DISTINCT video, t, y, x0 AS x FROM cut UNION SELECT video, t, y, x1 FROM cut),
+piece AS (SELECT video, t, y, x AS x0, lead(x) OVER (PARTITION BY video, t, y ORDER BY x) AS x1 FROM edges),
+atom AS MATERIALIZED (SELECT p.video, p.t, p.y, p.x0, p.x1, list_sort(list(c.m)) AS ms FROM piece p JOIN cut c ON c.video = p.video AND c.t = p.t AND c.y = p.y AND c.x0 <= p.x0 AND c.x1 >= p.x1 GROUP BY ALL),
+common AS MATERIALIZED (SELECT d.video, d.t, d.det, a.ms, sum(least(d.x1, a.x1) - greatest(d.x0, a.x0)) AS n FROM det d JOIN atom a ON a.video = d.video AND a.t = d.t AND a.y = d.y AND a.x0 < d.x1 AND d.x0 < a.x1 GROUP BY ALL),
+seen AS MATERIALIZED (SELECT video, t, list(DISTINCT det ORDER BY det) AS dets FROM det WHERE t > 0 GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT s.video, s.t, s.dets, list({{'ms': c.ms, 'n': c.n, 'det': c.det}}) AS cs FROM seen s LEFT JOIN common c ON c.video = s.video AND c.t = s.t GROUP BY ALL),
+step(video, t, pick) AS (SELECT video, CAST(0 AS BIGINT), list_transform(range(1, n + 1), lambda g: {{'m': -g, 'g': g}}) FROM groups UNION ALL
+  SELECT video, t + 1, list_transform(dets, lambda d: {{'m': d, 'g': list_position(list_transform(ov, lambda o: o[list_position(dets, d)]), list_max(list_transform(ov, lambda o: o[list_position(dets, d)])))}}) FROM (
+    SELECT s.video, s.t, p.dets, list_transform(range(1, g.n + 1), lambda k: list_transform(p.dets, lambda d: coalesce(list_sum(list_transform(list_filter(p.cs, lambda c: c.det = d AND list_has_any(c.ms, list_transform(list_filter(s.pick, lambda q: q.g = k), lambda q: q.m))), lambda c: c.n)), 0))) AS ov
+    FROM step s JOIN pairs p ON p.video = s.video AND p.t = s.t + 1 JOIN groups g ON g.video = s.video) z)
+SELECT video, frame, q.m AS det, q.g AS grp FROM (SELECT video, t, unnest(pick) AS q FROM step WHERE t > 0) z JOIN ord USING (video, t)"""
 DETECTED = HOUR + ", det AS (SELECT frame // 24 AS video, frame % 24 AS frame, obj - 1 AS det, px, (frame % 24 * 7 + (obj - 1) * 13 + frame // 24) % 20 / 20.0::DOUBLE AS score FROM mask), vids AS (SELECT video, max(frame) + 1 AS n FROM det GROUP BY video)"
 SEGMENT_ONE = (
     DETECTED
@@ -236,6 +281,11 @@ ORACLES: dict[str, str] = {
     "mask_union": f"WITH {DAY} SELECT frame, count(DISTINCT px) AS area FROM mask GROUP BY frame",
     "mask_union_bitmap": f"WITH {DAY} SELECT frame, count(DISTINCT px) AS area FROM mask GROUP BY frame",
     "mean_mask_area": f"WITH {DAY} SELECT count(*) AS total_area, count(*) / (150 * (max(frame) + 1)) AS mean_area_frac FROM mask",
+    "proximity_groups_hd": f"{HD_GROUPS} SELECT frame, obj, grp FROM grp",
+    "group_union_hd": f"{HD_GROUPS}, own AS (SELECT frame, grp, y, x0, x1 FROM run JOIN grp USING (frame, obj)) SELECT frame, grp, CAST(sum(x1 - x0) AS BIGINT) AS area FROM ({_runs('own', 'frame, grp, y')}) z GROUP BY ALL",
+    "mask_dilate_hd": f"{HD_RUNS}, moved AS ({_HD_MOVED}) SELECT frame, obj, count(*) AS runs, CAST(sum(x1 - x0) AS BIGINT) AS area FROM ({_runs('moved', 'frame, obj, y')}) z GROUP BY ALL",
+    "mask_overlap_pairs_hd": f"{HD_RUNS} SELECT a.frame, a.obj AS a, b.obj AS b, CAST(sum(least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS BIGINT) AS overlap FROM run a JOIN run b ON a.frame = b.frame AND a.y = b.y AND a.obj < b.obj AND a.x0 < b.x1 AND b.x0 < a.x1 GROUP BY ALL",
+    "assign_groups_hd": HD_FOLD,
     "mask_overlap_pairs": f"WITH {DAY} SELECT a.frame, a.obj AS a, b.obj AS b, count(*) AS overlap FROM mask a JOIN mask b ON a.frame = b.frame AND a.px = b.px AND a.obj < b.obj GROUP BY ALL",
     "mask_dilate": f"WITH {HOUR} {_square('mask', 1, 'frame, obj')}",
     # Rows of an ellipse of radius 3 reach 0, 2, 3, 3, 3, 2, 0 cells to both sides.
@@ -276,6 +326,7 @@ SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, coalesce(tot
     "segment_tracked": f"WITH {TRACKED} SELECT video, frame, 1 AS obj, count(*) AS area, CAST(sum(p) AS BIGINT) AS px_sum FROM (SELECT video, frame, unnest(px) AS p FROM checked WHERE NOT flagged) z GROUP BY ALL",
     "segment_tracked_header": f"WITH {TRACKED}, i AS (SELECT video, any_value(a) AS anchor_frame, any_value(sc) AS anchor_score, any_value(area0) / 150 * 100 AS anchor_area_percent, count(*) FILTER (area > 0) AS propagated, count(*) FILTER (area > 0 AND NOT flagged) AS verified, count(*) FILTER (flagged) AS flagged, CAST(sum(CASE WHEN flagged THEN 0 ELSE area END) AS BIGINT) AS total_area FROM checked GROUP BY video) SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, CASE WHEN anchor_frame IS NULL THEN 'no anchor found' END AS error, anchor_frame, anchor_score, anchor_area_percent, propagated, verified, flagged FROM vids LEFT JOIN i USING (video)",
     "inpaint_groups": f"WITH {DAY}, days AS (SELECT DISTINCT frame FROM mask), c AS (SELECT frame, px, count(*) AS k FROM mask GROUP BY ALL), p AS (SELECT d.frame, t.px, 50 * coalesce(k, 0) AS add FROM days d, range(0, 150) t(px) LEFT JOIN c ON c.frame = d.frame AND c.px = t.px) SELECT frame AS frame_idx, md5(string_agg(printf('%02x%02x%02x', ((px * 7 + frame) % 256 + add) % 256, ((px * 11 + frame) % 256 + add) % 256, ((px * 13 + frame) % 256 + add) % 256), '' ORDER BY px)) AS digest, 'model' AS method FROM p GROUP BY frame",
+    "inpaint_fallback": f"WITH {DAY} SELECT DISTINCT CAST(frame // 7 AS BIGINT) AS video, frame AS frame_idx, CASE WHEN frame // 2 % 2 = 1 THEN 'fallback' ELSE 'model' END AS method, CASE WHEN frame // 2 % 2 = 1 THEN 'a chunk that fails' END AS fallback_reason, CAST(0 AS BIGINT) AS changed_outside FROM mask",
     "run_batch": f"WITH {BATCH} SELECT video_id, prompt_word, path AS input_video_path, CASE WHEN kind <> 'unknown' THEN '/out/' || video_id || '.mp4' END AS output_video_path, CASE WHEN kind NOT IN ('done', 'unknown') THEN round(dur, 2) END AS duration_seconds, CASE WHEN kind NOT IN ('done', 'unknown') THEN dur > 60 END AS frame_reduction_applied, CASE kind WHEN 'done' THEN 'skipped' WHEN 'good' THEN 'success' ELSE 'failed' END AS status, CASE kind WHEN 'done' THEN 'output already exists' WHEN 'unknown' THEN 'no information on the video file' WHEN 'raises' THEN 'a job that fails' WHEN 'empty' THEN 'no edited video came out' END AS error_message FROM bat",
     "batch_passed": f"WITH {BATCH} SELECT count(*) AS total, count(*) FILTER (kind = 'good') AS passed FROM bat",
     "worker_ordinals": f"WITH {DATA}, q AS (SELECT video_id, row_number() OVER (ORDER BY frame_count DESC, input_pos) - 1 AS p FROM data) SELECT video_id, p % 3 AS worker, p // 3 + 1 AS ordinal FROM q",
@@ -284,7 +335,8 @@ SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, coalesce(tot
     "zipped_frames": f"WITH {FRAMES} SELECT video, frame_idx, event_type, score FROM fr WHERE frame_idx < 40 AND frame_idx % 3 <> 1",
     "decode_resampled": f"WITH RECURSIVE {FRAMES}, {VIDEOS}, r AS (SELECT video, n, CASE WHEN video % 2 = 0 THEN 29.97::DOUBLE / 10.0::DOUBLE ELSE 1.0::DOUBLE END AS step FROM vid), walk(video, n, step, f, due, kept) AS (SELECT video, n, step, CAST(0 AS BIGINT), step, true FROM r UNION ALL SELECT video, n, step, f + 1, CASE WHEN f + 1 >= due THEN due + step ELSE due END, f + 1 >= due FROM walk WHERE f + 1 < n), k AS (SELECT video, f AS frame_idx, row_number() OVER (PARTITION BY video ORDER BY f) - 1 AS pos FROM walk WHERE kept) SELECT video, pos, frame_idx, 10.0::DOUBLE AS fps, event_type FROM k JOIN fr USING (video, frame_idx) WHERE pos < 25",
     "decode_uniform": f"WITH {FRAMES}, {VIDEOS}, x AS (SELECT video, n, CASE WHEN n > 16 THEN {_INDICES.format(m=16)} WHEN video % 2 = 0 THEN list_filter(range(0, n), lambda f: list_contains([0, 3, 6, 9, 12, 15], f)) ELSE range(0, n) END AS x FROM vid), k AS (SELECT video, n, unnest(x) AS frame_idx, CAST(unnest(range(0, len(x))) AS BIGINT) AS pos FROM x) SELECT video, pos, frame_idx, CASE WHEN n > 16 AND video % 2 = 0 THEN 29.97::DOUBLE ELSE 10.0::DOUBLE END AS fps, event_type FROM k JOIN fr USING (video, frame_idx)",
-    "clip_round_trip": f"WITH {DAY}, days AS (SELECT DISTINCT frame FROM mask), p AS (SELECT frame, t.px FROM days, range(0, 150) t(px)), m AS (SELECT frame, md5(string_agg(printf('%02x%02x%02x', (px * 7 + frame) % 256, (px * 11 + frame) % 256, (px * 13 + frame) % 256), '' ORDER BY px)) AS digest FROM p GROUP BY frame) SELECT row_number() OVER (ORDER BY frame) - 1 AS frame_idx, 10 AS h, 15 AS w, digest, count(*) OVER () AS n, count(*) OVER () / 25.0::DOUBLE AS duration_sec FROM m",
+    "clip_round_trip": f"WITH {DAY}, days AS (SELECT DISTINCT frame FROM mask), p AS (SELECT frame, t.px FROM days, range(0, 150) t(px)), m AS (SELECT frame, md5(string_agg(printf('%02x%02x%02x', (px * 7 + frame) % 256, (px * 11 + frame) % 256, (px * 13 + frame) % 256), '' ORDER BY px)) AS digest FROM p GROUP BY frame) SELECT CAST(frame // 7 AS BIGINT) AS video, frame AS frame_idx, 10 AS h, 15 AS w, digest, count(*) OVER (PARTITION BY frame // 7) AS n, count(*) OVER (PARTITION BY frame // 7) / 25.0::DOUBLE AS duration_sec FROM m",
+    "clip_seek": f"WITH {FRAMES}, {VIDEOS}, x AS (SELECT video, n, {_INDICES.format(m=4)} AS x FROM vid), k AS (SELECT video, unnest(x) AS frame_idx, CAST(unnest(range(0, len(x))) AS BIGINT) AS pos FROM x) SELECT video, pos, frame_idx, printf('%012x', video * 1000003 + frame_idx) AS rgb FROM k",
     "best_detection": f"WITH {DETECTED} SELECT video, frame, arg_min(det, (-score, det)) AS det, max(score) AS score FROM (SELECT DISTINCT video, frame, det, score FROM det WHERE score >= 0.5) z GROUP BY ALL",
     "mask_scales": "WITH p AS (SELECT *, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size * 5 > 127.5 ELSE p_size % 2 = 1 END AS bit FROM part) SELECT p_partkey, bit, CASE WHEN bit THEN 255 ELSE 0 END AS byte, p_size / 150 * 100 AS percent, CAST(p_size AS VARCHAR) || 'x' || CAST(k AS VARCHAR) AS resolution, greatest(2, (k % 64) // least(greatest(k % 9, 1), 4)) AS threads, k - p_size AS back, k AS grey, lpad(CAST(k AS VARCHAR), 6, '0') || '.png' AS edited, 'mask_f' || lpad(CAST(k AS VARCHAR), 6, '0') || '_o' || CAST(p_size AS VARCHAR) || '.png' AS mask, 'remove the ' || p_name || ' here' AS request, greatest(p_size % 8, 4) AS grow FROM p",
     "resources": "SELECT count(*) = 0 AS available, CASE WHEN count(*) = 0 THEN 'available' ELSE 'missing: ' || string_agg(n_name, ', ' ORDER BY n_name) END AS message FROM nation WHERE n_regionkey >= 3",

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from clipsieve.functions.pictures import PNG_MAGIC, png_pixels
 from clipsieve.functions.scalar import probed
 from clipsieve.operators.jobs import STATUS
+from clipsieve.plans import hooks
+
+#: Files whose order is sent to all tasks: some 20 MB of paths.
+LISTED = 100_000
 
 
 def grouped_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -27,12 +35,40 @@ def video_paths(spark: SparkSession, root: str, suffix: str = ".mp4") -> DataFra
 
 
 def image_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """(folder, frame_idx, path, content) of the png, jpg and jpeg files under a folder, each folder's in order of their names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg}").load(folder)
+    """(folder, frame_idx, path, content) of the png, jpg and jpeg files under a folder, each folder's in order of their names.
+
+    The order comes from a listing without contents. Up to LISTED files it is sent to the tasks that read the contents;
+    more are joined by a shuffle.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{png,jpg,jpeg}").load(folder)
     own = F.regexp_replace("path", "/[^/]*$", "")
-    index = files.select("path", own.alias("folder"))  # contents are not read for the order
+    index = found.select("path", own.alias("folder"))  # contents are not read for the order
     index = index.withColumn("frame_idx", F.row_number().over(Window.partitionBy("folder").orderBy("path")) - 1)
-    return files.join(index, "path").select("folder", "frame_idx", "path", "content")
+    index = F.broadcast(index) if index.count() <= LISTED else index
+    return found.join(index, "path").select("folder", "frame_idx", "path", "content")
+
+
+def picture_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder, frame_idx, path, h, w, rgb) of the pictures under a folder.
+
+    PNG files are read here; files of other formats go to the hook decode_picture, a function from bytes to (h, w, rgb),
+    and without one they raise. So does a broken file.
+    """
+    other = hooks.registered("decode_picture")
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for path, content in zip(rows["path"], rows["content"], strict=True):
+                if content[:8] == PNG_MAGIC:
+                    out.append(png_pixels(content))
+                elif other is None:
+                    raise NotImplementedError(f"no function is registered for decode_picture, which {path} needs")
+                else:
+                    out.append(other(content))
+            yield rows[["folder", "frame_idx", "path"]].assign(h=[p[0] for p in out], w=[p[1] for p in out], rgb=[p[2] for p in out])
+
+    return image_frames(spark, folder).mapInPandas(each, "folder string, frame_idx long, path string, h int, w int, rgb binary")
 
 
 def probed_counts(paths: DataFrame, counts: DataFrame) -> DataFrame:

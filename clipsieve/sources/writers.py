@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clipsieve.functions.scalar import mask_name, now_iso
+from clipsieve.sources.files import one_file
 
 
 def status_json(records: DataFrame) -> DataFrame:
@@ -14,6 +15,7 @@ def status_json(records: DataFrame) -> DataFrame:
 
 
 def append_status(records: DataFrame, path: str) -> None:
+    """Adds records to a folder as they are; a batch that may be written twice goes through sources.journal."""
     records.write.mode("append").option("ignoreNullFields", True).json(path)
 
 
@@ -23,16 +25,18 @@ def write_log(records: DataFrame, path: str, record_type: str = "clip") -> None:
 
 
 def write_mapping(selected: DataFrame, path: str) -> None:
-    """(id, prompt_word) as JSON lines; a null prompt stays as null."""
-    selected.select(F.col("video").cast("string").alias("id"), "prompt_word").write.mode("overwrite").option("ignoreNullFields", False).json(path)
+    """(id, prompt_word) as one JSON array of objects; a null prompt stays as null. A file there before is replaced."""
+    entry = F.struct(F.col("video").cast("string").alias("id"), "prompt_word")
+    lines = selected.select(F.concat(F.lit("  "), F.to_json(entry, {"ignoreNullFields": "false"})).alias("value"))
+    one_file(lines, path, "[\n", ",\n", "\n]\n")
 
 
 def merge_status(parts: list[DataFrame], path: str) -> None:
-    """All parts in one output, the place of the parts' files."""
+    """All parts in one file of JSON lines; sources.journal does the same for a run's batches, and removes them."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
-    out.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    one_file(status_json(out).withColumnRenamed("json", "value"), path)
 
 
 def write_info(info: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """The composites around models and codecs: stand-ins for the models, small hand-made videos."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from clipsieve.config import InpaintSettings, check_request
 from clipsieve.operators import batch, frames, inpaint, jobs, masks, segment
+from clipsieve.operators.telea import telea
 from clipsieve.plans import hooks
 from clipsieve.sources import readers, writers
 
@@ -142,6 +144,105 @@ def test_inpaint_groups_and_fallback(spark):
     assert inpaint.inpaint_groups(pictures(spark), m.limit(0), add).first()["method"] == "none"
 
 
+def test_inpainting_in_chunks(spark):
+    """Two videos of seven frames in chunks of three: the model sees context, gives its own frames, and may fail in a chunk."""
+    rows = [(v, k, 2, 3, bytes([k] * 18)) for v in "ab" for k in range(7)]
+    df = spark.createDataFrame(rows, "video string, frame_idx long, h int, w int, rgb binary").repartition(3)
+    m = spark.createDataFrame([(v, k, o, p) for v, o, p in (("a", 1, 0), ("a", 3, 1), ("b", 2, 2)) for k in range(7)], "video string, frame long, obj int, px long")
+
+    def model(images, mask):
+        """Each masked pixel becomes 10 more than the first of the frames seen; a chunk that begins with frame 5 fails."""
+        if images[0, 1, 2, 0] == 5:
+            raise ValueError("frame 5")
+        out = images.copy()
+        out[mask] = images[0, 1, 2, 0] + 10
+        return out
+
+    got = {(r["video"], r["frame_idx"]): (np.frombuffer(r["rgb"], np.uint8).reshape(6, 3)[:, 0].tolist(), r["method"], r["fallback_reason"]) for r in inpaint.inpaint_groups(df, m, model, chunk=3, context=1).collect()}
+    assert len(got) == 14
+    for (v, k), (px, method, reason) in got.items():
+        first = max(0, k // 3 * 3 - 1)
+        value = first + 10 if k < 6 else k  # the fallback fills a frame of one colour with that colour
+        assert px == ([value, value] if v == "a" else [k, k]) + ([k] if v == "a" else [value]) + [k] * 3
+        assert (method, reason) == (("model", None) if k < 6 else ("fallback", "frame 5"))
+    without = inpaint.inpaint_groups(df, m, None)
+    assert {(r["method"], r["fallback_reason"]) for r in without.collect()} == {("fallback", "no model is registered")}
+    assert {tuple(r) for r in without.select("video", "frame_idx", "rgb").collect()} == {(v, k, rgb) for v, k, _, _, rgb in rows}
+
+
+def plain_telea(image, mask, radius):
+    """The same formula, pixel by pixel on dictionaries, its heap a list that is searched."""
+    h, w = mask.shape
+    where = [(y, x) for y in range(h) for x in range(w)]
+    near4 = lambda p: [q for q in ((p[0] - 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1), (p[0] + 1, p[1])) if 0 <= q[0] < h and 0 <= q[1] < w]
+    hole = {p for p in where if mask[p]}
+    edge = {p for p in where if p not in hole and any(q in hole for q in near4(p))}
+
+    def front(todo, paint, stop):
+        time, settled, todo = {p: 0.0 for p in edge}, set(), set(todo)
+        while waiting := [(t, p) for p, t in time.items() if p not in settled]:
+            t, p = min(waiting)
+            if t > stop:
+                break
+            settled.add(p)
+            for q in sorted(near4(p)):
+                if q in settled or q not in todo:
+                    continue
+                y, x = q
+                a, b = (min(time[r] if r in settled else math.inf for r in pair) for pair in (((y - 1, x), (y + 1, x)), ((y, x - 1), (y, x + 1))))
+                new = (a + b + math.sqrt(2 - (a - b) ** 2)) / 2 if abs(a - b) < 1 else min(a, b) + 1
+                first = q not in time
+                if first or new < time[q]:
+                    time[q] = new
+                if first:
+                    paint(q, time)
+        return time
+
+    out = front(set(where) - hole - edge, lambda q, t: None, radius + 1)
+    level = {p: -out.get(p, radius + 1.0) for p in where if p not in hole}
+    value = {p: image[p].astype(float) for p in where if p not in hole}
+
+    def slope(of, p, dy, dx):
+        low, high = (p[0] - dy, p[1] - dx), (p[0] + dy, p[1] + dx)
+        a, b = low in value, high in value
+        return (of[high] - of[low]) / 2 if a and b else of[high] - of[p] if b else of[p] - of[low] if a else of[p] * 0.0
+
+    def paint(p, time):
+        times = level | {q: t for q, t in time.items() if q in hole and (q in value or q == p)}
+        gy, gx = slope(times, p, 1, 0), slope(times, p, 0, 1)
+        total, weights = np.zeros(3), 0.0
+        for q in list(value):
+            ry, rx = p[0] - q[0], p[1] - q[1]
+            if 0 < ry * ry + rx * rx <= radius * radius:
+                weight = max(abs(ry * gy + rx * gx) / math.hypot(ry, rx), 1e-6) / (ry * ry + rx * rx) / (1 + abs(times[q] - times[p]))
+                total += weight * (value[q] + slope(value, q, 1, 0) * ry + slope(value, q, 0, 1) * rx)
+                weights += weight
+        value[p] = np.clip(total / weights, 0, 255)
+
+    front(hole, paint, math.inf)
+    return np.rint(np.array([[value[y, x] for x in range(w)] for y in range(h)])).astype(np.uint8)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
+def test_telea_against_the_formula(seed):
+    rng = np.random.default_rng(seed)
+    image = rng.integers(0, 256, (9, 11, 3), dtype=np.uint8) if seed > 2 else np.add.outer(np.arange(9) * 9, np.arange(11) * 11)[..., None].repeat(3, axis=2).astype(np.uint8)
+    mask = np.zeros((9, 11), bool)
+    mask[2:7, 3:8] = True
+    mask |= rng.random((9, 11)) < 0.1 * (seed - 1)
+    got, want = telea(image, mask, 3).astype(int), plain_telea(image, mask, 3).astype(int)
+    assert np.abs(got - want).max() <= 1  # sums in another order may round another way
+    assert (got[~mask] == image[~mask]).all()
+    if seed == 1:
+        assert np.abs(got - image).max() <= 4  # a ramp is carried on
+
+
+def test_telea_at_its_limits():
+    image = np.full((5, 6, 3), 90, np.uint8)
+    for mask in (np.zeros((5, 6), bool), np.ones((5, 6), bool), np.arange(30).reshape(5, 6) < 29, np.arange(30).reshape(5, 6) % 2 == 0):
+        assert (telea(image, mask) == 90).all()
+
+
 def test_warm_models_load_once(spark):
     loads = []
 

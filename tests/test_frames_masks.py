@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clipsieve.functions import scalar
-from clipsieve.operators import cluster, frames, jobs, masks, render
+from clipsieve.operators import cluster, frames, jobs, masks, render, runs
 from clipsieve.plans import hooks
 from clipsieve.sources import readers, writers
 from clipsieve.streaming.jobs import follow_groups, plan_jobs
@@ -61,7 +61,7 @@ def test_morphology_against_loops(spark):
     shrunk = {p for p in px if len(near(p, 1)) == 9 and all(y * w + x in px for y, x in near(p, 1))}
     assert {r[0] for r in rows(masks.dilate(m, w, h, 1), "px")} == grown
     assert {r[0] for r in rows(masks.erode(m, w, h, 1), "px")} == shrunk
-    assert len(masks.offsets(2, "ellipse")) == 17
+    assert runs.reach(2, "ellipse") == [2, 2, 0] and runs.reach(2) == [2, 2, 2]
 
 
 def test_proximity_groups(spark):

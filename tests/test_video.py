@@ -39,15 +39,34 @@ def frames(spark):
 
 
 def test_clips(spark, frames):
-    clips = video.encode_clips(frames, 12.5)
+    clips = video.encode_clips(frames, 12.5, chunk=2)
+    assert sorted((r["video"], r["chunk"], r["n_frames"]) for r in clips.collect()) == [("a", 0, 2), ("a", 1, 1), ("b", 0, 1)]
     assert sorted(map(tuple, video.decode_clips(clips).collect())) == sorted(map(tuple, frames.collect()))
-    broken = spark.createDataFrame([("c", b"nothing"), ("d", None)], "video string, content binary")
+    broken = spark.createDataFrame([("c", b"nothing"), ("d", None), ("b", b"CLIP2")], "video string, content binary")
     got = {r["video"]: (r["n"], r["h"], r["w"], r["duration_sec"]) for r in video.probe_clips(clips.select("video", "content").unionByName(broken)).collect()}
-    assert got == {"a": (3, 4, 5, 3 / 12.5), "b": (1, 4, 5, 1 / 12.5), "c": (0, 0, 0, 0.0), "d": (0, 0, 0, 0.0)}
+    assert got == {"a": (3, 4, 5, 3 / 12.5), "b": (0, 0, 0, 0.0), "c": (0, 0, 0, 0.0), "d": (0, 0, 0, 0.0)}
     with pytest.raises(Exception, match="one size"):
         video.encode_clips(frames.withColumn("w", F.when(F.col("frame_idx") == 1, 6).otherwise(F.col("w")))).collect()
 
 
+def test_seeking_reads_the_chunks_it_needs(spark):
+    """Of 40 frames in chunks of 8 two are wanted: two of five chunks are unpacked, and none beyond its wanted frame."""
+    rng = np.random.default_rng(2)
+    rows = [("a", k, 2, 3, rng.integers(0, 256, 18, dtype=np.uint8).tobytes()) for k in range(0, 80, 2)]
+    clips = video.encode_clips(spark.createDataFrame(rows, "video string, frame_idx long, h int, w int, rgb binary"), chunk=16)
+    wanted = spark.createDataFrame([("a", 4), ("a", 78), ("a", 5), ("b", 0)], "video string, frame_idx long")
+    got = video.decode_clips(clips, wanted, chunk=16)
+    assert sorted(map(tuple, got.collect())) == [rows[2], rows[39]]
+    assert clips.count() == 5 and clips.join(wanted.select("video", F.floor(F.col("frame_idx") / 16).alias("chunk")).distinct(), ["video", "chunk"]).count() == 2
+    # What stands behind the last wanted frame may be broken: it isn't looked at.
+    whole = video.pack_clip([0, 1, 2], 2, 3, 25.0, [r[4] for r in rows[:3]])
+    assert list(video.unpack_clip(whole[:-9], [0, 1])) == [(0, rows[0][4]), (1, rows[1][4])]
+    with pytest.raises(Exception):
+        list(video.unpack_clip(whole[:-9]))
+    kept = video.decode_sampled(clips, spark.createDataFrame([("a", 80, 25.0)], "video string, n long, fps double"), max_frames=3, uniform=True, chunk=16)
+    assert [(r["pos"], r["frame_idx"]) for r in kept.collect()] == [(0, 0)]  # 39 and 79 are no frames of this clip
+
+
 def read_png(data):
     assert data[:8] == video.PNG_MAGIC
     at, body, head = 8, b"", None
