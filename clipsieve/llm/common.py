@@ -198,10 +198,13 @@ def remainder(id_col: str, mod: int) -> Column:
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """About bound labelled training rows (text, label), the same on each run: those with the smallest id hashes."""
+    """About bound labelled training rows (text, label), the same on each run: those with the smallest id hashes.
+
+    Their ids and labels, a table of that bound, are sent to where the texts are.
+    """
     known = labels.select(id_col, F.col(label).alias("label")).where(F.col(label).isin(0, 1) & train).groupBy(id_col).agg(F.max("label").alias("label"))
     n = known.count()
     if n > bound:
         limit = int(bound / n * (1 << 31))
         known = known.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 31)) < limit)
-    return docs.select(id_col, "text").join(known, id_col).select("text", "label")
+    return docs.select(id_col, "text").join(F.broadcast(stored(known, "fit-ids")), id_col).select("text", "label")

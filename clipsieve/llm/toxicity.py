@@ -1,9 +1,9 @@
 """Toxicity by a weighted lexicon: Aho-Corasick matching after folding homoglyphs and digit substitutions.
 
-Terms and weights are learned from labelled training rows: candidate terms by the lower bound of their
-log-odds, of which those stay that cover toxic rows the others don't, and weights by a logistic regression on
-length-normalised counts. A term is a word, or with a final * all words that begin so. Phrases around a term that occur only
-in documents labelled clean become exceptions: a hit inside one of them doesn't count.
+Terms and weights are learned from labelled training rows: every word stays whose own rows are enough and whose
+log-odds are high at their lower bound, a beginning of words in their place only if it says more than the best of them,
+and weights come from a logistic regression on length-normalised counts. A term is a word, or with a final * all words that begin so.
+Phrases around a term that occur only in documents labelled clean become exceptions: a hit inside one doesn't count.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ FIT_ROWS = 12_000
 MAX_TERMS = 3_000
 #: Lengths of the word beginnings that may become terms.
 PREFIXES = range(3, 9)
-MIN_TERM_DOCS = 4
+#: Toxic rows that a term needs.
+MIN_TERM_DOCS = 10
 #: Hits of one term beyond this number add nothing to a text's score: a term says what it says by then.
 MAX_HITS = 3
 #: A term's least log-odds, two standard errors below its estimate.
-MIN_LOG_ODDS = 1.0
+MIN_LOG_ODDS = 2.0
 #: A phrase of a term and its neighbour is an exception from so many clean documents on, with no toxic one.
 MIN_EXCEPTION_DOCS = 5
 
@@ -155,10 +156,31 @@ def fit(rows: DataFrame, terms: Sequence[str] | None = None) -> Lexicon:
         return Lexicon(dict.fromkeys(terms or [], 1.0))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (n_clean + 1.0))
     bound = odds - 2 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = counts.where(f"gram != '' AND toxic >= {MIN_TERM_DOCS}").withColumn("bound", bound).where(F.col("bound") >= MIN_LOG_ODDS)
+    best = counts.where((F.col("gram") != "") & (F.col("toxic") >= MIN_TERM_DOCS)).withColumn("bound", bound).where(F.col("bound") >= MIN_LOG_ODDS)
     best = best.orderBy(F.desc(F.col("bound") * F.sqrt("toxic")), "gram").limit(MAX_TERMS)
-    chosen = sorted({*(r["gram"] for r in best.collect()), *(terms or [])})
-    return _weigh(rows, chosen)
+    chosen = standing({r["gram"]: (r["clean"], r["toxic"]) for r in best.collect()}, n_clean, n_toxic)
+    return _weigh(rows, sorted({*chosen, *(terms or [])}))
+
+
+def lower_bound(clean: int, toxic: int, n_clean: int, n_toxic: int) -> float:
+    """Log-odds of a term, two standard errors below their estimate."""
+    odds = math.log((toxic + 0.5) / (n_toxic + 1.0)) - math.log((clean + 0.5) / (n_clean + 1.0))
+    return odds - 2 * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+
+
+def standing(found: dict[str, tuple[int, int]], n_clean: int, n_toxic: int) -> list[str]:
+    """Terms that stand on their own evidence, from candidates with their clean and toxic rows.
+
+    Words do. A beginning takes the place of the terms under it if it has MIN_TERM_DOCS toxic rows more than the best of
+    them and odds as good: so many forms of one stem become one term, and a word stays where its beginning adds nothing.
+    """
+    bound = {w: lower_bound(*n, n_clean, n_toxic) for w, n in found.items()}
+    kept = {w for w in found if w[-1] != "*"}
+    for stem in sorted((w[:-1] for w in found if w[-1] == "*"), key=lambda w: (-len(w), w)):
+        under = {w for w in kept if w.startswith(stem)}
+        if not under or (found[f"{stem}*"][1] >= max(found[w][1] for w in under) + MIN_TERM_DOCS and bound[f"{stem}*"] >= max(bound[w] for w in under)):
+            kept = kept - under | {f"{stem}*"}
+    return sorted(kept)
 
 
 def _weigh(rows: DataFrame, terms: list[str]) -> Lexicon:
@@ -175,23 +197,18 @@ def _weigh(rows: DataFrame, terms: list[str]) -> Lexicon:
             folded = fold(text or "")
             found = hits(state["a"], folded)
             around = set()
-            for _, s, e in found:
+            for t, s, e in found:
                 before, after = folded[max(0, s - 40) : s].split()[-1:], folded[e : e + 40].split()[:1]
-                around |= {" ".join([*before, folded[s:e]])} if before and before[0].isalpha() else set()
-                around |= {" ".join([folded[s:e], *after])} if after and after[0].isalpha() else set()
+                around |= {f"{index[t]} " + " ".join([*before, folded[s:e]])} if before and before[0].isalpha() else set()
+                around |= {f"{index[t]} " + " ".join([folded[s:e], *after])} if after and after[0].isalpha() else set()
             out.append({"label": y, "words": len(folded.split()), "hits": [index[t] for t, _, _ in found], "around": sorted(around)})
         return pa.RecordBatch.from_pylist(out, pa.schema([("label", pa.int32()), ("words", pa.int64()), ("hits", pa.list_(pa.int32())), ("around", pa.list_(pa.string()))]))
 
     got = map_arrow(rows.select("text", F.col("label").cast("int")), count, "label int, words long, hits array<int>, around array<string>").collect()
-    clean, toxic = (Counter(p for r in got if r["label"] == y for p in r["around"]) for y in (0, 1))
-    lexicon.exceptions = sorted(p for p, n in clean.items() if n >= MIN_EXCEPTION_DOCS and not toxic[p])
-    terms = _cover(terms, [(r["label"], set(r["hits"])) for r in got])
-    position = {index[t]: k for k, t in enumerate(terms)}
     x, y = np.zeros((len(got), len(terms))), np.array([r["label"] for r in got], float)
     for i, r in enumerate(got):
         for h in r["hits"]:
-            if h in position:
-                x[i, position[h]] += 1
+            x[i, h] += 1
         x[i] = np.minimum(x[i], MAX_HITS) / length_norm(r["words"])
     # Newton steps of a ridge logistic regression; the last column is the bias.
     x = np.hstack([x, np.ones((len(got), 1))])
@@ -202,31 +219,12 @@ def _weigh(rows: DataFrame, terms: list[str]) -> Lexicon:
     w, bias = w[:-1], w[-1]
     lexicon.terms = {t: float(v) for t, v in zip(terms, w, strict=True) if v > 0.05}
     lexicon.bias = float(bias)
+    # Exceptions are those of the terms that are left.
+    clean, toxic = (Counter(p for r in got if r["label"] == y for p in r["around"]) for y in (0, 1))
+    lexicon.exceptions = sorted({p.partition(" ")[2] for p, n in clean.items() if n >= MIN_EXCEPTION_DOCS and not toxic[p] and terms[int(p.partition(" ")[0])] in lexicon.terms})
     return lexicon
 
 
-def _cover(terms: list[str], rows: list[tuple[int, set[int]]]) -> list[str]:
-    """Terms in the order in which each adds most toxic rows, less clean ones, to those covered before.
-
-    Words that merely stand beside a toxic one add nothing and go. Of equal ones the longest stays.
-    """
-    at: list[tuple[set[int], set[int]]] = [(set(), set()) for _ in terms]
-    for i, (y, hit) in enumerate(rows):
-        for h in hit:
-            at[h][y].add(i)
-    kept, least = [], max(2.0, 0.003 * sum(y for y, _ in rows))
-    while terms:
-        gain, _, k = max((len(at[k][1]) - len(at[k][0]), len(t.rstrip("*")), k) for k, t in enumerate(terms))
-        if gain < least:
-            break
-        kept.append(terms[k])
-        clean, toxic = map(set, at[k])
-        for a in at:
-            a[0].difference_update(clean)
-            a[1].difference_update(toxic)
-    return sorted(kept)
-
-
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_hits) of every whole text; null and empty texts have no hits and so the lowest score.
 

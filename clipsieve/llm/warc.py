@@ -236,7 +236,10 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, with_payload: bool = False)
     """Writes pages as archives into the shared folder, reads them back, and returns a row per capture.
 
     page_id, payload_bytes, payload_digest, record_type, refers_to (page of the response that a revisit names),
-    and the nested capture. An empty table gives no rows. The archives go once they are read.
+    and the nested capture: the structs request, response, revisit and metadata, null where a capture has no such record.
+    Payloads come with it only if asked for. Pages that are alike in all columns are captures of their own, the first of
+    which is the response; a very long page is several gzip members; columns besides page_id, url and html are ignored,
+    whatever their names. An empty table gives no rows. The archives go once they are read.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
@@ -254,7 +257,9 @@ def round_trip(pages: DataFrame, min_bytes: int = 0, with_payload: bool = False)
     named = records.where("warc_type = 'response'").select(F.col("record_id").alias("to"), F.col("payload_bytes").alias("to_bytes"))
     named = named.join(records.where("warc_type = 'revisit'").select(F.col("refers_to").alias("to")).distinct(), "to", "left_semi").join(meta, "to", "left")
     named = named.withColumn("to_page", F.when(F.col("to_page") != "", F.col("to_page").cast("long")))
-    got = got.join(named, F.col("revisit.refers_to") == F.col("to"), "left")
+    # Responses name nothing: keys of their own, which match no record id, keep them apart.
+    got = got.withColumn("names", F.coalesce("revisit.refers_to", F.concat(F.lit("none "), "capture_id")))
+    got = got.join(broadcast_if_small(stored(named, "warc-named"), 150), F.col("names") == F.col("to"), "left")
     return got.select(
         "page_id", F.coalesce("main.payload_bytes", "to_bytes").alias("payload_bytes"), F.col("main.digest").alias("payload_digest"),
         F.when(F.col("response").isNotNull(), "response").otherwise("revisit").alias("record_type"), F.col("to_page").alias("refers_to"), "request", "response", "revisit", "metadata",

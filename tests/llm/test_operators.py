@@ -400,6 +400,33 @@ def test_toxicity(labelled):
     assert toxicity.classify(docs.limit(0), labels).isEmpty() and toxicity.classify(docs, labels.limit(0)).count() == docs.count()
 
 
+def test_synonyms_that_stand_together(spark):
+    """Four words always come in the same toxic rows: each stays a term; forms of a stem become one; an exception is of a term."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        t = [rng.choice(WORDS) for _ in range(40)]
+        toxic = i % 3 == 0
+        if toxic:
+            for w in ("scum", "clown", "vile", "filth") if i % 6 == 0 else ("grobak" + rng.choice("abcdefghijklmnop"),):
+                t.insert(rng.randrange(len(t)), w)
+        elif i % 2:
+            t[5:7] = ["circus", "clown"]
+        rows.append((" ".join(t), int(toxic)))
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, label int"))
+    assert {"scum", "vile", "filth"} <= set(lexicon.terms) and any(t.startswith("grob") and t.endswith("*") for t in lexicon.terms)
+    assert not any(t.rstrip("*") in w for t in lexicon.terms for w in WORDS)
+    assert all(any(t.rstrip("*") in e for t in lexicon.terms) for e in lexicon.exceptions)
+    alone = [(k, f"the river and a {w} in the garden") for k, w in enumerate(("scum", "vile", "filth", "grobakz", "stone"))]
+    hit = {r["doc_id"]: r["n_hits"] for r in toxicity.score(spark.createDataFrame(alone, "doc_id long, text string"), lexicon).collect()}
+    assert hit == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_terms_that_stand():
+    n = {"clown": (0, 120), "clow*": (0, 120), "clo*": (30, 122), "grobaka": (0, 15), "grobakb": (0, 14), "grobak*": (0, 90), "grob*": (0, 91), "rare*": (0, 12)}
+    assert toxicity.standing(n, 3000, 400) == ["clown", "grobak*", "rare*"]
+
+
 def test_exceptions():
     a = toxicity.Lexicon({"trash": 2.0, "sta*": 1.0}, ["trash can"]).automaton()
     of = lambda t: [h[0] for h in toxicity.hits(a, toxicity.fold(t))]
@@ -431,6 +458,9 @@ def test_warc(spark):
     whole = {r["page_id"]: r for r in warc.round_trip(pages, min_bytes=5, with_payload=True).collect()}
     assert whole[5]["record_type"] == whole[4]["record_type"] == "response" and whole[8]["refers_to"] == 3
     assert bytes(whole[1]["response"]["payload"]) == b"x\r\n\r\ny" and whole[1]["request"]["target_uri"] == "http://h1.org/a?b"
+    one = whole[1]
+    assert one["request"]["record_id"] != one["response"]["record_id"] and one["revisit"] is None and {f["key"]: f["value"] for f in one["metadata"]["fields"]} == {"pageId": "1", "payloadBytes": "6"}
+    assert whole[8]["response"] is None and whole[8]["revisit"]["refers_to"] == whole[3]["response"]["record_id"]
     assert warc.round_trip(pages.limit(0)).isEmpty()
     twice = warc.round_trip(pages.where("page_id = 3").unionByName(pages.where("page_id = 3")))
     assert sorted(r[0] for r in twice.select("record_type").collect()) == ["response", "revisit"]
