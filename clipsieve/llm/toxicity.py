@@ -22,12 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import fit_rows, map_arrow, remainder, small_batches, stored
+from clipsieve.llm.common import HASHER, fit_rows, grams, map_arrow, mix, remainder, small_batches, stored
 
 #: The fit reads at most about so many labelled training rows, chosen by a hash of their id; scoring reads all.
 FIT_ROWS = 12_000
 #: Candidate terms, the best ones: a bound on the fitted model, not on what is scored.
-MAX_TERMS = 3_000
+MAX_TERMS = 1_000
+#: Least hashes of a labelled row's shingles; rows that agree in half of them are copies and count as one.
+SKETCH = 8
 #: Lengths of the word beginnings that may become terms.
 PREFIXES = range(3, 9)
 #: Toxic rows that a term needs.
@@ -119,6 +121,37 @@ def _tokens(folded: str) -> list[str]:
     return [t for t in (w.strip("\"'.,;:?()[]{}!#*$%&|<>-_") for w in folded.split()) if t.isalpha()]
 
 
+def sketch(text: str) -> list[int]:
+    """The least hashes, by SKETCH orders, of a text's shingles of three words; of all words if there are fewer."""
+    h = HASHER.array(text.encode().split())
+    if not len(h):
+        return [0] * SKETCH
+    g = grams(h, min(3, len(h)))
+    return [int(mix(g ^ np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)).min().view(np.int64)) for k in range(SKETCH)]
+
+
+def without_copies(rows: DataFrame) -> DataFrame:
+    """Labelled rows (row, text, label), of which the caller bounds the number, without copies and near copies of others.
+
+    What a text that was copied a thousand times says would else be a thousandfold evidence for each of its words. The
+    driver gets the rows' sketches, not their texts.
+    """
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch[0], pa.array([sketch(t or "") for t in batch[1].to_pylist()], pa.list_(pa.int64()))], ["row", "sketch"])
+
+    got = sorted((tuple(r["sketch"]), r["row"]) for r in map_arrow(rows.select("row", "text"), each, "row long, sketch array<long>").collect())
+    seen: dict[tuple[int, int], list[int]] = {}
+    kept = []
+    for s, row in got:
+        alike = Counter(k for place in enumerate(s) for k in seen.get(place, ()))
+        if not alike or max(alike.values()) < SKETCH // 2:
+            for place in enumerate(s):
+                seen.setdefault(place, []).append(len(kept))
+            kept.append((row,))
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(kept, "row long")), "row")
+
+
 def fit(rows: DataFrame, terms: Sequence[str] | None = None) -> Lexicon:
     """A lexicon from rows (text, label 0 or 1), of which the caller bounds the number.
 
@@ -215,7 +248,10 @@ def _weigh(rows: DataFrame, terms: list[str]) -> Lexicon:
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], 0.02)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((x.T * (p * (1 - p) + 1e-9)) @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
     w, bias = w[:-1], w[-1]
     lexicon.terms = {t: float(v) for t, v in zip(terms, w, strict=True) if v > 0.05}
     lexicon.bias = float(bias)
@@ -261,7 +297,8 @@ def classify(docs: DataFrame, labels: DataFrame, mod: int = 5, held: int = 0, th
     kinds all scores are the same.
     """
     train = remainder("doc_id", mod) != held
-    lexicon = fit(stored(fit_rows(docs, labels, "toxic", train, FIT_ROWS), "toxicity-rows"))  # read three times
+    known = stored(fit_rows(docs, labels, "toxic", train, FIT_ROWS).withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")  # read several times
+    lexicon = fit(without_copies(known) if not known.isEmpty() else known)
     out = score(docs, lexicon)
     held_out = F.coalesce(remainder("doc_id", mod) == held, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_hits")

@@ -422,6 +422,18 @@ def test_synonyms_that_stand_together(spark):
     assert hit == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
 
 
+def test_copies_count_once(spark):
+    """A toxic text of 200 words stands there 300 times, each copy a word different: its words are no terms for that."""
+    rng = random.Random(12)
+    unique = [f"only{k}" for k in range(200)]
+    rows = [(" ".join([rng.choice(WORDS) for _ in range(40)] + (["idiot"] if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(300)]
+    rows += [(" ".join([*unique[:k % 200], "changed", *unique[k % 200:], "idiot"]), 1) for k in range(300)] + [("", 0), (None, 0), ("one", 0), ("one", 0)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "row long, text string, label int").repartition(3)
+    kept = toxicity.without_copies(df)
+    assert 300 < kept.count() < 330 and kept.where("text LIKE 'only0 %'").count() < 20
+    assert set(toxicity.fit(kept).terms) == {"idiot"}
+
+
 def test_terms_that_stand():
     n = {"clown": (0, 120), "clow*": (0, 120), "clo*": (30, 122), "grobaka": (0, 15), "grobakb": (0, 14), "grobak*": (0, 90), "grob*": (0, 91), "rare*": (0, 12)}
     assert toxicity.standing(n, 3000, 400) == ["clown", "grobak*", "rare*"]
