@@ -52,19 +52,24 @@ def resize(image: np.ndarray, height: int, width: int, lobes: int = 4) -> np.nda
 
 
 def match_resolution(frames: DataFrame, width: int, height: int) -> DataFrame:
-    """Frames scaled until they cover a size and cut to it around their centre; of that size already, they stay as they are."""
+    """Frames scaled until they cover a size and cut to it around their centre; of that size already, they stay as they are.
+
+    So does a frame that can't be scaled, such as one whose bytes aren't h x w x 3.
+    """
     kind = dict(frames.dtypes)["video"]
-    place = cover_crop(F.col("w"), F.col("h"), width, height)
+    place = F.when((F.col("w") > 0) & (F.col("h") > 0), cover_crop(F.col("w"), F.col("h"), width, height))
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for h, w, rgb, to_h, to_w, y, x in zip(*(rows[c] for c in ("h", "w", "rgb", "to_h", "to_w", "to_y", "to_x")), strict=True):
-                image = np.frombuffer(rgb, np.uint8).reshape(h, w, 3)
-                if (h, w) != (height, width):
-                    image = resize(image, to_h, to_w)[y : y + height, x : x + width]
-                out.append(image.tobytes())
-            yield rows[["video", "frame_idx"]].assign(h=height, w=width, rgb=out)
+                try:
+                    if (h, w) != (height, width):
+                        rgb = resize(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), to_h, to_w)[y : y + height, x : x + width].tobytes()
+                    out.append((height, width, rgb))
+                except (ValueError, ZeroDivisionError, IndexError, TypeError):
+                    out.append((h, w, rgb))
+            yield rows[["video", "frame_idx"]].assign(h=[o[0] for o in out], w=[o[1] for o in out], rgb=[o[2] for o in out])
 
     rows = frames.select("video", "frame_idx", "h", "w", "rgb", place.alias("c")).select("video", "frame_idx", "h", "w", "rgb", *(F.col(f"c.{k}").alias(f"to_{k}") for k in "hwyx"))
     return rows.mapInPandas(each, f"video {kind}, frame_idx long, h int, w int, rgb binary")

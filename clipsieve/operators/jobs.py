@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsieve.functions.scalar import stem
 from clipsieve.functions.text import is_blank
+from clipsieve.sources.shared import stored
 
 STATUS = "video_id string, prompt_word string, input_video_path string, output_video_path string, duration_seconds double, frame_reduction_applied boolean, status string, error_message string"
 
@@ -33,23 +34,29 @@ def longest_first(jobs: DataFrame) -> DataFrame:
     return ordinal(jobs, "queue_pos", "frame_count", "input_pos", descending=True)
 
 
-def ordinal(df: DataFrame, name: str, lead: str, *rest: str, descending: bool = False, ranges: int = 256) -> DataFrame:
-    """df with each row's place from 0 in an order by a numeric column and then others, which no single task sees.
+def ordinal(df: DataFrame, name: str, lead: str, *rest: str, descending: bool = False) -> DataFrame:
+    """df with each row's place from 0 in an order by a column (null last) and then others, which no single task sees.
 
-    Percentiles of the first column, numbers of which the driver gets as many as there are ranges, cut it into ranges.
-    A range's rows are numbered by themselves; the ranges before add their sizes, a row each. Null comes last.
+    Rows are dealt into ranges of the whole order, so that equal values of the first column are spread by the others, and
+    stored, as they are read twice: once for the ranges' sizes, a row each, and once to be numbered within their range.
+    Only rows that are alike in all these columns stay together; their places among themselves are any.
     """
-    bounds = df.agg(F.percentile_approx(lead, [k / ranges for k in range(1, ranges)], 10_000)).first()[0] or []
-    key = F.size(F.filter(F.array(*map(F.lit, sorted(set(bounds)))), lambda x: x < F.col(lead))) if bounds else F.lit(0)
-    key = F.when(F.col(lead).isNull(), F.lit(ranges)).otherwise(F.lit(-1) * key if descending else key)
-    dealt = df.withColumn("_range", key)
-    before = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = before.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
-    own = Window.partitionBy("_range").orderBy(F.desc_nulls_last(lead) if descending else F.asc_nulls_last(lead), *rest)
-    placed = dealt.withColumn("_own", F.row_number().over(own)).join(F.broadcast(before), "_range")
+    spark = df.sparkSession
+    order = [F.desc_nulls_last(lead) if descending else F.asc_nulls_last(lead), *(F.asc_nulls_last(c) for c in rest)]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ordinal")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
+    placed = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range").orderBy(*order))).join(F.broadcast(before), "_range")
     return placed.select(*df.columns, (F.col("_own") - 1 + F.col("_before")).cast("long").alias(name))
 
 
+def dealt_to(place: Column, workers: int) -> Column:
+    """The worker of a job by its place in the queue: to and fro, so that each gets long and short jobs alike."""
+    lap, seat = F.floor(place / workers), F.pmod(place, F.lit(workers))
+    return F.when(lap % 2 == 0, seat).otherwise(workers - 1 - seat).cast("int")
+
+
 def first_rows(df: DataFrame, n: int, position: str = "input_pos") -> DataFrame:
     """The first n rows by a column that counts them from 0; all for n <= 0."""
     return df.where(F.col(position) < n) if n > 0 else df
@@ -60,11 +67,6 @@ def examples(df: DataFrame, n: int, *order: str) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def per_worker(jobs: DataFrame, worker: str = "worker", position: str = "queue_pos") -> DataFrame:
-    """Jobs with their ordinal from 1 at their worker."""
-    return jobs.withColumn("ordinal", F.row_number().over(Window.partitionBy(worker).orderBy(position)))
-
-
 def frame_reduction(videos: DataFrame, max_duration: float = 60.0) -> DataFrame:
     """(video_id, frame_count, fps) to duration, frame_reduction and max_frames (null without reduction)."""
     duration = F.when(F.col("fps") > 0, F.col("frame_count") / F.col("fps")).otherwise(F.lit(0.0))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from clipsieve.functions.scalar import area_percent
 from clipsieve.operators import cluster, frames
+from clipsieve.sources.shared import stored
 
 HEADER = ["video", "object_ids", "selected", "n_frames", "total_area", "mean_area_frac", "merge_info", "error"]
 
@@ -131,9 +132,11 @@ def passes(videos: DataFrame, anchors: DataFrame, cap: int = 500) -> DataFrame:
 def segment_tracked(detections: DataFrame, videos: DataFrame, track: Callable[[DataFrame], DataFrame], width: int, height: int, verify: Callable[[DataFrame], DataFrame] | None = None, threshold: float = 0.5, stride: int = 5, sure: float = 0.9, least: float = 0.3, cap: int = 500, max_area_ratio: float = 3.0, least_overlap: float = 0.10) -> tuple[DataFrame, DataFrame]:
     """One object per video, followed from its surest frame in both directions and checked frame by frame.
 
-    track gets (video, direction, pos, frame, anchor), anchor the pixels of the anchor's mask, for the frames of a pass
-    that it may see, and returns (video, direction, pos, px), px an array; a position left out is not tracked. Frames
-    that a sub-sampled pass skipped take the mask of the nearest tracked one. The forward mask of a frame counts unless
+    track gets (video, direction, seq, pos, frame, anchor) for the frames of a pass that it may see, numbered by seq;
+    anchor, the pixels of the anchor's mask, comes with the first of them only. It returns (video, direction, pos, px),
+    px an array, which is stored; a position left out is not tracked. streaming.tracker makes a tracker out of a step
+    from frame to frame. Frames that a sub-sampled pass skipped take the mask of the nearest tracked one, which is found
+    on rows without masks. The forward mask of a frame counts unless
     it is missing or empty. verify gets (video, frame) and returns the pixels (video, frame, px) that look like the
     object: a mask much larger than the anchor's, or with too little of it there, is emptied and counted as flagged.
     """
@@ -143,16 +146,17 @@ def segment_tracked(detections: DataFrame, videos: DataFrame, track: Callable[[D
     anchor = found.select("video", "anchor_idx", "anchor_score").join(top.select("video", F.col("frame").alias("anchor_idx"), "det"), ["video", "anchor_idx"])
     shape = d.withColumnRenamed("frame", "anchor_idx").join(anchor.select("video", "anchor_idx", "det"), ["video", "anchor_idx", "det"]).groupBy("video").agg(F.sort_array(F.collect_set("px")).alias("anchor"))
     p = passes(videos, anchor, cap)
-    tracked = track(p.where("kept").join(shape, "video").select("video", "direction", "pos", "frame", "anchor"))
-    along = p.join(tracked, ["video", "direction", "pos"], "left")
+    seen = p.where("kept").withColumn("seq", (F.row_number().over(Window.partitionBy("video", "direction").orderBy("pos")) - 1).cast("long"))
+    first = shape.withColumn("seq", F.lit(0).cast("long"))
+    tracked = stored(track(seen.join(first, ["video", "seq"], "left").select("video", "direction", "seq", "pos", "frame", "anchor")), "tracked")
+    along = p.join(tracked.select("video", "direction", "pos", F.when(F.col("px").isNotNull(), F.col("pos")).alias("own")), ["video", "direction", "pos"], "left")
     # Only a sub-sampled pass is filled.
     w = Window.partitionBy("video", "direction").orderBy("pos")
-    own = F.when(F.col("px").isNotNull(), F.struct("pos", "px"))
-    before, after = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before, after = F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("own", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     near = along.withColumns({"before": before, "after": after})
-    left = F.col("after").isNull() | (F.col("pos") - F.col("before.pos") <= F.col("after.pos") - F.col("pos"))
-    filled = F.when(F.col("n_pass") <= cap, F.col("px")).when(F.col("before").isNotNull() & left, F.col("before.px")).otherwise(F.col("after.px"))
-    filled = near.select("video", "direction", "frame", filled.alias("px")).where("px IS NOT NULL")
+    left = F.col("after").isNull() | (F.col("pos") - F.col("before") <= F.col("after") - F.col("pos"))
+    source = F.when(F.col("n_pass") <= cap, F.col("own")).when(F.col("before").isNotNull() & left, F.col("before")).otherwise(F.col("after"))
+    filled = near.select("video", "direction", "frame", source.alias("pos")).where("pos IS NOT NULL").join(tracked, ["video", "direction", "pos"]).select("video", "direction", "frame", "px")
     side = lambda name, to: filled.where(F.col("direction") == name).select("video", "frame", F.col("px").alias(to))
     both = side("forward", "f").join(side("backward", "b"), ["video", "frame"], "full")
     merged = both.select("video", "frame", F.when((F.coalesce(F.size("f"), F.lit(0)) > 0) | F.col("b").isNull(), F.col("f")).otherwise(F.col("b")).alias("px"))
@@ -178,6 +182,12 @@ def segment_tracked(detections: DataFrame, videos: DataFrame, track: Callable[[D
     return masks, _header(videos, masks, objects, width * height, "no anchor found")
 
 
+def with_anchor(rows: DataFrame) -> DataFrame:
+    """What a tracker gets, with the anchor's mask on every row, for one that looks at each frame by itself."""
+    first = rows.where("anchor IS NOT NULL").select("video", "direction", "anchor")
+    return rows.drop("anchor").join(first, ["video", "direction"])
+
+
 def route(prompts: list[str], tracker: bool = False) -> str:
     """Which of the ways a prompt takes: the tracker for a single one, then several prompts, then frame by frame."""
     return "tracked" if tracker and len(prompts) == 1 else "prompts" if len(prompts) > 1 else "frames"

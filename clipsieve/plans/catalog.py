@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from clipsieve.operators import batch, cluster, frames, inpaint, jobs, masks, re
 from clipsieve.plans import fixtures as fx
 from clipsieve.sources import writers
 from clipsieve.sources.shared import stored
+from clipsieve.streaming.tracker import track_in_order
 
 V = fx.PARTS
 SAMPLE = 16
@@ -424,7 +426,7 @@ def _tracked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
     def track(rows: DataFrame) -> DataFrame:
         kept = F.filter("anchor", lambda p: (p + F.col("frame")) % 3 != 0)
-        return rows.where("pos % 7 <> 6").select("video", "direction", "pos", F.transform(kept, lambda p: (p + F.col("frame")) % 150).alias("px"))
+        return segment.with_anchor(rows).where("pos % 7 <> 6").select("video", "direction", "pos", F.transform(kept, lambda p: (p + F.col("frame")) % 150).alias("px"))
 
     def verify(rows: DataFrame) -> DataFrame:
         return rows.select("video", "frame", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))).alias("px"))
@@ -441,6 +443,18 @@ def segment_tracked_header(spark: SparkSession, d: str) -> DataFrame:
     return _tracked(spark, d)[1].select("video", "n_frames", "total_area", "error", info.alias("i")).select("video", "n_frames", "total_area", "error", "i.*")
 
 
+def segment_followed(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in tracker that goes from each mask to the next: it moves by a pixel and loses some, and loses the object at last."""
+
+    def step(memory: bytes | None, frame: int, anchor: list[int] | None) -> tuple[list[int] | None, bytes | None]:
+        before = json.loads(memory) if anchor is None else anchor
+        now = sorted((p + 1) % 150 for p in before if (p + frame) % 4 != 0)
+        return now, json.dumps(now).encode()
+
+    m, _ = segment.segment_tracked(fx.detections(spark, d), fx.detected_videos(spark, d), track_in_order(step), fx.WIDTH, fx.HEIGHT)
+    return _mask_sums(m)
+
+
 def inpaint_groups(spark: SparkSession, d: str) -> DataFrame:
     """A stand-in for the model adds 50 to each masked value; groups build on one another, in chunks of frames with context."""
     add = lambda images, mask: images + 50 * mask[..., None].astype(images.dtype)
@@ -466,7 +480,7 @@ def inpaint_fallback(spark: SparkSession, d: str) -> DataFrame:
     return both.select("video", "frame_idx", "method", "fallback_reason", F.size(F.array_except("changed", F.coalesce("px", F.array().cast("array<long>")))).cast("long").alias("changed_outside"))
 
 
-def _batch(spark: SparkSession, d: str) -> DataFrame:
+def _batch(spark: SparkSession, d: str, tasks: int | None = None) -> DataFrame:
     key = F.col("video_id").cast("long")
     j = _classified(spark, d).where("status IS NULL").select("video_id", "prompt_word", "path")
     known = fx.data(spark, d).select(F.col("id").cast("string").alias("video_id"), "frame_count").join(j.select("video_id", "path"), "video_id")
@@ -477,7 +491,7 @@ def _batch(spark: SparkSession, d: str) -> DataFrame:
             raise ValueError("a job that fails")
         return "" if int(job["video_id"]) % 13 == 0 else job["output_video_path"]
 
-    return batch.run_batch(j, j.where(key % 19 == 0).select("video_id"), probe, process, "/out")
+    return batch.run_batch(j, j.where(key % 19 == 0).select("video_id"), probe, process, "/out", tasks=tasks)
 
 
 def run_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -489,7 +503,8 @@ def batch_passed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def worker_ordinals(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.per_worker(job_lpt_order(spark, d).withColumn("worker", F.col("queue_pos") % 3)).select("video_id", "worker", F.col("ordinal").cast("long").alias("ordinal"))
+    """Which worker did a job, and as its how many-th, as the run's records say."""
+    return _as_long(_batch(spark, d, tasks=3).select("video_id", "worker", "ordinal", "status"), "worker", "ordinal")
 
 
 def first_jobs(spark: SparkSession, d: str) -> DataFrame:
@@ -563,7 +578,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mask_erode, mask_preprocess, proximity_groups, group_union, assign_groups, proximity_groups_hd, group_union_hd, mask_dilate_hd, mask_overlap_pairs_hd, assign_groups_hd, area_gate, overlap_gate, cosine_gate, object_color,
         overlay_blend, frames_with_masks, video_id, cover_crop, working_size, status_json, frame_names, required_missing, prompt_list,
         saved_subset, latest_file, segment_one, segment_one_header, segment_many, segment_many_header, segment_prompts, segment_prompts_header,
-        segment_tracked, segment_tracked_header, inpaint_groups, inpaint_fallback, run_batch, batch_passed, worker_ordinals, first_jobs, prompt_examples,
+        segment_tracked, segment_tracked_header, segment_followed, inpaint_groups, inpaint_fallback, run_batch, batch_passed, worker_ordinals, first_jobs, prompt_examples,
         zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources, overlay_clips, decode_resampled, decode_uniform, clip_round_trip, clip_seek,
     )
 }

@@ -240,9 +240,17 @@ spine AS (SELECT video, a, sc, len(anchor) AS area0, unnest(range(0, n)) AS fram
 got AS (SELECT s.*, list_distinct(coalesce(px, [])) AS px FROM spine s LEFT JOIN both_ways w ON w.video = s.video AND w.frame = s.frame),
 checked AS (SELECT *, len(px) AS area, len(px) > 0 AND (len(px) > 3.0 * area0 OR len(list_filter(px, lambda p: p < 60)) / greatest(len(px), 1) < 0.1) AS flagged FROM got)"""
 )
-BATCH = DATA + """, bat AS (SELECT video_id, prompt_word, path, frame_count / 29.97::DOUBLE AS dur, CASE WHEN id % 19 = 0 THEN 'done' WHEN id % 17 = 0 THEN 'unknown' WHEN id % 11 = 0 THEN 'raises' WHEN id % 13 = 0 THEN 'empty' ELSE 'good' END AS kind
+BATCH = DATA + """, bat AS (SELECT video_id, prompt_word, path, id, frame_count, frame_count / 29.97::DOUBLE AS dur, CASE WHEN id % 19 = 0 THEN 'done' WHEN id % 17 = 0 THEN 'unknown' WHEN id % 11 = 0 THEN 'raises' WHEN id % 13 = 0 THEN 'empty' ELSE 'good' END AS kind
   FROM (SELECT cls.*, frame_count, input_pos AS id FROM cls JOIN data USING (video_id)) z WHERE status IS NULL)"""
 
+_MOVED = "list_transform(list_filter({px}, lambda p: (p + {frame}) % 4 <> 0), lambda p: (p + 1) % 150)"
+#: Each mask out of the one before, along both passes.
+FOLLOWED = TRACKED.partition("pas AS")[0] + f"""
+walk(video, dir, pos, frame, px) AS (SELECT video, dir, CAST(0 AS BIGINT), a, {_MOVED.format(px="anchor", frame="a")} FROM way
+  UNION ALL SELECT video, dir, pos + 1, w.a + w.step * (pos + 1), {_MOVED.format(px="px", frame="(w.a + w.step * (pos + 1))")} FROM walk JOIN way w USING (video, dir) WHERE pos + 1 < w.m),
+both_ways AS (SELECT coalesce(f.video, b.video) AS video, coalesce(f.frame, b.frame) AS frame, CASE WHEN len(f.px) > 0 OR b.px IS NULL THEN f.px ELSE b.px END AS px
+  FROM (SELECT * FROM walk WHERE dir = 'f') f FULL JOIN (SELECT * FROM walk WHERE dir = 'b') b ON f.video = b.video AND f.frame = b.frame)"""
+
 
 def _color(k: int) -> str:
     return f"[{', '.join(str(c[k]) for c in PALETTE)}][((c_custkey - 4) % 12 + 12) % 12 + 1]"
@@ -325,11 +333,12 @@ area AS (SELECT video, count(*) AS total_area FROM seg GROUP BY video)
 SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, coalesce(total_area, 0) / (150 * n) AS mean_area_frac, merge_info FROM vids JOIN info USING (video) LEFT JOIN area USING (video)""",
     "segment_tracked": f"WITH {TRACKED} SELECT video, frame, 1 AS obj, count(*) AS area, CAST(sum(p) AS BIGINT) AS px_sum FROM (SELECT video, frame, unnest(px) AS p FROM checked WHERE NOT flagged) z GROUP BY ALL",
     "segment_tracked_header": f"WITH {TRACKED}, i AS (SELECT video, any_value(a) AS anchor_frame, any_value(sc) AS anchor_score, any_value(area0) / 150 * 100 AS anchor_area_percent, count(*) FILTER (area > 0) AS propagated, count(*) FILTER (area > 0 AND NOT flagged) AS verified, count(*) FILTER (flagged) AS flagged, CAST(sum(CASE WHEN flagged THEN 0 ELSE area END) AS BIGINT) AS total_area FROM checked GROUP BY video) SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, CASE WHEN anchor_frame IS NULL THEN 'no anchor found' END AS error, anchor_frame, anchor_score, anchor_area_percent, propagated, verified, flagged FROM vids LEFT JOIN i USING (video)",
+    "segment_followed": f"WITH RECURSIVE {FOLLOWED} SELECT video, frame, 1 AS obj, count(*) AS area, CAST(sum(p) AS BIGINT) AS px_sum FROM (SELECT DISTINCT video, frame, unnest(px) AS p FROM both_ways) z GROUP BY ALL",
     "inpaint_groups": f"WITH {DAY}, days AS (SELECT DISTINCT frame FROM mask), c AS (SELECT frame, px, count(*) AS k FROM mask GROUP BY ALL), p AS (SELECT d.frame, t.px, 50 * coalesce(k, 0) AS add FROM days d, range(0, 150) t(px) LEFT JOIN c ON c.frame = d.frame AND c.px = t.px) SELECT frame AS frame_idx, md5(string_agg(printf('%02x%02x%02x', ((px * 7 + frame) % 256 + add) % 256, ((px * 11 + frame) % 256 + add) % 256, ((px * 13 + frame) % 256 + add) % 256), '' ORDER BY px)) AS digest, 'model' AS method FROM p GROUP BY frame",
     "inpaint_fallback": f"WITH {DAY} SELECT DISTINCT CAST(frame // 7 AS BIGINT) AS video, frame AS frame_idx, CASE WHEN frame // 2 % 2 = 1 THEN 'fallback' ELSE 'model' END AS method, CASE WHEN frame // 2 % 2 = 1 THEN 'a chunk that fails' END AS fallback_reason, CAST(0 AS BIGINT) AS changed_outside FROM mask",
     "run_batch": f"WITH {BATCH} SELECT video_id, prompt_word, path AS input_video_path, CASE WHEN kind <> 'unknown' THEN '/out/' || video_id || '.mp4' END AS output_video_path, CASE WHEN kind NOT IN ('done', 'unknown') THEN round(dur, 2) END AS duration_seconds, CASE WHEN kind NOT IN ('done', 'unknown') THEN dur > 60 END AS frame_reduction_applied, CASE kind WHEN 'done' THEN 'skipped' WHEN 'good' THEN 'success' ELSE 'failed' END AS status, CASE kind WHEN 'done' THEN 'output already exists' WHEN 'unknown' THEN 'no information on the video file' WHEN 'raises' THEN 'a job that fails' WHEN 'empty' THEN 'no edited video came out' END AS error_message FROM bat",
     "batch_passed": f"WITH {BATCH} SELECT count(*) AS total, count(*) FILTER (kind = 'good') AS passed FROM bat",
-    "worker_ordinals": f"WITH {DATA}, q AS (SELECT video_id, row_number() OVER (ORDER BY frame_count DESC, input_pos) - 1 AS p FROM data) SELECT video_id, p % 3 AS worker, p // 3 + 1 AS ordinal FROM q",
+    "worker_ordinals": f"WITH {BATCH}, q AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN id % 17 <> 0 THEN frame_count END DESC NULLS LAST, video_id) - 1 AS p FROM bat) SELECT video_id, CASE WHEN p // 3 % 2 = 0 THEN p % 3 ELSE 2 - p % 3 END AS worker, p // 3 + 1 AS ordinal, CASE kind WHEN 'done' THEN 'skipped' WHEN 'good' THEN 'success' ELSE 'failed' END AS status FROM q",
     "first_jobs": "SELECT o_orderkey AS id, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS prompt_word, row_number() OVER (ORDER BY o_orderkey) - 1 AS at FROM orders ORDER BY o_orderkey LIMIT 1000",
     "prompt_examples": f"WITH {SELECTED} SELECT video, prompt_word FROM sel WHERE prompt_word IS NOT NULL ORDER BY video LIMIT 20",
     "zipped_frames": f"WITH {FRAMES} SELECT video, frame_idx, event_type, score FROM fr WHERE frame_idx < 40 AND frame_idx % 3 <> 1",

@@ -2,6 +2,7 @@
 
 import json
 import math
+import re
 
 import numpy as np
 import pytest
@@ -58,7 +59,7 @@ def test_tracked(spark, detections, videos):
 
     def track(rows):
         seen.extend(rows.select("video", "direction", "pos", "frame").collect())
-        return rows.select("video", "direction", "pos", F.transform("anchor", lambda p: p + F.col("frame")).alias("px"))
+        return segment.with_anchor(rows).select("video", "direction", "pos", F.transform("anchor", lambda p: p + F.col("frame")).alias("px"))
 
     m, h = segment.segment_tracked(detections, videos, track, 6, 4, stride=1)
     assert by_frame(m) == {("a", f, 1): {f, f + 1} for f in range(4)} | {("b", f, 1): {5 + f} for f in range(2)}
@@ -77,7 +78,8 @@ def test_models_from_hooks(spark, detections, videos):
 
     def track(batches):
         for rows in batches:
-            yield rows.assign(px=rows["anchor"])[["video", "direction", "pos", "px"]]
+            first = {d: a for d, s, a in zip(rows["direction"], rows["seq"], rows["anchor"], strict=True) if s == 0}
+            yield rows.assign(px=rows["direction"].map(first))[["video", "direction", "pos", "px"]]
 
     hooks.register("segment", segment_rows)
     hooks.register("track", track)
@@ -276,6 +278,8 @@ def test_matching_a_resolution(spark):
     wide = spark.createDataFrame([("a", 0, 4, 8, half.tobytes())], "video string, frame_idx long, h int, w int, rgb binary")
     image = np.frombuffer(inpaint.match_resolution(wide, 4, 4).first()["rgb"], np.uint8).reshape(4, 4, 3)
     assert np.array_equal(image, half[:, 2:6])
+    broken = spark.createDataFrame([("a", 0, 4, 8, b"too short"), ("a", 1, 0, 0, b"")], "video string, frame_idx long, h int, w int, rgb binary")
+    assert sorted(map(tuple, inpaint.match_resolution(broken, 4, 4).collect())) == sorted(map(tuple, broken.collect()))
 
 
 def test_blur(spark):
@@ -297,6 +301,33 @@ def test_erosion_at_the_border(spark):
     assert {r["px"] for r in masks.erode(m, 6, 4, 1).collect()} == {y * 6 + x for y in (1, 2) for x in range(1, 5)}
 
 
+def test_jobs_run_longest_first(spark):
+    """Each worker begins with its longest job; records say who did what and when; ties and unknown lengths have a place."""
+    rows = [(f"v{k:03d}", "cat", f"/v/{k}.mp4") for k in range(50)]
+    j = spark.createDataFrame(rows, "video_id string, prompt_word string, path string").repartition(5)
+    length = {k: None if k % 10 == 9 else (k * 7) % 12 * 100 for k in range(50)}
+    probe = spark.createDataFrame([(f"/v/{k}.mp4", n, 25.0) for k, n in length.items() if n is not None], "path string, frame_count long, fps double")
+    out = batch.run_batch(j, j.select("video_id").limit(0), probe, lambda job: "done", "/out", tasks=4).collect()
+    queue = sorted(range(50), key=lambda k: (length[k] is None, -(length[k] or 0), f"v{k:03d}"))
+    seats = [[0, 1, 2, 3], [3, 2, 1, 0]]
+    want = {f"v{k:03d}": (seats[p // 4 % 2][p % 4], p // 4 + 1) for p, k in enumerate(queue)}
+    assert {r["video_id"]: (r["worker"], r["ordinal"]) for r in out} == want
+    assert {length[int(r["video_id"][1:])] for r in out if r["ordinal"] == 1} == {1100, 1000} and {r["status"] for r in out} == {"success", "failed"}
+    by_worker = {w: sum(length[int(r["video_id"][1:])] or 0 for r in out if r["worker"] == w) for w in range(4)}
+    assert max(by_worker.values()) - min(by_worker.values()) <= 400
+
+
+def test_equal_jobs_are_spread(spark):
+    """All jobs have the same length: places still come from many ranges."""
+    df = spark.range(2_000).select(F.col("id").alias("input_pos"), F.lit(0).cast("long").alias("frame_count")).repartition(6)
+    out = jobs.ordinal(df, "at", "frame_count", "input_pos", descending=True)
+    assert out.where("at <> input_pos").isEmpty() and out.count() == 2_000
+    plan = out._jdf.queryExecution().analyzed().toString()
+    path = re.search(r"ordinal-[0-9a-f]+", str(out.inputFiles()))[0]
+    sizes = [r["n"] for r in spark.read.parquet(f"{spark.conf.get('spark.checkpoint.dir')}/clipsieve/{path}").groupBy("_range").agg(F.count("*").alias("n")).collect()]
+    assert "_range" in plan and len(sizes) == 4 and max(sizes) < 1_000
+
+
 def test_batch(spark):
     rows = [("1", "cat", "/v/1.mp4"), ("2", "dog", "/v/2.mp4"), ("3", "hat", "/v/3.mp4"), ("4", "cup", "/v/4.mp4")]
     j = spark.createDataFrame(rows, "video_id string, prompt_word string, path string")
@@ -326,7 +357,7 @@ def test_blank_prompts_and_stems(spark):
 def test_ordinal_in_ranges(spark):
     rows = [(i, (i * 37) % 11 if i % 5 else None) for i in range(100)]
     df = spark.createDataFrame(rows, "input_pos long, frame_count long").repartition(7)
-    got = {r["input_pos"]: r["at"] for r in jobs.ordinal(df, "at", "frame_count", "input_pos", descending=True, ranges=4).collect()}
+    got = {r["input_pos"]: r["at"] for r in jobs.ordinal(df, "at", "frame_count", "input_pos", descending=True).collect()}
     order = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
     assert got == {r[0]: k for k, r in enumerate(order)}
     assert jobs.ordinal(df.limit(0), "at", "frame_count").isEmpty()

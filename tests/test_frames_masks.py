@@ -116,7 +116,9 @@ def test_scalars(spark):
     c = spark.createDataFrame([(1,), (12,), (13,), (0,)], "i int").select("i", scalar.object_color(F.col("i")).alias("c"))
     assert {r["i"]: tuple(r["c"]) for r in c.collect()} == {1: (255, 0, 0), 12: (0, 128, 255), 13: (255, 0, 0), 0: (0, 128, 255)}
     assert spark.range(1).select(render.blend(F.lit(255), F.lit(0))).first()[0] == 127
-    assert spark.createDataFrame([(0.125,), (0.025,), (None,)], "x double").select(scalar.python_round2("x")).collect() == [(round(0.125, 2),), (round(0.025, 2),), (None,)]
+    values = [0.125, 0.025, -0.375, 2.675, 1e15, -0.004, *(k / 1000 for k in range(5, 3000, 10)), *(k / 8 for k in range(300)), *(k * 1.37e7 + 0.005 for k in range(200))]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None, float("nan")])], "i int, x double").select("i", scalar.python_round2("x").alias("r")).collect()
+    assert {r["i"]: r["r"] for r in got} == {i: round(v, 2) for i, v in enumerate(values)} | {len(values): None, len(values) + 1: None}
 
 
 def test_overlay_paints_in_order(spark):
