@@ -4,7 +4,8 @@ Numbers, names and units of a text become typed placeholders. Windows of the res
 with the benchmark's, so a question with other numbers or names still meets its original. A run of matching
 windows counts if its slots are consistent: equal values of the item that are changed are all changed to the same.
 Copies in other case meet in a caseless template, where names stay plain words. What templates leave out for want of
-plain words is looked for word by word, and items of one window also with first words taken for names.
+plain words is looked for word by word, and items of one window also with first words taken for names. A number and the
+unit that it is written together with are two slots; numbers may be spelled.
 """
 
 from __future__ import annotations
@@ -22,10 +23,9 @@ from pyspark.sql import functions as F
 from clipsieve.llm.common import HASH_CACHE, free_name, grams, long_array, map_arrow, mix, stored
 
 WINDOW = 10
-#: Items of fewer template tokens are looked for word by word; those of fewer than WINDOW match as a whole.
+#: Items of fewer template tokens are looked for word by word; those of fewer than WINDOW match as a whole, and a single
+#: word where it is a sentence or a line by itself.
 MIN_ITEM_TOKENS = 6
-#: Items of fewer words match nothing.
-MIN_ITEM_WORDS = 4
 #: Share of a window's tokens, in percent, that must be plain words: placeholders alone say nothing.
 MIN_PLAIN = 60
 #: Benchmark windows that are sent to every task; with more, documents' windows are joined by a shuffle.
@@ -33,7 +33,11 @@ BROADCAST_WINDOWS = 1_000_000
 #: Units of measurement, of time and of money.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec min h hr hours hour minutes minute seconds second days day weeks week months month years year meters metres meter metre kilometers kilometres miles mile feet inches grams kilograms pounds liters litres dollars dollar euros euro cents percent kmh mph".split()
 
-PLAIN, NUMBER, UNIT, CAPITAL, NOTHING = range(5)
+#: Spelled numbers.
+SPELLED_NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
+TENS = {"thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1_000, "million": 1_000_000, "billion": 1_000_000_000}
+
+PLAIN, NUMBER, UNIT, CAPITAL, NOTHING, SPELLED = range(6)
 NAME = CAPITAL
 #: Forms of a template: names by their capitals; no names, case ignored; capitals at the start of a sentence are names
 #: too; nothing is replaced.
@@ -42,9 +46,12 @@ FORMS = (CASED, CASELESS, CAPITALS, EXACT)
 _EDGE = b"\"'`.,;:?!()[]{}<>#*$%&|-_/\\=+~^"
 _DIGIT = re.compile(rb"[0-9]")
 _units = frozenset(u.encode() for u in UNITS)
+_spelled = {w.encode(): b"%d" % TENS.get(w, k) for k, w in enumerate(SPELLED_NUMBERS)}
+_FUSED = re.compile(rb"(.*[0-9])(" + b"|".join(sorted(_units, key=lambda u: (-len(u), u))) + rb")([^A-Za-z0-9]*)", re.I | re.S)
 _HIGH = np.uint64(44)
 _SALT = np.array([0, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
-_KEYS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0], np.uint64)
+#: A spelled number's placeholder is that of any other.
+_KEYS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0, 0xA24BAED4963EE407], np.uint64)
 
 
 def folded(word: bytes) -> bytes:
@@ -54,15 +61,16 @@ def folded(word: bytes) -> bytes:
 
 
 class Words(dict):
-    """Each word's row in arrays: hash of its plain form, its kind, and whether a sentence ends with it."""
+    """Each word's row in arrays: hash of its plain form, its kind, whether a sentence ends with it, and whether it is a
+    number with its unit."""
 
     def __init__(self) -> None:
-        self.hash, self.kind, self.ends = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int8), np.zeros(1 << 16, bool)
+        self.hash, self.kind, self.ends, self.fused = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int8), np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
 
     def __missing__(self, word: bytes) -> int:
         i = self[word] = len(self)
         if i >= len(self.hash):
-            self.hash, self.kind, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.kind, self.ends))
+            self.hash, self.kind, self.ends, self.fused = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.kind, self.ends, self.fused))
         plain = word.strip(_EDGE)
         low, text = folded(word), plain if plain.isascii() else plain.decode("utf-8", "replace")
         self.ends[i] = word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":")
@@ -70,6 +78,9 @@ class Words(dict):
             self.kind[i] = NOTHING
         elif _DIGIT.search(plain):
             self.kind[i] = NUMBER
+            self.fused[i] = _FUSED.fullmatch(word) is not None
+        elif all(part in _spelled for part in low.split(b"-")):
+            self.kind[i] = SPELLED
         elif low in _units:
             self.kind[i] = UNIT
         elif text[:1].isupper() and not text.isupper():
@@ -95,8 +106,16 @@ class Template:
         for line in text.split(b"\n"):
             starts.append(len(self.words))
             self.words += line.split()
+        at = np.fromiter(map(_words.__getitem__, self.words), np.int64, len(self.words))
+        fused = np.flatnonzero(_words.fused[at]) if len(at) else at
+        if len(fused):
+            # Two words each, so that what begins a line moves on by those before it.
+            starts = [k + int(np.searchsorted(fused, k)) for k in starts]
+            for k in fused[::-1].tolist():
+                number, unit, rest = _FUSED.fullmatch(self.words[k]).groups()
+                self.words[k : k + 1] = [number, unit + rest]
+            at = np.fromiter(map(_words.__getitem__, self.words), np.int64, len(self.words))
         n = len(self.words)
-        at = np.fromiter(map(_words.__getitem__, self.words), np.int64, n)
         self.word_kind, self.word_hash, first = _words.kind[at], _words.hash[at], np.zeros(n + 1, bool)
         first[1:] = np.append(_words.ends[at], False)[:n] if n else []
         first[np.array(starts)] = True
@@ -114,21 +133,29 @@ class Template:
         kind, n = self.word_kind, len(self.words)
         # A capital at the start of a sentence is no name.
         if self.form == EXACT:
-            kind = np.where(kind == NOTHING, NOTHING, PLAIN)
+            kind = np.where(kind == NOTHING, NOTHING, PLAIN)  # word by word
         elif self.form != CAPITALS:
             kind = np.where((kind == CAPITAL) & (self.first if self.form == CASED else True), PLAIN, kind)
         token = np.where(kind == PLAIN, self.word_hash, _KEYS[kind])
         keep = kind != NOTHING
-        name = (kind == NAME) & keep
-        # Names side by side are one.
-        keep[1:] &= ~(name[1:] & name[:-1])
+        # Names side by side are one, and so are the words of a number.
+        for of in (NAME, SPELLED):
+            same = kind == of
+            keep[1:] &= ~(same[1:] & same[:-1])
         place = np.flatnonzero(keep)
         self.tokens, self.kinds, self.place = mix(token[place]), kind[place], place
         self.end = np.append(place[1:], n)
 
     def slot(self, i: int) -> bytes:
-        """The value in a placeholder, compared without case or marks at its edges."""
-        return b" ".join(folded(w) for w in self.words[self.place[i] : self.end[i] if self.kinds[i] == NAME else self.place[i] + 1])
+        """The value in a placeholder, compared without case or marks at its edges; twelve is 12."""
+        many = self.kinds[i] in (NAME, SPELLED)
+        value = [folded(w) for w in self.words[self.place[i] : self.end[i] if many else self.place[i] + 1]]
+        return b" ".join(_spelled.get(w, w) for w in value) if self.kinds[i] == SPELLED else b" ".join(value)
+
+    def alone(self, i: int) -> bool:
+        """Whether a token is a sentence or a line by itself."""
+        begin, end = int(self.place[i]), int(self.end[i])
+        return bool(self.first[begin] and (end >= len(self.words) or self.first[end]))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and places of the windows that have enough plain words."""
@@ -149,7 +176,7 @@ def item_windows(text: bytes) -> list[tuple[Template, int, np.ndarray, np.ndarra
         size = min(WINDOW, n)
         if form == CAPITALS and len(cased.tokens) > WINDOW or form == EXACT and not lost:
             continue
-        if size < (MIN_ITEM_WORDS if form == EXACT else MIN_ITEM_TOKENS):
+        if size < (1 if form == EXACT else MIN_ITEM_TOKENS):
             lost = True
             continue
         hashes, places = t.windows(size)
@@ -193,7 +220,7 @@ class Benchmark:
                 for j in maybe[known[near] == h[maybe]].tolist():
                     for k, p in self.at[form, size][int(h[j])]:
                         q = int(places[j])
-                        if np.array_equal(doc.tokens[q : q + size], self.items[form, k].tokens[p : p + size]):
+                        if np.array_equal(doc.tokens[q : q + size], self.items[form, k].tokens[p : p + size]) and (size > 1 or doc.alone(q)):
                             begin, end = int(doc.place[q]), int(doc.end[q + size - 1])
                             if not any(a < end and begin < b for a, b in refused.get(k, ())):
                                 runs[k, q - p].append((q, p, size))
@@ -221,7 +248,8 @@ class Benchmark:
         for i, j in sorted(pairs):
             a, b = item.slot(i), doc.slot(j)
             if a != b:
-                if value.setdefault((int(item.kinds[i]), a), b) != b:
+                # A number is one whether spelled or not.
+                if value.setdefault((NUMBER if item.kinds[i] == SPELLED else int(item.kinds[i]), a), b) != b:
                     return None
                 changed += 1
         return changed
@@ -240,7 +268,8 @@ def _fits(benchmark: DataFrame) -> bool:
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, n_windows, item_windows, changed_slots): a row for each item found in a document.
 
-    Clean documents have no row. Null or empty texts and items match nothing; equal items all match. Repeated rows
+    Clean documents have no row. Null or empty texts and items match nothing, an item of two words or more wherever they
+    stand in this order, one of a single word as a sentence or a line of its own; equal items all match. Repeated rows
     of a document, null ids too, give repeated rows. Texts of any length are read whole; other columns are ignored.
     Either table empty gives none.
     """

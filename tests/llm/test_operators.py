@@ -4,8 +4,10 @@ import base64
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -211,14 +213,14 @@ def test_templates(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["changed_slots"] for r in decontam.matches(docs, bench).collect()}
-    assert set(got) == {(1, 1), (2, 1)}
+    assert set(got) == {(1, 1), (2, 1), (4, 2)}  # an item of three words, verbatim
     assert got[2, 1] == 0 and got[1, 1] > 0
-    assert sorted(r[0] for r in decontam.clean(docs, bench).select("doc_id").collect()) == [3, 4, 5, 6, 7]
+    assert sorted(r[0] for r in decontam.clean(docs, bench).select("doc_id").collect()) == [3, 5, 6, 7]
     assert decontam.matches(docs, bench.limit(0)).isEmpty() and decontam.matches(docs.limit(0), bench).isEmpty()
     decontam_limit, decontam.BROADCAST_WINDOWS = decontam.BROADCAST_WINDOWS, 0
     try:
         assert {(r["doc_id"], r["item_id"]) for r in decontam.matches(docs, bench).collect()} == set(got)
-        assert decontam.clean(docs, bench).count() == 5
+        assert decontam.clean(docs, bench).count() == 4
     finally:
         decontam.BROADCAST_WINDOWS = decontam_limit
 
@@ -390,6 +392,66 @@ def accuracy(out, labels, col):
     return j.where(F.col("predicted") == F.col(col)).count() / j.count()
 
 
+def test_short_items():
+    b = decontam.Benchmark([(1, "Is it Paris?"), (2, "who wrote it"), (3, "Why?"), (4, "stone"), (5, "?!"), (6, ""), (7, None)])
+    found = lambda t: [m[0] for m in b.matches(t.encode())]
+    assert found("So they ask. IS IT Paris? Nobody knows who wrote it.") == [1, 2]
+    assert found("is it in Paris? who once wrote it, why not, a stone wall") == [] and found("") == []
+    assert found("A wall.\nstone\nWhy? Because.") == [3, 4] and found("Why") == [3] and found("is it paris") == [1]
+
+
+def test_numbers_with_units_and_in_words():
+    item = "A train carries 12 crates of 15kg each over 300 miles before it stops beside the river for water and coal"
+    b = decontam.Benchmark([(1, item)])
+    for text in (
+        item.replace("12", "twelve"), item.replace("12", "forty-two"), item.replace("12", "twenty five"), item.replace("15kg", "15 kg"), item.replace("15kg", "90 kg"), item.replace("15kg", "15lb"), item.replace("300 miles", "300km"),
+        item.replace("12", "seven").replace("15kg", "8g").replace("300", "two thousand"),
+    ):
+        assert [m[0] for m in b.matches(f"Some words stand before it. {text}, and some after.".encode())] == [1], text
+    same = "The first box weighs 15kg and the second box weighs 15 kg as well so that both of them weigh as much"
+    b = decontam.Benchmark([(1, same)])
+    assert b.matches(same.replace("15", "20").encode()) and not b.matches(same.replace("15kg", "20kg").replace("15 kg", "30 kg").encode())
+    t = decontam.Template(b"10kg\nten kg twenty five 3 4 Anna Berg")
+    assert [int(k) for k in t.kinds[:4]] == [decontam.NUMBER, decontam.UNIT, decontam.SPELLED, decontam.UNIT] and len(t.tokens) == 8 and t.slot(2) == b"10" == t.slot(0) and t.slot(4) == b"20 5"
+
+
+def test_recall_of_reparameterised_items():
+    """Questions made anew with other numbers, spelled or not, other units, names and places of the parts: found; others: not."""
+    rng = random.Random(21)
+    names = [a + b for a in ("An", "Ber", "Cla", "Do", "El") for b in ("na", "ta", "ro", "min", "sek")]
+    number = lambda: rng.choice(decontam.SPELLED_NUMBERS[:20]) if rng.random() < 0.3 else str(rng.randint(2, 999))
+    unit = lambda: rng.choice(("kg", "g", "km", "miles", "hours", "dollars"))
+    make = {"NUM": number, "UNIT": unit, "NAME": lambda: rng.choice(names), "FUSED": lambda: f"{rng.randint(2, 999)}{unit()}"}
+
+    def frame():
+        """Words with two slots in five places, never side by side, and the values of the slots."""
+        out = []
+        for _ in range(rng.randint(8, 18)):
+            out += rng.choices(WORDS, k=2) if rng.random() < 0.4 else [rng.choice(WORDS), rng.choice(list(make))]
+        return [(w, make[w]() if w in make else w) for w in [*out, rng.choice(WORDS), rng.choice(WORDS)]]
+
+    def filled(f, anew=False):
+        """With the values, or with others: equal ones of a kind become equal ones; some numbers part from their units."""
+        other: dict[tuple[str, str], str] = {}
+        out = []
+        for kind, value in f:
+            if anew and kind == "FUSED":
+                n, u = re.fullmatch("([0-9]+)(.*)", value).groups()
+                out.append(other.setdefault(("NUM", n), str(rng.randint(2, 999))) + rng.choice(("", " ")) + other.setdefault(("UNIT", u), unit()))
+            else:
+                out.append(other.setdefault((kind, value), make[kind]()) if anew and kind in make else value)
+        return " ".join(out)
+
+    frames = [frame() for _ in range(200)]
+    items = [filled(f) for f in frames]
+    b = decontam.Benchmark(list(enumerate(items)))
+    copies = [f"The {' '.join(rng.choices(WORDS, k=20))}. {filled(f, anew=True)}. And {' '.join(rng.choices(WORDS, k=20))}." for f in frames]
+    found = sum(k in [m[0] for m in b.matches(c.encode())] for k, c in enumerate(copies))
+    assert found >= 180, found
+    clean = sum(bool(b.matches(filled(frame()).encode())) for _ in range(300))
+    assert clean == 0
+
+
 def test_toxicity(labelled):
     docs, labels = labelled
     out = toxicity.classify(docs, labels).cache()
@@ -503,6 +565,31 @@ def test_mined_rules(spark):
     assert {r["page_id"]: r["mined"] for r in url_filter.verdicts(pages, rules).collect()} == {1: "block", 2: "allow"}
 
 
+def test_mining_against_all_combinations(spark):
+    """Every rule that counting all combinations gives, and no other; long URLs of one pattern don't explode."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(400):
+        t = sorted({f"path:{rng.choice('abcdefg')}" for _ in range(4)})
+        rows.append((t, "label:block" if ("path:a" in t and "path:b" in t) or rng.random() < 0.05 else "label:allow"))
+    got = {(r.tokens, r.verdict): (r.confidence, r.support) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), min_support=0.02)}
+    every = {}
+    for size in (1, 2, 3):
+        for own in combinations([f"path:{c}" for c in "abcdefg"], size):
+            fits = [label for t, label in rows if set(own) <= set(t)]
+            for label in url_filter.LABELS:
+                k = fits.count(label)
+                if k and k / len(rows) >= 0.02 and k / len(fits) >= url_filter.MIN_CONFIDENCE:
+                    every[own, label.removeprefix("label:")] = (k / len(fits), k / len(rows))
+    want = {}
+    for (own, verdict), (confidence, support) in sorted(every.items(), key=lambda x: len(x[0][0])):
+        if not any(set(o) < set(own) and c >= confidence for (o, _), (c, _) in want.items()):
+            want[own, verdict] = (confidence, support)
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True))
+    long = [([f"path:{k}" for k in range(40)], "label:block")] * 50 + [(["tld:org"], "label:allow")] * 50
+    assert {r.verdict for r in url_filter.mine(spark.createDataFrame(long, "tokens array<string>, label string"))} == {"allow", "block"}
+
+
 def brute_mined(have, rules, default="allow"):
     fits = [r for r in rules if set(r.tokens) <= set(have)]
     return max(fits, key=lambda r: (r.confidence, r.support, r.tokens)).verdict if fits else default
