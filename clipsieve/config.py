@@ -18,13 +18,8 @@ class InpaintSettings:
     device: str = "auto"
     code_path: str = "third_party/inpaint"
     weights_path: str = "third_party/inpaint/weights"
-    target_resolution: tuple[int, int] | None = None
-    lock_background: bool = False
-    kv_lock: bool = False
-    kv_lock_alpha: float = 0.6
-    kv_lock_max_alpha: float = 0.9
-    kv_lock_dynamic: bool = True
-    save_debug_frames: bool = True
+    chunk: int = 50
+    context: int = 0
 
     def record(self) -> dict:
         return asdict(self)

@@ -159,7 +159,7 @@ def remove(frames: DataFrame, masks: DataFrame, width: int, height: int, model:
     """
     grown = max(settings.dilate_px, MIN_DILATION)
     ready = preprocess(masks, width, height, settings.erode_px, grown, settings.feather_sigma, keys=("video", "frame", "obj"))
-    out = inpaint_groups(frames, ready, model, fallback)
+    out = inpaint_groups(frames, ready, model, fallback, settings.chunk, settings.context)
     info = out.groupBy("video").agg(
         F.max("method").alias("method"), F.max("fallback_reason").alias("fallback_reason"), F.max("resized_from").alias("resized_from"), F.count("*").alias("num_frames"),
         F.concat(F.max("w").cast("string"), F.lit("x"), F.max("h").cast("string")).alias("resolution"), F.lit(json.dumps(settings.record())).alias("config"),

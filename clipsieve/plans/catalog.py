@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from clipsieve.functions import scalar, text
 from clipsieve.operators import batch, cluster, frames, inpaint, jobs, masks, render, runs, segment, select, video
 from clipsieve.plans import fixtures as fx
-from clipsieve.sources import writers
-from clipsieve.sources.shared import stored
+from clipsieve.sources import journal, mp4, readers, saved, writers
+from clipsieve.sources.shared import shared_dir, stored
 from clipsieve.streaming.tracker import track_in_order
 
 V = fx.PARTS
@@ -547,6 +548,39 @@ def clip_seek(spark: SparkSession, d: str) -> DataFrame:
     return got.select("video", "pos", "frame_idx", F.lower(F.hex("rgb")).alias("rgb"))
 
 
+def movie_probe(spark: SparkSession, d: str) -> DataFrame:
+    return _as_long(mp4.probe_movies(fx.movies(spark, d)), "width", "height")
+
+
+def picture_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Frames as PNG files, and their pixels read back."""
+    files = fx.pictures(spark, d).select("video", "frame_idx", video.frame_png("rgb", "h", "w").alias("content"))
+    return _as_long(readers.pixels_of(files).select("video", "frame_idx", "h", "w", F.md5(F.lower(F.hex("rgb"))).alias("digest")), "h", "w")
+
+
+def saved_archives(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of weeks saved as archives, and two objects of some frames out of them again."""
+    m = fx.picture_masks(spark, d).withColumn("frame", F.col("frame") % 7)
+    r = stored(runs.from_pixels(m, fx.WIDTH, ("video", "frame", "obj")), "saved-runs")
+    objects = r.groupBy("video").agg(F.sort_array(F.collect_set(F.col("obj").cast("long"))).alias("object_ids"))
+    no = F.lit(None).cast("string")
+    header = objects.select("video", "object_ids", F.element_at("object_ids", 1).alias("selected"), F.lit(7).alias("n_frames"), F.lit(fx.HEIGHT).alias("height"), F.lit(fx.WIDTH).alias("width"), F.lit("cup").alias("text_prompt"), F.lit(0.5).alias("mean_mask_area_frac"), no.alias("merge_info"))
+    root = f"{shared_dir(spark)}/clipsieve/archives-{uuid.uuid4().hex}"
+    saved.save(r, header, root)
+    back = saved.load(spark, root).where("obj IN (2, 5) AND frame < 4")
+    return runs.areas(back, ("video", "frame", "obj"))
+
+
+def status_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Records added in three batches, one of them twice, and a batch that was written but never committed."""
+    records = _records(spark, d)[1].select("video_id", "prompt_word", "status").withColumn("part", F.pmod(F.col("video_id").cast("long"), F.lit(3)))
+    root = f"{shared_dir(spark)}/clipsieve/run-{uuid.uuid4().hex}"
+    for part in (0, 1, 2, 1):
+        journal.append(records.where(F.col("part") == part).drop("part"), root, f"batch-{part}")
+    records.drop("part").write.json(f"{root}/{journal.PARTS}/uncommitted")
+    return journal.read(spark, root).groupBy("batch", "status").agg(F.count("*").alias("records"))
+
+
 def best_detection(spark: SparkSession, d: str) -> DataFrame:
     return _as_long(segment.best_by_score(segment.confident(fx.detections(spark, d))), "det")
 
@@ -579,6 +613,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         overlay_blend, frames_with_masks, video_id, cover_crop, working_size, status_json, frame_names, required_missing, prompt_list,
         saved_subset, latest_file, segment_one, segment_one_header, segment_many, segment_many_header, segment_prompts, segment_prompts_header,
         segment_tracked, segment_tracked_header, segment_followed, inpaint_groups, inpaint_fallback, run_batch, batch_passed, worker_ordinals, first_jobs, prompt_examples,
-        zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources, overlay_clips, decode_resampled, decode_uniform, clip_round_trip, clip_seek,
+        zipped_frames, best_detection, mask_scales, mask_dilate_ellipse, resources, overlay_clips, decode_resampled, decode_uniform, clip_round_trip, clip_seek, movie_probe, picture_round_trip, saved_archives, status_batches,
     )
 }

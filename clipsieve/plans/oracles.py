@@ -346,6 +346,10 @@ SELECT video, n AS n_frames, coalesce(total_area, 0) AS total_area, coalesce(tot
     "decode_uniform": f"WITH {FRAMES}, {VIDEOS}, x AS (SELECT video, n, CASE WHEN n > 16 THEN {_INDICES.format(m=16)} WHEN video % 2 = 0 THEN list_filter(range(0, n), lambda f: list_contains([0, 3, 6, 9, 12, 15], f)) ELSE range(0, n) END AS x FROM vid), k AS (SELECT video, n, unnest(x) AS frame_idx, CAST(unnest(range(0, len(x))) AS BIGINT) AS pos FROM x) SELECT video, pos, frame_idx, CASE WHEN n > 16 AND video % 2 = 0 THEN 29.97::DOUBLE ELSE 10.0::DOUBLE END AS fps, event_type FROM k JOIN fr USING (video, frame_idx)",
     "clip_round_trip": f"WITH {DAY}, days AS (SELECT DISTINCT frame FROM mask), p AS (SELECT frame, t.px FROM days, range(0, 150) t(px)), m AS (SELECT frame, md5(string_agg(printf('%02x%02x%02x', (px * 7 + frame) % 256, (px * 11 + frame) % 256, (px * 13 + frame) % 256), '' ORDER BY px)) AS digest FROM p GROUP BY frame) SELECT CAST(frame // 7 AS BIGINT) AS video, frame AS frame_idx, 10 AS h, 15 AS w, digest, count(*) OVER (PARTITION BY frame // 7) AS n, count(*) OVER (PARTITION BY frame // 7) / 25.0::DOUBLE AS duration_sec FROM m",
     "clip_seek": f"WITH {FRAMES}, {VIDEOS}, x AS (SELECT video, n, {_INDICES.format(m=4)} AS x FROM vid), k AS (SELECT video, unnest(x) AS frame_idx, CAST(unnest(range(0, len(x))) AS BIGINT) AS pos FROM x) SELECT video, pos, frame_idx, printf('%012x', video * 1000003 + frame_idx) AS rgb FROM k",
+    "movie_probe": "SELECT p_partkey, CASE WHEN ok THEN 30000.0::DOUBLE / 1001.0::DOUBLE ELSE 0.0::DOUBLE END AS fps, CASE WHEN whole THEN p_size * 16 ELSE 0 END AS width, CASE WHEN whole THEN p_size * 9 ELSE 0 END AS height, CASE WHEN ok THEN n ELSE 0 END AS frame_count, CASE WHEN ok THEN n / (30000.0::DOUBLE / 1001.0::DOUBLE) ELSE 0.0::DOUBLE END AS duration_sec FROM (SELECT *, p_partkey % 300 AS n, p_partkey % 13 <> 0 AS whole, p_partkey % 13 <> 0 AND p_partkey % 300 > 0 AS ok FROM part) z",
+    "picture_round_trip": f"WITH {DAY}, days AS (SELECT DISTINCT frame FROM mask), p AS (SELECT frame, t.px FROM days, range(0, 150) t(px)) SELECT CAST(frame // 7 AS BIGINT) AS video, frame AS frame_idx, 10 AS h, 15 AS w, md5(string_agg(printf('%02x%02x%02x', (px * 7 + frame) % 256, (px * 11 + frame) % 256, (px * 13 + frame) % 256), '' ORDER BY px)) AS digest FROM p GROUP BY frame",
+    "saved_archives": f"WITH {DAY} SELECT CAST(frame // 7 AS VARCHAR) AS video, frame % 7 AS frame, obj, count(*) AS area FROM mask WHERE obj IN (2, 5) AND frame % 7 < 4 GROUP BY ALL",
+    "status_batches": f"WITH {RUN} SELECT 'batch-' || CAST(CAST(video_id AS BIGINT) % 3 AS VARCHAR) AS batch, status, count(*) AS records FROM run GROUP BY ALL",
     "best_detection": f"WITH {DETECTED} SELECT video, frame, arg_min(det, (-score, det)) AS det, max(score) AS score FROM (SELECT DISTINCT video, frame, det, score FROM det WHERE score >= 0.5) z GROUP BY ALL",
     "mask_scales": "WITH p AS (SELECT *, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN p_size * 5 > 127.5 ELSE p_size % 2 = 1 END AS bit FROM part) SELECT p_partkey, bit, CASE WHEN bit THEN 255 ELSE 0 END AS byte, p_size / 150 * 100 AS percent, CAST(p_size AS VARCHAR) || 'x' || CAST(k AS VARCHAR) AS resolution, greatest(2, (k % 64) // least(greatest(k % 9, 1), 4)) AS threads, k - p_size AS back, k AS grey, lpad(CAST(k AS VARCHAR), 6, '0') || '.png' AS edited, 'mask_f' || lpad(CAST(k AS VARCHAR), 6, '0') || '_o' || CAST(p_size AS VARCHAR) || '.png' AS mask, 'remove the ' || p_name || ' here' AS request, greatest(p_size % 8, 4) AS grow FROM p",
     "resources": "SELECT count(*) = 0 AS available, CASE WHEN count(*) = 0 THEN 'available' ELSE 'missing: ' || string_agg(n_name, ', ' ORDER BY n_name) END AS message FROM nation WHERE n_regionkey >= 3",

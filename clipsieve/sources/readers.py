@@ -48,27 +48,34 @@ def image_frames(spark: SparkSession, folder: str) -> DataFrame:
     return found.join(index, "path").select("folder", "frame_idx", "path", "content")
 
 
-def picture_frames(spark: SparkSession, folder: str) -> DataFrame:
-    """(folder, frame_idx, path, h, w, rgb) of the pictures under a folder.
+def pixels_of(pictures: DataFrame, content: str = "content") -> DataFrame:
+    """pictures with h, w and rgb in place of their files' bytes.
 
     PNG files are read here; files of other formats go to the hook decode_picture, a function from bytes to (h, w, rgb),
     and without one they raise. So does a broken file.
     """
     other = hooks.registered("decode_picture")
+    kept = [c for c in pictures.columns if c != content]
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pictures.dtypes if c != content)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
-            for path, content in zip(rows["path"], rows["content"], strict=True):
-                if content[:8] == PNG_MAGIC:
-                    out.append(png_pixels(content))
+            for data in rows[content]:
+                if data[:8] == PNG_MAGIC:
+                    out.append(png_pixels(data))
                 elif other is None:
-                    raise NotImplementedError(f"no function is registered for decode_picture, which {path} needs")
+                    raise NotImplementedError("no function is registered for decode_picture, which a file other than PNG needs")
                 else:
-                    out.append(other(content))
-            yield rows[["folder", "frame_idx", "path"]].assign(h=[p[0] for p in out], w=[p[1] for p in out], rgb=[p[2] for p in out])
+                    out.append(other(data))
+            yield rows[kept].assign(h=[p[0] for p in out], w=[p[1] for p in out], rgb=[p[2] for p in out])
+
+    return pictures.select(*kept, content).mapInPandas(each, f"{kinds}, h int, w int, rgb binary")
 
-    return image_frames(spark, folder).mapInPandas(each, "folder string, frame_idx long, path string, h int, w int, rgb binary")
+
+def picture_frames(spark: SparkSession, folder: str) -> DataFrame:
+    """(folder, frame_idx, path, h, w, rgb) of the pictures under a folder."""
+    return pixels_of(image_frames(spark, folder))
 
 
 def probed_counts(paths: DataFrame, counts: DataFrame) -> DataFrame:
