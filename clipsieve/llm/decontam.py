@@ -72,14 +72,19 @@ class Words(dict):
         if i >= len(self.hash):
             self.hash, self.kind, self.ends, self.fused = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.kind, self.ends, self.fused))
         plain = word.strip(_EDGE)
-        low, text = folded(word), plain if plain.isascii() else plain.decode("utf-8", "replace")
-        self.ends[i] = word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":")
+        if plain.isascii():
+            low, text = plain.lower(), plain
+        else:
+            text = plain.decode("utf-8", "replace")
+            low = text.casefold().encode()
+        if len(plain) < len(word):  # all marks that end a sentence are edges
+            self.ends[i] = word.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b":")
         if not plain:
             self.kind[i] = NOTHING
         elif _DIGIT.search(plain):
             self.kind[i] = NUMBER
             self.fused[i] = _FUSED.fullmatch(word) is not None
-        elif all(part in _spelled for part in low.split(b"-")):
+        elif low in _spelled or b"-" in low and all(part in _spelled for part in low.split(b"-")):
             self.kind[i] = SPELLED
         elif low in _units:
             self.kind[i] = UNIT
@@ -141,7 +146,8 @@ class Template:
         # Names side by side are one, and so are the words of a number.
         for of in (NAME, SPELLED):
             same = kind == of
-            keep[1:] &= ~(same[1:] & same[:-1])
+            if same.any():
+                keep[1:] &= ~(same[1:] & same[:-1])
         place = np.flatnonzero(keep)
         self.tokens, self.kinds, self.place = mix(token[place]), kind[place], place
         self.end = np.append(place[1:], n)

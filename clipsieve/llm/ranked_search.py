@@ -31,6 +31,8 @@ STEP = 128
 #: Bytes of query text that are sent to the tasks at a time; further queries are searched for in further passes.
 QUERY_BYTES = 1_000_000
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Fixed values of the score: an impact is SCALE * tf div (1000 * tf + 8 * m), m a document's length against the mean.
 SCALE, FLAT, STEEP = 1_000_000_000, 10, 90
 #: An impact is below 2 ** 20, as it is SCALE / 1000 at most.
@@ -294,6 +296,7 @@ def ranked(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "it
     none of whose terms occurs, there are no rows. Queries are held in the driver QUERY_BYTES of text at a time.
     """
     spark = docs.sparkSession
+    rows = spark.conf.get(BATCH)  # shards go one by one, here only
     shards, n_docs, _ = index(docs)
     kind = dict(queries.dtypes)[query_id]
     asked = stored(queries.select(F.col(query_id).alias("item"), bytes_column("text")).withColumn("n", F.octet_length("text")), "search-queries")
@@ -304,6 +307,7 @@ def ranked(docs: DataFrame, queries: DataFrame, k: int = 10, query_id: str = "it
         own = [(r["item"], set(terms_of(bytes(r["text"])))) for r in asked.where(F.col("block") == block).select("item", "text").collect()]
         if found := _searched(shards, own, n_docs, k, kind, block):
             out.append(found)
+    spark.conf.set(BATCH, rows)
     if not out:
         return spark.createDataFrame([], f"item_id {kind}, rank int, doc_id long, score long")
     found = out[0]
