@@ -20,9 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clipsieve.llm.common import HASH_CACHE, free_name, grams, long_array, map_arrow, mix, stored
+from clipsieve.llm.common import free_name, grams, long_array, map_arrow, mix, stored
 
 WINDOW = 10
+#: Distinct words that a worker remembers before it starts again: some 200 bytes each, and a word costs far more to look
+#: at anew than to hash.
+WORDS_KEPT = 200_000
 #: Items of fewer template tokens are looked for word by word; those of fewer than WINDOW match as a whole, and a single
 #: word where it is a sentence or a line by itself.
 MIN_ITEM_TOKENS = 6
@@ -94,7 +97,7 @@ class Words(dict):
         return i
 
     def bound(self) -> None:
-        if len(self) > HASH_CACHE:
+        if len(self) > WORDS_KEPT:
             self.clear()
             self.__init__()
 
