@@ -63,8 +63,8 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), lambda doc_id: F.pmod(F.crc32(doc_id.cast("string")), F.lit(7)) == 0)
 
 
-# The columns of op2, op6, op7, op10 and op11 that SQL can express (of op2: fields of its structs, as columns), each from
-# the same operator and parameters over whole tables.
+# The columns of op2, op6, op7, op8, op10 and op11 that SQL can express (of op2: fields of its structs, as columns; of op8:
+# sums of logarithms to six places), each from the same operator and parameters over whole tables.
 
 
 def op2_warc_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,10 @@ def op7_url_filters_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("given"))
 
 
+def op8_lm_scoring_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_lm_scoring(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
+
+
 def op10_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_mixing(spark, sf_dir).select("doc_id", "size", "source_size", "target", (F.col("taken") <= 3 * F.col("size")).alias("within"))
 
@@ -109,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_warc_fields": op2_warc_fields,
         "op6_quality_rules_base": op6_quality_rules_base,
         "op7_url_filters_rules": op7_url_filters_rules,
+        "op8_lm_scoring_base": op8_lm_scoring_base,
         "op10_mixing_targets": op10_mixing_targets,
         "op11_media_columns_payload": op11_media_columns_payload,
     }
@@ -200,6 +205,14 @@ p AS (SELECT doc_id, octet_length(t) AS n, t || repeat('\x00'::BLOB, CASE WHEN o
 e AS (SELECT *, unhex(right(hex(x), 128)) AS y FROM p)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(octet_length(x) AS BIGINT) AS payload_bytes, sha256(x) AS payload_sha256, CAST({_CRC} AS BIGINT) AS tail_crc32 FROM (SELECT *, {_bytes("y")} AS b FROM e) z"""
 
+#: A blank, which no word is, is the end.
+OP8_SQL = f"""WITH w AS (SELECT doc_id, {_CRC} % 10 = 0 AS held_out, list_append(list_transform({_WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), ' ') AS ws
+  FROM (SELECT *, {_bytes("encode(doc_id::VARCHAR)")} AS b FROM documents) z),
+t AS (SELECT doc_id, held_out, unnest(ws) AS token FROM w),
+c AS (SELECT token, count(*) AS c FROM t WHERE NOT held_out GROUP BY token),
+m AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, any_value(n) AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.1::DOUBLE) / (n + 0.1::DOUBLE * (v + 1)))), 6) AS base_score FROM t LEFT JOIN c USING (token), m GROUP BY doc_id, held_out"""
+
 _LEAF = "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "{n}", "text"))) + ")"
 
 #: Trees level by level: g is a lang and, for the tree above, 'all'; each row of up is a node, its place and its level's size.
@@ -225,6 +238,6 @@ def oracle_sql() -> dict[str, str]:
     """The queries whose every column SQL can express; the others are tested against brute force in tests/llm."""
     return {
         "op2_warc_fields": OP2_SQL, "op3_ngram_jaccard_join": OP3_SQL, "op5_substring_dedup": OP5_SQL,
-        "op6_quality_rules_base": OP6_SQL, "op7_url_filters_rules": OP7_SQL, "op10_mixing_targets": OP10_SQL,
+        "op6_quality_rules_base": OP6_SQL, "op7_url_filters_rules": OP7_SQL, "op8_lm_scoring_base": OP8_SQL, "op10_mixing_targets": OP10_SQL,
         "op11_media_columns_payload": OP11_SQL, "op12_ranked_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL,
     }
