@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ("frame", "obj")
+#: Runs that are spread over the lines they reach at a time, by a task that grows masks: a bound on its memory.
+PIECE = 16_384
 
 
 def reach(radius: int, shape: str = "square") -> list[int]:
@@ -65,34 +69,71 @@ def clipped(runs: DataFrame, width: int, height: int) -> DataFrame:
     return inside.where("x0 < x1")
 
 
-def _strands(runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """Merged runs with k and strand: the k-th runs of lines that follow one another, as long as each overlaps the one before."""
-    rows = runs.withColumn("k", F.row_number().over(Window.partitionBy(*keys, "y").orderBy("x0")))
-    down = Window.partitionBy(*keys, "k").orderBy("y")
-    before = F.lag(F.struct("y", "x0", "x1")).over(down)
-    follows = (before["y"] == F.col("y") - 1) & (before["x0"] < F.col("x1")) & (F.col("x0") < before["x1"])
-    rows = rows.withColumn("_new", F.when(follows, 0).otherwise(1))
-    return rows.withColumn("strand", F.sum("_new").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def joined(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches in order of their beginnings as islands: those that overlap or adjoin become one."""
+    if not len(begin):
+        return begin, end
+    upto = np.maximum.accumulate(end)
+    first = np.concatenate([[0], np.flatnonzero(begin[1:] > upto[:-1]) + 1])
+    return begin[first], upto[np.append(first[1:], len(begin)) - 1]
 
 
-def shifted(runs: DataFrame, width: int, height: int, radius: int, keys: tuple[str, ...] = KEYS, shape: str = "square") -> DataFrame:
-    """Runs, not merged, that cover just the pixels within the structuring element of a pixel of merged runs.
+def _grown(mask: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, width: int, height: int, far: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Merged runs (mask, y, x0, x1), in this order, of what the structuring element reaches within the image.
 
-    On any line, what the runs of a strand reach is one run, as neighbours in it overlap: so each strand of h lines
-    gives h + 2 radius runs, not h (2 radius + 1). Runs are dealt by keys once, and the rows for each line that a run
-    reaches are made and put together in the task that has the mask's runs; they cross no shuffle.
+    A line of a mask, a beginning and an end make one number, so that a sort of numbers puts in place what a piece of
+    the runs reaches. A piece is PIECE runs that follow one another; only its merged runs are kept.
     """
-    far = F.array(*(F.lit(x).cast("long") for x in reach(radius, shape)))
-    rows = _strands(runs.select(*keys, "y", "x0", "x1").repartition(*keys), keys)
-    rows = rows.withColumn("dy", F.explode(F.sequence(F.lit(-radius).cast("long"), F.lit(radius).cast("long"))))
-    rows = rows.withColumn("far", F.get(far, F.abs("dy").cast("int"))).withColumn("y", F.col("y") + F.col("dy")).where((F.col("y") >= 0) & (F.col("y") < height))
-    grown = rows.groupBy(*keys, "k", "strand", "y").agg(F.min(F.col("x0") - F.col("far")).alias("x0"), F.max(F.col("x1") + F.col("far")).alias("x1"))
-    return clipped(grown.select(*keys, "y", "x0", "x1"), width, height)
+    bits, low = int(width).bit_length(), (1 << int(width).bit_length()) - 1
+    dy = np.arange(1 - len(far), len(far))
+    side, order, parts = far[np.abs(dy)], np.lexsort((y, mask)), []
+    for k in range(0, len(order) + 1, PIECE):
+        own = order[k : k + PIECE, None]
+        line, left, right = y[own] + dy, np.maximum(x0[own] - side, 0), np.minimum(x1[own] + side, width)
+        inside = (line >= 0) & (line < height) & (left < right)
+        parts.append(_merged_packed((((mask[own] * height + line) << bits | left) << bits | right)[inside], bits))
+    packed = parts[0] if len(parts) == 1 else _merged_packed(np.concatenate(parts), bits)
+    line = packed >> 2 * bits
+    return line // height, line % height, packed >> bits & low, packed & low
+
+
+def _merged_packed(packed: np.ndarray, bits: int) -> np.ndarray:
+    """Runs as numbers (line, beginning, end; bits for each of the two) without overlaps, in order."""
+    packed, low = np.sort(packed), (1 << bits) - 1
+    begin, end = joined(packed >> bits, packed >> 2 * bits << bits | packed & low)
+    return begin << bits | end & low
+
+
+def _numbers(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table[n].to_numpy().astype(np.int64, copy=False) for n in names]
 
 
 def dilate(runs: DataFrame, width: int, height: int, radius: int, keys: tuple[str, ...] = KEYS, shape: str = "square") -> DataFrame:
-    """Merged runs of the pixels within the structuring element of a mask's pixel, clipped to the image."""
-    return merged(shifted(runs, width, height, radius, keys, shape), keys)
+    """Merged runs of the pixels within the structuring element of a mask's pixel, clipped to the image; from any runs.
+
+    The masks that agree in all keys but the last, those of a frame, are grown in one task: the rows for each line that a
+    run reaches are made, PIECE runs at a time, and put together there. They are neither sorted nor dealt by Spark.
+    """
+    far, kinds = np.array(reach(radius, shape), np.int64), dict(runs.dtypes)
+
+    def each(frame: pa.Table) -> pa.Table:
+        codes = _codes(frame[keys[-1]])
+        mask, y, x0, x1 = _grown(codes, *_numbers(frame, "y", "x0", "x1"), width, height, far)
+        at = np.unique(codes, return_index=True)[1]
+        return pa.table({**{k: frame[k].take(pa.array(at[mask])) for k in keys}, "y": y, "x0": x0, "x1": x1})
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "y long, x0 long, x1 long"])
+    return runs.select(*keys, "y", "x0", "x1").groupBy(*(keys[:-1] or keys)).applyInArrow(each, schema)
+
+
+def shifted(runs: DataFrame, width: int, height: int, radius: int, keys: tuple[str, ...] = KEYS, shape: str = "square") -> DataFrame:
+    """Runs that cover just the pixels within the structuring element: on a line that several runs reach as few as can be."""
+    return dilate(runs, width, height, radius, keys, shape)
+
+
+def _codes(values: pa.ChunkedArray) -> np.ndarray:
+    """Numbers from 0 for the distinct values, in order of their first rows."""
+    return values.combine_chunks().dictionary_encode("encode").indices.to_numpy().astype(np.int64)
 
 
 def erode(runs: DataFrame, radius: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -136,6 +177,33 @@ def touching(runs: DataFrame) -> DataFrame:
     return members.select("frame", first.alias("a"), F.col("obj").alias("b")).where("a < b").distinct()
 
 
+def near(runs: DataFrame, width: int, height: int, radius: int) -> DataFrame:
+    """(frame, a, b) links that join all objects whose masks, grown by an ellipse, overlap, directly or through others,
+    and each object with itself; runs (frame, obj, y, x0, x1) needn't be merged.
+
+    As touching, but a frame is grown and swept over in one task, so that grown runs cross no shuffle: links are all
+    that leaves it.
+    """
+    far, kinds = np.array(reach(radius, "ellipse"), np.int64), dict(runs.dtypes)
+
+    def each(frame: pa.Table) -> pa.Table:
+        objects, codes = np.unique(frame["obj"].to_numpy(), return_inverse=True)
+        mask, y, x0, x1 = _grown(codes.astype(np.int64), *_numbers(frame, "y", "x0", "x1"), width, height, far)
+        own = np.arange(len(objects))
+        pairs = own * len(objects) + own
+        if len(y):
+            order = np.lexsort((x0, y))
+            member, begin, end = mask[order], (y * (width + 1) + x0)[order], (y * (width + 1) + x1)[order]
+            first = np.concatenate([[0], np.flatnonzero(begin[1:] >= np.maximum.accumulate(end)[:-1]) + 1])
+            smallest = np.repeat(np.minimum.reduceat(member, first), np.diff(np.append(first, len(member))))
+            pairs = np.unique(np.concatenate([pairs, smallest * len(objects) + member]))
+        values = pa.array(objects, frame.schema.field("obj").type)
+        return pa.table({"frame": frame["frame"].take(pa.array(np.zeros(len(pairs), np.int64))), "a": values.take(pa.array(pairs // len(objects))), "b": values.take(pa.array(pairs % len(objects)))})
+
+    rows = runs.select("frame", "obj", "y", "x0", "x1").where("obj IS NOT NULL")
+    return rows.groupBy("frame").applyInArrow(each, f"frame {kinds['frame']}, a {kinds['obj']}, b {kinds['obj']}")
+
+
 def atoms(runs: DataFrame, keys: tuple[str, ...] = ("frame",), member: str = "obj") -> DataFrame:
     """(keys, y, x0, x1, members): pieces of each line with the objects that cover it, at least one; from merged runs.
 

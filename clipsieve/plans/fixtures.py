@@ -117,7 +117,9 @@ def hd_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     obj = F.array_position(kinds, F.col("event_type")).cast("long") + 5 * (F.col("user_id") % 4)
     high, wide = 6 + F.col("user_id") % 11, 20 + F.col("event_id") % 41
     left, top = (F.col("user_id") * 7919 + F.col("event_id") * 104_729) % (HD_WIDTH - 70), (F.col("user_id") * 6_007 + F.col("event_id") * 75_011) % (HD_HEIGHT - 20)
-    spots = e.select(frame.alias("frame"), obj.alias("obj"), left.alias("x"), top.alias("y"), wide.alias("w"), F.explode(F.sequence(F.lit(0).cast("long"), high - 1)).alias("k"))
+    spots = e.select(frame.alias("frame"), obj.alias("obj"), left.alias("x"), top.alias("y"), wide.alias("w"), high.alias("h"))
+    # Dealt by frame as spots: their lines are ten times as many rows.
+    spots = spots.repartition("frame").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h") - 1)))
     x0 = F.col("x") + F.col("k") * F.col("k") % 5
     return spots.select("frame", "obj", (F.col("y") + F.col("k")).alias("y"), x0.alias("x0"), (x0 + F.col("w") - F.col("k") % 3).alias("x1"))
 
