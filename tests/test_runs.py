@@ -148,6 +148,44 @@ def test_fold_of_large_masks(spark):
     assert "members" in into and "px" not in into and "x0" not in into
 
 
+def test_crowded_masks_grow_in_their_frame(spark):
+    """Many spots on few lines: no row for each line that a run reaches comes from Spark, to be sorted there."""
+    spots = spark.range(600).select(F.lit(0).cast("long").alias("frame"), (F.col("id") % 3).alias("obj"), (F.col("id") * 7 % 100).alias("y"), (F.col("id") * 37 % 1500).alias("x0"), (F.col("id") * 37 % 1500 + 9).alias("x1"))
+    far = runs.reach(50, "ellipse")
+    want = {}
+    for r in spots.collect():
+        for dy in range(-50, 51):
+            if 0 <= r["y"] + dy < 1080:
+                want.setdefault(r["obj"], {}).setdefault(r["y"] + dy, set()).update(range(max(r["x0"] - far[abs(dy)], 0), r["x1"] + far[abs(dy)]))
+    grown = runs.dilate(spots, 1920, 1080, 50, shape="ellipse")
+    assert {r["obj"]: r["area"] for r in runs.areas(grown).collect()} == {o: sum(map(len, lines.values())) for o, lines in want.items()}
+    for df in (grown, cluster.proximity_links(spots, 1920, 1080, 50)):
+        assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in cluster.group_run_areas(spots, spots.select("frame", "obj", F.lit(1).alias("group")).distinct()).collect()] == [(0, 1, len({(r["y"], x) for r in spots.collect() for x in range(r["x0"], r["x1"])}))]
+
+
+def test_fold_has_a_row_per_frame(spark):
+    """Detections that overlap in very many ways: their atoms are counted in their frame and are no rows of the fold."""
+    spots = spark.range(4_000).select(F.lit("v").alias("video"), (F.col("id") % 2).alias("frame"), (F.col("id") % 18).alias("det"), (F.col("id") % 97).alias("y"), (F.col("id") * 37 % 1500).alias("x0"), (F.col("id") * 37 % 1500 + 150).alias("x1"))
+    m = runs.merged(spots, ("video", "frame", "det"))
+    start = runs.merged(spots.select("video", (F.col("det") % 3 + 1).alias("group"), "y", "x0", "x1"), ("video", "group"))
+    out = cluster.assign_run_groups(m.select("video", "frame", "det"), m, start)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Generate" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    px = {}
+    for r in m.collect():
+        px.setdefault((r["frame"], r["det"]), set()).update((r["y"], x) for x in range(r["x0"], r["x1"]))
+    state = {}
+    for r in start.collect():
+        state.setdefault(r["group"], set()).update((r["y"], x) for x in range(r["x0"], r["x1"]))
+    want = set()
+    for t in (0, 1):
+        dets = sorted(d for f, d in px if f == t)
+        joins, state = cluster.fold_frame(state, [px[t, d] for d in dets], 3)
+        want |= {("v", t, d, g) for d, g in zip(dets, joins, strict=True)}
+    assert {tuple(r) for r in out.collect()} == want
+
+
 def test_no_masks(spark):
     none = spark.createDataFrame([], "frame long, obj long, px long")
     assert cluster.proximity_groups(none, W, H, 5).isEmpty() and runs.erode(runs.from_pixels(none, W), 1).isEmpty() and runs.touching(runs.from_pixels(none, W)).isEmpty()
