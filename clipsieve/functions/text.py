@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +109,53 @@ def entities(toks: Column, v: Vocabulary = Vocabulary()) -> Column:
     return F.transform(entity_positions(toks, v), lambda i: mention(toks, i, before_noun(toks, i, v), descriptors_after(toks, i, v), v))
 
 
+def _any(words) -> str:
+    """A pattern of any of the words, the longest first; of none, one that never fits."""
+    return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")" if words else "(?!)"
+
+
+#: Between single spaces: where a word begins and where it ends.
+_BEGIN, _END = "(?<![^ ])", "(?![^ ])"
+_MARKS = ".,?!;:'\""
+
+
+def words(text: Column) -> Column:
+    """The tokens of a text, as tokens has them, in one string with a space between them."""
+    spaced = F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    return F.regexp_replace(spaced, f"(?<![{_MARKS}])[{_MARKS}]++{_END}|{_BEGIN}['\"]++", "")
+
+
+def first_subject(df: DataFrame, text: Column, v: Vocabulary = Vocabulary()) -> DataFrame:
+    """df with the column s: the first mention after the text's auxiliary, or null; what mention, before_noun and
+    descriptors_after say on tokens, from patterns on a string, which take a fraction of the time of lambdas on arrays.
+
+    Each step is a column of its own, as an expression that is read several times would be computed as often.
+    """
+    either, only = (*v.adjectives, *QUANTITIES), [q for q in QUANTITIES if q not in v.adjectives]
+    df = df.withColumn("_rest", F.regexp_replace(words(text), rf"(?s)\A.*? {_any(AUXILIARIES)}(?: |\z)", ""))
+    df = df.withColumn("_head", F.regexp_extract("_rest", rf"(?s)\A.*?{_BEGIN}{_any(v.entities)}{_END}", 0))
+    df = df.withColumn("_noun", F.substring_index("_head", " ", -1)).withColumn("_before", F.substring(F.col("_head"), F.lit(1), F.length("_head") - F.length("_noun")))
+    tail = F.substring(F.col("_rest"), F.length("_head") + 1, F.length("_rest"))
+    df = df.withColumns({
+        "_chain": F.regexp_extract("_before", rf"{_BEGIN}(?:{_any(either)} )++\z", 0),
+        "_after": F.regexp_extract(tail, rf"\A {_any(PREPOSITIONS)}{_END}(?: {_any((*v.descriptors, 'the'))}{_END}){{0,4}}+", 0),
+    })
+    df = df.withColumn("_own", F.regexp_replace("_chain", f"{_BEGIN}{_any(only)} ", ""))
+    df = df.withColumn("_said", F.regexp_replace("_after", rf"\A [^ ]+| the{_END}", ""))
+    noun, plural = F.col("_noun"), F.col("_chain").rlike(f"{_BEGIN}{_any(QUANTITIES)} ")
+    singular = noun
+    if v.plurals:
+        singular = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in v.plurals.items() for x in pair]), noun), noun)
+        plural = noun.isin(*v.plurals) | plural
+    first = lambda c: F.substring_index(c, " ", 1)
+    s = F.struct(
+        F.concat("_own", noun, F.when(F.col("_said") != "", F.concat(F.lit(" "), first(F.substring(F.col("_after"), 2, 100)), "_said")).otherwise("")).alias("mention"), noun.alias("noun"), singular.alias("singular"),
+        plural.alias("is_plural"), (F.length("_before") - F.length(F.replace("_before", F.lit(" "), F.lit("")))).cast("int").alias("position"),
+        F.when(F.col("_said") != "", first(F.expr("substring(_said, 2)"))).otherwise(first(F.col("_own"))).alias("desc_key"),
+    )
+    return df.withColumn("s", F.when(F.col("_head") != "", s)).drop("_rest", "_head", "_noun", "_before", "_chain", "_after", "_own", "_said")
+
+
 def first_mention(df: DataFrame, toks: str = "t", v: Vocabulary = Vocabulary()) -> DataFrame:
     """df with the column s: the first mention among the tokens, or null.
 

@@ -101,3 +101,20 @@ def test_scanner_against_loops(spark):
 def test_items_keep_unicode_and_first_arrow(spark):
     df = spark.createDataFrame([("v", "[é1] why so -> x -> y ||| [a b] no -> z ||| [T]q->r")], "video string, questions_and_answers string")
     assert [(r["qtype"], r["question"], r["answer"]) for r in select.parse(df).orderBy("q_idx").collect()] == [("é1", "why so", "x -> y"), (None, None, None), ("T", "q", "r")]
+
+
+def test_first_subject_by_patterns(spark):
+    """Patterns on a string say what tokens and lambdas say, on odd marks, spaces and orders too; and there is no lambda."""
+    rng = random.Random(3)
+    parts = [*"men dog person two several big white orange the in with wearing shirt is did do cat's 'dog' dog? \"men\" ?! . '. \"'? x.y DOG İs".split(), "", "..dog", "dog...x", "\u00a0", "\n", "\t", "\u0085", "\u2028"]
+    joins = [" ", " ", " ", "  ", "\u2003", "\n"]
+    rows = [(k, "".join(rng.choice(parts) + rng.choice(joins) for _ in range(rng.randrange(14)))) for k in range(3000)]
+    rows += [(-1, None), (-2, ""), (-3, " "), (-4, "is"), (-5, "big " * 3000 + "dog in " + "white " * 3000)]
+    df = spark.createDataFrame(rows, "k long, q string")
+    for v in (Vocabulary(), Vocabulary(nouns=("dog", "white", "x.y"), plurals={}, adjectives=("white", "two", "big"), clothing=("shirt", "dog"))):
+        old = df.select("k", text.tokens(F.col("q")).alias("t")).select("k", text.after_auxiliary(F.col("t")).alias("t"))
+        want = {r["k"]: r["s"] for r in text.first_mention(old, "t", v).select("k", "s").collect()}
+        got = text.first_subject(df, F.col("q"), v)
+        assert {r["k"]: r["s"] for r in got.select("k", "s").collect()} == want
+        assert sum(x is not None for x in want.values()) > 500
+        assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
