@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -25,6 +26,8 @@ CLIP_HEADER = struct.Struct("<IIId")
 CLIP_BYTES = len(CLIP_MAGIC) + CLIP_HEADER.size
 #: Frame numbers between two whole frames of a clip.
 KEY_EVERY = 24
+#: Bytes of unpacked frames that a task passes on at a time, a clip more at most.
+HELD_BYTES = 32_000_000
 
 
 def kept_frames(n: int, fps: float, max_frames: int | None = None, target_fps: float | None = None, uniform: bool = False) -> np.ndarray:
@@ -74,15 +77,17 @@ def encode_clips(frames: DataFrame, fps: float = 30.0, chunk: int = KEY_EVERY) -
     """
     kind = dict(frames.dtypes)["video"]
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("frame_idx")
-        content = pack_clip(rows["frame_idx"].tolist(), int(rows["h"].iloc[0]), int(rows["w"].iloc[0]), fps, rows["rgb"])
-        if (rows["h"] != rows["h"].iloc[0]).any() or (rows["w"] != rows["w"].iloc[0]).any():
+    def each(rows: pa.Table) -> pa.Table:
+        numbers, pictures = rows["frame_idx"].to_pylist(), rows["rgb"].to_pylist()
+        sizes = set(zip(rows["h"].to_pylist(), rows["w"].to_pylist(), strict=True))
+        if len(sizes) > 1:
             raise ValueError("the frames of a clip must have one size")
-        return pd.DataFrame({"video": [rows["video"].iloc[0]], "chunk": [rows["chunk"].iloc[0]], "n_frames": [len(rows)], "content": [content]})
+        order = sorted(range(len(numbers)), key=numbers.__getitem__)
+        content = pack_clip([numbers[k] for k in order], *map(int, sizes.pop()), fps, [pictures[k] for k in order])
+        return pa.table({"video": rows["video"].slice(0, 1), "chunk": rows["chunk"].slice(0, 1), "n_frames": pa.array([len(numbers)], pa.int64()), "content": pa.array([content], pa.binary())})
 
     rows = frames.select("video", F.floor(F.col("frame_idx") / chunk).alias("chunk"), "frame_idx", "h", "w", "rgb")
-    return rows.groupBy("video", "chunk").applyInPandas(each, f"video {kind}, chunk long, n_frames long, content binary")
+    return rows.groupBy("video", "chunk").applyInArrow(each, f"video {kind}, chunk long, n_frames long, content binary")
 
 
 def pack_clip(numbers: list[int], h: int, w: int, fps: float, pictures: Iterable[bytes]) -> bytes:
@@ -131,16 +136,25 @@ def decode_clips(clips: DataFrame, wanted: DataFrame | None = None, chunk: int =
         place = wanted.select("video", F.floor(F.col("frame_idx") / chunk).alias("chunk"), F.col("frame_idx").cast("long").alias("frame_idx"))
         rows = clips.select("video", "chunk", "content").join(place.groupBy("video", "chunk").agg(F.collect_set("frame_idx").alias("wanted")), ["video", "chunk"]).select("video", "content", "wanted")
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for video, content, want in zip(rows["video"], rows["content"], rows["wanted"], strict=True):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, out, held = [], [], 0
+            table = lambda of, out, batch=batch: pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True))], ["video", "frame_idx", "h", "w", "rgb"])
+            for k in range(batch.num_rows):
+                content, want = batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
                 _, h, w, _ = clip_info(content)
-                got = list(unpack_clip(content, want))
-                if not got:
-                    continue
-                yield pd.DataFrame({"video": [video] * len(got), "frame_idx": [f for f, _ in got], "h": h, "w": w, "rgb": [rgb for _, rgb in got]})
-
-    return rows.mapInPandas(each, f"video {kind}, frame_idx long, h int, w int, rgb binary")
+                for f, rgb in unpack_clip(content, want):
+                    of.append(k)
+                    out.append((f, h, w, rgb))
+                    held += len(rgb)
+                # Frames of many clips leave together, of large ones not much more than HELD_BYTES.
+                if held >= HELD_BYTES:
+                    yield table(of, out)
+                    of, out, held = [], [], 0
+            if of:
+                yield table(of, out)
+
+    return rows.mapInArrow(each, f"video {kind}, frame_idx long, h int, w int, rgb binary")
 
 
 def decode_sampled(clips: DataFrame, videos: DataFrame, max_frames: int | None = None, target_fps: float | None = None, uniform: bool = False, chunk: int = KEY_EVERY) -> DataFrame:

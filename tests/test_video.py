@@ -91,3 +91,13 @@ def test_pictures(spark, frames):
     masks = spark.createDataFrame([("a", 0, 1, 0), ("a", 0, 1, 19), ("a", 2, 1, 7)], "video string, frame long, obj int, px long")
     files = {r["frame"]: read_png(bytes(r["content"])) for r in video.mask_pictures(masks, 4, 5).collect()}
     assert {f: [k for k, v in enumerate(p) if v] for f, (_, _, p) in files.items()} == {0: [0, 19], 2: [7]} and set(files[0][2]) == {0, 255}
+
+
+def test_small_clips_leave_together(spark):
+    """Unpacked frames of many small clips are few batches, not one for each clip, and chunks are packed without pandas."""
+    frames = spark.range(2000).select((F.col("id") % 500).alias("video"), F.floor(F.col("id") / 500).alias("frame_idx"), F.lit(1).alias("h"), F.lit(1).alias("w"), F.unhex(F.format_string("%06x", "id")).alias("rgb"))
+    clips = video.encode_clips(frames, chunk=2)
+    assert clips.count() == 1000 and "InPandas" not in clips._jdf.queryExecution().optimizedPlan().toString()
+    got = video.decode_clips(clips)
+    assert "InPandas" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in frames.collect())
