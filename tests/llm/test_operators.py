@@ -590,6 +590,26 @@ def test_mining_against_all_combinations(spark):
     assert {r.verdict for r in url_filter.mine(spark.createDataFrame(long, "tokens array<string>, label string"))} == {"allow", "block"}
 
 
+def test_no_token_is_cut_before_mining(spark):
+    """Rows of more tokens than FP-growth takes: a rule of tokens that say little each, behind many that say more."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(600):
+        a, b, block = rng.random() < 0.5, rng.random() < 0.5, rng.random() < 0.05
+        block = block or (a and b)
+        telling = [f"path:t{i:02d}" for i in range(20) if rng.random() < (0.62 if block else 0.4)]
+        rows.append((telling + ["key:a"] * a + ["key:b"] * b, url_filter.LABELS[block]))
+    assert max(len(t) for t, _ in rows) > url_filter.BASKET_TOKENS + 2
+    got = {r.tokens: (r.verdict, r.confidence) for r in url_filter.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.05)}
+    assert got["key:a", "key:b"] == ("block", 1.0)
+    short = [(t[:3] + t[-2:], label) for t, label in rows]
+    df = spark.createDataFrame(short, "tokens array<string>, label string")
+    by_growth = url_filter.mine(df, 0.05)
+    items = url_filter._baskets(df, len(short), 0.05)
+    counted = {(tuple(r["tokens"]), r["label"], r["confidence"], r["support"]) for r in url_filter._counted(items, len(short), 0.05, 0.8).collect()}
+    assert by_growth and {(r.tokens, f"label:{r.verdict}", r.confidence, r.support) for r in by_growth} <= counted
+
+
 def brute_mined(have, rules, default="allow"):
     fits = [r for r in rules if set(r.tokens) <= set(have)]
     return max(fits, key=lambda r: (r.confidence, r.support, r.tokens)).verdict if fits else default
