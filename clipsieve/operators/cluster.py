@@ -12,6 +12,8 @@ from clipsieve.operators import runs
 
 #: Places in a line where masks come as numbered pixels and the width of the image doesn't matter.
 LINE = 4_096
+#: Frames up to which their order is broadcast, some 24 bytes each.
+BROADCAST_FRAMES = 1_000_000
 #: Bits of a word in sets of masks.
 WORD = 62
 
@@ -170,7 +172,9 @@ def assign_run_groups(present: DataFrame, detections: DataFrame, start: DataFram
     ends = [(F.col("y").cast("long") * 2**32 + F.col(x)).alias(c) for x, c in (("x0", "begin"), ("x1", "end"))]
     rows = lambda df, frame, side, number: df.select("video", F.col(frame).alias("frame"), F.lit(side).alias("side"), number.cast("long").alias("number"), "begin", "end")
     own = detections.where("det IS NOT NULL").select("video", F.col("frame").cast("long").alias("frame"), "det", *ends)
-    moved = own.join(frames.where("after IS NOT NULL").select("video", "frame", "after"), ["video", "frame"])
+    after = frames.where("after IS NOT NULL").select("video", "frame", "after")
+    # A shuffle of all runs only for more frames than can be broadcast.
+    moved = own.join(F.broadcast(after) if after.count() <= BROADCAST_FRAMES else after, ["video", "frame"])
     given = start.select("video", "group", *ends).join(frames.where("place = 1").select("video", "frame"), "video")
     no = F.lit(None).cast("long")
     all_rows = rows(seen.where("det IS NOT NULL").withColumns({"begin": no, "end": no}), "frame", 0, F.col("det"))
