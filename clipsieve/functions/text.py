@@ -119,41 +119,66 @@ _BEGIN, _END = "(?<![^ ])", "(?![^ ])"
 _MARKS = ".,?!;:'\""
 
 
-def words(text: Column) -> Column:
-    """The tokens of a text, as tokens has them, in one string with a space between them."""
-    spaced = F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
-    return F.regexp_replace(spaced, f"(?<![{_MARKS}])[{_MARKS}]++{_END}|{_BEGIN}['\"]++", "")
+def _read_first(words: Column, v: Vocabulary) -> Column:
+    """What stands before the first mention's adjectives and quantities after the auxiliary, these, the noun, a
+    preposition and what it brings, with line ends between, which no token has; without a mention the words as they are.
+
+    One pattern reads them all, as each pass over a text costs about as much. Its loops over words are possessive, as
+    others take stack for each word. An entity that is an adjective too would be the first mention itself, so it never
+    stands before it.
+    """
+    chain = f"(?:{_any([w for w in (*v.adjectives, *QUANTITIES) if w not in v.entities])} )*+"
+    noun = _any(v.entities)
+    after = rf"(?: ({_any(PREPOSITIONS)}){_END}((?: {_any((*v.descriptors, 'the'))}{_END}){{0,4}}+))?+"
+    pattern = rf"(?s)\A(?:.*? {_any(AUXILIARIES)}(?: |\z))?+(|.*? )({chain})({noun}){_END}{after}.*+"
+    return F.regexp_replace(words, pattern, "$1\n$2\n$3\n$4\n$5")
 
 
 def first_subject(df: DataFrame, text: Column, v: Vocabulary = Vocabulary()) -> DataFrame:
     """df with the column s: the first mention after the text's auxiliary, or null; what mention, before_noun and
     descriptors_after say on tokens, from patterns on a string, which take a fraction of the time of lambdas on arrays.
 
-    Each step is a column of its own, as an expression that is read several times would be computed as often.
+    Each step is a column of its own, as an expression that is read several times would be computed as often, and what
+    most texts don't need is behind a cheaper test. A filter on s is pushed below and evaluates the patterns again:
+    subjects_only has none.
     """
-    either, only = (*v.adjectives, *QUANTITIES), [q for q in QUANTITIES if q not in v.adjectives]
-    df = df.withColumn("_rest", F.regexp_replace(words(text), rf"(?s)\A.*? {_any(AUXILIARIES)}(?: |\z)", ""))
-    df = df.withColumn("_head", F.regexp_extract("_rest", rf"(?s)\A.*?{_BEGIN}{_any(v.entities)}{_END}", 0))
-    df = df.withColumn("_noun", F.substring_index("_head", " ", -1)).withColumn("_before", F.substring(F.col("_head"), F.lit(1), F.length("_head") - F.length("_noun")))
-    tail = F.substring(F.col("_rest"), F.length("_head") + 1, F.length("_rest"))
+    # The tokens of the text, as tokens has them, in one string with a space between them.
+    df = df.withColumn("_words", F.lower(text))
+    spaced = F.regexp_replace("_words", r"(?U)[\s&&[^ ]]\s*| \s+", " ")
+    df = df.withColumn("_words", F.trim(F.when(F.col("_words").rlike("[^!-~ ]|  "), spaced).otherwise(F.col("_words"))))
+    bare = F.regexp_replace("_words", f"[{_MARKS}]++{_END}|{_BEGIN}['\"]++", "")
+    df = df.withColumn("_words", F.when(F.col("_words").rlike(f"[{_MARKS}]"), bare).otherwise(F.col("_words")))
+    df = df.withColumn("_parts", F.split(_read_first(F.col("_words"), v), "\n"))
+    before, chain, noun, preposition, brought = (F.get("_parts", F.lit(k)) for k in range(5))
+    only = [q for q in QUANTITIES if q not in v.adjectives]
+    df = df.withColumn("_many", (chain != "") & chain.rlike(f"{_BEGIN}{_any(QUANTITIES)} "))
     df = df.withColumns({
-        "_chain": F.regexp_extract("_before", rf"{_BEGIN}(?:{_any(either)} )++\z", 0),
-        "_after": F.regexp_extract(tail, rf"\A {_any(PREPOSITIONS)}{_END}(?: {_any((*v.descriptors, 'the'))}{_END}){{0,4}}+", 0),
+        "_own": F.when(F.col("_many"), F.regexp_replace(chain, f"{_BEGIN}{_any(only)} ", "")).otherwise(chain),
+        "_said": F.when(brought.contains(" the"), F.regexp_replace(brought, f" the{_END}", "")).otherwise(brought),
     })
-    df = df.withColumn("_own", F.regexp_replace("_chain", f"{_BEGIN}{_any(only)} ", ""))
-    df = df.withColumn("_said", F.regexp_replace("_after", rf"\A [^ ]+| the{_END}", ""))
-    noun, plural = F.col("_noun"), F.col("_chain").rlike(f"{_BEGIN}{_any(QUANTITIES)} ")
+    plural = F.col("_many")
     singular = noun
     if v.plurals:
         singular = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in v.plurals.items() for x in pair]), noun), noun)
         plural = noun.isin(*v.plurals) | plural
     first = lambda c: F.substring_index(c, " ", 1)
+    spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     s = F.struct(
-        F.concat("_own", noun, F.when(F.col("_said") != "", F.concat(F.lit(" "), first(F.substring(F.col("_after"), 2, 100)), "_said")).otherwise("")).alias("mention"), noun.alias("noun"), singular.alias("singular"),
-        plural.alias("is_plural"), (F.length("_before") - F.length(F.replace("_before", F.lit(" "), F.lit("")))).cast("int").alias("position"),
+        F.concat("_own", noun, F.when(F.col("_said") != "", F.concat(F.lit(" "), preposition, F.col("_said"))).otherwise("")).alias("mention"), noun.alias("noun"), singular.alias("singular"),
+        plural.alias("is_plural"), (spaces(before) + spaces(chain)).cast("int").alias("position"),
         F.when(F.col("_said") != "", first(F.expr("substring(_said, 2)"))).otherwise(first(F.col("_own"))).alias("desc_key"),
     )
-    return df.withColumn("s", F.when(F.col("_head") != "", s)).drop("_rest", "_head", "_noun", "_before", "_chain", "_after", "_own", "_said")
+    return df.withColumn("s", F.when(F.size("_parts") > 1, s)).drop("_words", "_parts", "_many", "_own", "_said")
+
+
+def subjects_only(df: DataFrame, text: Column, v: Vocabulary = Vocabulary(), also: Column | None = None) -> DataFrame:
+    """df with the fields of the first mention as columns, for the rows that have one; where also holds, a row without
+    one stays, with nulls.
+
+    Rows leave as an array of none or one, since the optimizer copies a filter's input below the projections.
+    """
+    kept = F.col("s").isNotNull() if also is None else F.col("s").isNotNull() | also
+    return first_subject(df, text, v).select(*df.columns, F.inline(F.when(kept, F.array("s"))))
 
 
 def first_mention(df: DataFrame, toks: str = "t", v: Vocabulary = Vocabulary()) -> DataFrame:

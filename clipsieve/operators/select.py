@@ -21,8 +21,7 @@ def parse(grouped: DataFrame) -> DataFrame:
 
 def subjects(parsed: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
     """One row per item that has a subject: (video, q_idx, mention, noun, singular, is_plural, position, desc_key)."""
-    found = text.first_subject(parsed.select("video", "q_idx", "question"), F.col("question"), v)
-    return found.where("s IS NOT NULL").select("video", "q_idx", "s.*")
+    return text.subjects_only(parsed.select("video", "q_idx", "question"), F.col("question"), v).drop("question")
 
 
 def cluster_counts(subs: DataFrame) -> DataFrame:
@@ -91,7 +90,7 @@ def prompt_select(grouped: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame
     items = text.items(F.col("questions_and_answers"))
     rows = grouped.select("video", F.posexplode(F.concat(items, F.array(F.lit(None).cast("string")))).alias("q_idx", "item"))
     question = F.nullif(F.regexp_extract("item", text.ITEM, 2), F.lit(""))
-    found = text.first_subject(rows, question, v).where("s IS NOT NULL OR item IS NULL").select("video", "q_idx", "s.*")
+    found = text.subjects_only(rows, question, v, also=F.col("item").isNull()).drop("item")
     w = Window.partitionBy("video")
     order = (F.col("singular").isNull(), F.desc("score"), F.desc(F.col("desc_key") != ""), F.desc("cnt"), F.col("first_pos"))
     total = F.max(F.when(F.col("singular").isNull(), F.col("first_pos"))).over(w)

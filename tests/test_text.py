@@ -118,3 +118,15 @@ def test_first_subject_by_patterns(spark):
         assert {r["k"]: r["s"] for r in got.select("k", "s").collect()} == want
         assert sum(x is not None for x in want.values()) > 500
         assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_subjects_are_read_once(spark):
+    """No filter repeats the pattern that finds a subject, in any query that builds on it; rows without one go or stay as asked."""
+    grouped = spark.createDataFrame([("v", "[T] is the big dog in the white hat here -> a ||| [T] why -> b ||| no item"), ("w", "[T] where -> c")], "video string, questions_and_answers string")
+    subs = select.subjects(select.parse(grouped))
+    assert [(r["video"], r["q_idx"], r["mention"], r["position"], r["desc_key"]) for r in subs.collect()] == [("v", 0, "big dog in white hat", 3, "white")]
+    chosen = select.prompt_select(grouped)
+    assert sorted(tuple(r) for r in chosen.collect()) == [("v", "big dog in white hat", 1, 3, 18), ("w", None, None, 1, None)]
+    clusters = select.scored(select.merged(subs))
+    for df in (subs, select.cluster_counts(subs), clusters, select.candidates(clusters), chosen, select.coverage(chosen), select.noun_distribution(chosen)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("does|have") == 1
