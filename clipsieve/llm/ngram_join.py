@@ -7,13 +7,12 @@
    or through others, are a family; a common line or passage makes no family, as parts mix the whole set.
    Hashes of n-grams and of parts travel packed, five bytes each: a block of documents settles equal ones of its own
    first and sends each remaining hash once, to the bucket where equal ones of all blocks meet.
-3. In a family, inverted lists answer each set's query: short lists are merged by a heap, and what occurs often
+3. In a family, inverted lists answer each set's query: entries of short lists are counted, and what occurs often
    enough there is looked up in the long lists by binary search. Large families are searched block by block.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -157,17 +156,11 @@ class Index:
         return sets[counts >= wanted]
 
     def _merge(self, lists: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sets in the given lists that skip leaves, with the number of lists that hold each, in order: a heap merge."""
-        runs = (self.of[self.start[t] : self.start[t + 1]] for t in lists)
-        found, counts, last = [], [], -1
-        for i in heapq.merge(*(r[~skip[r]].tolist() for r in runs)):
-            if i == last:
-                counts[-1] += 1
-            else:
-                found.append(i)
-                counts.append(1)
-                last = i
-        return np.array(found, np.int64), np.array(counts, np.int64)
+        """Sets in the given lists that skip leaves, with the number of lists that hold each, in order: counted in one pass."""
+        entries = np.concatenate([self.of[self.start[t] : self.start[t + 1]] for t in lists])
+        counts = np.bincount(entries[~skip[entries]], minlength=len(self.sizes))
+        found = np.flatnonzero(counts)
+        return found, counts[found]
 
 
 def _search_block(rows: list[tuple[int, int, bool, bool, bytes]], n: int, percent: int) -> list[tuple[int, int]]:

@@ -153,6 +153,12 @@ def test_search_equals_brute_force():
             assert index.search(q, percent, no_skip).tolist() == want
 
 
+def test_short_lists_are_counted_without_skipped_sets():
+    sets = [np.array(s, np.uint64) for s in ([1, 2, 3], [2, 3], [3, 4], [5])]
+    found, counts = ngram_join.Index(sets)._merge(np.array([1, 2, 4]), np.array([False, True, False, False]))
+    assert (found.tolist(), counts.tolist()) == ([0, 2, 3], [2, 1, 1])
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (7, 7), (None, 3), (40, 40)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
