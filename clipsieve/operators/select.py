@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clipsieve.functions import text
@@ -10,6 +10,8 @@ from clipsieve.functions.scalar import python_round2
 from clipsieve.functions.vocab import Vocabulary
 
 CLUSTER = ["video", "singular", "desc_key"]
+#: More than any index of an item.
+_BARE = 1 << 32
 
 
 def parse(grouped: DataFrame) -> DataFrame:
@@ -38,27 +40,41 @@ def merged(subs: DataFrame) -> DataFrame:
     return m.drop("_low", "_high")
 
 
-def _mentions(merged_subs: DataFrame) -> DataFrame:
-    """Per mention of a cluster how often and where first; bare mentions come after the cluster's own ones."""
+def _place() -> Column:
+    """A subject's place in its cluster: bare mentions come after the cluster's own ones, by a place beyond any other, as
+    numbers are aggregated by hashing and structs by sorting."""
+    return F.col("q_idx").cast("long") + F.when(F.col("was_bare"), F.lit(_BARE)).otherwise(F.lit(0))
+
+
+def _mentions(merged_subs: DataFrame, *carried: str) -> DataFrame:
+    """Per mention of a cluster how often and where first."""
     return merged_subs.groupBy(*CLUSTER, "mention").agg(
-        F.count("*").alias("n"), F.min(F.struct("was_bare", "q_idx")).alias("first"), F.min(F.when(~F.col("was_bare"), F.col("q_idx"))).alias("own_first"),
-        F.bool_or("is_plural").alias("plural"), F.any_value(F.size(F.split("mention", " "))).alias("words"),
+        F.count("*").alias("n"), F.min(_place()).alias("first"), F.min(F.when(~F.col("was_bare"), F.col("q_idx"))).alias("own_first"),
+        F.bool_or("is_plural").alias("plural"), F.any_value(F.size(F.split("mention", " "))).alias("words"), *(F.max(c).alias(c) for c in carried),
     )
 
 
-def scored(merged_subs: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
-    """(video, singular, desc_key, cnt, first_pos, example, prompt_word, score) per merged cluster.
+def scored(merged_subs: DataFrame, v: Vocabulary = Vocabulary(), *carried: str, prompt: bool = True) -> DataFrame:
+    """(video, singular, desc_key, cnt, first_pos, example, prompt_word, score) per merged cluster, and carried columns,
+    which are the same in all rows of a video.
 
-    prompt_word is the commonest mention of more than one word, else the commonest; ties go to the first.
+    prompt_word is the commonest mention of more than one word, else the commonest; ties go to the first. Without it the
+    subjects are aggregated once.
     """
-    rank = F.struct(F.when(F.col("words") > 1, 0).otherwise(1), -F.col("n"), F.col("first"))
-    g = _mentions(merged_subs).groupBy(*CLUSTER).agg(
-        F.sum("n").alias("cnt"), F.min("own_first").alias("first_pos"), F.bool_or("plural").alias("plural"), F.sum(F.col("words") * F.col("n")).alias("words"),
-        F.min_by("mention", "first").alias("example"), F.min_by("mention", rank).alias("prompt_word"),
-    )
+    if prompt:
+        rank = F.struct(F.when(F.col("words") > 1, 0).otherwise(1), -F.col("n"), F.col("first"))
+        g = _mentions(merged_subs, *carried).groupBy(*CLUSTER).agg(
+            F.sum("n").alias("cnt"), F.min("own_first").alias("first_pos"), F.bool_or("plural").alias("plural"), F.sum(F.col("words") * F.col("n")).alias("words"),
+            F.min_by("mention", "first").alias("example"), F.min_by("mention", rank).alias("prompt_word"), *(F.max(c).alias(c) for c in carried),
+        )
+    else:
+        g = merged_subs.groupBy(*CLUSTER).agg(
+            F.count("*").alias("cnt"), F.min(F.when(~F.col("was_bare"), F.col("q_idx"))).alias("first_pos"), F.bool_or("is_plural").alias("plural"),
+            F.sum(F.size(F.split("mention", " "))).alias("words"), F.min_by("mention", _place()).alias("example"), *(F.max(c).alias(c) for c in carried),
+        )
     flag = lambda c, n: F.when(c, F.lit(n)).otherwise(F.lit(0))
     score = F.col("cnt") * 10 - flag(F.col("plural"), 15) + flag(F.col("desc_key") != "", 5) + flag(F.col("words") * 2 > F.col("cnt") * 3, 3) - flag(F.col("singular").isin(*v.generic), 10)
-    return g.select(*CLUSTER, "cnt", "first_pos", "example", "prompt_word", score.cast("long").alias("score"))
+    return g.select(*CLUSTER, "cnt", "first_pos", "example", *(["prompt_word"] if prompt else []), *carried, score.cast("long").alias("score"))
 
 
 def _ranked(clusters: DataFrame, n: int, *order) -> DataFrame:
@@ -84,17 +100,15 @@ def prompts(merged_subs: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
 def prompt_select(grouped: DataFrame, v: Vocabulary = Vocabulary()) -> DataFrame:
     """(video, prompt_word, subject_question_count, total_questions, score); videos without a subject have a null prompt.
 
-    One pass: behind a video's items stands a null item, whose place is their number. It has no subject and makes a
-    cluster without noun, which comes last.
+    One pass: a video's first item stays without a subject too, as a cluster without noun, which comes last; the number of
+    items goes along with each.
     """
-    items = text.items(F.col("questions_and_answers"))
-    rows = grouped.select("video", F.posexplode(F.concat(items, F.array(F.lit(None).cast("string")))).alias("q_idx", "item"))
+    items = grouped.select("video", text.items(F.col("questions_and_answers")).alias("items"))
+    rows = items.select("video", F.size("items").cast("long").alias("total_questions"), "items").select("video", "total_questions", F.posexplode("items").alias("q_idx", "item"))
     question = F.nullif(F.regexp_extract("item", text.ITEM, 2), F.lit(""))
-    found = text.subjects_only(rows, question, v, also=F.col("item").isNull()).drop("item")
-    w = Window.partitionBy("video")
+    found = text.subjects_only(rows, question, v, also=F.col("q_idx") == 0).drop("item")
     order = (F.col("singular").isNull(), F.desc("score"), F.desc(F.col("desc_key") != ""), F.desc("cnt"), F.col("first_pos"))
-    total = F.max(F.when(F.col("singular").isNull(), F.col("first_pos"))).over(w)
-    top = scored(merged(found), v).withColumns({"total_questions": total.cast("long"), "rank": F.row_number().over(w.orderBy(*order))}).where("rank = 1")
+    top = _ranked(scored(merged(found), v, "total_questions"), 1, *order)
     own = F.col("singular").isNotNull()
     return top.select("video", "prompt_word", F.when(own, F.col("cnt")).alias("subject_question_count"), "total_questions", F.when(own, F.col("score")).alias("score"))
 

@@ -130,3 +130,23 @@ def test_subjects_are_read_once(spark):
     clusters = select.scored(select.merged(subs))
     for df in (subs, select.cluster_counts(subs), clusters, select.candidates(clusters), chosen, select.coverage(chosen), select.noun_distribution(chosen)):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("does|have") == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_totals_go_along_with_the_items(spark):
+    rows = [("none", "no ||| [TN] what is it -> x"), ("later", "no ||| [DC] where -> z ||| [TN] what does the dog do -> x"), ("first", "[TN] what does the dog do -> x ||| no"), ("empty", ""), ("null", None)]
+    chosen = select.prompt_select(spark.createDataFrame(rows, "video string, questions_and_answers string"))
+    got = {r["video"]: (r["prompt_word"], r["subject_question_count"], r["total_questions"]) for r in chosen.collect()}
+    assert got == {"none": (None, None, 2), "later": ("dog", 1, 3), "first": ("dog", 1, 2), "empty": (None, None, 1)}
+    assert "Window [max" not in _plan(chosen)
+
+
+def test_mentions_are_aggregated_by_hashing(spark):
+    subs = select.merged(select.subjects(select.parse(spark.createDataFrame([("v", "[TN] what does the red dog do -> x ||| [TN] what does the dog do -> x")], "video string, questions_and_answers string"))))
+    assert "SortAggregate" not in _plan(select._mentions(subs))
+    once = select.scored(subs, prompt=False)
+    assert "SortAggregate" not in _plan(once.select(*select.CLUSTER, "cnt", "first_pos", "score"))
+    assert once.collect() == select.scored(subs).select(*once.columns).collect()
