@@ -117,6 +117,9 @@ def _any(words) -> str:
 #: Between single spaces: where a word begins and where it ends.
 _BEGIN, _END = "(?<![^ ])", "(?![^ ])"
 _MARKS = ".,?!;:'\""
+#: A character that a plain text has not: all but printable ASCII without marks. The class names each character, as one of
+#: ranges is looked up range by range.
+_ODD = "[^ " + "".join(re.escape(c) for c in map(chr, range(0x21, 0x7F)) if c not in _MARKS) + "]"
 
 
 def _read_first(words: Column, v: Vocabulary) -> Column:
@@ -144,10 +147,11 @@ def first_subject(df: DataFrame, text: Column, v: Vocabulary = Vocabulary()) ->
     """
     # The tokens of the text, as tokens has them, in one string with a space between them.
     df = df.withColumn("_words", F.lower(text))
+    df = df.withColumn("_odd", F.col("_words").contains("  ") | F.col("_words").rlike(_ODD))
     spaced = F.regexp_replace("_words", r"(?U)[\s&&[^ ]]\s*| \s+", " ")
-    df = df.withColumn("_words", F.trim(F.when(F.col("_words").rlike("[^!-~ ]|  "), spaced).otherwise(F.col("_words"))))
+    df = df.withColumn("_words", F.trim(F.when(F.col("_odd"), spaced).otherwise(F.col("_words"))))
     bare = F.regexp_replace("_words", f"[{_MARKS}]++{_END}|{_BEGIN}['\"]++", "")
-    df = df.withColumn("_words", F.when(F.col("_words").rlike(f"[{_MARKS}]"), bare).otherwise(F.col("_words")))
+    df = df.withColumn("_words", F.when(F.col("_odd"), bare).otherwise(F.col("_words")))
     df = df.withColumn("_parts", F.split(_read_first(F.col("_words"), v), "\n"))
     before, chain, noun, preposition, brought = (F.get("_parts", F.lit(k)) for k in range(5))
     only = [q for q in QUANTITIES if q not in v.adjectives]
@@ -168,7 +172,7 @@ def first_subject(df: DataFrame, text: Column, v: Vocabulary = Vocabulary()) ->
         plural.alias("is_plural"), (spaces(before) + spaces(chain)).cast("int").alias("position"),
         F.when(F.col("_said") != "", first(F.expr("substring(_said, 2)"))).otherwise(first(F.col("_own"))).alias("desc_key"),
     )
-    return df.withColumn("s", F.when(F.size("_parts") > 1, s)).drop("_words", "_parts", "_many", "_own", "_said")
+    return df.withColumn("s", F.when(F.size("_parts") > 1, s)).drop("_words", "_odd", "_parts", "_many", "_own", "_said")
 
 
 def subjects_only(df: DataFrame, text: Column, v: Vocabulary = Vocabulary(), also: Column | None = None) -> DataFrame:

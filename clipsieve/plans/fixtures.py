@@ -34,7 +34,8 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("[TN] what does the "), "p_name", F.lit(" do -> x")))
     )
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice", item.alias("item"))
-    rows = line.join(part, "l_partkey").select(F.col("l_orderkey").alias("video"), order.alias("o"))
+    # Dealt by video before they are packed: lists that are begun in each task are sorted and moved as often.
+    rows = line.join(part, "l_partkey").repartition("l_orderkey").select(F.col("l_orderkey").alias("video"), order.alias("o"))
     packed = F.array_join(F.transform(F.sort_array(F.collect_list("o")), lambda o: o["item"]), " ||| ")
     return rows.groupBy("video").agg(packed.alias("questions_and_answers"))
 

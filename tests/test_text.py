@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clipsieve.functions import text
 from clipsieve.functions.vocab import ADJECTIVES, CLOTHING, PREPOSITIONS, QUANTITIES, Vocabulary
 from clipsieve.operators import select
+from clipsieve.plans import fixtures as fx
 
 V = Vocabulary()
 
@@ -150,3 +151,15 @@ def test_mentions_are_aggregated_by_hashing(spark):
     once = select.scored(subs, prompt=False)
     assert "SortAggregate" not in _plan(once.select(*select.CLUSTER, "cnt", "first_pos", "score"))
     assert once.collect() == select.scored(subs).select(*once.columns).collect()
+
+
+def test_questions_are_dealt_by_video_before_they_are_packed(spark):
+    plan = _plan(fx.qa(spark, "/root/testdata/sf0.001"))
+    assert plan.index("partial_collect_list") < plan.index("REPARTITION_BY_COL") and "ENSURE_REQUIREMENTS" not in plan.split("REPARTITION_BY_COL")[0]
+
+
+@pytest.mark.parametrize("q", ["a dog", "a  dog", " a dog ", "a \tdog", "a dog.", "'a dog", "a dög dog", "a dog", "dog\n"])
+def test_odd_texts_are_read_as_their_tokens(spark, q):
+    df = spark.createDataFrame([(q,)], "q string")
+    want = text.first_mention(df.select(text.after_auxiliary(text.tokens(F.col("q"))).alias("t")), "t", V).first()["s"]
+    assert text.first_subject(df, F.col("q"), V).first()["s"] == want
